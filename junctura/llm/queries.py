@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import table
-from . import simhash
+from ..plans.session import stored, table
+from . import bytebpe, ctph, lm, mpegts, packing, pii, simhash, warc
+
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(mpegts.mux(table(spark, sf_dir, "documents")), "media")
+    kept = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    parsed = mpegts.parse(kept)
+    return parsed.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        mpegts.feature().alias("feature"),
+    )
+
+
+def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compared(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"), count="n_replaced")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.PATTERN)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.written(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +58,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_packing": op2_packing,
+    "op4_mpegts": op4_mpegts,
+    "op5_ctph": op5_ctph,
+    "op6_pii": op6_pii,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
+}
 ORACLE: dict[str, str] = {}
