@@ -2,12 +2,15 @@
 
 Tokens are the ASCII-white-space words of the A-Z-lower-cased text and one end
 token. Unigrams are add-one smoothed with a place for the unknown word; longer
-n-grams are smoothed by a Dirichlet prior on the next shorter model,
+n-grams are smoothed by a prior on the next shorter model whose strength grows
+with the context's count, m(h) = spread c(h) + mu:
 
-    P(w | h) = (c(h w) + mu P(w | h')) / (c(h) + mu),
+    P(w | h) = (c(h w) + m(h) P(w | h')) / (c(h) + m(h)),
 
-which is a backoff automaton: a state per context h, an arc for each seen h w
-with the smoothed weight, and a failure arc to h' of weight mu / (c(h) + mu).
+which sums to one and is a backoff automaton: a state per context h, an arc for
+each seen h w with the smoothed weight, and a failure arc to h' of weight
+m(h) / (c(h) + m(h)). With spread 0 it is a Dirichlet prior, with mu 0 a fixed
+interpolation.
 Texts are traversed left to right. The state after a token is the longest seen
 context, a missing arc costs the failure weight and drops to the shorter state.
 
@@ -102,8 +105,8 @@ class Block:
 class Automaton:
     """A block's states and arcs; weights are log10."""
 
-    def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, mu: float):
-        self.block, self.counts, self.mu = block, counts, mu
+    def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, spread: float, mu: float):
+        self.block, self.counts, self.spread, self.mu = block, counts, spread, mu
         self.unigram = np.log10((counts[0] + 1.0) / (n + v + 1.0))
 
     def base(self) -> np.ndarray:
@@ -122,8 +125,9 @@ class Automaton:
             on = (place >= 0) & (context >= 0)
             c_h = self.counts[k - 2][context[on]].astype(np.float64)
             c = self.counts[k - 1][place[on]]
-            failure = np.log10(self.mu / (c_h + self.mu))
-            arc = np.log10((c + self.mu * np.power(10.0, np.maximum(weight[on], -300.0))) / (c_h + self.mu))
+            prior = self.spread * c_h + self.mu
+            failure = np.log10(prior / (c_h + prior))
+            arc = np.log10((c + prior * np.power(10.0, weight[on])) / (c_h + prior))
             weight[on] = np.where(c > 0, arc, failure + weight[on])
         return weight
 
@@ -151,7 +155,7 @@ def _dealt(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return docs.select("doc_id", "text", held.alias("held_out"), block.alias("block")), blocks
 
 
-def score(docs: DataFrame, order: int = 2, mu: float = 1.0, block_bytes: int = 20 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, spread: float = 1.0, mu: float = 3.0, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows, blocks = _dealt(docs, block_bytes)
@@ -185,7 +189,7 @@ def score(docs: DataFrame, order: int = 2, mu: float = 1.0, block_bytes: int = 2
         b = Block(d["text"].to_pylist(), order)
         found = sorted(zip(a["rank"].to_pylist(), a["shard"].to_pylist(), a["counts"].to_pylist(), strict=True), key=lambda x: x[:2])
         counts = [np.frombuffer(b"".join(c for r, _, c in found if r == k), np.int64) for k in range(order)]
-        auto = Automaton(b, counts, n, v, mu)
+        auto = Automaton(b, counts, n, v, spread, mu)
         known = (counts[0] > 0)[b.places[0]].astype(np.int64)
         over = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x[:0]
         return pa.table(
