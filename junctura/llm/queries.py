@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import stored, table
-from . import bytebpe, ctph, lm, mpegts, packing, pii, simhash, warc
+from . import bytebpe, ctph, htmltext, lm, mpegts, packing, pii, quality, simhash, warc
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(mpegts.mux(table(spark, sf_dir, "documents")), "media")
     kept = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
@@ -58,14 +62,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op4_mpegts": op4_mpegts,
     "op5_ctph": op5_ctph,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {}
