@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,15 +33,117 @@ from ..plans.session import stored
 
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")  # white space for str.split() alone
-CACHED, LONGEST = 300_000, 80
+CACHED, LONGEST, GROUP = 400_000, 48, 1 << 20
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if printable, else the next free ones from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+class Merger:
+    """The merges of a vocabulary file, applied to many pre-tokens at once.
+
+    In every round each pre-token's leftmost pair of the lowest rank becomes one
+    symbol, until no pair has a rank; pairs are looked up in a hashed table.
+    """
+
+    NEVER = 1 << 30
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        letters = _byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], np.int64)
+        self.last = np.array([vocab[c + end] for c in letters], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.size = len(vocab)
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.bits = 20
+        self.keys, self.ranks = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, self.NEVER, np.int64)
+        self.probes = 1
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            n = 0
+            while self.keys[at + n] >= 0:
+                n += 1
+            self.keys[at + n], self.ranks[at + n], self.probes = key, rank, max(self.probes, n + 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a >= 0) & (b >= 0), a * self.size + b, -2)
+        at, out = self._slot(key), np.full(key.shape, self.NEVER, np.int64)
+        for n in range(self.probes):
+            out = np.where(self.keys[at + n] == key, self.ranks[at + n], out)
+        return out
+
+    def __call__(self, parts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each pre-token, given as its UTF-8 bytes."""
+        out: list[bytes] = [b""] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        for at in range(0, len(order), 8192):
+            self._some(parts, order[at : at + 8192], out)
+        return out
+
+    def _some(self, parts: list[bytes], which: list[int], out: list[bytes]) -> None:
+        size = np.array([len(parts[i]) for i in which])
+        wide = int(size.max())
+        s = np.full((len(which), wide + 1), -1, np.int64)
+        s[np.arange(wide + 1) < size[:, None]] = self.inner[np.frombuffer(b"".join([parts[i] for i in which]), np.uint8)]
+        ends = np.frombuffer(bytes([parts[i][-1] for i in which]), np.uint8)
+        s[np.arange(len(which)), size - 1] = self.last[ends]
+        r = np.full((len(which), wide + 1), self.NEVER, np.int64)
+        r[:, :-1] = self.rank(s[:, :-1], s[:, 1:])
+        live, cols = np.arange(len(which)), np.arange(wide)
+        done = s.copy()
+        while True:
+            m = r.argmin(1)
+            best = r[np.arange(len(m)), m]
+            on = best < self.NEVER
+            if not on.all():
+                done[live[~on]] = s[~on]
+                s, r, m, best, live = s[on], r[on], m[on], best[on], live[on]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            s[row, m] = self.made[best]
+            tail = cols > m[:, None]
+            s[:, :-1] = np.where(tail, s[:, 1:], s[:, :-1])
+            r[:, :-1] = np.where(tail, r[:, 1:], r[:, :-1])
+            s[:, -1], r[:, -1] = -1, self.NEVER
+            r[row, m] = self.rank(s[row, m], s[row, np.minimum(m + 1, wide)])
+            left = m > 0
+            r[row[left], m[left] - 1] = self.rank(s[row[left], m[left] - 1], s[row[left], m[left]])
+        n = (done >= 0).sum(1)
+        flat = done[done >= 0].astype(np.uint32).tobytes()
+        ends = (4 * np.cumsum(n)).tolist()
+        for i, a, b in zip(which, [0, *ends], ends, strict=False):
+            out[i] = flat[a:b]
+
+
+def _western(text: str) -> bool:
+    """Whether all characters are below 256; such text is composed, and its lower case is character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
-    """Ids of texts by a vocabulary that drops white space and never joins over it.
+    """Ids of texts by a vocabulary that lower-cases, drops white space and never joins over it.
 
     As such a vocabulary encodes every white-space word alone, ids of words are
-    kept (at most ``CACHED``, of at most ``LONGEST`` characters); all words that
-    are new in a batch are encoded by the library in one call.
+    kept (at most ``CACHED`` of at most ``LONGEST`` characters). New words of a
+    group of texts are encoded together: those with characters below 256 are cut into
+    pre-tokens, and new ones of these merged at once; others, and long ones, by the library.
     """
 
     def __init__(self, path: str):
@@ -49,30 +152,50 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.merger = Merger(path)
+        self.part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        plain = _western(text)
+        text = text.lower() if plain else text
+        words = [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
+        return words if plain else [w.lower() if _western(w) else w for w in words]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.asarray(e.ids, np.uint32).tobytes() for w, e in zip(words, found, strict=True)}
+    def _learn(self, words: set[str]) -> list[str]:
+        """Add the ids of new words; returns those that are too long to stay."""
+        if len(self.parts) > CACHED:
+            self.parts = {}
+        odd = [w for w in words if len(w) > LONGEST or not _western(w)]
+        self.words.update((w, np.asarray(e.ids, np.uint32).tobytes()) for w, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False), strict=True))
+        cut = {w: self.part.findall(w) for w in words.difference(odd)}
+        known, new = self.parts, list({p for ps in cut.values() for p in ps}.difference(self.parts))
+        known.update(zip(new, self.merger([p.encode() for p in new]), strict=True))
+        self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
+        return [w for w in odd if len(w) > LONGEST]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for text in texts:
-            words = (_SPACE.split(text) if _ODD.search(text) else text.split()) if text else []
-            new = set(words).difference(self.known, ("",))
-            if not new:
-                yield b"".join([self.known[w] for w in words if w])
-                continue
-            if len(self.known) + len(new) > CACHED:
-                self.known = {}
-                new = set(words).difference(("",))
-            own = self._learn([*new])
-            if len(new) <= CACHED and max(map(len, new)) <= LONGEST:
-                self.known |= own
-                own = self.known
-            else:
-                own |= {w: self.known[w] for w in set(words).difference(new) if w}
-            yield b"".join([own[w] for w in words if w])
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < GROUP:
+                split.append(self._split(texts[at]))
+                size += len(texts[at] or "")
+                at += 1
+            need = set().union(*split)
+            new = need.difference(self.words)
+            if len(self.words) + len(new) > CACHED:
+                self.words, new = {}, need
+            passing = self._learn(new) if new else []
+            get = self.words.__getitem__
+            for words in split:
+                yield b"".join(map(get, words))
+            for w in passing:
+                del self.words[w]
 
 
 @lru_cache(1)
