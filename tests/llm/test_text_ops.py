@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -68,12 +69,17 @@ def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
 
 
-def tokens(text):
+@functools.lru_cache(1)
+def word_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
     t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], np.uint32)
+    return t
+
+
+def tokens(text):
+    return np.array([*word_library().encode(text or "", add_special_tokens=False).ids, 1], np.uint32)
 
 
 def test_word_encoder_equals_library():
@@ -138,6 +144,7 @@ def test_packing_empty(spark):
     assert packing.packed(docs(spark, []), WORDS).count() == 0
 
 
+@functools.lru_cache(1)
 def library():
     import tiktoken
 
