@@ -9,12 +9,12 @@ with one of the same, half or twice the block size. Likeness is by edit distance
 block size: 1 - distance / (sum of lengths). Signatures of different texts that
 share no run of ``RUN`` letters (or of the shorter one's length) have likeness 0.
 
-Documents follow each other by falling id (nulls last, ties by falling text);
+Documents follow each other by falling id (nulls last, ties by falling XXH64 of the text);
 after the last comes the first.
 
 Scale: ids are dealt to ranges by quantiles of the ids alone; each range is sorted and
 read as a stream that holds two documents, and the first document of a range is
-also sent to the range before it. Rows move once.
+also sent to the range before it. Rows move once, with their texts compressed.
 
 Defined cases: a null text is empty (one empty chunk); a single document is its
 own next; repeated rows each get a row; an empty table gives an empty result;
@@ -28,12 +28,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, MOST, RUN, FIRST = 7, 64, 5, 3
 STEP = 1 << 20
@@ -117,24 +119,42 @@ def edited(text: str, after: str) -> str:
 
 
 def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame:
-    """range (rises with id; -1: null id), doc_id, text, extra: with the first row of the next range as an extra last row."""
+    """range (rises with id; -1: null id), doc_id, tie, packed, extra: with the first row of the next range as an extra last row.
+
+    Texts move compressed, each by itself.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / range_bytes))
     bounds = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], np.float64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def place(ids: pa.Array) -> pa.Array:
+        known = ids.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(bounds, known, "right")), pa.int32())
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.float64), "right")))
+    def only_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([place(b.column(0)), b.column(0)], ["range", "doc_id"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
+        for b in batches:
+            packed = pa.array([press.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([place(b.column(0)), b.column(0), b.column(1), packed], ["range", "doc_id", "tie", "packed"])
 
-    rows = docs.select(place("doc_id").alias("range"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = rows.groupBy("range").agg(F.max("doc_id").alias("doc_id"))  # a row for each range
+    first = docs.select("doc_id").mapInArrow(only_place, f"range int, doc_id {kind}").groupBy("range").agg(F.max("doc_id").alias("doc_id"))  # a row for each range
     order = Window.orderBy("range")
-    before = first.select("doc_id", F.col("range").alias("of"), F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("range"))
+    before = cut(first.select("doc_id", "range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("to")))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
     heads = (
-        rows.withColumnRenamed("range", "of").alias("r")
-        .join(before.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.of") == F.col("b.of")))
-        .groupBy(F.col("b.range").alias("range"), F.col("r.doc_id").alias("doc_id"))
-        .agg(F.max("r.text").alias("text"))
+        docs.alias("r")
+        .join(before.select(F.col("doc_id").alias("head")), F.col("r.doc_id").eqNullSafe(F.col("head")), "left_semi")
+        .select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+        .mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
+        .groupBy("range", "doc_id")
+        .agg(F.max(F.struct("tie", "packed")).alias("top"))
+        .join(before.select("range", "to"), "range")
+        .select(F.col("to").alias("range"), "doc_id", "top.tie", "top.packed")
     )
     return rows.withColumn("extra", F.lit(False)).unionByName(heads.withColumn("extra", F.lit(True)))
 
@@ -146,19 +166,21 @@ def compared(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # range, id, text and fingerprint of a row that waits for its next
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for span, one, text, extra in zip(b["range"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist(), b["extra"].to_pylist(), strict=True):
+            for span, one, packed, extra in zip(b["range"].to_pylist(), b["doc_id"].to_pylist(), b["packed"], b["extra"].to_pylist(), strict=True):
+                text = unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
                 own = last[3] if last and last[2] == text else fingerprint(text)
                 if last and last[0] == span:
                     changed = edited(last[2], text)
                     new = fingerprint(changed)
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), last[3], new, likeness(last[3], new), likeness(last[3], own)))
+                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), last[3], new, likeness(last[3], new), likeness(last[3], own)))
                 last = None if extra else (span, one, text, own)
             cols = list(zip(*out, strict=True)) or [()] * 7
             types = [b["doc_id"].type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     rows = _ranged(docs.select("doc_id", "text"), range_bytes)
-    sorted_ = rows.repartition(F.col("range")).sortWithinPartitions("range", "extra", F.desc_nulls_last("doc_id"), F.desc("text"))
+    sorted_ = rows.repartition(F.col("range")).sortWithinPartitions("range", "extra", F.desc_nulls_last("doc_id"), F.desc("tie"))
     return sorted_.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
