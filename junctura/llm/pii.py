@@ -45,20 +45,37 @@ TITLES = "Mr Mrs Ms Dr Prof Herr Frau Señor Señora Monsieur Madame".split()
 SYLLABLES = {"latin": "bar den kel mor tal ven wick lan ros hart gil fen sto bel cor dun".split(), "cyrillic": "бар ден кел мор тал вен лан рос гил фен сто бел кор дун зар пол".split()}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-PATTERNS = [
-    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
-    r"(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
-    r"(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-    r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
-    rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
-    r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z+/_.\-]*\d)[A-Za-z0-9+/_.\-]{8,}",
-    rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? )?(?:{'|'.join(x for names in GIVEN.values() for x in names)}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
-    rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
-]
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
+
+
+def _any_of(words: list[str]) -> str:
+    """Alternatives by first letter, so that few are tried at a place."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")"
+
+
+_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?!\p{L})"
+_TITLE, _GIVEN = _any_of(TITLES) + r"\.? ", _any_of([x for names in GIVEN.values() for x in names])
+#: What an entity can start with, and the kinds that start so: elsewhere one look at a character is all it costs.
+PATTERNS = {
+    "": [r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"],
+    "[0-9+(]": [
+        r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+        r"(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
+        r"(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
+        r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
+        rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+        r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
+    ],
+    r"[A-ZÀ-ÖØ-ÞА-Я]": [
+        r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+        rf"(?<!\p{{L}})(?:{_TITLE})?{_GIVEN} {_NAME}",
+        rf"(?<!\p{{L}}){_TITLE}{_NAME}",
+    ],
+    "[pPtTsSaA]": [r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z+/_.\-]*\d)[A-Za-z0-9+/_.\-]{8,}"],
+}
+PATTERN = "|".join((f"(?={start})" if start else "") + "(?:" + "|".join(kinds) + ")" for start, kinds in PATTERNS.items())
 VALUE, LAST, FAMILY = r"([A-Za-z0-9+/_.\-]+)$", r"([\p{L}\-]+)$", "(ов|ев|ин)а$"
 
 
