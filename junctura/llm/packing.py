@@ -33,7 +33,8 @@ from ..plans.session import stored
 
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")  # white space for str.split() alone
-CACHED, LONGEST, GROUP = 400_000, 48, 1 << 20
+CACHED, LONGEST, GROUP = 600_000, 48, 2 << 20
+TAIL = ".,;:!?*#$%&|)(-\""  # letters and then a run of these are two pre-tokens
 
 
 def _byte_letters() -> list[str]:
@@ -57,35 +58,40 @@ class Merger:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = _byte_letters()
-        self.inner = np.array([vocab[c] for c in letters], np.int64)
-        self.last = np.array([vocab[c + end] for c in letters], np.int64)
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + end] for c in letters], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.size = len(vocab)
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.bits = 20
-        self.keys, self.ranks = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, self.NEVER, np.int64)
+        if self.size >= 1 << 16:
+            raise ValueError("pairs of ids must fit 32 bits")
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.uint32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.bits, self.free = 19, np.uint32(0xFFFFFFFF)  # no pair has the key ``free``
+        self.keys, self.ranks = np.full((1 << self.bits) + 64, self.free, np.uint32), np.full((1 << self.bits) + 64, self.NEVER, np.int32)
         self.probes = 1
         for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
             n = 0
-            while self.keys[at + n] >= 0:
+            while self.keys[at + n] != self.free:
                 n += 1
             self.keys[at + n], self.ranks[at + n], self.probes = key, rank, max(self.probes, n + 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = np.where((a >= 0) & (b >= 0), a * self.size + b, -2)
-        at, out = self._slot(key), np.full(key.shape, self.NEVER, np.int64)
-        for n in range(self.probes):
-            out = np.where(self.keys[at + n] == key, self.ranks[at + n], out)
+        key = a.astype(np.uint32) * np.uint32(self.size) + b.astype(np.uint32)
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.ranks[at], self.NEVER)
+        for n in range(1, self.probes):
+            at += np.uint32(1)
+            out = np.where(self.keys[at] == key, self.ranks[at], out)
+        out[(a < 0) | (b < 0)] = self.NEVER
         return out
 
     def __call__(self, parts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each pre-token, given as its UTF-8 bytes."""
         out: list[bytes] = [b""] * len(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        order = np.argsort(np.fromiter(map(len, parts), np.int32, len(parts)), kind="stable").tolist()
         for at in range(0, len(order), 8192):
             self._some(parts, order[at : at + 8192], out)
         return out
@@ -93,11 +99,11 @@ class Merger:
     def _some(self, parts: list[bytes], which: list[int], out: list[bytes]) -> None:
         size = np.array([len(parts[i]) for i in which])
         wide = int(size.max())
-        s = np.full((len(which), wide + 1), -1, np.int64)
+        s = np.full((len(which), wide + 1), -1, np.int32)
         s[np.arange(wide + 1) < size[:, None]] = self.inner[np.frombuffer(b"".join([parts[i] for i in which]), np.uint8)]
         ends = np.frombuffer(bytes([parts[i][-1] for i in which]), np.uint8)
         s[np.arange(len(which)), size - 1] = self.last[ends]
-        r = np.full((len(which), wide + 1), self.NEVER, np.int64)
+        r = np.full((len(which), wide + 1), self.NEVER, np.int32)
         r[:, :-1] = self.rank(s[:, :-1], s[:, 1:])
         live, cols = np.arange(len(which)), np.arange(wide)
         done = s.copy()
@@ -171,10 +177,16 @@ class WordEncoder:
             self.parts = {}
         odd = [w for w in words if len(w) > LONGEST or not _western(w)]
         self.words.update((w, np.asarray(e.ids, np.uint32).tobytes()) for w, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        cut = {w: self.part.findall(w) for w in words.difference(odd)}
-        known, new = self.parts, list({p for ps in cut.values() for p in ps}.difference(self.parts))
+        known, cut, need = self.parts, [], set()
+        for w in words.difference(odd):
+            core = w.rstrip(TAIL)
+            ps = self.part.findall(w) if not core.isalpha() else (w,) if core == w else (core, w[len(core) :])
+            cut.append((w, ps))
+            need.update(ps)
+        new = list(need.difference(known))
         known.update(zip(new, self.merger([p.encode() for p in new]), strict=True))
-        self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
+        for w, ps in cut:
+            self.words[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join([known[p] for p in ps])
         return [w for w in odd if len(w) > LONGEST]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
