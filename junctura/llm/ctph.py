@@ -39,6 +39,7 @@ from ..plans.session import cut
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, MOST, RUN, FIRST = 7, 64, 5, 3
 STEP = 1 << 20
+FEW = 100_000  # ranges whose first ids are broadcast; more are joined by shuffle
 
 
 def _triggers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +147,10 @@ def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame:
     order = Window.orderBy("range")
     before = cut(first.select("doc_id", "range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("to")))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
+    head = before.select(F.col("doc_id").alias("head"))
     heads = (
         docs.alias("r")
-        .join(before.select(F.col("doc_id").alias("head")), F.col("r.doc_id").eqNullSafe(F.col("head")), "left_semi")
+        .join(F.broadcast(head) if n <= FEW else head, F.col("r.doc_id").eqNullSafe(F.col("head")), "left_semi")
         .select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
         .mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
         .groupBy("range", "doc_id")
