@@ -327,7 +327,7 @@ def _(spark, d):
 # --- recurrence and comparison -----------------------------------------------
 
 KEYED = ORIENT + ", kd AS (SELECT fu.contig*10000+no1*100+no2 AS event_id, CASE WHEN topology='interchr' THEN 'fusion' ELSE 'local' END AS event_type, l.lib, list_sort(list_distinct(list_concat(genes_a,genes_b))) AS gene_key FROM fu JOIN lib l ON l.contig=fu.contig) "
-MERGED = ", ky AS (SELECT DISTINCT event_type, gene_key FROM kd), mk AS (SELECT a.event_type, a.gene_key, arg_min(b.gene_key, lpad(CAST(100-len(b.gene_key) AS VARCHAR),3,'0')||list_aggregate(b.gene_key,'string_agg',',')) AS key FROM ky a JOIN ky b ON a.event_type=b.event_type AND list_has_all(b.gene_key,a.gene_key) GROUP BY ALL) "
+MERGED = ", ky AS (SELECT DISTINCT event_type, gene_key FROM kd), mk AS (SELECT a.event_type, a.gene_key, arg_min(b.gene_key, lpad(CAST(100-len(b.gene_key) AS VARCHAR),3,'0')||list_aggregate(b.gene_key,'string_agg',',')) AS key FROM ky a JOIN (SELECT *, unnest(gene_key) AS g FROM ky) b ON a.event_type=b.event_type AND b.g=a.gene_key[1] AND list_has_all(b.gene_key,a.gene_key) GROUP BY ALL) "
 
 
 def keyed(spark, d):
