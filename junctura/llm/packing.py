@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import zlib
@@ -161,7 +162,6 @@ class WordEncoder:
         self.merger = Merger(path)
         self.part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _split(self, text: str | None) -> list[str]:
         if not text:
@@ -172,21 +172,28 @@ class WordEncoder:
         return words if plain else [w.lower() if _western(w) else w for w in words]
 
     def _learn(self, words: set[str]) -> list[str]:
-        """Add the ids of new words; returns those that are too long to stay."""
-        if len(self.parts) > CACHED:
-            self.parts = {}
-        odd = [w for w in words if len(w) > LONGEST or not _western(w)]
-        self.words.update((w, np.asarray(e.ids, np.uint32).tobytes()) for w, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        known, cut, need = self.parts, [], set()
-        for w in words.difference(odd):
-            core = w.rstrip(TAIL)
-            ps = self.part.findall(w) if not core.isalpha() else (w,) if core == w else (core, w[len(core) :])
-            cut.append((w, ps))
-            need.update(ps)
-        new = list(need.difference(known))
+        """Add the ids of new words and of their pre-tokens; returns the words that are too long to stay."""
+        known = self.words
+        odd = [w for w in words if len(w) > LONGEST or not w.isascii() and not _western(w)]
+        if odd:
+            found = self.model.encode_batch_fast(odd, add_special_tokens=False)
+            known.update((w, np.asarray(e.ids, np.uint32).tobytes()) for w, e in zip(odd, found, strict=True))
+            words = words.difference(odd)
+        parts = {w for w in words if w.isalpha()}
+        rest = [w for w in words if not w.isalpha()]
+        cores = [w.rstrip(TAIL) for w in rest]
+        cut = {}
+        for w, core in zip(rest, cores, strict=True):
+            if core.isalpha():
+                parts.add(core)
+                parts.add(w[len(core) :])
+            else:
+                cut[w] = self.part.findall(w)
+                parts.update(cut[w])
+        new = list(parts.difference(known))
         known.update(zip(new, self.merger([p.encode() for p in new]), strict=True))
-        for w, ps in cut:
-            self.words[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join([known[p] for p in ps])
+        for w, core in zip(rest, cores, strict=True):
+            known[w] = b"".join([known[p] for p in cut[w]]) if w in cut else known[core] + known[w[len(core) :]]
         return [w for w in odd if len(w) > LONGEST]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -202,7 +209,9 @@ class WordEncoder:
             new = need.difference(self.words)
             if len(self.words) + len(new) > CACHED:
                 self.words, new = {}, need
+            gc.disable()  # else every few hundred new words are a reason to look through all that are known
             passing = self._learn(new) if new else []
+            gc.enable()
             get = self.words.__getitem__
             for words in split:
                 yield b"".join(map(get, words))
