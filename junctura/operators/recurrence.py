@@ -16,13 +16,14 @@ def gene_keys(events: DataFrame) -> DataFrame:
 def merged_keys(keyed: DataFrame) -> DataFrame:
     """Keys of a type with the largest key of that type that contains each (of several, the first by text).
 
-    Keys meet over a shared gene, so no two keys without one are compared.
+    A key is looked up by its first two genes (its one gene), which a container
+    must hold too; so keys meet over a pair of genes, not over one that is in many.
     """
     keys = cut(keyed.select("event_type", "gene_key").distinct())
-    by_gene = keys.withColumn("g", F.explode("gene_key"))
-    # A key is looked up by its first gene alone: a container must hold that one too.
-    probe = keys.withColumn("g", F.element_at("gene_key", 1))
-    big = by_gene.select("event_type", "g", F.col("gene_key").alias("big"))
+    pairs = F.flatten(F.transform("gene_key", lambda a, i: F.transform(F.slice("gene_key", i + 2, F.size("gene_key")), lambda b: F.concat(a, F.lit("\x01"), b))))
+    by_gene = keys.select("event_type", F.col("gene_key").alias("big"), F.explode(F.concat("gene_key", pairs)).alias("g"))
+    probe = keys.withColumn("g", F.array_join(F.slice("gene_key", 1, 2), "\x01"))
+    big = by_gene
     inside = probe.join(big, ["event_type", "g"]).where((F.size(F.array_except("gene_key", "big")) == 0) & (F.size("big") >= F.size("gene_key")))
     best = inside.groupBy("event_type", "gene_key").agg(F.min_by("big", F.struct(-F.size("big"), F.array_join("big", ","))).alias("key"))
     return best
