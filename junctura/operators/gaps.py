@@ -48,7 +48,7 @@ def _best_run(gap: Column, other: Column, shift: Column) -> Column:
         at = i + shift
         hit = (at >= 1) & (at <= F.length(other)) & (F.substring(gap, i, F.lit(1)) == F.substring(other, at, F.lit(1)))
         now = a["now"] + F.when(hit, 1).otherwise(-1)
-        fresh = now < 0
+        fresh = now <= 0
         now, since = F.when(fresh, 0).otherwise(now), F.when(fresh, i + 1).otherwise(a["from"])
         better = now > a["best"]
         pick = lambda x, f: F.when(better, x).otherwise(a[f])
