@@ -143,3 +143,29 @@ def relative_coverage(coverage: DataFrame, reads_on_contig: DataFrame, member: l
             v = F.col(f"{x}_{name}")
             wide = wide.withColumn(f"C_{x}_{name}", F.when(v > 0, F.col("C") / v).otherwise(999999.0))
     return wide
+
+
+def exonic_fragment_length(blocks, left, right, mate_left, mate_right):
+    """struct(length, intronic): bases between the outer ends of two mates that lie on ``blocks``; intronic where a mate's own bases partly don't."""
+    lo, hi = F.least(left, mate_left), F.greatest(right, mate_right)
+    on = lambda s, e: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.greatest(F.lit(0), F.least(e, b["e"]) - F.greatest(s, b["s"]) + 1))
+    off = (on(left, right) < right - left + 1) | (on(mate_left, mate_right) < mate_right - mate_left + 1)
+    return F.struct(on(lo, hi).alias("length"), off.alias("intronic"))
+
+
+def gap_pair_rule(topology, length, orientation, beyond_left, beyond_right, fragment: int = 200, fract: float = 0.1):
+    """Whether a pair supports a gapped event: short fragments span a duplication, long or turned-about ones a distant
+    copy, mates of one strand an inversion (for an inner one, if they reach beyond the region on their side)."""
+    short, long_ = F.abs(length) <= (1 - fract) * fragment, F.abs(length) > (1 + fract) * fragment
+    return (
+        F.when(topology == "gap-tandem-duplication", short)
+        .when(topology == "gap-nontandem-duplication", short | long_ | (orientation == "RF"))
+        .when(topology.contains("inverted_duplication"), short | orientation.isin("FF", "RR"))
+        .when(topology == "gap-internal_inversion", ((orientation == "RR") & beyond_right) | ((orientation == "FF") & beyond_left))
+        .otherwise(False)
+    )
+
+
+def coverage_regions(split: DataFrame, read_length: int = 75) -> DataFrame:
+    """region1 and region2: two read lengths (and the contig overlap) of each side back from its breakpoint."""
+    return pair_regions(split, fragment=int(2 * read_length / 1.25))

@@ -428,3 +428,39 @@ def _(spark, d):
     j = junctions(spark, d).join(r, "contig")
     a = (F.col("rs"), F.col("re"), F.col("coord_a"), F.col("coord_b"))
     return j.select(*SKEY, "read_id", P.support_type("fusion", *a).alias("fusion"), P.support_type("itd", *a).alias("itd"))
+
+
+@query(
+    "g16_exonic_fragment_length", "reads",
+    """SELECT a.read_id//2 AS pair_id, GREATEST(0,LEAST(GREATEST(a.rright,b.rright),120)-LEAST(a.rleft,b.rleft)+1)+GREATEST(0,GREATEST(a.rright,b.rright)-GREATEST(LEAST(a.rleft,b.rleft),161)+1) AS length,
+     (a.rright>=121 AND a.rleft<=160) OR (b.rright>=121 AND b.rleft<=160) AS intronic FROM reads a JOIN reads b ON a.read_id%2=0 AND b.read_id=a.read_id+1""",
+)
+def _(spark, d):
+    from ..operators.support import exonic_fragment_length
+
+    blocks = F.expr("array(struct(cast(1 as bigint) AS s, cast(120 as bigint) AS e), struct(cast(161 as bigint) AS s, cast(5000 as bigint) AS e))")
+    m = P.mate_join(mates(spark, d))
+    return m.withColumn("x", exonic_fragment_length(blocks, *map(F.col, ("left1", "right1", "left2", "right2")))).select("pair_id", "x.length", "x.intronic")
+
+
+@query(
+    "g17_gap_pair_rule", "reads",
+    """SELECT pair_id, topology, CASE topology WHEN 'gap-tandem-duplication' THEN n<=180 WHEN 'gap-nontandem-duplication' THEN n<=180 OR n>220 OR o='RF' WHEN 'gap-tandem-inverted_duplication' THEN n<=180 OR o IN ('FF','RR')
+     ELSE (o='RR' AND r>200) OR (o='FF' AND l<60) END AS counted FROM (SELECT a.read_id//2 AS pair_id, GREATEST(a.rright,b.rright)-LEAST(a.rleft,b.rleft)+1 AS n, LEAST(a.rleft,b.rleft) AS l, GREATEST(a.rright,b.rright) AS r,
+      CASE a.read_id//2%4 WHEN 0 THEN 'FF' WHEN 1 THEN 'RR' WHEN 2 THEN 'FR' ELSE 'RF' END AS o FROM reads a JOIN reads b ON a.read_id%2=0 AND b.read_id=a.read_id+1) x,
+     (SELECT unnest(['gap-tandem-duplication','gap-nontandem-duplication','gap-tandem-inverted_duplication','gap-internal_inversion']) AS topology) t""",
+)
+def _(spark, d):
+    from ..operators.support import gap_pair_rule
+
+    lo, hi = F.least("left1", "left2"), F.greatest("right1", "right2")
+    m = P.mate_join(mates(spark, d)).withColumn("o", F.expr("element_at(array('FF','RR','FR','RF'), cast(pair_id%4+1 as int))"))
+    m = m.withColumn("topology", F.explode(F.array(*map(F.lit, ("gap-tandem-duplication", "gap-nontandem-duplication", "gap-tandem-inverted_duplication", "gap-internal_inversion")))))
+    return m.select("pair_id", "topology", gap_pair_rule(F.col("topology"), hi - lo + 1, F.col("o"), lo < 60, hi > 200).alias("counted"))
+
+
+@query("g19_coverage_regions", "split", P2G.replace("250+GREATEST", "150+GREATEST") + "SELECT contig, no1, no2, s1, e1, s2, e2 FROM pr")
+def _(spark, d):
+    from ..operators.support import coverage_regions
+
+    return coverage_regions(split(spark, d)).select(*SKEY, F.col("region1.s").alias("s1"), F.col("region1.e").alias("e1"), F.col("region2.s").alias("s2"), F.col("region2.e").alias("e2"))
