@@ -31,6 +31,7 @@ def merged_keys(keyed: DataFrame) -> DataFrame:
 
 def recurrence(keyed: DataFrame) -> DataFrame:
     """event_type, key, libraries (sorted), n_libraries, n_events, recurrent (over one library)."""
+    keyed = cut(keyed.select("event_type", "gene_key", "lib"))  # read twice below
     m = keyed.join(merged_keys(keyed), ["event_type", "gene_key"])
     g = m.groupBy("event_type", "key").agg(F.array_sort(F.collect_set("lib")).alias("libraries"), F.count(F.lit(1)).alias("n_events"))
     return g.withColumn("n_libraries", F.size("libraries")).withColumn("recurrent", F.size("libraries") > 1)
@@ -38,6 +39,7 @@ def recurrence(keyed: DataFrame) -> DataFrame:
 
 def split_recurrent(keyed: DataFrame) -> DataFrame:
     """Events with recurrent."""
+    keyed = cut(keyed)
     r = recurrence(keyed).select("event_type", "key", "recurrent")
     return keyed.join(merged_keys(keyed), ["event_type", "gene_key"]).join(r, ["event_type", "key"])
 
