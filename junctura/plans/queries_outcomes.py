@@ -260,9 +260,18 @@ def _(spark, d):
 
 
 def contigs(spark, d):
-    """300-base contigs with two aligned blocks; before, between and after them are gaps."""
-    s = fixtures.view(spark, d, fixtures.SEQS).where("length(seq)>=300")
-    s = s.selectExpr("seq_id", "substr(seq,1,300) AS seq", "array(struct(cast(1+seq_id%3*5 as bigint) AS s, cast(120 as bigint) AS e), struct(cast(121+seq_id%40 as bigint) AS s, cast(290+seq_id%11 as bigint) AS e)) AS blocks")
+    return contigs_of(fixtures.view(spark, d, fixtures.SEQS))
+
+
+def contigs_of(seqs: DataFrame, size: int = 300) -> DataFrame:
+    """All of each text as consecutive contigs of ``size`` bases, the last one shorter: seq_id, contig_no from 0, seq, blocks.
+
+    Two aligned blocks a contig, clipped to it; before, between and after them are gaps. What is shorter than its first block's
+    start has no block, and is one gap.
+    """
+    s = seqs.select("seq_id", F.posexplode(F.expr(f"regexp_extract_all(seq, '.{{1,{size}}}', 0)")).alias("contig_no", "seq"))
+    blocks = "array(struct(cast(1+seq_id%3*5 as bigint) AS s, cast(least(120, length(seq)) as bigint) AS e), struct(cast(121+seq_id%40 as bigint) AS s, cast(least(290+seq_id%11, length(seq)) as bigint) AS e))"
+    s = s.selectExpr("seq_id", "cast(contig_no as bigint) AS contig_no", "seq", f"filter({blocks}, b -> b.s <= b.e) AS blocks")
     # A third of the contigs get the bases before the inner gap once more in it, a third their reverse complement.
     w = F.expr("cast(seq_id%40 as int)")
     copy = F.substring("seq", 121 - w, w)
@@ -270,6 +279,7 @@ def contigs(spark, d):
 
     turned = reverse_complement(F.expr("substr(seq, 121 - cast(seq_id%40 as int), cast(seq_id%40 as int))"))
     put = F.when(F.expr("seq_id%3=0"), copy).when(F.expr("seq_id%3=1"), turned).otherwise(F.expr("substr(seq,121,cast(seq_id%40 as int))"))
+    put = F.substring(put, F.lit(1), F.greatest(F.lit(0), F.length("seq") - 120))
     return s.withColumn("seq", F.concat(F.expr("substr(seq,1,120)"), put, F.expr("substr(seq, 121+cast(seq_id%40 as int))")))
 
 
@@ -282,14 +292,14 @@ PLAIN = "SELECT seq_id, substr(seq,1,300) AS seq FROM seqs WHERE length(seq)>=30
     WHERE gap_e-gap_s+1>=4 AND NOT (edge AND (length(replace(substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)),'A',''))=0 OR length(replace(substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)),'T',''))=0))""",
 )
 def _(spark, d):
-    return gaps(spark, d).select("seq_id", "gap_s", "gap_e")
+    return gaps(spark, d).select(*GKEY)
 
 
 def gaps(spark, d):
     return D.explode_gaps(contigs(spark, d))
 
 
-GKEY = ["seq_id", "gap_s", "gap_e"]
+GKEY = ["seq_id", "contig_no", "gap_s", "gap_e"]
 
 
 @query("c16_gap_duplication")
@@ -320,7 +330,7 @@ def _(spark, d):
 
 @query("c21_gap_event_columns")
 def _(spark, d):
-    j = dups(spark, d).join(contigs(spark, d).select("seq_id", "seq"), "seq_id")
+    j = dups(spark, d).join(contigs(spark, d).select("seq_id", "contig_no", "seq"), ["seq_id", "contig_no"])
     return D.gap_event_columns(j).select(*GKEY, "event_s", "event_e", "event_seq", "dup_seq", "ins_seq")
 
 
