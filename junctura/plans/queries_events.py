@@ -158,11 +158,11 @@ THEIRS = ", ours AS (SELECT * FROM junction WHERE contig%2=0 AND topology<>'inte
 
 
 def ours(spark, d):
-    return junctions(spark, d).where("contig%2=0 AND topology<>'interchr'").withColumn("id", F.concat_ws(":", "contig", "no1", "no2"))
+    return junctions(spark, d).where("contig%2=0").withColumn("id", F.concat_ws(":", "contig", "no1", "no2"))
 
 
 def theirs(spark, d):
-    j = junctions(spark, d).where("contig%2=1 AND topology<>'interchr'").withColumn("id2", F.concat_ws(":", "contig", "no1", "no2"))
+    j = junctions(spark, d).where("contig%2=1").withColumn("id2", F.concat_ws(":", "contig", "no1", "no2"))
     return j.withColumn("coord_a", F.expr("coord_a+contig%7")).withColumn("coord_b", F.expr("coord_b-contig%5"))
 
 
@@ -395,8 +395,9 @@ COVER = BP_SQL + """, mem AS (SELECT contig, no1, no2, chrom_a, coord_a, dir_a,
 
 
 def coverage(spark, d):
-    j = junctions(spark, d).where("topology IN ('read-through','local-inversion')")
-    side = lambda x: j.select(*SKEY, F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x}-59 ELSE coord_{x} END").alias("s"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x} ELSE coord_{x}+59 END").alias("e"), F.lit("itd").alias("event_type"), F.col("coord_a").alias("bp1"), F.col("coord_b").alias("bp2"))
+    """Coverage of all junctions; a fusion's breakpoint on another chromosome than the region is none that its reads can hold."""
+    j = junctions(spark, d).withColumn("event_type", F.expr("CASE WHEN topology IN ('interchr','intrachr-same-strand','intrachr-opp-strand') THEN 'fusion' ELSE 'itd' END"))
+    side = lambda x: j.select(*SKEY, F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x}-59 ELSE coord_{x} END").alias("s"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x} ELSE coord_{x}+59 END").alias("e"), "event_type", *[F.expr(f"CASE WHEN chrom_{y}=chrom_{x} THEN coord_{y} END").alias(f"bp{k}") for k, y in ((1, "a"), (2, "b"))])
     reads = fixtures.view(spark, d, fixtures.READS).select(F.expr("contig%4+1").alias("chrom"), F.expr("contig*60+rleft").alias("fs"), F.expr("contig*60+rright").alias("fe"))
     return P.base_coverage(side("a").unionByName(side("b")), reads, [*SKEY, "region"])
 

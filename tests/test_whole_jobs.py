@@ -8,6 +8,8 @@ import pytest
 
 from junctura.operators import gaps as D
 from junctura.plans import catalog
+from junctura.plans import fixtures
+from junctura.plans import queries_events as V
 from junctura.plans import queries_outcomes as Q
 
 from .compare import connect, norm
@@ -52,3 +54,61 @@ def test_first_contigs_have_the_gaps_of_the_sql(spark, small, con):
     first = sorted((tuple(r[c] for c in ("seq_id", "gap_s", "gap_e")) for r in g.where("contig_no=0").collect() if r.seq_id in long), key=repr)
     assert first == sql_rows(con, "c15_explode_gaps", "seq_id", "gap_s", "gap_e")
     assert g.where("contig_no>0").count() > len(first)
+
+
+def test_coverage_of_all_topologies(spark, small, con):
+    keys = ["contig", "no1", "no2"]
+    j = V.junctions(spark, small).cache()
+    fusions = ("interchr", "intrachr-same-strand", "intrachr-opp-strand")
+    reads = [(r.contig % 4 + 1, r.contig * 60 + r.rleft, r.contig * 60 + r.rright) for r in fixtures.view(spark, small, fixtures.READS).collect()]
+    over = lambda x: any(c == x[f"chrom_{s}"] and a - 60 < x[f"coord_{s}"] < b + 60 for s in "ab" for c, a, b in reads)
+    events = j.orderBy("topology", *keys).collect()
+    chosen = []
+    for t in {x.topology for x in events}:
+        chosen += [x for x in events if x.topology == t and over(x)][:4]
+    want = {}
+    for x in chosen:
+        for s in "ab":
+            at = range(x[f"coord_{s}"] - 59, x[f"coord_{s}"] + 1) if x[f"dir_{s}"] == "up" else range(x[f"coord_{s}"], x[f"coord_{s}"] + 60)
+            lo, hi = sorted((x.coord_a, x.coord_b))
+            for p in at:
+                n = {"DW": 0, "T1": 0, "T2": 0}
+                for c, a, b in reads:
+                    if c == x[f"chrom_{s}"] and a + 5 <= p <= b - 5:
+                        if x.topology in fusions:
+                            n["DW" if any(x[f"chrom_{y}"] == c and a < x[f"coord_{y}"] < b for y in "ab") else "T1"] += 1
+                        else:
+                            n["DW" if a < lo and b > hi else "T2" if lo < a and hi > b else "T1"] += 1
+                want[(x.contig, x.no1, x.no2, s.upper(), p)] = tuple(n.values())
+    assert {x.topology for x in chosen} & set(fusions) and any(sum(v) for v in want.values())
+    ids = spark.createDataFrame([(x.contig, x.no1, x.no2) for x in chosen], "contig long, no1 int, no2 int")
+    g = catalog.QUERIES["g21_base_coverage"](spark, small)
+    got = {(r.contig, r.no1, r.no2, r.region, r.pos): (r.DW, r.T1, r.T2) for r in g.join(ids, keys, "left_semi").collect()}
+    assert got == want
+    covered = j.where("topology IN ('read-through','local-inversion')").select(*keys)
+    for name in ("g21_base_coverage", "g22_relative_coverage"):
+        q = catalog.QUERIES[name](spark, small)
+        assert rows(q.join(covered, keys, "left_semi"), *sorted(q.columns)) == sql_rows(con, name, *sorted(q.columns))
+    assert catalog.QUERIES["g22_relative_coverage"](spark, small).count() == len(events)
+
+
+def test_callers_meet_on_two_chromosomes_too(spark, small, con):
+    e = [(f"{r.contig}:{r.no1}:{r.no2}", r) for r in V.junctions(spark, small).collect()]
+    cells = {}
+    for i, r in e:
+        if r.contig % 2:
+            cells.setdefault((r.chrom_a, r.chrom_b), []).append((i, r.coord_a + r.contig % 7, r.coord_b - r.contig % 5))
+    want = []
+    for i, r in e:
+        if r.contig % 2 == 0:
+            for k, a, b in cells.get((r.chrom_a, r.chrom_b), []):
+                if (far := max(abs(r.coord_a - a), abs(r.coord_b - b))) <= 1000:
+                    want.append((i, k, far))
+    got = rows(catalog.QUERIES["j13_location_match"](spark, small), "id", "id2", "distance")
+    assert got == sorted(want, key=repr)
+    inter = {i for i, r in e if r.topology == "interchr"}
+    assert any(g[0] in inter for g in got)
+    assert [g for g in got if g[0] not in inter] == sql_rows(con, "j13_location_match", "id", "id2", "distance")
+    reports = rows(catalog.QUERIES["j15_reports"](spark, small), "id", "report")
+    assert reports == sorted(((i, "common" if i in {g[0] for g in got} else "ours") for i, r in e if r.contig % 2 == 0), key=repr)
+    assert [x for x in reports if x[0] not in inter] == sql_rows(con, "j15_reports", "id", "report")
