@@ -36,6 +36,8 @@ HIDDEN = frozenset("area base head link meta title script style template noscrip
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table caption tbody tfoot thead tr td th ul xmp".split()
 )
+RUN = "#run"  # a block that is no element of the page
+BLOCK |= {RUN}
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir xmp".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup caption tbody tfoot thead tr td th legend".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -314,6 +316,55 @@ class _Renderer:
             out.mark = ""
         del out.indents[width:]
 
+    def cells(self, row: Node, loose: Node) -> list[Node]:
+        """The cells of a row, also those within other elements; each run of what is in no cell is a block of ``loose``."""
+        out, todo, holds = [], [iter(row.children)], self.holding(row)
+        style, run = self.style(row) if row.attributes or self.rules else "", None
+        while todo:
+            child = next(todo[-1], None)
+            if child is None:
+                todo.pop()
+                run = None
+                continue
+            if isinstance(child, Node):
+                said = self.style(child) if child.attributes or self.rules else ""
+                if self.gone(child, said):
+                    continue
+                if child.tag in CELL - {"caption"}:
+                    out.append(child)
+                    run = None
+                    continue
+                if id(child) in holds and child.tag != "details" and not UNSEEN.search(said):
+                    todo.append(iter(child.children))
+                    run = None
+                    continue
+            elif run is None and child.isspace():
+                continue
+            if run is None:
+                run = Node(RUN, {"style": style} if UNSEEN.search(style) else {})
+                loose.children.append(run)
+            run.children.append(child)
+        return out
+
+    @staticmethod
+    def holding(row: Node) -> set[int]:
+        """Elements between a row and cells of it that are not its children."""
+        out, above, todo = set(), {}, [row]
+        while todo:
+            node = todo.pop()
+            for c in node.children:
+                if isinstance(c, str) or c.tag == "table":
+                    continue
+                if c.tag in ("td", "th"):
+                    at = node
+                    while at is not row and id(at) not in out:
+                        out.add(id(at))
+                        at = above[id(at)]
+                else:
+                    above[id(c)] = node
+                    todo.append(c)
+        return out
+
     def table(self, table: Node, deep: int) -> list[str]:
         captions, rows = [], []
         todo = [iter(table.children)]
@@ -330,7 +381,7 @@ class _Renderer:
             elif child.tag in ("thead", "tbody", "tfoot"):
                 todo.append(iter(child.children))
             elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not self.gone(c, self.style(c))])
+                rows.append(self.cells(child, loose))
             elif child.tag == "caption":
                 captions += self.page(child, deep + 1)
             elif child.tag in ("td", "th"):

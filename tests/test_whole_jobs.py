@@ -112,3 +112,31 @@ def test_callers_meet_on_two_chromosomes_too(spark, small, con):
     reports = rows(catalog.QUERIES["j15_reports"](spark, small), "id", "report")
     assert reports == sorted(((i, "common" if i in {g[0] for g in got} else "ours") for i, r in e if r.contig % 2 == 0), key=repr)
     assert [x for x in reports if x[0] not in inter] == sql_rows(con, "j15_reports", "id", "report")
+
+
+@pytest.mark.parametrize(
+    ("row", "words"),
+    [
+        ("<form><td>a</td><td>b</td></form>", ["a  b"]),
+        ("<center><td>a</td><td>b</td></center>", ["a  b"]),
+        ("<form><center>x<td>a</td>y <b>u</b> <i>v</i></center><td>b</td></form>", ["x", "y u v", "a  b"]),
+        ("text<td>a</td>more", ["text", "more", "a"]),
+        ("<div>text</div>", ["text"]),
+        ("<div>one</div><div>two</div><td>a</td>", ["one", "two", "a"]),
+        ("<details><summary>s</summary><td>gone</td></details><td>a</td>", ["s", "a"]),
+        ("<form style='display:none'><td>gone</td></form><td>a</td>", ["a"]),
+        ("<form style='visibility:hidden'>gone<td>gone</td></form><td>a</td>", ["a"]),
+        ("<form><table><tr><td>inner</td></tr></table></form><td>a</td>", ["inner", "a"]),
+    ],
+)
+def test_rows_keep_what_is_in_no_cell(row, words):
+    from junctura.llm.htmltext import render
+
+    got = [s for s in render(f"<style>div{{color:red}}</style><table><tr>{row}</tr></table>").split("\n") if s]
+    assert got == words
+
+
+def test_deep_rows_take_linear_time():
+    from junctura.llm.htmltext import render
+
+    assert render("<table><tr>" + "<form>" * 20_000 + "<td>a").strip() == "a"
