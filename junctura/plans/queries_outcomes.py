@@ -12,6 +12,7 @@ from ..operators import gaps as D
 from ..operators import intervals as I
 from ..operators import predict as E
 from ..operators import recurrence as R
+from ..operators.grouping import group_events
 from . import fixtures
 from .queries_candidates import BP_SQL, aln, junctions, split
 from .queries_events import MGENE, MKEY, POINTS, feat, member_gene, ours, theirs
@@ -368,6 +369,20 @@ def calls(spark, d):
     return X.caller_quality(split(spark, d).selectExpr(*_columns(CALLS[len("SELECT ") : -len(" FROM split")])))
 
 
+CALL_ID = "contig*10000+no1*100+no2"
+
+
+def compared_calls(spark, d):
+    """The other caller's calls, each with a gene a side, by quality and by matches with our events."""
+    sides = E.side_genes(member_gene(spark, d), PKEY)
+    genes = sides.select(F.expr(CALL_ID).alias("call_id"), F.get("genes_a", F.lit(0)).alias("gene1"), F.get("genes_b", F.lit(0)).alias("gene2"))
+    other = calls(spark, d).select("call_id", "quality").join(theirs(spark, d).select("id2", F.expr(CALL_ID).alias("call_id")), "call_id").join(genes, "call_id", "left")
+    # Equal gene sets, and equal pairs of genes, are compared once.
+    sets = sides.where("contig%2=0").select("genes_a", "genes_b").distinct().withColumn("id", F.to_json(F.struct("genes_a", "genes_b")))
+    pairs = other.where("gene1 IS NOT NULL AND gene2 IS NOT NULL").select("gene1", "gene2").distinct().withColumn("id2", F.struct("gene1", "gene2"))
+    return X.matched_calls(other, I.location_match(ours(spark, d), theirs(spark, d), 1000), X.gene_partner_match(sets, pairs).select("id2.*"))
+
+
 @query("g28_caller_quality", "split", f"SELECT call_id, CAST({LADDER} AS INT) AS quality FROM ({CALLS}) x")
 def _(spark, d):
     return calls(spark, d).select("call_id", "quality")
@@ -375,13 +390,18 @@ def _(spark, d):
 
 @query("g26_comparison_counts", "split", f"SELECT CAST(q AS INT) AS q, count(*) AS total, count(*) FILTER (located) AS lcom, count(*) FILTER (gened) AS gcom, count(*) FILTER (located AND gened) AS bcom FROM (SELECT *, {LADDER} AS quality FROM ({CALLS}) x) y, (SELECT unnest([0,1,2,3,4,5]) AS q) z WHERE quality>=q GROUP BY q")
 def _(spark, d):
-    return X.comparison_counts(calls(spark, d))
+    return X.comparison_counts(compared_calls(spark, d))
 
 
 @query("g27_breakpoint_clusters", "split", """, cl AS (SELECT contig*10000+no1*100+no2 AS node, CAST(floor(contig/5.0) AS BIGINT) AS group_key, no1%3=0 AS multi FROM split) SELECT node, row_number() OVER (PARTITION BY group_key ORDER BY CAST(multi AS INT), node)=1 AS "primary" FROM cl""")
 def _(spark, d):
-    s = split(spark, d).selectExpr("contig*10000+no1*100+no2 AS node", "CAST(floor(contig/5.0) AS BIGINT) AS group_key", "no1%3=0 AS multi")
-    return X.primary_of_cluster(s).select("node", "primary")
+    return clusters(ours(spark, d), theirs(spark, d)).select("node", "group_key", "primary")
+
+
+def clusters(ours: DataFrame, theirs: DataFrame, buffer: int = 50) -> DataFrame:
+    """Breakpoint pairs of both callers in clusters of pairs at most ``buffer`` apart, with the primary one of each."""
+    both = ours.drop("id").unionByName(theirs.drop("id2")).withColumn("node", F.expr(CALL_ID)).withColumn("multi", F.expr("no1%3=0"))
+    return X.primary_of_cluster(group_events(both, read_length=buffer))
 
 
 @query(

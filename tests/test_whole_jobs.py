@@ -140,3 +140,21 @@ def test_deep_rows_take_linear_time():
     from junctura.llm.htmltext import render
 
     assert render("<table><tr>" + "<form>" * 20_000 + "<td>a").strip() == "a"
+
+
+def test_clusters_hold_near_breakpoints_of_both_callers(spark):
+    schema = "contig long, no1 int, no2 int, chrom_a long, coord_a long, dir_a string, chrom_b long, coord_b long, dir_b string"
+    ours = spark.createDataFrame([(2, 3, 4, 1, 1000, "up", 2, 5000, "down"), (4, 1, 2, 1, 9000, "up", 2, 5000, "down")], schema)
+    theirs = spark.createDataFrame([(3, 1, 2, 1, 1050, "up", 2, 4950, "down"), (5, 1, 2, 1, 9051, "up", 2, 5000, "down")], schema)
+    got = {r.node: (r.group_key, r.primary) for r in Q.clusters(ours, theirs).collect()}
+    assert got == {20304: (20304, False), 30102: (20304, True), 40102: (40102, True), 50102: (50102, True)}
+
+
+def test_comparison_counts_come_of_matches(spark):
+    from junctura.operators import compare as X
+
+    calls = spark.createDataFrame([("a", 5, "g", "h"), ("b", 1, "h", "g"), ("c", 1, "g", "k"), ("d", 0, None, "k")], "id2 string, quality int, gene1 string, gene2 string")
+    located = spark.createDataFrame([("x", "a"), ("y", "a"), ("x", "d")], "id string, id2 string")
+    partners = spark.createDataFrame([("g", "h"), ("g", "k")], "gene1 string, gene2 string")
+    got = {r.q: tuple(r)[1:] for r in X.comparison_counts(X.matched_calls(calls, located, partners)).collect()}
+    assert got[0] == (4, 2, 2, 1, 2, 1, 2, 1) and got[1] == (3, 1, 2, 1, 2, 1, 2, 1) and got[5] == (1, 1, 1, 1, 1, 1, 1, 1)
