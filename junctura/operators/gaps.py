@@ -108,7 +108,7 @@ def gap_inversion(gaps: DataFrame, key: list[str], min_gap: int = 6, min_ratio:
 
 
 def formation_tags(dups: DataFrame) -> DataFrame:
-    """tags: how the event's sequence came about; NOVEL_INS with the bases between the copies, TAN for tandem copies, TRIM for gap bases outside the copy."""
+    """tags: how the event's sequence came about; NOVEL_INS with the bases between the copies, TAN for tandem copies, TRIM for gap bases outside the copy. Not built: SWAP, NOVEL_INS(NC) and the GE tags (see README)."""
     n = F.col("used_e") - F.col("used_s") + 1
     trimmed = F.col("gap_e") - F.col("gap_s") + 1 - n
     tags = F.array(

@@ -111,7 +111,10 @@ def region_gene_sets(hits: DataFrame, keys: list[str], min_overlap: float = 0.70
 
 
 def recheck_fusion(fusions: DataFrame, best: DataFrame, times: float = 1.5) -> DataFrame:
-    """Without contigs that one alignment explains: perfect, or matching over ``times`` the longer side."""
+    """Without contigs that one alignment explains: perfect, or matching over ``times`` the longer side.
+
+    Not built: poly-A tails, transcripts of both sides, the unaligned part found elsewhere (see README).
+    """
     longer = F.greatest(F.col("qe1") - F.col("qs1"), F.col("qe2") - F.col("qs2")) + 1
     j = fusions.join(best.select(F.col("query").alias("contig"), "matches", "perfect"), "contig", "left")
     return j.where(~F.coalesce("perfect", F.lit(False)) & ~F.coalesce(F.col("matches") > times * longer, F.lit(False))).drop("matches", "perfect")
