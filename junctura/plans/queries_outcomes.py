@@ -238,8 +238,8 @@ CUT = "SELECT seq_id AS contig, substr(seq, CAST(1+seq_id%50 AS INT), CAST(1+seq
 @query("e16_recheck_itd", "seqs", f", x AS ({CUT}), t AS (SELECT seq_id%20 AS gene, substr(seq,1,400) AS seq FROM seqs WHERE seq_id%7=0) SELECT contig, dup_seq, gene FROM x WHERE length(replace(dup_seq,left(dup_seq,1),''))>0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.gene=x.gene AND contains(t.seq, dup_seq||dup_seq))")
 def _(spark, d):
     s = fixtures.view(spark, d, fixtures.SEQS)
-    x = s.where("length(seq)>=60").selectExpr("seq_id AS contig", "substr(seq, cast(1+seq_id%50 as int), cast(1+seq_id%4 as int)) AS dup_seq", "seq_id%20 AS gene")
-    t = s.where("seq_id%7=0").selectExpr("seq_id%20 AS gene", "substr(seq,1,400) AS seq")
+    x = s.where("length(seq)>=60").selectExpr("seq_id AS contig", "substr(seq, cast(1+seq_id%50 as int), cast(4+seq_id%17 as int)) AS dup_seq", "seq_id%20 AS gene")
+    t = s.selectExpr("seq_id%20 AS gene", "seq")
     return E.recheck_itd(x, s, t).select("contig", "dup_seq", "gene")
 
 
@@ -419,7 +419,7 @@ def _(spark, d):
 
 @query("g31_chimera_sequence", "seqs", "SELECT a.seq_id, left(a.seq, CAST(50+a.seq_id%100 AS INT))||'N'||substr(b.seq, CAST(10+a.seq_id%30 AS INT)) AS expected FROM (SELECT seq_id, left(seq,300) AS seq FROM seqs) a JOIN (SELECT seq_id, left(seq,300) AS seq FROM seqs) b ON b.seq_id=a.seq_id+1")
 def _(spark, d):
-    s = fixtures.view(spark, d, fixtures.SEQS).selectExpr("seq_id", "left(seq,300) AS seq")
+    s = fixtures.view(spark, d, fixtures.SEQS).select("seq_id", "seq")
     j = s.selectExpr("seq_id", "seq AS left_seq").join(s.selectExpr("seq_id-1 AS seq_id", "seq AS right_seq"), "seq_id")
     e = j.selectExpr("*", "cast(50+seq_id%100 as int) AS left_bp", "'N' AS extra", "cast(10+seq_id%30 as int) AS right_bp")
     return X.chimera_sequence(e).select("seq_id", "expected")

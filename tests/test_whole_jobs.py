@@ -158,3 +158,21 @@ def test_comparison_counts_come_of_matches(spark):
     partners = spark.createDataFrame([("g", "h"), ("g", "k")], "gene1 string, gene2 string")
     got = {r.q: tuple(r)[1:] for r in X.comparison_counts(X.matched_calls(calls, located, partners)).collect()}
     assert got[0] == (4, 2, 2, 1, 2, 1, 2, 1) and got[1] == (3, 1, 2, 1, 2, 1, 2, 1) and got[5] == (1, 1, 1, 1, 1, 1, 1, 1)
+
+
+def test_sequences_are_whole(spark, small):
+    seqs = {r.seq_id: r.seq for r in fixtures.view(spark, small, fixtures.SEQS).collect() if r.seq}
+    fasta = {r.id: "\n".join([(x := r.value.split("\n"))[0], "".join(x[1:])]) for r in catalog.QUERIES["k07_contigs_fasta"](spark, small).collect()}
+    assert fasta == {str(k): f">{k}\n{s}" for k, s in seqs.items() if k % 3 == 0} and max(map(len, fasta.values())) > 400
+    joined = {r.seq_id: r.expected for r in catalog.QUERIES["g31_chimera_sequence"](spark, small).where("seq_id < 40").collect()}
+    assert joined == {k: s[: 50 + k % 100] + "N" + seqs[k + 1][9 + k % 30 :] for k, s in seqs.items() if k < 40 and k + 1 in seqs}
+
+
+def test_known_duplications_are_found_in_all_of_every_transcript(spark, small):
+    seqs = {r.seq_id: r.seq for r in fixtures.view(spark, small, fixtures.SEQS).collect() if r.seq}
+    want = []
+    for k, s in seqs.items():
+        dup = s[k % 50 : k % 50 + 4 + k % 17]
+        if len(s) >= 60 and len(set(dup)) > 1 and not any(dup * 2 in t for i, t in seqs.items() if i % 20 == k % 20):
+            want.append((k, dup, k % 20))
+    assert rows(catalog.QUERIES["e16_recheck_itd"](spark, small), "contig", "dup_seq", "gene") == sorted(want, key=repr) and want
