@@ -120,7 +120,8 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, max_train: int = 20_000):
         rows = cut(docs.select("doc_id", *_sites(docs), features("text").alias("__x")))
         marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("__y"))
-        known = rows.join(marks, "doc_id", "left")
+        self.marks = cut(marks)
+        known = rows.join(self.marks, "doc_id", "left")
         train = known.where("__y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("__x", "__y").toPandas()
         self.weights, self.intercept = fit(np.array(train["__x"].tolist(), np.float64), train["__y"].to_numpy(np.float64))
         self.rows = rows
@@ -156,9 +157,10 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_t
     return out.select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__p").alias("own"), F.col("__host_post").alias("host_posterior"), F.col("__path_post").alias("path_posterior"), F.col("__post").alias("posterior"), (F.col("__post") >= threshold).alias("keep"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 20_000) -> DataFrame:
-    """``docs`` less those that the classifier rejects."""
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
+    """``docs`` less those that the classifier rejects: the rows that ``classified`` keeps."""
     m = Model(docs, labels, max_train)
-    # What is left out of the site is the classifier's count, so that texts need not be joined with labels.
-    rows = docs.select("*", *_sites(docs), features("text").alias("__x")).withColumn("__p", _own(m.weights, m.intercept)).withColumn("__y", F.col("__p"))
+    # What is left out of the site is what was counted there: the label where there is one.
+    marks = F.broadcast(m.marks) if m.marks.count() <= broadcast_rows else m.marks
+    rows = docs.join(marks, "doc_id", "left").select("*", *_sites(docs), features("text").alias("__x")).withColumn("__p", _own(m.weights, m.intercept)).withColumn("__y", F.coalesce("__y", "__p"))
     return m.posterior(rows).where(F.col("__post") >= threshold).select(*docs.columns)

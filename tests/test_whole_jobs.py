@@ -176,3 +176,18 @@ def test_known_duplications_are_found_in_all_of_every_transcript(spark, small):
         if len(s) >= 60 and len(set(dup)) > 1 and not any(dup * 2 in t for i, t in seqs.items() if i % 20 == k % 20):
             want.append((k, dup, k % 20))
     assert rows(catalog.QUERIES["e16_recheck_itd"](spark, small), "contig", "dup_seq", "gene") == sorted(want, key=repr) and want
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_the_stage_keeps_what_the_query_keeps(spark, few):
+    from junctura.llm import quality
+
+    rng = random.Random(5)
+    text = lambda good: " ".join(rng.choice(["plain", "words", "here"] if good else ["#@!", "%%%", "1$"]) for _ in range(30))
+    docs = [(i, text(i % 2), "en", f"http://h{i % 5}.x/p{i % 40}") for i in range(200)] + [(1000 + i, text(i % 2), "en", f"http://h1.x/only{i}") for i in range(20)]
+    labels = [(i, i % 2) for i in range(0, 200, 3)] + [(1000 + i, 1 - i % 2) for i in range(20)] + [(1000, 1), (None, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    want = {r.doc_id for r in quality.classified(d, y).where("keep").collect()}
+    got = quality.accepted(d, y, broadcast_rows=10_000 if few else 0)
+    assert got.columns == d.columns and {r.doc_id for r in got.collect()} == want and 0 < len(want) < len(docs)
