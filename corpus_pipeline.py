@@ -30,7 +30,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
+    """Pieces of all documents with their ids and places in sequences."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -273,8 +273,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(items: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000) -> DataFrame:
-    """``items`` (with length, at most capacity) and sequence_id, offset. Columns beside these pass through."""
+def pack(items: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000, shard_by: list[str] | None = None) -> DataFrame:
+    """``items`` (with length, at most capacity) and sequence_id, offset. Columns beside these pass through; ``shard_by`` (all) deal them to shards."""
     shards = max(1, -(-items.count() // shard_pieces))
 
     def run(t: pa.Table) -> pa.Table:
@@ -283,14 +283,19 @@ def pack(items: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000) ->
         return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(bins + (t["shard"][0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*items.columns), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*(shard_by or items.columns)), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096, separator: int = 1, shard_pieces: int = 40_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece of every document."""
-    cut_up = stored(pieces(docs, path, capacity, separator, with_ids=False), "pieces")
-    return pack(cut_up, capacity, shard_pieces)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids per piece of every document.
+
+    Places come of lengths alone; the ids are stored with a key of their row (documents may repeat) and joined to their places.
+    """
+    cut_up = stored(pieces(docs, path, capacity, separator).withColumn("__key", F.expr("uuid()")), "pieces")
+    columns = [c for c in cut_up.columns if c not in ("ids", "__key")]
+    placed = pack(cut_up.drop("ids"), capacity, shard_pieces, columns)
+    return placed.join(cut_up.select("__key", "ids"), "__key").drop("__key")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    placed = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,3 +191,26 @@ def test_the_stage_keeps_what_the_query_keeps(spark, few):
     want = {r.doc_id for r in quality.classified(d, y).where("keep").collect()}
     got = quality.accepted(d, y, broadcast_rows=10_000 if few else 0)
     assert got.columns == d.columns and {r.doc_id for r in got.collect()} == want and 0 < len(want) < len(docs)
+
+
+def test_placed_pieces_have_their_ids(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+
+    from junctura.llm import packing
+
+    from .llm.fixtures import ROWS, docs
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    placed = packing.packed(docs(spark), path, capacity=256, shard_pieces=9).cache()
+    got = placed.collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    want = [bytes(x) + np.uint32(1).tobytes() for x in packing.WordEncoder(path)([t for _, t in ROWS])]
+    text = {}
+    for r in sorted(got, key=lambda r: r.start):
+        if r.doc_id != 6:
+            text[r.doc_id] = text.get(r.doc_id, b"") + r.ids
+    assert text == {k: w for (k, _), w in zip(ROWS, want, strict=True) if k != 6} and sum(r.doc_id == 6 for r in got) == 2
+    assert sum(len(r.ids) for r in packing.sequences(placed).collect()) == sum(map(len, want))
