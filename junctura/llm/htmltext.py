@@ -10,20 +10,25 @@ and headings are set off by an empty line, list items are marked and indented,
 and table cells are padded to columns two spaces apart, over column and row
 spans.
 
-Scale: a page is one row and is read and laid out by itself, in time linear in
-its length, without recursion but for tables within tables.
+Scale: a page is one row and is read and laid out by itself, without recursion.
+Time is linear in the page's length and in the text's, but that the lines of a
+table within tables are copied once for each table around it. Indents stop at
+``MOST_INDENT`` columns, so that deep nesting does not blow up the text; no text
+is ever cut.
 
 Defined cases: null or empty html gives an empty text; broken markup never
 fails: a lone "<" is text, unknown tags are inline, unclosed elements end with
 the page, an end tag without a start is ignored (``</p>`` and ``</br>`` stand for
-an element). Tables within more than ``DEEPEST`` tables are laid out as blocks.
+an element). Attributes and nesting have no limit. Very long pages are read whole.
 Null ids and repeated rows pass through; columns besides id and html are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -62,13 +67,14 @@ IMPLIED = {
 CELL = frozenset({"td", "th", "caption"})
 
 TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*+>?+|</([A-Za-z][^\s/>]*+)[^>]*+>?+|<([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)(?:>|(?=[\"'])[^>]*+>?+|\Z)", re.S
+    r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*+>?+|</([A-Za-z][^\s/>]*+)[^>]*+>?+|<([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=[\"'])[^>]*+>?+|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"(?:([A-Za-z][\w-]*)|\*)?(?:([.#])([\w-]+))?")
-GONE, UNSEEN, SEEN = re.compile(r"display\s*:\s*none"), re.compile(r"visibility\s*:\s*(?:hidden|collapse)"), re.compile(r"visibility\s*:\s*visible")
-SPACES, DEEPEST = re.compile(r"[ \t\n\r\f]+"), 20
+DISPLAY, VISIBILITY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)"), re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)")
+PRE = re.compile(r"white-space\s*:\s*pre")
+SPACES, MOST_INDENT = re.compile(r"[ \t\n\r\f]+"), 200
 
 
 class Node:
@@ -89,20 +95,23 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str, str, str]]]:
     """The tree, and (tag, "." or "#" or "", name, declarations) of its simple style rules."""
     root = Node("html", {})
     stack, at, n, rules = [root], 0, len(html), []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
 
     def pop_to(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
         del stack[i:]
 
+    def last(names: set[str] | frozenset[str]) -> int:
+        """The innermost open element of ``names``; 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def end(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
         """Close up to the outermost open element of ``names`` above the nearest bound."""
-        hit = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in names:
-                hit = i
-        if hit is not None:
-            pop_to(hit)
+        bound = last(bounds)
+        hits = [p[i] for x in names if (p := places.get(x)) and (i := bisect_right(p, bound)) < len(p)]
+        if hits:
+            pop_to(min(hits))
 
     def text(s: str) -> None:
         if stack[-1].tag == "head" and not s.isspace():
@@ -129,17 +138,11 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str, str, str]]]:
                 stack[-1].children.append(Node("br", {}))
                 continue
             bound = {"table"} if tag in CELL or tag == "tr" else set() if tag == "table" else CELL
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or tag in HEADING and stack[i].tag in HEADING:
-                    pop_to(i)
-                    break
-                if stack[i].tag in bound:
-                    if tag == "p":
-                        stack[-1].children.append(Node("p", {}))
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p", {}))
+            hit = last(HEADING if tag in HEADING else {tag})
+            if hit > last(bound):
+                pop_to(hit)
+            elif tag == "p":
+                stack[-1].children.append(Node("p", {}))
             continue
         if not m[2]:
             continue
@@ -165,13 +168,14 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str, str, str]]]:
             at = close.end() if close else n
             if tag == "style":
                 for names, said in RULE.findall(inside):
-                    if GONE.search(said.lower()) or UNSEEN.search(said.lower()):
+                    if DISPLAY.search(said.lower()) or VISIBILITY.search(said.lower()):
                         for one in names.split(","):
                             if (s := SIMPLE.fullmatch(one.strip())) and s[0]:
                                 rules.append(((s[1] or "").lower(), s[2] or "", s[3] or "", said.lower()))
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
             continue
         if not m[3].rstrip().endswith("/") or tag not in ("svg", "path", "use", "circle", "rect", "g"):
+            places[tag].append(len(stack))
             stack.append(node)
     return root, rules
 
@@ -184,7 +188,7 @@ class _Page:
         self.now: list[str] = []
         self.gap = False  # a collapsed space is due
         self.margin = 0  # empty lines due before the next line
-        self.indents: list[str] = []
+        self.indents: list[str] = []  # each with those before it
         self.mark = ""
 
     def text(self, s: str, preformatted: bool) -> None:
@@ -220,9 +224,10 @@ class _Page:
             if self.lines:
                 self.lines += [""] * self.margin
             self.margin = 0
-            self.lines.append(("".join(self.indents) + self.mark + "".join(self.now)).rstrip())
+            before = self.indents[-1] if self.indents else ""
+            self.lines.append((before + self.mark + "".join(self.now)).rstrip())
             if self.mark:
-                self.indents.append(" " * len(self.mark))
+                self.indent(len(self.mark))
                 self.mark = ""
         self.now, self.gap = [], False
 
@@ -231,8 +236,14 @@ class _Page:
         if spaced:
             self.margin = 1
 
+    def indent(self, columns: int) -> None:
+        self.indents.append(((self.indents[-1] if self.indents else "") + " " * columns)[:MOST_INDENT])
+
     def whole(self, lines: list[str]) -> None:
-        for s in lines:
+        for k, s in enumerate(lines):
+            if k and not self.indents:
+                self.lines += lines[k:]
+                break
             self.now = [s]
             self.line(force=True)
 
@@ -250,27 +261,48 @@ class _Renderer:
 
     def gone(self, node: Node, style: str) -> bool:
         a = node.attributes
-        return node.tag in HIDDEN or "hidden" in a or bool(style and GONE.search(style)) or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden"
+        return node.tag in HIDDEN or "hidden" in a or bool(style and DISPLAY.findall(style)[-1:] == ["none"]) or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden"
 
-    def page(self, root: Node, deep: int = 0) -> list[str]:
+    @staticmethod
+    def seen(style: str, before: bool) -> bool:
+        """Visibility goes down the tree until an element says otherwise."""
+        said = VISIBILITY.findall(style) if style else None
+        return said[-1] == "visible" if said else before
+
+    def rendered(self, root: Node) -> list[str]:
+        """Pages within tables within pages take turns here, so depth costs no recursion."""
+        waiting, lines = [self.page(root, True, False)], None
+        while True:
+            try:
+                waiting.append(waiting[-1].send(lines))
+                lines = None
+            except StopIteration as done:
+                waiting.pop()
+                lines = done.value
+                if not waiting:
+                    return lines
+
+    def page(self, root: Node, seen: bool, pre: bool) -> Generator:
+        """Lines of what is in ``root``; yields the generators of tables and takes their lines."""
         out = _Page()
-        # (node, its children, seen, preformatted, list counter, lengths of indents to restore)
-        frames: list[list] = [[root, iter(root.children), True, False, 0, 0, False]]
+        # node, its children, seen, preformatted, list counter, indents to restore, counted, summary of closed details
+        frames: list[list] = [[root, iter(root.children), seen, pre, 0, 0, False, None]]
         while frames:
-            node, rest, seen, pre, *_ = frames[-1]
+            node, rest, seen, pre, *_, summary = frames[-1]
             child = next(rest, None)
             if child is None:
                 self._leave(out, frames.pop())
                 continue
+            if summary is not None and child is not summary:
+                continue
             if isinstance(child, str):
                 if seen:
                     out.text(child, pre)
                 continue
             style = self.style(child) if child.attributes or self.rules else ""
-            if self.gone(child, style) or node.tag == "details" and "open" not in node.attributes and child.tag != "summary":
+            if self.gone(child, style):
                 continue
-            if style:
-                seen = True if SEEN.search(style) else False if UNSEEN.search(style) else seen
+            seen = self.seen(style, seen)
             tag = child.tag
             if tag == "br":
                 if seen:
@@ -279,10 +311,9 @@ class _Renderer:
             if tag == "hr":
                 out.block(True)
                 continue
-            if tag == "table" and deep < DEEPEST:
+            if tag == "table":
                 out.block(True)
-                if seen:
-                    out.whole(self.table(child, deep))
+                out.whole((yield self.table(child, seen, pre)))
                 out.block(True)
                 continue
             if tag in BLOCK:
@@ -299,10 +330,14 @@ class _Renderer:
                     out.mark = "* "
                 marked = True
             elif tag in ("dd", "blockquote"):
-                out.indents.append("    " if tag == "dd" else "  ")
+                out.indent(4 if tag == "dd" else 2)
             elif tag in ("td", "th") and out.now:
                 out.gap = True
-            frames.append([child, iter(child.children), seen, pre or tag in ("pre", "textarea", "xmp") or bool(style and re.search(r"white-space\s*:\s*pre", style)), 0, width, False])
+            shut = None
+            if tag == "details" and "open" not in child.attributes:
+                shut = next((c for c in child.children if isinstance(c, Node) and c.tag == "summary"), child)
+            pre = pre or tag in ("pre", "textarea", "xmp") or bool(style and PRE.search(style))
+            frames.append([child, iter(child.children), seen, pre, 0, width, False, shut])
             if marked and out.lines and out.margin and node.children and node.children[0] is not child:
                 out.margin = min(out.margin, 1)
         out.line()
@@ -316,32 +351,33 @@ class _Renderer:
             out.mark = ""
         del out.indents[width:]
 
-    def cells(self, row: Node, loose: Node) -> list[Node]:
-        """The cells of a row, also those within other elements; each run of what is in no cell is a block of ``loose``."""
-        out, todo, holds = [], [iter(row.children)], self.holding(row)
-        style, run = self.style(row) if row.attributes or self.rules else "", None
+    def cells(self, row: Node, loose: Node, seen: bool) -> list[tuple[Node, bool]]:
+        """The cells of a row and whether they are seen, also those within other elements; each run of what is in no cell is a block of ``loose``."""
+        out, holds, run = [], self.holding(row), None
+        todo = [(iter(row.children), seen)]
         while todo:
-            child = next(todo[-1], None)
+            rest, seen = todo[-1]
+            child = next(rest, None)
             if child is None:
                 todo.pop()
                 run = None
                 continue
             if isinstance(child, Node):
-                said = self.style(child) if child.attributes or self.rules else ""
-                if self.gone(child, said):
+                style = self.style(child) if child.attributes or self.rules else ""
+                if self.gone(child, style):
                     continue
                 if child.tag in CELL - {"caption"}:
-                    out.append(child)
+                    out.append((child, self.seen(style, seen)))
                     run = None
                     continue
-                if id(child) in holds and child.tag != "details" and not UNSEEN.search(said):
-                    todo.append(iter(child.children))
+                if id(child) in holds and child.tag != "details":
+                    todo.append((iter(child.children), self.seen(style, seen)))
                     run = None
                     continue
             elif run is None and child.isspace():
                 continue
             if run is None:
-                run = Node(RUN, {"style": style} if UNSEEN.search(style) else {})
+                run = Node(RUN, {"style": f"visibility:{'visible' if seen else 'hidden'}"})
                 loose.children.append(run)
             run.children.append(child)
         return out
@@ -365,40 +401,51 @@ class _Renderer:
                     todo.append(c)
         return out
 
-    def table(self, table: Node, deep: int) -> list[str]:
-        captions, rows = [], []
-        todo = [iter(table.children)]
+    def table(self, table: Node, seen: bool, pre: bool) -> Generator:
+        """Lines of a table; yields the generators of its cells' pages and takes their lines."""
+        captions, rows, top = [], [], seen
+        todo = [(iter(table.children), seen)]
         loose = Node("td", {})
         while todo:
-            child = next(todo[-1], None)
+            rest, seen = todo[-1]
+            child = next(rest, None)
             if child is None:
                 todo.pop()
-            elif isinstance(child, str):
+                continue
+            if isinstance(child, str):
                 if not child.isspace():
-                    loose.children.append(child)
-            elif self.gone(child, self.style(child) if child.attributes or self.rules else ""):
+                    loose.children.append(Node(RUN, {"style": f"visibility:{'visible' if seen else 'hidden'}"}))
+                    loose.children[-1].children.append(child)
                 continue
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                todo.append(iter(child.children))
+            style = self.style(child) if child.attributes or self.rules else ""
+            if self.gone(child, style):
+                continue
+            below = self.seen(style, seen)
+            if child.tag in ("thead", "tbody", "tfoot"):
+                todo.append((iter(child.children), below))
             elif child.tag == "tr":
-                rows.append(self.cells(child, loose))
+                rows.append(self.cells(child, loose, below))
             elif child.tag == "caption":
-                captions += self.page(child, deep + 1)
+                captions += yield self.page(child, below, pre)
             elif child.tag in ("td", "th"):
-                rows.append([child])
+                rows.append([(child, below)])
             elif child.tag not in ("col", "colgroup"):
-                loose.children.append(child)
+                if seen != top:
+                    loose.children.append(Node(RUN, {"style": f"visibility:{'visible' if seen else 'hidden'}"}))
+                    loose.children[-1].children.append(child)
+                else:
+                    loose.children.append(child)
         if loose.children:
-            captions += self.page(loose, deep + 1)
+            captions += yield self.page(loose, top, pre)
         grid: list[list[tuple[int, int, list[str]]]] = []  # first column, columns, lines
         taken: dict[int, int] = {}  # column: rows for which a cell from above holds it
         for row in rows:
             at, cells, fresh = 0, [], {}
-            for cell in row:
+            for cell, shown in row:
                 while taken.get(at, 0) > 0:
                     at += 1
                 across, down = (min(1000, int(v)) if (v := cell.attributes.get(k, "")).isdecimal() and v.isascii() and 0 < len(v) < 6 and int(v) else 1 for k in ("colspan", "rowspan"))
-                cells.append((at, across, self.page(cell, deep + 1)))
+                cells.append((at, across, (yield self.page(cell, shown, pre))))
                 for k in range(at, at + across):
                     fresh[k] = down
                 at += across
@@ -424,20 +471,24 @@ class _Renderer:
                 x += width[k] + 2
         out = []
         for cells in grid:
-            for i in range(max((len(c[2]) for c in cells), default=0)):
-                line = ""
-                for at, _, lines in cells:
-                    if i < len(lines) and lines[i]:
-                        line = line.ljust(left[at]) + lines[i]
-                out.append(line.rstrip())
-        return captions + out
+            made: list[str] = []
+            for at, _, lines in cells:
+                if not left[at] and not made:
+                    made = lines
+                    continue
+                made = made + [""] * (len(lines) - len(made))
+                for i, line in enumerate(lines):
+                    if line:
+                        made[i] = made[i].ljust(left[at]) + line
+            out += made
+        return captions + [line.rstrip() for line in out] if len(grid) > 1 or grid and len(grid[0]) > 1 else captions + out
 
 
 def render(html: str | None) -> str:
     if not html:
         return ""
     root, rules = parse(html)
-    lines = _Renderer(rules).page(root)
+    lines = _Renderer(rules).rendered(root)
     while lines and not lines[-1]:
         lines.pop()
     start = next((i for i, s in enumerate(lines) if s), 0)

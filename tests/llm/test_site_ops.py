@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -203,10 +204,17 @@ three<p hidden>no</p><p class=x>no2<p>Four &amp; five<br>six<ul><li>a<li>b<ol><l
 @pytest.mark.parametrize(
     ("html", "text"),
     [
-        (None, ""), ("", ""), ("plain", "plain"), ("a<br>b", "a\nb"), ("<p>a<div>b</div>c", "a\nb\nc"), ("<ol start=3><li>x<li value=9>y<li>z</ol>", "3. x\n9. y\n10. z"),
+        (None, ""), ("", ""), ("plain", "plain"), ("a<br>b", "a\nb"), ("<p>a<div>b</div>c", "a\n\nb\nc"), ("<ol start=3><li>x<li value=9>y<li>z</ol>", "3. x\n9. y\n10. z"),
         ("<b>a</b> <i>b</i>\n c", "a b c"), ("<td>x</td><td>y</td>", "x\ny"), ("<p>a&nbsp;b &lt;c&gt;</p>", "a\xa0b <c>"), ("x<template>no</template><noscript>no</noscript>y", "xy"),
-        ("<table><tr><td>a<td>b<tr><td>ccc<td>d</table>", "a    b\nccc  d"), ("<!-- <p>no</p> -->yes<!", "yes<!"), ("<div hidden>a<div>b</div></div>c", "c"), ("<select><option>a<option>b</select>", "a\nb"),
+        ("<table><tr><td>a<td>b<tr><td>ccc<td>d</table>", "a    b\nccc  d"), ("<!-- <p>no</p> -->yes<!", "yes"), ("<div hidden>a<div>b</div></div>c", "c"), ("<select><option>a<option>b</select>", "a\nb"),
         ("</p>x</div>", "x"), ("<script>if (a<b) '</div>'</script>z", "z"),
+        ("<details>no<summary>S</summary>no<b>no</b><summary>no</summary></details>y", "S\ny"), ("<details open>a<summary>S</summary></details>", "a\nS"),
+        ("<div data-x='" + "A" * 70_000 + "' hidden>no</div>y", "y"), ('<a title="' + "x>" * 80_000 + '">t</a>', "t"),
+        ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>b<tr><td>c<td style='visibility:collapse'>no</table>", "   b\nc"),
+        ("<table style='visibility:hidden'><caption>no</caption><tr>no<td>no<td style='visibility:visible'>s</table>", "  s"),
+        ("<div style='visibility:hidden'><table><tr><td>no<td>no<b style='visibility:visible'>s</b></table></div>", "  s"),
+        ("<style>td{visibility:hidden}</style><table><tr><td>no<th>a</table>", "  a"), ("<p style='display:none;display:block'>a", "a"),
+        ("<table><tr><td>" * 30 + "deep<td>x", "deep  x"), ("<blockquote>" * 300 + "q", " " * 200 + "q"),
     ],
 )
 def test_pages_small(html, text):
@@ -218,6 +226,10 @@ def test_pages_never_fail(spark):
     bits = ["<", ">", "<p", "</p>", "<table>", "<tr>", "<td colspan=2>", "<li>", "<ul>", "'", '"', "a=", "<!--", "-->", "x y", "&amp", "&#0;", "<pre>\n", "</table>", "<style>", "p{display:none}", "</style>", "<details>", "\x00"]
     for _ in range(800):
         htmltext.render("".join(rng.choice(bits) for _ in range(rng.randrange(40))))
+    start = time.process_time()
+    for bad in ["<div>" * 100_000, "<p><table><td>" + "<div>" * 50_000, "<ul><li>" * 30_000, "<table><tr><td>" * 5000 + "x", "<blockquote>a" * 20_000, "<b>" * 50_000 + "</i>" * 50_000]:
+        htmltext.render(bad)
+    assert time.process_time() - start < 30  # a scan of what is open for every tag takes minutes
     for bad in ["<" * 3000, "<div>" * 50_000, "<table><tr><td>" * 300 + "x", '<a "' * 3000, "<a href='" * 3000]:
         htmltext.render(bad)
     rows = [(1, "u", "<p>a", "c", 1), (1, "u", "<p>a", "c", 1), (None, None, None, None, None)]
