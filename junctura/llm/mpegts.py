@@ -5,15 +5,19 @@ stream of 188-byte packets: a program association and a program map table before
 each random access point, and packetised elementary stream (PES) units with
 presentation times, the first packet of every ``access_every``-th unit marked as
 random access and carrying a clock reference. ``parse`` reads any such stream
-back: tables (with their CRC), continuity counters, the units of each elementary
-stream, their timestamps and the random access points.
+back: tables (with their CRC; sections may run over packets, and several may be
+in one), continuity counters, the units of each elementary stream, their
+timestamps and the random access points.
 
 Defined cases: null media or fewer than a packet's bytes parse to no programs
 and no units; packets without the sync byte, or that claim more header than
 they have, are counted as damaged and skipped; a repeated packet (same counter
 and bytes) counts once; a counter that jumps without the discontinuity flag is
-an error and the unit goes on with what came; a null text is stored as padding
-alone. Rows are independent, so repeated rows, null ids and empty tables need no
+an error and the unit goes on with what came; a section that is too short for
+its own fields, or never ends, is counted as damaged and skipped, one with a
+wrong CRC is counted as such and skipped, and one that isn't in force yet is
+skipped; a null text is stored as padding alone; a very long one is one row,
+muxed and parsed in memory of a few times its size. Rows are independent, so repeated rows, null ids and empty tables need no
 care; columns that are not named are ignored.
 """
 
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 PACKET, SYNC, PAYLOAD = 188, 0x47, 184
 PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x100, 0x06, 0xC0
+# Stream ids of padding, and of those whose units have no optional header.
+PADDING_ID, BARE_IDS = 0xBE, frozenset({0xBC, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF})
 UNIT, RATE, CLOCK = 16384, 65536, 90000  # bytes of a unit, samples and ticks a second
 
 
@@ -97,21 +103,52 @@ def mux_bytes(payload: bytes, unit: int = UNIT, access_every: int = 8) -> bytes:
 
 
 @lru_cache(256)
-def _table_rows(section: bytes) -> tuple[int, int, tuple, bool]:
-    """(table id, program or stream number, ((number or type, pid), ...), CRC is right)."""
-    length = ((section[1] & 15) << 8 | section[2]) + 3
-    s, ok = section[:length], crc32_mpeg(section[:length]) == 0
-    rows, at = [], 8
-    if s[0] == 2:
-        at = 12 + ((s[10] & 15) << 8 | s[11])
-    while at + 4 <= length - 4:
-        if s[0] == 0:
-            rows.append(((s[at] << 8) | s[at + 1], (s[at + 2] & 31) << 8 | s[at + 3]))
-            at += 4
-        else:
+def _table_rows(s: bytes) -> tuple[int, int, tuple, str]:
+    """(table id, program or stream number, ((number or type, pid), ...), what is wrong) of a whole section."""
+    at = 8 if len(s) > 0 and s[0] == 0 else 12
+    if len(s) < at + 4 or not s[1] & 0x80:
+        return -1, -1, (), "damaged"
+    number, rows, end = s[3] << 8 | s[4], [], len(s) - 4
+    if crc32_mpeg(s):
+        return s[0], number, (), "crc"
+    if not s[5] & 1:
+        return s[0], number, (), "later"
+    if s[0] == 0:
+        rows = [((s[i] << 8) | s[i + 1], (s[i + 2] & 31) << 8 | s[i + 3]) for i in range(at, end - 3, 4)]
+    else:
+        at += (s[10] & 15) << 8 | s[11]
+        while at + 5 <= end:
             rows.append((s[at], (s[at + 1] & 31) << 8 | s[at + 2]))
             at += 5 + ((s[at + 3] & 15) << 8 | s[at + 4])
-    return s[0], s[3] << 8 | s[4], tuple(rows), ok
+    return s[0], number, tuple(rows), "" if at <= end else "damaged"
+
+
+def _sections(rows: np.ndarray, heads: list[int]) -> tuple[list[bytes], int]:
+    """The whole sections that packets of a table's stream carry, and how many are damaged."""
+    found, damaged, held = [], 0, None  # bytes since a section's start; None: wait for the next start
+
+    def taken(data: bytes) -> bytes | None:
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = ((data[1] & 15) << 8 | data[2]) + 3
+            if len(data) < size:
+                return data
+            found.append(data[:size])
+            data = data[size:]
+        return data if data and data[0] != 0xFF else None
+
+    for row, head in zip(rows, heads, strict=True):
+        data = row[head:].tobytes()
+        if row[1] & 0x40:
+            skip = data[0] + 1 if data else PACKET
+            if skip > len(data):
+                damaged, held = damaged + 1, None
+                continue
+            if held is not None:
+                damaged += taken(held + data[1:skip]) is not None
+            held = taken(data[skip:])
+        elif held is not None:
+            held = taken(held + data)
+    return found, damaged + (held is not None)
 
 
 def _ticks(b: bytes) -> int:
@@ -145,15 +182,12 @@ def parse_bytes(media: bytes | None) -> dict:
         return p[at], field[at] + 4
 
     def sections(of: int) -> list[tuple]:
-        found = []
         rows, head = packets(of)
-        for row, h in zip(rows, head.tolist(), strict=True):
-            if row[1] & 0x40 and h + 1 + row[h] + 12 <= PACKET:
-                s = row[h + 1 + int(row[h]) :].tobytes()
-                if ((s[1] & 15) << 8 | s[2]) + 3 <= len(s):
-                    found.append(_table_rows(s))
-        out["crc_errors"] += sum(not x[3] for x in found)
-        return [x for x in found if x[3]]
+        whole, broken = _sections(rows, head.tolist())
+        found = [_table_rows(x) for x in whole]
+        out["damaged"] += broken + sum(x[3] == "damaged" for x in found)
+        out["crc_errors"] += sum(x[3] == "crc" for x in found)
+        return [x for x in found if not x[3]]
 
     programs = dict.fromkeys(r for t, _, rows, _ in sections(0) if t == 0 for r in rows if r[0])
     payload = []
@@ -167,11 +201,15 @@ def parse_bytes(media: bytes | None) -> dict:
             ends = np.cumsum(PACKET - head)
             begin = np.flatnonzero(rows[:, 1] & 0x40)
             at = (ends[begin] - (PACKET - head[begin])).tolist()
-            for i, a, b in zip(begin.tolist(), at, [*at[1:], len(data)], strict=True):
+            for i, a, b in zip(begin.tolist(), at, [*at[1:], len(data)][: len(at)], strict=True):
                 if b - a < 9 or data[a : a + 3] != b"\0\0\1":
                     out["damaged"] += 1
                     continue
                 flags, size, said = data[a + 7], data[a + 8], int.from_bytes(data[a + 4 : a + 6], "big")
+                if data[a + 3] == PADDING_ID:
+                    continue
+                if data[a + 3] in BARE_IDS:  # no header fields: the bytes begin at once
+                    flags, size = 0, -3
                 stop = min(b, a + 6 + said) if said else b
                 pts = _ticks(data[a + 9 : a + 14]) if flags & 0x80 and size >= 5 else None
                 dts = _ticks(data[a + 14 : a + 19]) if flags & 0xC0 == 0xC0 and size >= 10 else pts

@@ -145,6 +145,49 @@ def test_transport_stream_faults_are_counted():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def _packets_of(pid, section):
+    """A section over as many packets as it takes."""
+    data, out = b"\0" + section, []
+    while data or not out:
+        head = bytes([0x47]) + ((0x4000 if not out else 0) | pid).to_bytes(2, "big") + bytes([0x10 | len(out) & 15])
+        out.append(head + data[:184].ljust(184, b"\xff"))
+        data = data[184:]
+    return b"".join(out)
+
+
+def test_transport_stream_tables_over_packets_and_malformed():
+    pat = mpegts._section(0, 1, b"".join((n).to_bytes(2, "big") + (0xE000 | 0x1000 + n).to_bytes(2, "big") for n in range(1, 60)))
+    got = mpegts.parse_bytes(_packets_of(0, pat))
+    assert [p["program"] for p in got["programs"]] == list(range(1, 60)) and got["damaged"] == got["crc_errors"] == 0
+    two = mpegts._section(0, 1, b"\0\1\xf0\0") + mpegts._section(0, 1, b"\0\2\xf0\1")
+    assert [p["program"] for p in mpegts.parse_bytes(_packets_of(0, two))["programs"]] == [1, 2]
+    assert mpegts.parse_bytes(_packets_of(0, pat)[:188])["damaged"] == 1  # never ends
+    for short in range(12):
+        assert mpegts.parse_bytes(_packets_of(0, bytes([0, 0xB0, short, *range(short)])))["programs"] == []
+    later = bytearray(two[:12])
+    later[5] &= 0xFE
+    later = bytes(later) + mpegts.crc32_mpeg(bytes(later)).to_bytes(4, "big")
+    assert mpegts.parse_bytes(_packets_of(0, later))["programs"] == []
+    rng = random.Random(7)
+    for _ in range(2000):
+        bad = bytearray(mpegts.mux_bytes(b"x" * 700))
+        for _ in range(rng.randrange(1, 12)):
+            bad[rng.randrange(min(len(bad), 564))] = rng.randrange(256)
+        mpegts.parse_bytes(bytes(bad))
+
+
+def test_media_query_equals_plain_hashing(spark, small):
+    import zlib
+
+    texts = {r.doc_id: (r.text or "").encode() for r in table(spark, small, "documents").collect()}
+    for r in queries.op4_mpegts(spark, small).collect():
+        data = texts[r.doc_id]
+        padded = data + bytes(max(64, -len(data) // 64 * -64) - len(data))
+        media = mpegts.mux_bytes(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_media_columns(spark):
     made = mpegts.parse(mpegts.mux(docs(spark)).withColumn("packets", F.lit("clash")))
     out = made.withColumn("feature", mpegts.feature()).collect()
