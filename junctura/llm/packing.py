@@ -4,15 +4,18 @@ A document's sequence is its token ids and one separator id. Longer ones than
 ``capacity`` are cut into full pieces and a rest; nothing else is cut. A piece
 goes where the sum over gaps of (open bins with that gap) squared becomes
 smallest: into an open bin whose gap fits, or a new bin; ties take the smallest
-gap. Pieces are taken longest first, so short ones fill what is left.
-
-Scale: rows are dealt to shards of about ``shard_pieces`` pieces by hash and each
-shard is packed alone; a shard leaves at most a few part-filled bins. One
-document is at most (its pieces) rows in a shard; full pieces are bins at once.
-
-Defined cases: a null text is empty and has the separator alone; a null id is
-packed like another; repeated rows are packed each (their ``copy`` differs);
-an empty table gives an empty result; other columns are ignored.
+gap. Pieces are taken longest first, so short ones fill what is left. At the end
+the pieces of the ``closing`` emptiest bins are packed anew, each into the
+fullest bin that has room, and that is kept if it takes fewer bins.
+
+Scale: rows are dealt to shards of about ``shard_pieces`` pieces by a hash of a
+key of their own, so equal rows spread, and each shard is packed alone; a shard
+leaves at most a few part-filled bins. Full pieces are bins at once.
+
+Defined cases: a null text is empty and has the separator alone; a very long one
+is tokenised whole and cut into pieces; a null id is packed like another;
+repeated rows are packed each; pieces of one length go in any order; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import gc
 import json
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -273,28 +277,51 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(items: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000, shard_by: list[str] | None = None) -> DataFrame:
-    """``items`` (with length, at most capacity) and sequence_id, offset. Columns beside these pass through; ``shard_by`` (all) deal them to shards."""
+def closed(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int, closing: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the emptiest bins packed anew, best fit and longest first, if that takes fewer."""
+    fill = np.bincount(bins, lengths) if len(bins) else np.zeros(0)
+    emptiest = np.argsort(fill, kind="stable")[:closing]
+    chosen = np.flatnonzero(np.isin(bins, emptiest))
+    open_, place = [], {}  # (gap, bin) by gap
+    made = 0
+    for i in chosen[np.argsort(-lengths[chosen], kind="stable")].tolist():
+        size = int(lengths[i])
+        at = bisect_left(open_, (size, -1))
+        gap, b = open_.pop(at) if at < len(open_) else (capacity, made)
+        made = max(made, b + 1)
+        place[i] = b, capacity - gap
+        if gap > size:
+            insort(open_, (gap - size, b))
+    if made >= len(emptiest):
+        return bins, offsets
+    bins, offsets = bins.copy(), offsets.copy()
+    for i, (b, offset) in place.items():
+        bins[i], offsets[i] = emptiest[b], offset
+    return bins, offsets
+
+
+def pack(items: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000, shard_by: list[str] | None = None, closing: int = 256) -> DataFrame:
+    """``items`` (with length, at most capacity) and sequence_id, offset. Columns beside these pass through; ``shard_by`` (a row number) deal them to shards."""
     shards = max(1, -(-items.count() // shard_pieces))
 
     def run(t: pa.Table) -> pa.Table:
         lengths = t["length"].to_numpy()
-        bins, offsets = sum_of_squares(lengths, capacity)
+        bins, offsets = closed(lengths, *sum_of_squares(lengths, capacity), capacity, closing)
         return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(bins + (t["shard"][0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*(shard_by or items.columns)), F.lit(shards)))
+    by = [F.col(c) for c in shard_by] if shard_by else [F.monotonically_increasing_id()]
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*by), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096, separator: int = 1, shard_pieces: int = 40_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids per piece of every document.
 
-    Places come of lengths alone; the ids are stored with a key of their row (documents may repeat) and joined to their places.
+    Places come of lengths alone; the ids are stored with a number of their row (documents may repeat) and joined to their places.
     """
-    cut_up = stored(pieces(docs, path, capacity, separator).withColumn("__key", F.expr("uuid()")), "pieces")
-    columns = [c for c in cut_up.columns if c not in ("ids", "__key")]
-    placed = pack(cut_up.drop("ids"), capacity, shard_pieces, columns)
+    cut_up = stored(pieces(docs, path, capacity, separator).withColumn("__key", F.monotonically_increasing_id()), "pieces")
+    placed = pack(cut_up.drop("ids"), capacity, shard_pieces, ["__key"])
     return placed.join(cut_up.select("__key", "ids"), "__key").drop("__key")
 
 

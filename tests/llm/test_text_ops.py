@@ -134,6 +134,42 @@ def test_sum_of_squares_takes_the_least_square_sum():
     assert n <= 1.1 * lengths.sum() / 32 + 1
 
 
+def test_closing_pass_takes_fewer_sequences():
+    rng, fewer = random.Random(8), 0
+    for _ in range(40):
+        lengths = np.array([rng.choice([rng.randrange(1, 64), rng.randrange(1, 16)]) for _ in range(rng.randrange(1, 120))])
+        before = packing.sum_of_squares(lengths, 64)
+        bins, offsets = packing.closed(lengths, *before, 64, 16)
+        n = len(set(bins.tolist()))
+        assert math.ceil(lengths.sum() / 64) <= n <= before[0].max() + 1
+        fewer += n < before[0].max() + 1
+        for b in set(bins.tolist()):
+            at = 0
+            for o, size in sorted(zip(offsets[bins == b].tolist(), lengths[bins == b].tolist(), strict=True)):
+                assert o == at
+                at += size
+            assert at <= 64
+    assert fewer
+    none = np.zeros(0, np.int64)
+    assert len(packing.closed(none, none, none, 64, 16)[0]) == 0
+
+
+def test_packing_takes_nearly_the_least_sequences(spark):
+    from junctura.llm import queries
+
+    out = queries.op2_packing(spark, "/root/testdata/sf0.01").select("length", "sequence_id", "ids_crc32", "doc_id", "piece").collect()
+    assert len({r.sequence_id for r in out}) <= math.ceil(sum(r.length for r in out) / 4096)
+    d = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    for r in out[::25]:
+        assert r.ids_crc32 == zlib.crc32(tokens(d[r.doc_id])[4096 * r.piece : 4096 * (r.piece + 1)].tobytes())
+
+
+def test_equal_rows_spread_over_shards(spark):
+    same = spark.range(900).selectExpr("7 AS doc_id", "0 AS piece", "cast(10 as long) AS length")
+    out = packing.pack(same, 64, shard_pieces=100).collect()
+    assert len({r.sequence_id >> 32 for r in out}) == 9 and len(out) == 900
+
+
 def test_sequences_hold_the_ids(spark):
     placed = packing.pack(packing.pieces(docs(spark), WORDS))
     total = sum(len(r.ids) for r in packing.sequences(placed).collect())
