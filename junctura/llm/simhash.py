@@ -12,8 +12,9 @@ from which every run of l segments differs in at most l*tau/4 bits: 0, 1, 2 and
 one-bit neighbours on one side), the other two prune what joined, and only then
 is the full distance counted. Distinct fingerprints are compared, not rows.
 
-Keys that over ``dense`` fingerprints share would make squares of pairs. Those
-go another exact way, linear in fingerprints: members are hung on hubs. A home
+Keys that over ``dense`` fingerprints share, and their one-bit neighbours, whose
+few members would meet all of those, would make squares of pairs. Those go
+another exact way, linear in fingerprints: members are hung on hubs. A home
 member hangs on every 32-bit remainder within one bit of its own, a probe member
 on every one within two (one, where the key already differs). Any two that meet
 at a hub with a home member are within three bits of it, and two linked members
@@ -21,7 +22,9 @@ always meet, so hanging all on that member keeps components whole.
 
 Nulls: a null id gets a fingerprint and takes part in links; a group's id is its
 smallest id that isn't null. Repeated rows stay, each with its own result row.
-Columns besides id and text are ignored. An empty table gives an empty result.
+Very long texts are hashed in blocks of ``BLOCK`` words; texts of equal words tie
+and share a fingerprint. Columns besides id and text are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,8 +91,10 @@ def link_edges(fps: DataFrame, tau: int = 3, dense: int = 512) -> DataFrame:
         raise ValueError("four segments of 16 bits serve budgets of 0 to 3 bits")
     home = _keyed(fps, [0])
     probe = _keyed(fps, [0] + [1 << b for b in range(16)])
-    # Only keys of several home members can be dense; that is a small table.
-    crowded = cut(home.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("ring"))
+    # Keys of several home members, and what their members probe: a small table, one in ``dense`` at most, and 16 neighbours.
+    large = home.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+    beside = F.transform(F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(16)]]), lambda m: F.col("ring").bitwiseXOR(m))
+    crowded = cut(large.select(F.explode(beside).alias("ring")).distinct())
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
     third = F.shiftrightunsigned(F.col("rest").bitwiseXOR(F.col("rest2")), 16)
     chain = F.col("off2") + F.bit_count(third) <= F.lit(3 * tau // 4)
@@ -109,7 +114,9 @@ def _near(rest: Column, bits: int) -> list[Column]:
 
 
 def _dense_edges(home: DataFrame, probe: DataFrame, crowded: DataFrame, tau: int) -> DataFrame:
-    h, p = (d.join(crowded, "ring", "left_semi") for d in (home, probe))
+    # A row becomes up to 529 below, so rows are spread over tasks by themselves before, not by their keys.
+    tasks = max(int(home.sparkSession.conf.get("spark.sql.shuffle.partitions")), home.sparkSession.sparkContext.defaultParallelism)
+    h, p = (d.join(crowded, "ring", "left_semi").repartition(tasks, "ring", "fp") for d in (home, probe))
     centre, same, turned = min(1, tau), max(0, tau - 1), max(0, tau - 2)
     a = h.select("ring", "fp", F.lit(True).alias("home"), F.explode(_near(F.col("rest"), centre)).alias("hub"))
     b = p.where("off = 0").select("ring", "fp", F.lit(False).alias("home"), F.explode(_near(F.col("rest"), same)).alias("hub"))
