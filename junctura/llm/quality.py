@@ -16,14 +16,16 @@ and it is kept where that is at least ``threshold``.
 
 Scale: two grouped aggregations with map-side combine, so a site with a third of
 all rows is one row a task; sites are broadcast only when counted to be few. The
-classifier is fitted on at most ``max_train`` labelled rows (a documented bound,
-taken by a hash of the id); all else covers every document.
+classifier is fitted on about ``max_train`` labelled rows, never more (a documented
+bound): labelled rows are counted, a share of them is taken by a hash of the id
+where they lie, and only these go to the driver. All else covers every document.
 
-Defined cases: a null text is empty; a null source or language is the site "";
+Defined cases: a null text is empty, and a very long one is read whole; a null source or language is the site "";
 null labels are ignored, several labels of a document are averaged; without
 labels of both kinds the classifier says 1/2 and all documents are kept; a null
 id has no label; repeated rows each get a row; an empty table gives an empty
-result; working columns start with ``__``.
+result; documents of equal evidence tie at equal posteriors, and one that meets
+the threshold exactly is kept; working columns start with ``__``.
 """
 
 from __future__ import annotations
@@ -122,7 +124,11 @@ class Model:
         marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("__y"))
         self.marks = cut(marks)
         known = rows.join(self.marks, "doc_id", "left")
-        train = known.where("__y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("__x", "__y").toPandas()
+        labelled = known.where("__y is not null")
+        share = max_train / max(1, labelled.count())
+        h = F.xxhash64("doc_id")
+        some = labelled if share >= 1 else labelled.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+        train = some.orderBy(h, "doc_id").limit(max_train).select("__x", "__y").toPandas()
         self.weights, self.intercept = fit(np.array(train["__x"].tolist(), np.float64), train["__y"].to_numpy(np.float64))
         self.rows = rows
         y = F.coalesce("__y", _own(self.weights, self.intercept))
