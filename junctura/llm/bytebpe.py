@@ -9,22 +9,24 @@ Where two chunks don't meet in the overlap (a long run), matching goes on from
 the last sure boundary until it meets one of the chunk. The pieces are then
 encoded each by itself, and decoding concatenates the raw bytes of the ids.
 
-Scale: texts of one chunk are done where they lie. Longer ones are cut into
-chunk rows that are dealt out and pre-tokenised and encoded in parallel; only
-piece ends and ids meet again, by text.
-
-Defined cases: a null text is empty and has no ids; null ids and repeated rows
-pass through, a row each; an empty table gives an empty result; other columns
-are ignored.
+Scale: texts are chunked, stitched and encoded where they lie, a task's many at
+its time. One of over ``span`` characters is cut into overlapping rows of that
+size that are dealt out, pre-tokenised (again by chunks) and encoded in
+parallel; only piece ends and ids meet again, by text, and are stitched alike.
+
+Defined cases: a null text is empty and has no ids; a very long text is spread
+over tasks; null ids and repeated rows pass through, a row each, and equal texts
+have equal ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import lru_cache, partial
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, OVERLAP, AHEAD = 1 << 16, 1 << 10, 4  # AHEAD: how far past its end a match may have looked
+SIZE, OVERLAP, AHEAD = 1024, 96, 4  # AHEAD: how far past its end a match may have looked
+SPAN = 1 << 16
 CACHED, LONGEST = 400_000, 60
 
 
@@ -76,10 +79,16 @@ def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     return [text[at : at + size + overlap] for at in range(0, max(1, len(text)), size)]
 
 
-def cuts(find: Callable, chunk: str, last: bool) -> list[int]:
+def sure(pieces: list[str], chunk: str, last: bool) -> list[int]:
     """Sure piece ends in a chunk that is read from its start."""
-    ends = np.cumsum([len(p) for p in find(chunk)], dtype=np.int64).tolist()
-    return ends if last else [e for e in ends if e <= len(chunk) - AHEAD]
+    ends = list(accumulate(map(len, pieces)))
+    while not last and ends and ends[-1] > len(chunk) - AHEAD:
+        ends.pop()
+    return ends
+
+
+def cuts(find: Callable, chunk: str, last: bool) -> list[int]:
+    return sure(find(chunk), chunk, last)
 
 
 def stitch(text: Callable[[int, int], str], ends: list[list[int]], size: int, total: int, find: Callable) -> list[tuple[int, int, int]]:
@@ -90,56 +99,53 @@ def stitch(text: Callable[[int, int], str], ends: list[list[int]], size: int, to
     parts: list[tuple[int, int, int]] = []
     at, k = 0, 0  # a sure boundary of the whole, and the chunk that has it
     while at < total:
-        own = np.asarray(ends[k], np.int64) + k * size
-        i = 0 if at == k * size else int(np.searchsorted(own, at)) + 1
+        own = ends[k]
+        i = 0 if at == k * size else bisect_right(own, at - k * size)
         if k + 1 == len(ends):
             parts.append((k, i, len(own)))
             break
-        common = np.intersect1d(own[i:], np.asarray(ends[k + 1], np.int64) + (k + 1) * size, assume_unique=True)
-        if len(common):
-            j = int(np.searchsorted(own, common[0])) + 1
-            parts.append((k, i, j))
-            at, k = int(common[0]), k + 1
+        after = {0, *ends[k + 1]} if len(ends[k + 1]) < 64 else {0, *ends[k + 1][: bisect_right(ends[k + 1], own[-1] - size if own else 0)]}
+        j = next((j for j in range(max(i, bisect_left(own, size)), len(own)) if own[j] - size in after), None)
+        if j is not None:
+            parts.append((k, i, j + 1))
+            at, k = own[j] + k * size, k + 1
             continue
         parts.append((k, i, len(own)))
-        at = int(own[-1]) if len(own) > i else at
+        at = own[-1] + k * size if len(own) > i else at
         began, width = at, size
-        sure = set()
-        for n in range(k + 1, len(ends)):
-            sure |= {e + n * size for e in ends[n]}
         while True:  # match on from the last sure end until a later chunk has one of the ends
             stop = min(total, at + width)
             new = [at + e for e in cuts(find, text(at, stop), stop == total)]
-            met = next((e for e in new if e in sure), None)
+            met = next(((e, n) for e in new for n in (min(e // size, len(ends) - 1),) if n > k and e < total and _has(ends[n], e - n * size)), None)
             if met is not None or stop == total:
                 break
             width *= 2
-        at = total if met is None else met
-        parts.append((-1, began, at))
-        if met is not None:
-            k = next(n for n in range(k + 1, len(ends)) if met - n * size in set(ends[n]))
+        parts.append((-1, began, met[0] if met else total))
+        at, k = met or (total, k)
     return parts
 
 
+def _has(ends: list[int], e: int) -> bool:
+    i = bisect_left(ends, e)
+    return e == 0 or i < len(ends) and ends[i] == e
+
+
 def split(text: str, find: Callable, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Pre-tokens of a text by overlapping chunks."""
     if len(text) <= size:
         return find(text)
     each = chunks(text, size, overlap)
-    ends = [cuts(find, c, k + 1 == len(each)) for k, c in enumerate(each)]
+    pieces = [find(c) for c in each]
+    ends = [sure(p, c, k + 1 == len(each)) for k, (p, c) in enumerate(zip(pieces, each, strict=True))]
     out: list[str] = []
     for k, i, j in stitch(lambda a, b: text[a:b], ends, size, len(text), find):
-        if k < 0:
-            out += find(text[i:j]) if j == len(text) else _upto(find, text, i, j)
-        else:
-            at = [0, *ends[k]]
-            out += [each[k][at[x] : at[x + 1]] for x in range(i, j)]
+        out += pieces[k][i:j] if k >= 0 else _upto(find, text, i, j)
     return out
 
 
 def _upto(find: Callable, text: str, start: int, stop: int) -> list[str]:
     out, at = [], start
-    for p in find(text[start : stop + AHEAD + 1]):
+    for p in find(text[start : stop + AHEAD + 1]) if stop > start else []:
         if at >= stop:
             break
         out.append(p)
@@ -147,9 +153,9 @@ def _upto(find: Callable, text: str, start: int, stop: int) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, size: int = SIZE, overlap: int = OVERLAP, span: int = SPAN) -> DataFrame:
     """doc_id, ids array<int>: the ids of every whole text."""
-    return _with_ids(docs, path, pattern, size, overlap, "ids array<int>", lambda c, ids: (ids,), [pa.list_(pa.int32())])
+    return _with_ids(docs, path, pattern, (size, overlap, span), "ids array<int>", lambda c, ids: (ids,), [pa.list_(pa.int32())])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -164,20 +170,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, size: int = SIZE, overlap: int = OVERLAP, span: int = SPAN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and decoded again, kept as digests."""
 
     def digest(c: Codec, ids: list[int]) -> tuple:
         return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-    return _with_ids(docs, path, pattern, size, overlap, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
+    return _with_ids(docs, path, pattern, (size, overlap, span), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
 
 
-def _with_ids(docs: DataFrame, path: str, pattern: str, size: int, overlap: int, columns: str, finish: Callable, types: list) -> DataFrame:
+def _with_ids(docs: DataFrame, path: str, pattern: str, sizes: tuple[int, int, int], columns: str, finish: Callable, types: list) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [x.split()[0] for x in columns.split(", ")]
     docs = docs.select("doc_id", "text")
-    long = F.length("text") > size
+    size, overlap, span = sizes
+    long = F.length("text") > span
 
     def built(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * len(types)
@@ -186,7 +193,7 @@ def _with_ids(docs: DataFrame, path: str, pattern: str, size: int, overlap: int,
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            yield built(b.column(0), [finish(c, c.ids(c.pattern.findall(x or ""))) for x in b.column(1).to_pylist()])
+            yield built(b.column(0), [finish(c, c.ids(split(x or "", c.pattern.findall, size, overlap))) for x in b.column(1).to_pylist()])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,7 +201,7 @@ def _with_ids(docs: DataFrame, path: str, pattern: str, size: int, overlap: int,
         task, row = TaskContext.get().partitionId(), 0
         for b in batches:
             for one, x in zip(b.column(0), b.column(1), strict=True):
-                each = chunks(x.as_py(), size, overlap)
+                each = chunks(x.as_py(), span, overlap)
                 for k, part in enumerate(each):  # a row per chunk, so no batch is larger than the text was
                     yield pa.RecordBatch.from_arrays([pa.array([one.as_py()], b.column(0).type), pa.array([(task << 33) + row]), pa.array([k], pa.int32()), pa.array([len(each)], pa.int32()), pa.array([part])], ["doc_id", "text_no", "chunk", "n", "part"])
                 row += 1
@@ -204,8 +211,9 @@ def _with_ids(docs: DataFrame, path: str, pattern: str, size: int, overlap: int,
         for b in batches:
             ends, flat, sizes = [], [], []
             for part, k, n in zip(b["part"].to_pylist(), b["chunk"].to_pylist(), b["n"].to_pylist(), strict=True):
-                e = cuts(c.pattern.findall, part, k + 1 == n)
-                ids = [c.piece(part[i:j]) for i, j in zip([0, *e], e, strict=False)]
+                found = split(part, c.pattern.findall, size, overlap)
+                e = sure(found, part, k + 1 == n)
+                ids = [*map(c.piece, found[: len(e)])]
                 ends.append(e)
                 flat.append([*chain.from_iterable(ids)])
                 sizes.append([len(x) for x in ids])
@@ -215,10 +223,14 @@ def _with_ids(docs: DataFrame, path: str, pattern: str, size: int, overlap: int,
     def stitched(t: pa.Table) -> pa.Table:
         c, t = codec(path, pattern), t.sort_by("chunk")
         parts, ends = t["part"].to_pylist(), t["ends"].to_pylist()
-        total = (len(parts) - 1) * size + len(parts[-1])
-        text = lambda a, b: "".join(p[max(0, a - k * size) : b - k * size] if k + 1 == len(parts) else p[:size][max(0, a - k * size) : max(0, b - k * size)] for k, p in enumerate(parts) if k * size < b and (k + 1) * size > a or k + 1 == len(parts) and b > k * size)
+        total = (len(parts) - 1) * span + len(parts[-1])
+
+        def text(a: int, b: int) -> str:
+            last = len(parts) - 1
+            return "".join(parts[k][max(0, a - k * span) : b - k * span] if k == last else parts[k][:span][max(0, a - k * span) : b - k * span] for k in range(min(last, a // span), min(last, b // span) + 1))
+
         ids: list[int] = []
-        for k, i, j in stitch(text, ends, size, total, c.pattern.findall):
+        for k, i, j in stitch(text, ends, span, total, partial(split, find=c.pattern.findall, size=size, overlap=overlap)):
             if k < 0:
                 ids += c.ids(_upto(c.pattern.findall, text(i, min(total, j + AHEAD + 1)), 0, j - i))
             else:

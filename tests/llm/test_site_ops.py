@@ -107,6 +107,16 @@ def test_quality_site_posteriors_equal_brute_force(spark):
     assert got[100]["__path_post"] == pytest.approx(m.share)
 
 
+def test_quality_training_sample_is_bounded(spark, small, monkeypatch):
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **k: seen.append(len(y)) or real(x, y, **k))
+    d, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    quality.Model(d, labels, max_train=40)
+    quality.Model(d, labels)
+    assert 15 <= seen[0] <= 40 and seen[1] == d.join(labels, "doc_id").where("quality is not null").count()
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classified(docs(spark), none).where("keep").count() == len(ROWS)

@@ -189,10 +189,10 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize(("size", "overlap"), [(1 << 16, 1 << 10), (50, 20), (997, 31)])
-def test_byte_bpe_equals_library(spark, size, overlap):
+@pytest.mark.parametrize(("size", "overlap", "span"), [(1 << 16, 1 << 10, 1 << 20), (50, 20, 200), (1024, 96, 5000), (997, 31, 1 << 16), (2000, 5, 1000)])
+def test_byte_bpe_equals_library(spark, size, overlap, span):
     enc = library()
-    out = collections.Counter((r.doc_id, tuple(r.ids)) for r in bytebpe.encode(docs(spark), BYTES, public_tokenizers.PATTERN, size, overlap).collect())
+    out = collections.Counter((r.doc_id, tuple(r.ids)) for r in bytebpe.encode(docs(spark), BYTES, public_tokenizers.PATTERN, size, overlap, span).collect())
     assert out == collections.Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in ROWS)
 
 
@@ -212,6 +212,27 @@ def test_chunks_stitch_where_boundaries_meet():
         assert bytebpe.split(text, c.pattern.findall, rng.randrange(5, 40), rng.randrange(1, 20)) == c.pattern.findall(text)
 
 
+def test_most_texts_are_stitched_and_equal_the_library(spark, monkeypatch):
+    """Counts rows that go through two chunks or more: the query's sizes, on the table's texts."""
+    enc, c = library(), bytebpe.codec(BYTES, public_tokenizers.PATTERN)
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    stitched, real = [], bytebpe.stitch
+    monkeypatch.setattr(bytebpe, "stitch", lambda text, ends, *rest: stitched.append(len(ends)) or real(text, ends, *rest))
+    for t in texts:
+        assert c.ids(bytebpe.split(t, c.pattern.findall)) == enc.encode_ordinary(t)
+    assert len(stitched) > len(texts) / 2 and min(stitched) >= 2
+
+
+def test_byte_bpe_query_equals_library(spark, small):
+    from junctura.llm import queries
+
+    enc, texts = library(), {r.doc_id: r.text or "" for r in table(spark, small, "documents").collect()}
+    for r in queries.op7_byte_bpe(spark, small).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_byte_bpe_empty(spark):
     assert bytebpe.round_trip(docs(spark, []), BYTES, public_tokenizers.PATTERN).count() == 0
 
@@ -321,6 +342,35 @@ def test_simhash_links_equal_brute_force(spark, dense):
     assert {frozenset(x) for x in got.values()} == components(fps)
 
 
+def test_simhash_few_beside_many_go_by_hubs(spark):
+    """A key of few members one bit from a key of many is crowded too: nobody meets all of the many in pairs."""
+    rng, base = random.Random(9), 0x1234_5678_0000_0000
+    many = {base | rng.getrandbits(32) for _ in range(300)}
+    few = {(base ^ 1 << 35) | (x & 0xFFFFFFFF) ^ (1 << k) for k, x in zip(range(3), many, strict=False)}
+    fps = sorted(many | few)
+    frame = spark.createDataFrame([(v,) for v in fps], "fp long")
+    edges = simhash.link_edges(frame, dense=50).distinct()
+    comp = {r.node: r.component for r in simhash.connected_components(edges).collect()}
+    got = collections.defaultdict(set)
+    for v in fps:
+        got[comp.get(v, v)].add(v)
+    assert {frozenset(x) for x in got.values()} == components(fps)
+    assert edges.count() < 2000
+
+
+def test_simhash_query_equals_brute_force(spark, small):
+    from junctura.llm import queries
+
+    out = {r.doc_id: r for r in queries.op9_simhash(spark, small).collect()}
+    texts = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    groups = components(fps.values())
+    assert {i: r.fingerprint for i, r in out.items()} == {i: f"{f:016x}" for i, f in fps.items()}
+    for g in groups:
+        ids = [i for i, f in fps.items() if f in g]
+        assert {out[i].component_id for i in ids} == {min(ids)}
+
+
 def test_simhash_component_ids(spark):
     out = simhash.near_duplicates(docs(spark)).collect()
     groups = components([r.fp for r in out])
