@@ -1,23 +1,28 @@
 """Dictionary-compressed WARC archives.
 
 An archive file starts with a skippable frame (magic 0x184D2A5D) that holds a
-Zstandard dictionary built from its own records, then has one Zstandard frame a
+Zstandard dictionary built from archived records, then has one Zstandard frame a
 record: a warcinfo and the responses and revisits. A response carries the HTTP
 head and the payload. Of records with equal payloads of at least ``least`` bytes
 only one is a response, that of the largest id; the others are revisits of it
 with the HTTP head alone.
 
-Scale: equal payloads meet as digests only, never as bodies. A task writes one
-archive of the rows it has; the dictionary is built from the first
-``sample_bytes`` of them (a documented bound; every record is compressed with
-it). Files are written by Spark's text writer, which puts a separator after each
-row: that separator is an empty skippable frame, which readers of Zstandard
-ignore, so the files are plain .warc.zst archives in any store Spark writes to.
-
-Defined cases: a null html is an empty payload, a null url an empty one; a null
-id is less than any other, and repeated rows with the largest id are each a
-response; an empty table makes no archive and reads back as no rows; other
-columns are ignored. Control characters in a url are dropped.
+Scale: equal payloads meet as digests only, never as bodies. The dictionary
+samples the whole table: payloads are cut into pieces of ``PIECE`` bytes, each
+is taken or not by a hash, so that about ``sample_bytes`` (a documented bound of
+the sample; every record is compressed with the dictionary) reach the one task
+that builds it, and the dictionary alone goes through the driver. A task writes
+files of at most ``FILE_ROWS`` bundles of about ``BUNDLE`` bytes, so no file is
+read whole that is larger than that or than one record. Files are written by
+Spark's text writer, which puts a separator after each row: that separator is an
+empty skippable frame, which readers of Zstandard ignore, so the files are plain
+.warc.zst archives in any store Spark writes to.
+
+Defined cases: a null html is an empty payload, a null url an empty one; a very
+long page is one record; a null id is less than any other, and repeated rows
+with the largest id are each a response, of which revisits name the first;
+record ids are unique; an empty table makes no archive and reads back as no
+rows; other columns are ignored. Control characters in a url are dropped.
 """
 
 from __future__ import annotations
@@ -36,21 +41,35 @@ from pyspark.sql import functions as F
 from ..plans.session import cut, shared_dir
 
 DICTIONARY_MAGIC, EMPTY_FRAME = 0x184D2A5D, "P*M\x18\0\0\0\0"  # the latter: 0x184D2A50 and a length of 0
+PIECE, BUNDLE, FILE_ROWS = 16 << 10, 1 << 20, 64
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 READ = "page_id {0}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {0}, payload binary, intact boolean"
 
 
 def decided(pages: DataFrame, least: int = 1000, broadcast_rows: int = 200_000) -> DataFrame:
-    """page_id, url, payload, payload_digest, record_type, refers_to."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("payload_bytes"))
+    """page_id, url, payload, payload_digest, record_type, refers_to, copy (null: the one that others refer to)."""
+    rows = _numbered(pages).withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload"))
     large = rows.where(F.col("payload_bytes") >= least)
     same = cut(large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     # Groups of copies are broadcast only when they are counted to be few.
     same = F.broadcast(same) if same.count() <= broadcast_rows else same
     both = rows.join(same, ["payload_digest", "payload_bytes"], "left")
     again = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    return both.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return both.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "copy")
+
+
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``pages`` with copy: null for the first row of a page id and payload, else a number of its own.
+
+    Rows that repeat an id and payload are found by digests; mostly there are none.
+    """
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("__no"))
+    key = [F.col("page_id").alias("__id"), F.sha1("payload").alias("__sha")]
+    twice = cut(rows.groupBy(*key).agg(F.min("__no").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    if twice.isEmpty():
+        return rows.withColumn("copy", F.lit(None).cast("long")).drop("__no")
+    both = rows.join(twice, F.col("page_id").eqNullSafe(F.col("__id")) & (F.sha1("payload") == F.col("__sha")), "left")
+    return both.withColumn("copy", F.when(F.col("__no") != F.col("__first"), F.col("__no"))).drop("__no", "__id", "__sha", "__first")
 
 
 def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -58,15 +77,16 @@ def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _name(page: object) -> str:
-    return f"<{uuid.uuid5(SPACE, f'page:{page}').urn}>"
+def _name(*parts: object) -> str:
+    return f"<{uuid.uuid5(SPACE, ':'.join(map(str, parts))).urn}>"
 
 
-def page_record(page: object, url: str | None, payload: bytes, digest: str, kind: str, refers: object, date: str) -> bytes:
+def page_record(page: object, url: str | None, payload: bytes, digest: str, kind: str, refers: object, copy: int | None, date: str) -> bytes:
     clean = "".join(c for c in url or "" if c >= " " and c != "\x7f")
-    fields = [("WARC-Record-ID", _name(page)), ("WARC-Date", date), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page is None else str(page))]
+    own = ("page", page, digest) if copy is None else ("page", page, digest, copy)
+    fields = [("WARC-Record-ID", _name(*own)), ("WARC-Date", date), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page is None else str(page))]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers)), ("X-Refers-To-Page-ID", str(refers))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name("page", refers, digest)), ("X-Refers-To-Page-ID", str(refers))]
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     return _record(kind, [*fields, ("Content-Type", "application/http;msgtype=response")], head + (payload if kind == "response" else b""))
 
@@ -78,38 +98,65 @@ def _dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDic
         return zstandard.ZstdCompressionDict(b"".join(samples)[-size:].rjust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive(rows: DataFrame, path: str, level: int = 3, dictionary_bytes: int = 64 << 10, sample_bytes: int = 2 << 20, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write ``decided`` rows into the new folder ``path``, an archive file per partition."""
+ROW = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "copy")
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[bytes] = []
-        press: zstandard.ZstdCompressor | None = None
 
-        def begun() -> list[bytes]:
-            nonlocal press
-            d = _dictionary(waiting, dictionary_bytes)
-            press = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=True)
-            info = _record("warcinfo", [("WARC-Record-ID", _name("info")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            raw = d.as_bytes()
-            return [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw, *map(press.compress, [info, *waiting])]
+def dictionary(rows: DataFrame, size: int, sample_bytes: int, date: str) -> bytes:
+    """A dictionary of at most ``size`` bytes from pieces of all of ``rows``."""
+    total = rows.agg(F.sum(F.octet_length("payload") + F.lit(600))).first()[0] or 0
+    share = min(1.0, sample_bytes / max(1, total))
+    places = F.sequence(F.lit(0), F.floor(F.octet_length("payload") / PIECE).cast("int"))
+    chosen = F.filter(places, lambda k: F.pmod(F.xxhash64("page_id", "url", "payload_digest", k), F.lit(1 << 30)) < int(share * (1 << 30)))
+    pieces = rows.withColumn("__k", F.explode(chosen)).withColumn("payload", F.substring("payload", F.col("__k") * PIECE + 1, F.lit(PIECE)))
+    order = F.xxhash64("page_id", "url", "payload_digest", "__k")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = [page_record(*row, date) for b in batches for row in zip(*(b[c].to_pylist() for c in ROW), strict=True)]
+        if samples:
+            yield pa.RecordBatch.from_arrays([pa.array([_dictionary(samples, size).as_bytes()], pa.binary())], ["dictionary"])
 
+    one = pieces.select(*ROW, order.alias("__o")).repartition(1).sortWithinPartitions("__o", "page_id", "url")
+    found = one.mapInArrow(learn, "dictionary binary").first()
+    return bytes(found[0]) if found else b" " * 8
+
+
+def archive(rows: DataFrame, path: str, level: int = 3, dictionary_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write ``decided`` rows into the new folder ``path``, archive files of up to ``FILE_ROWS`` bundles."""
+    raw, run = dictionary(rows, dictionary_bytes, sample_bytes, date), uuid.uuid4().hex
+    file_rows = FILE_ROWS
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=True)
+        held: list[bytes] = []
+
+        def bundle() -> pa.RecordBatch:
+            """The next row; each file's first begins with the dictionary and a warcinfo."""
+            nonlocal made
+            head = []
+            if made % file_rows == 0:
+                info = [("WARC-Record-ID", _name("info", run, task, made)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+                head = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw, press.compress(_record("warcinfo", info, b"format: WARC File Format 1.1\r\n"))]
+            made += 1
+            row = b"".join(head + held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["frame"])
+
+        size = 0
         for b in batches:
-            out: list[bytes] = []
-            for row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")), strict=True):
-                record = page_record(*row, date)
-                if press:
-                    out.append(press.compress(record))
-                    continue
-                waiting.append(record)
-                if sum(map(len, waiting[-1:])) and sum(map(len, waiting)) >= sample_bytes:
-                    out += begun()
-                    waiting.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-        if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array(begun(), pa.binary())], ["frame"])
-
-    made = rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").mapInArrow(frames, "frame binary")
-    made.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)
+            for row in zip(*(b[c] for c in ROW), strict=True):
+                held.append(press.compress(page_record(*(x.as_py() for x in row), date)))
+                size += len(held[-1])
+                if size >= BUNDLE:
+                    yield bundle()
+                    size = 0
+        if held:
+            yield bundle()
+
+    made = rows.select(*ROW).mapInArrow(frames, "frame binary")
+    made.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", file_rows).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -243,6 +243,43 @@ def test_archive_files_are_plain_zstandard_with_a_leading_dictionary(spark, tmp_
     assert first.decompress(data[8 + size :][8:] if data[8 + size : 12 + size] == b"P*M\x18" else data[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_archives_roll_over_and_ids_are_unique(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_ROWS", 3)
+    path = f"file://{tmp_path}/rolled"
+    rng = random.Random(3)
+    long = "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(2_500_000))
+    rows = [(i, f"http://h/{i}", long[i * 9000 : (i + 1) * 9000], "c", 1) for i in range(250)] + [(999, "u", long, "c", 1)] + [(7, "twice", "y" * 2000, "c", 1)] * 3 + [(6, "v", "y" * 2000, "c", 1)]
+    warc.archive(warc.decided(pages(spark, rows).coalesce(1)), path)
+    files = [p.read_bytes() for p in (tmp_path / "rolled").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 1 and all(int.from_bytes(f[:4], "little") == warc.DICTIONARY_MAGIC for f in files)
+    found = [fields for f in files for fields, _ in warc.records(f)]
+    ids = [f["warc-record-id"] for f in found]
+    assert len(ids) == len(set(ids)) == len(rows) + len(files)
+    again = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(again) == 1 and again[0]["warc-refers-to"] in ids
+    back = {(r.page_id, r.payload_bytes): r for r in warc.read(spark, path).collect()}
+    assert bytes(back[999, len(long.encode())].payload) == long.encode()
+
+
+def test_archive_dictionary_samples_every_part(spark):
+    """Pieces of all the table, not its beginning, and of all of a long page."""
+    rows = [(i, "u", f"<p>early words {i}</p>" * 200, "c", 1) for i in range(300)] + [(1000, "u", "x" * 3_000_000 + "<q>rare late passage of the page</q>" * 30_000, "c", 1)]
+    known = warc.dictionary(warc.decided(pages(spark, rows).coalesce(1)), 64 << 10, 1 << 20, "1970-01-01T00:00:00Z")
+    assert b"early words" in known and b"late passage" in known and len(known) <= 64 << 10
+
+
+def test_archive_query_equals_plain_hashing(spark, small):
+    html = {r.page_id: (r.html or "").encode() for r in table(spark, small, "pages").collect()}
+    last = {}
+    for i, data in html.items():
+        last[data] = max(i, last.get(data, i))
+    for r in queries.op8_warc(spark, small).collect():
+        data = html.pop(r.page_id)
+        again = len(data) >= 1000 and last[data] != r.page_id
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", last[data] if again else None)
+    assert not html
+
+
 def test_pages_are_laid_out():
     html = """<!doctype html><head><title>T</title><style>.x{display:none} p{margin:0}</style><script>var a="</p>";</script></head><body><h1>Head  line</h1><p>One <b>two</b>
 three<p hidden>no</p><p class=x>no2<p>Four &amp; five<br>six<ul><li>a<li>b<ol><li>c<li>d</ol><li><p>e</p></ul>
