@@ -9,16 +9,20 @@ with one of the same, half or twice the block size. Likeness is by edit distance
 block size: 1 - distance / (sum of lengths). Signatures of different texts that
 share no run of ``RUN`` letters (or of the shorter one's length) have likeness 0.
 
-Documents follow each other by falling id (nulls last, ties by falling XXH64 of the text);
-after the last comes the first.
-
-Scale: ids are dealt to ranges by quantiles of the ids alone; each range is sorted and
-read as a stream that holds two documents, and the first document of a range is
-also sent to the range before it. Rows move once, with their texts compressed.
-
-Defined cases: a null text is empty (one empty chunk); a single document is its
-own next; repeated rows each get a row; an empty table gives an empty result;
-other columns are ignored.
+Documents follow each other by falling id of any type that has an order (nulls
+last, ties by falling XXH64 of the text); after the last comes the first.
+
+Scale: rows move once, with their texts compressed, to ranges of (id, tie, row
+number) that Spark samples, so repeated ids and rows spread. Each range is sorted
+and read as a stream that holds two documents. What is done is stored, and with
+it the first and last document of every range; these few rows meet those of the
+next range in a join of range numbers. Only the numbers of ranges that have rows
+go through the driver.
+
+Defined cases: a null text is empty (one empty chunk); a very long one is hashed
+in steps; a single document is its own next; repeated rows each get a row and
+follow each other; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +35,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import stored
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, MOST, RUN, FIRST = 7, 64, 5, 3
 STEP = 1 << 20
-FEW = 100_000  # ranges whose first ids are broadcast; more are joined by shuffle
 
 
 def _triggers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -119,70 +123,81 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
-def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame:
-    """range (rises with id; -1: null id), doc_id, tie, packed, extra: with the first row of the next range as an extra last row.
-
-    Texts move compressed, each by itself.
-    """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / range_bytes))
-    bounds = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], np.float64))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+TYPES = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
 
-    def place(ids: pa.Array) -> pa.Array:
-        known = ids.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(bounds, known, "right")), pa.int32())
 
-    def only_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([place(b.column(0)), b.column(0)], ["range", "doc_id"])
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, no, packed: each text compressed by itself."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
         for b in batches:
-            packed = pa.array([press.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([place(b.column(0)), b.column(0), b.column(1), packed], ["range", "doc_id", "tie", "packed"])
-
-    first = docs.select("doc_id").mapInArrow(only_place, f"range int, doc_id {kind}").groupBy("range").agg(F.max("doc_id").alias("doc_id"))  # a row for each range
-    order = Window.orderBy("range")
-    before = cut(first.select("doc_id", "range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("to")))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
-    head = before.select(F.col("doc_id").alias("head"))
-    heads = (
-        docs.alias("r")
-        .join(F.broadcast(head) if n <= FEW else head, F.col("r.doc_id").eqNullSafe(F.col("head")), "left_semi")
-        .select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-        .mapInArrow(pack, f"range int, doc_id {kind}, tie long, packed binary")
-        .groupBy("range", "doc_id")
-        .agg(F.max(F.struct("tie", "packed")).alias("top"))
-        .join(before.select("range", "to"), "range")
-        .select(F.col("to").alias("range"), "doc_id", "top.tie", "top.packed")
-    )
-    return rows.withColumn("extra", F.lit(False)).unionByName(heads.withColumn("extra", F.lit(True)))
+            packed = pa.array([press.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["doc_id", "tie", "no", "packed"])
+
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("no"), "text")
+    return rows.mapInArrow(pack, f"doc_id {kind}, tie long, no long, packed binary")
+
+
+def _row(one: object, text: str, own: str, after: str, next_own: str) -> tuple:
+    changed = edited(text, after)
+    new = fingerprint(changed)
+    return one, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, new, likeness(own, new), likeness(own, next_own)
 
 
 def compared(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    made = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.desc_nulls_last("doc_id"), F.desc("tie"), F.asc("no")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # range, id, text and fingerprint of a row that waits for its next
+        part, last, unpack = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor()
+        id_type = None
+
+        def built(rows: list[tuple], edge: str) -> pa.RecordBatch:
+            """Done rows, or one that is the first or last of its range."""
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            arrays = [pa.array(c, t) for c, t in zip(cols[:7], [id_type, *TYPES], strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(rows), pa.int32()), pa.array([edge] * len(rows), pa.string()), pa.array(cols[7], pa.binary())], [*NAMES, "part", "edge", "packed"])
+
+        def waits(row: tuple, edge: str) -> pa.RecordBatch:
+            return built([(row[0], len(row[1]), None, row[2], None, None, None, row[3])], edge)
+
+        for b in batches:
+            out, id_type = [], b["doc_id"].type
+            for one, packed in zip(b["doc_id"], b["packed"], strict=True):
+                packed = packed.as_py()
+                text = unpack.decompress(packed).decode("utf-8", "surrogatepass")
+                own = last[2] if last and last[1] == text else fingerprint(text)
+                now = (one.as_py(), text, own, packed)
+                if last:
+                    out.append((*_row(*last[:3], text, own), None))
+                else:
+                    yield waits(now, "first")
+                last = now
+            yield built(out, "")
+        if last:
+            yield waits(last, "last")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            out = []
-            for span, one, packed, extra in zip(b["range"].to_pylist(), b["doc_id"].to_pylist(), b["packed"], b["extra"].to_pylist(), strict=True):
-                text = unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
-                own = last[3] if last and last[2] == text else fingerprint(text)
-                if last and last[0] == span:
-                    changed = edited(last[2], text)
-                    new = fingerprint(changed)
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), last[3], new, likeness(last[3], new), likeness(last[3], own)))
-                last = None if extra else (span, one, text, own)
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            types = [b["doc_id"].type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    rows = _ranged(docs.select("doc_id", "text"), range_bytes)
-    sorted_ = rows.repartition(F.col("range")).sortWithinPartitions("range", "extra", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return sorted_.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            rows = []
+            for one, own, packed, next_own, after in zip(*(b[c].to_pylist() for c in ("doc_id", "fingerprint", "packed", "next_own", "after")), strict=True):
+                text, then = (unpack.decompress(x).decode("utf-8", "surrogatepass") for x in (packed, after))
+                rows.append(_row(one, text, own, then, next_own))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b["doc_id"].type, *TYPES], strict=True)], NAMES)
+
+    ranged = _packed(docs).repartitionByRange(max(1, math.ceil(total / range_bytes)), *order).sortWithinPartitions(*order)
+    out = stored(ranged.select("doc_id", "packed").mapInArrow(run, f"{made}, part int, edge string, packed binary"), "ctph")
+    parts = sorted(r.part for r in out.where("edge = 'last'").select("part").collect())
+    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    firsts = out.where("edge = 'first'").select(F.col("part").alias("next"), F.col("fingerprint").alias("next_own"), F.col("packed").alias("after"))
+    ends = out.where("edge = 'last'").select("part", "doc_id", "fingerprint", "packed").join(after, "part").join(firsts, "next")
+    return out.where("edge = ''").select(*NAMES).unionByName(ends.select("doc_id", "fingerprint", "packed", "next_own", "after").mapInArrow(joined, made))

@@ -246,6 +246,88 @@ def test_ctph_follows_ids_down(spark, range_bytes):
     assert all(r.fingerprint == ctph.fingerprint(dict(rows)[r.doc_id]) for r in out if r.doc_id != 6)
 
 
+@pytest.mark.parametrize("kind", ["string", "large"])
+def test_ctph_takes_ids_of_any_order(spark, kind):
+    ids = ["b", "a", None, "é", "a"] if kind == "string" else [1 << 60, (1 << 60) + 1, None, 5, (1 << 60) + 1]
+    texts = ["first text of some words " * 40, "second text " * 90, "third " * 70, "fourth one " * 50, "second text " * 90]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(3)
+    rows = sorted(((i, t) for i, t in zip(ids, texts, strict=True) if i is not None), key=lambda r: r[0].encode() if kind == "string" else r[0], reverse=True) + [(None, texts[2])]
+    want = collections.Counter((i, hashlib.sha256(ctph.edited(t, rows[(k + 1) % 5][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows))
+    for size in (1 << 24, 700):
+        assert collections.Counter((r.doc_id, r.edited_sha256) for r in ctph.compared(d, range_bytes=size).collect()) == want
+
+
+def test_ctph_repeated_rows_spread(spark):
+    same = spark.range(400).selectExpr("3 AS doc_id", "repeat('all the same text ', 20) AS text")
+    out = ctph.compared(same, range_bytes=10_000).collect()
+    assert len(out) == 400 and {(r.near_next, r.edited_sha256) for r in out} == {(1.0, out[0].edited_sha256)}
+
+
+def plain_signature(text):
+    """Chunks by a loop: the rolling hash afresh for every byte, every block size tried in turn."""
+    data, marks = (text or "").encode(), []
+    for i in range(len(data)):
+        w = [data[i - k] if i >= k else 0 for k in range(7)]
+        mixed = 0
+        for k in range(7):
+            mixed ^= w[k] << 5 * k & 0xFFFFFFFF
+        marks.append((sum(w) + sum((7 - k) * w[k] for k in range(7)) + mixed + 1) & 0xFFFFFFFF)
+    block = 3
+    while sum(m % block == 0 for m in marks) >= 64:
+        block *= 2
+
+    def letters(n):
+        out, start = "", 0
+        for i, m in enumerate(marks):
+            if m % n == 0:
+                out += ctph.LETTERS[xxhash.xxh32_intdigest(data[start : i + 1]) % 64]
+                start = i + 1
+        return out + (ctph.LETTERS[xxhash.xxh32_intdigest(data[start:]) % 64] if start < len(data) or not data else "")
+
+    return block, letters(block), letters(2 * block)
+
+
+def plain_likeness(one, other):
+    if one == other:
+        return 1.0
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        run = min(5, len(a), len(b))
+        if not any(a[i : i + run] == b[j : j + run] for i in range(len(a) - run + 1) for j in range(len(b) - run + 1)):
+            return 0.0
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (0 if x == y else 2))
+        return 1 - row[-1] / (len(a) + len(b))
+
+    (n, a1, a2), (m, b1, b2) = one, other
+    if n == m:
+        return max(alike(a1, b1), alike(a2, b2) if min(len(a2), len(b2)) > 5 else 0.0)
+    return alike(a1, b2) if n == 2 * m else alike(a2, b1) if m == 2 * n else 0.0
+
+
+def test_ctph_query_equals_brute_force(spark, small):
+    from junctura.llm import queries
+
+    rows = sorted(((r.doc_id, r.text or "") for r in table(spark, small, "documents").collect()), reverse=True)
+    out = {r.doc_id: r for r in queries.op5_ctph(spark, small).collect()}
+    assert len(out) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 3
+        changed = t[: len(t) - n] + after[:n]
+        assert (out[i].n_chars, out[i].edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        if len(t) > 4000 or len(after) > 4000:  # the loop is slow
+            continue
+        own, new, then = plain_signature(t), plain_signature(changed), plain_signature(after)
+        assert out[i].fingerprint == ":".join(map(str, own)) and out[i].edited_fingerprint == ":".join(map(str, new))
+        assert out[i].near_edited == pytest.approx(plain_likeness(own, new)) and out[i].near_next == pytest.approx(plain_likeness(own, then))
+
+
 def test_ctph_rolls_like_a_loop():
     data = bytes(random.Random(4).randrange(256) for _ in range(3000))
     hits = []
