@@ -28,43 +28,92 @@ def key(x):
     return (x is None, x or 0)
 
 
-def test_lm_is_the_counted_model(spark):
-    out = sorted(lm.score(docs(spark), block_bytes=40_000).collect(), key=lambda r: (key(r.doc_id), r.n_tokens))
-    rows = sorted(ROWS, key=lambda r: (key(r[0]), len((r[1] or "").split())))
+def plain_scores(rows, order, mu, spread):
+    """(id, held out, tokens, known, N, base, score) by counting and the formula alone."""
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    assert any(held) and not all(held)
     tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
-    c, b = collections.Counter(), collections.Counter()
+    c = collections.Counter()
     for h, t in zip(held, tokens, strict=True):
         if not h:
-            c.update(t)
-            b.update(zip([None, *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    assert len(out) == len(rows)
-    for r, h, t in zip(out, held, tokens, strict=True):
-        uni = [(c[w] + 1) / (n + v + 1) for w in t]
-        two = [(b[p, w] + (c[p] + 3) * u) / (2 * c[p] + 3) for p, w, u in zip([None, *t], t, uni, strict=False)]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, uni)), abs=1e-6)
-        assert r.score == pytest.approx(sum(map(math.log10, two)), abs=1e-6)
+            c.update((w,) for w in t)
+            for k in range(2, order + 1):
+                c.update(tuple([None, *t][i : i + k]) for i in range(len(t) + 2 - k))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram] + 1) / (n + v + 1)
+        before = c[gram[:-1]]
+        k = min(len(gram) - 2, len(mu) - 1)
+        m = mu[k] + spread[min(len(gram) - 2, len(spread) - 1)] * before
+        return (c[gram] + m * p(gram[1:])) / (before + m) if before else p(gram[1:])
+
+    out = []
+    for (i, _), h, t in zip(rows, held, tokens, strict=True):
+        padded = [None, *t]
+        each = [p(tuple(padded[max(0, k + 2 - order) : k + 2])) if order > 1 else p((w,)) for k, w in enumerate(t)]
+        score = sum(math.log10(x) if x else -math.inf for x in each)
+        out.append((i, h, len(t), sum(c[w,] > 0 for w in t), n, sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in t), score))
+    return out
+
+
+def equal_scores(got, want):
+    rank = lambda r: (key(r[0]), r[2], round(r[5], 6))
+    got, want = sorted(map(tuple, got), key=rank), sorted(want, key=rank)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], abs=1e-6)
+
+
+@pytest.mark.parametrize(("order", "mu", "spread"), [(1, (1.0,), (0.0,)), (2, (3.0,), (1.0,)), (3, (10.0, 0.5), (3.0, 0.8)), (4, (2.0, 0.0, 1.0), (0.0, 0.5)), (3, (0.0,), (0.0,))])
+def test_lm_is_the_counted_model(spark, order, mu, spread):
+    out = lm.score(docs(spark), order, mu, spread, block_bytes=40_000).collect()
+    equal_scores(out, plain_scores(ROWS, order, mu, spread))
+    assert any(r.held_out for r in out) and not all(r.held_out for r in out)
+
+
+def test_lm_blocks_meet_through_routers_and_long_texts_in_lanes(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.2))}" for _ in range(rng.randrange(60)))) for i in range(150)]
+    rows += [(1000, " ".join(f"W{int(rng.expovariate(0.1))}" for _ in range(3000)))] + rows[:5]
+    monkeypatch.setattr(lm, "LANE", 100)
+    for fan in (3, 1024):
+        out = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block_bytes=1500, fan=fan).collect()
+        equal_scores(out, plain_scores(rows, 3, lm.MU, lm.SPREAD))
+
+
+def test_lm_query_equals_brute_force(spark, small):
+    from junctura.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in table(spark, small, "documents").collect()]
+    equal_scores(queries.op1_lm_scoring(spark, small).collect(), plain_scores(rows, 3, lm.MU, lm.SPREAD))
 
 
-def test_lm_sums_to_one_and_takes_longer_contexts():
+def test_lm_sums_to_one():
     texts = ["a b a b c", "a c b", "b"]
     for order in (1, 2, 3):
-        block = lm.Block(texts, order)
-        counts = block.counts(np.array([True] * 3))
-        n, v = int(counts[0].sum()), len(counts[0])
         for history in (["a"], ["a", "b"], ["b", "a", "b"]):
             total = 0.0
             for w in ("a", "b", "c", None, "unseen"):
-                probe = lm.Block([*texts, " ".join([*history, w] if w else history)], order)
-                held = np.array([True] * 3 + [False])
-                auto = lm.Automaton(probe, probe.counts(held), n, v, 1.0, 3.0)
-                total += 10 ** auto.traverse()[probe.starts[3] + len(history)]
+                block = lm.Block(*lm.tokenised([*texts, " ".join([*history, w] if w else history)]), order)
+                counts = block.own(np.array([True] * 3 + [False]))
+                auto = lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), lm.MU, lm.SPREAD)
+                total += 10 ** auto.traverse()[block.starts[3] + len(history)]
             assert total == pytest.approx(1.0)
 
 
+def test_lm_states_and_failure_arcs():
+    block = lm.Block(*lm.tokenised(["a b c", "a b d", "x b e"]), 3)
+    counts = block.own(np.array([True, True, False]))
+    auto = lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), (2.0,))
+    at = int(block.starts[0]) + 1  # "a b" ends here
+    state, b = int(auto.numbers[1, at]), int(auto.numbers[0, at])
+    assert auto.seen[state] and auto.shorter[state] == b and auto.shorter[b] == 0
+    assert auto.failure[state] == pytest.approx(math.log10(2 / (2 + 2)))
+    odd = int(block.starts[2]) + 1  # "x b" was never seen: no state, and the text is in the state "b"
+    assert not auto.seen[auto.numbers[1, odd]]
+
+
 def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
 
