@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from ..plans.session import stored
 
 END = b""
-LANE = 1024
+LANE, SOME = 1024, 1 << 18  # tokens of a lane, words held as such
 MU, SPREAD = (10.0, 0.5), (3.0, 0.8)  # for word pairs, and for longer n-grams
 _ASK = "block long, rank int, shard long, keys binary, counts binary"
 _ASKED = pa.schema([("block", pa.int64()), ("rank", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -93,15 +93,19 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word numbers of all texts (0: an end), tokens of each text, and the words from number 1."""
-    words, lengths = [], np.zeros(len(texts), np.int32)
+    words, lengths, parts = [], np.zeros(len(texts), np.int32), []
     for i, t in enumerate(texts):
         mine = (t or "").encode("utf-8", "surrogatepass").lower().split()
         lengths[i] = len(mine) + 1
         words.append(END)
         words += mine
-    coded = pa.array([*words, END], pa.binary()).dictionary_encode()
+        if len(words) > SOME:
+            parts.append(pa.array(words, pa.binary()))
+            words = []
+    coded = pa.chunked_array([*parts, pa.array([*words, END], pa.binary())]).dictionary_encode()
     # Each text's end is put before its words above, so the first word is the end; now it goes behind them.
-    return coded.indices.to_numpy()[1:].astype(np.int32), lengths, coded.dictionary.to_pylist()[1:]
+    numbers = np.concatenate([c.indices.to_numpy() for c in coded.chunks])[1:].astype(np.int32)
+    return numbers, lengths, coded.chunk(coded.num_chunks - 1).dictionary.to_pylist()[1:]
 
 
 class Block:
@@ -185,6 +189,7 @@ class Automaton:
                 m = mu[min(k, len(mu) - 1)] + spread[min(k, len(spread) - 1)] * c
                 failure.append(np.log10(m / (c + m)))
         self.block, self.order = block, len(counts)
+        block.grams, block.prefix, block.suffix = [], [], []  # done with; the arrays below take their room
         self.seen, self.arc, self.failure, self.shorter = map(np.concatenate, (seen, arc, failure, shorter))
         self.numbers = np.stack([p + f for p, f in zip(block.places, first, strict=False)])  # n-gram by length and token
         self.end = block.end + 1
@@ -346,7 +351,7 @@ def summed(asked: DataFrame, blocks: int, parts: int, fan: int) -> DataFrame:
     return both.applyInArrow(passed_on, _ANSWER).unionByName(told.where("block < 0"))
 
 
-def score(docs: DataFrame, order: int = 3, mu: tuple[float, ...] = MU, spread: tuple[float, ...] = SPREAD, block_bytes: int = 20 << 20, fan: int = 1024) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, mu: tuple[float, ...] = MU, spread: tuple[float, ...] = SPREAD, block_bytes: int = 12 << 20, fan: int = 1024) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     blocks = stored(_blocks(docs, block_bytes), "lm-blocks")
@@ -390,14 +395,16 @@ def score(docs: DataFrame, order: int = 3, mu: tuple[float, ...] = MU, spread: t
         row = d.to_pylist()[0]
         b, train = _loaded(row, order)
         counts, _ = b.totals(b.own(train), answers(a, order))
+        known = (counts[0] > 0)[b.places[0]].astype(np.int64)
         auto = Automaton(b, counts, n, v, mu, spread)
+        del counts, row, a
         over = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x[:0]
         return pa.table(
             {
                 "doc_id": d["doc_ids"].combine_chunks().flatten(),
                 "held_out": ~train,
                 "n_tokens": b.lengths,
-                "n_known": over((counts[0] > 0)[b.places[0]].astype(np.int64)),
+                "n_known": over(known),
                 "train_tokens": np.full(len(b.lengths), n, np.int64),
                 "base_score": over(auto.base()),
                 "score": over(auto.traverse()),
