@@ -174,23 +174,24 @@ class Automaton:
 
     def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, mu: tuple[float, ...], spread: tuple[float, ...] = (0.0,)):
         first = np.cumsum([1, *map(len, block.grams)])
-        seen, arc, failure, shorter = [np.ones(1, bool)], [np.zeros(1)], [np.zeros(1)], [np.zeros(1, np.int32)]
+        self.block, self.order = block, len(counts)
+        self.seen, self.shorter = np.ones(first[-1], bool), np.zeros(first[-1], np.int32)
+        self.arc, self.failure = np.zeros(first[-1]), np.zeros(first[-1])
         with np.errstate(divide="ignore", invalid="ignore"):
             for k, c in enumerate(counts):
-                seen.append(c > 0)
+                here = slice(first[k], first[k + 1])
+                self.seen[here] = c > 0
                 if k == 0:
-                    arc.append(np.log10((c + 1.0) / (n + v + 1.0)))
-                    shorter.append(np.zeros(len(c), np.int32))
+                    self.arc[here] = np.log10((c + 1.0) / (n + v + 1.0))
                 else:
+                    self.shorter[here] = block.suffix[k] + first[k - 1]
                     before = counts[k - 1][block.prefix[k]].astype(np.float64)
                     m = mu[min(k - 1, len(mu) - 1)] + spread[min(k - 1, len(spread) - 1)] * before
-                    arc.append(np.log10((c + m * np.power(10.0, arc[k][block.suffix[k]])) / (before + m)))
-                    shorter.append((block.suffix[k] + first[k - 1]).astype(np.int32))
-                m = mu[min(k, len(mu) - 1)] + spread[min(k, len(spread) - 1)] * c
-                failure.append(np.log10(m / (c + m)))
-        self.block, self.order = block, len(counts)
-        block.grams, block.prefix, block.suffix = [], [], []  # done with; the arrays below take their room
-        self.seen, self.arc, self.failure, self.shorter = map(np.concatenate, (seen, arc, failure, shorter))
+                    self.arc[here] = np.log10((c + m * np.power(10.0, self.arc[self.shorter[here]])) / (before + m))
+                if k + 1 < self.order:
+                    m = mu[min(k, len(mu) - 1)] + spread[min(k, len(spread) - 1)] * c
+                    self.failure[here] = np.log10(m / (c + m))
+        block.grams, block.prefix, block.suffix = [], [], []  # done with
         self.numbers = np.stack([p + f for p, f in zip(block.places, first, strict=False)])  # n-gram by length and token
         self.end = block.end + 1
 
@@ -351,7 +352,7 @@ def summed(asked: DataFrame, blocks: int, parts: int, fan: int) -> DataFrame:
     return both.applyInArrow(passed_on, _ANSWER).unionByName(told.where("block < 0"))
 
 
-def score(docs: DataFrame, order: int = 3, mu: tuple[float, ...] = MU, spread: tuple[float, ...] = SPREAD, block_bytes: int = 12 << 20, fan: int = 1024) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, mu: tuple[float, ...] = MU, spread: tuple[float, ...] = SPREAD, block_bytes: int = 6 << 20, fan: int = 1024) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     blocks = stored(_blocks(docs, block_bytes), "lm-blocks")
