@@ -62,6 +62,92 @@ def test_surrogates_are_distinct_and_drawn_again(spark, monkeypatch):
         assert len(set(new)) == len(new) and not set(new) & {r.norm for r in rows if r.kind == kind}
 
 
+def test_names_are_found_by_what_is_beside_them(spark):
+    rows = [
+        (1, "Priya Sharma met Kenji Tanaka and Emma Brown. Dear Aisha O'Neill, Dr. Chidi McAllister wrote. Later New York was cold."),
+        (2, "The hut of Priya Sharma stood there, and Emma Brown left; Mrs. Tanaka stayed in New York."),
+        (3, "Und Und Sich Sich Apache License General Public stay as they are."),
+    ]
+    out = {r.doc_id: r for r in pii.replaced(docs(spark, rows), "k", count="n").collect()}
+    one, two = out[1].text, out[2].text
+    for gone in ("Priya", "Sharma", "Kenji", "Tanaka", "Emma", "Brown", "Aisha", "Neill", "Chidi", "McAllister"):
+        assert gone not in one + two
+    assert "New York was cold" in one and one.startswith(two.split(" of ")[1].split(" stood")[0] + " met ")
+    given, family = re.match(r"(\S+) (\S+) met ", one).groups()
+    assert given.endswith("a") and f"{given} {family} stood" in two
+    tanaka = re.search(r" met \S+ (\S+) and ", one)[1]
+    assert f"Mrs. {tanaka} stayed" in two and out[3].n == 0 and out[3].text == rows[2][1]
+
+
+def test_accounts_addresses_and_national_numbers(spark):
+    text = "IBAN GB82 WEST 1234 5698 7654 32, bad GB82 WEST 1234 5698 7654 33; host 2001:db8::8a2e:370:7334 at 12:30:45; call 020 7946 0958 or (020) 7946 0958."
+    out = pii.replaced(docs(spark, [(1, text)]), "k").first().text
+    account = re.search(r"IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d),", out)[1].replace(" ", "")
+    assert account != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert "GB82 WEST 1234 5698 7654 33" in out and "12:30:45" in out and "2001:db8::8a2e" not in out
+    assert re.search(r"host [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} at", out)
+    plain, bracketed = re.search(r"call (0\d\d \d{4} \d{4}) or \((0\d\d\) \d{4} \d{4})\.", out).groups()
+    assert plain == bracketed.replace(")", "") != "020 7946 0958"
+
+
+def test_domains_stay_distinct_and_equal_ones_equal(spark):
+    domains = [f"{a}{b}.com" for a in "abcdefgh" for b in "abcdefgh"]
+    rows = [(i, f"x{i % 3}@{d} and y@{d}") for i, d in enumerate(domains)]
+    out = {r.doc_id: r.text for r in pii.replaced(docs(spark, rows), "k").collect()}
+    new = {}
+    for i, d in enumerate(domains):
+        a, b = re.fullmatch(r"\S+@(\S+) and \S+@(\S+)", out[i]).groups()
+        assert a == b and a.endswith(".com") and a not in domains
+        new[d] = a
+    assert len(set(new.values())) == len(domains)
+
+
+def test_forms_without_room_pass_their_values_on(spark):
+    every = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    rows = pii.surrogates(spark.createDataFrame([*every, ("ip", "8.8.8.8"), ("ssn", "123456789")], "kind string, norm string"), "k").collect()
+    new = {(r.kind, r.norm): r.surrogate for r in rows}
+    assert len(new) == len(every) + 2 and len({(k, s) for (k, _), s in new.items()}) == len(new)
+    assert all(s != n for (_, n), s in new.items()) and all(s.startswith("192.168.") for (_, n), s in new.items() if n.startswith("192.168."))
+
+
+def plain_entities(text):
+    """An independent detector of the planted kinds: by looking at words, not by the operator's pattern."""
+    found = set()
+    for w in re.split(r"[\s,;()<>\"']+", text or ""):
+        w = w.strip(".:!?*$%&#|=-")
+        if w.count("@") == 1 and "." in w.split("@")[1] and all(p for p in w.split("@")) and w.split("@")[1].rsplit(".", 1)[1].isalpha():
+            found.add(w)
+        if len(w) == 20 and w.startswith("AKIA") and w.isalnum() and w.upper() == w:
+            found.add(w)
+        parts = w.split(".")
+        if len(parts) == 4 and all(p.isdigit() and int(p) < 256 and (p == "0" or p[0] != "0") for p in parts):
+            found.add(w)
+    return found
+
+
+def test_no_entity_of_an_independent_detector_is_left(spark):
+    from junctura.llm import queries
+
+    d = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    out = {r.doc_id: r for r in queries.op6_pii(spark, "/root/testdata/sf0.01").collect()}
+    want = {i: e for i, t in d.items() if (e := plain_entities(t))}
+    assert len(want) > 20 and len(out) == len(d)
+    for i, entities in want.items():
+        assert not [e for e in entities if e in out[i].text] and out[i].n_replaced >= len(entities)
+    assert all(out[i].text == d[i] for i in d if not out[i].n_replaced)
+
+
+def test_key_comes_from_the_session_or_chance(spark):
+    rows = [(1, "ann.bee@mail5.example.com")]
+    once = pii.replaced(docs(spark, rows)).first().text
+    assert once != pii.replaced(docs(spark, rows)).first().text
+    spark.conf.set(pii.KEY, "of the session")
+    try:
+        assert pii.replaced(docs(spark, rows)).first().text == pii.replaced(docs(spark, rows), "of the session").first().text
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
 def test_surrogates_differ_by_key_and_pattern_is_linear(spark):
     a, b = (pii.replaced(docs(spark, [(1, TEXT)]), key).first().text for key in "ab")
     assert a != b
