@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
 from .components import connected_components
 
 KEYS = ["chrom_a", "dir_a", "chrom_b", "dir_b"]
@@ -17,20 +18,34 @@ def group_events(junctions: DataFrame, read_length: int = 75, node: str = "node"
 
     Two candidates are linked if chromosomes and directions are the same and both
     junctions, widened by half a read, overlap; events are the connected
-    components, so row order does not matter. Equal junctions are compared once.
+    components, so row order does not matter.
+
+    Cells are one base wider than a link reaches, so all places of a cell are linked
+    and only cells are compared: with the next one along either junction by their
+    extremes, with the two diagonal ones by a sweep along the first junction that
+    keeps the nearest second one. No pair of places is ever made.
     """
     reach = 2 * math.ceil(read_length / 2)
-    w = reach + 1
-    places = junctions.groupBy(*KEYS, "coord_a", "coord_b").agg(F.min(node).alias("u"))
-    cell = lambda c: F.floor(F.col(c) / w)
-    a = places.withColumn("ca", cell("coord_a")).withColumn("cb", cell("coord_b"))
-    b = places.select(*KEYS, F.col("coord_a").alias("a2"), F.col("coord_b").alias("b2"), F.col("u").alias("v"), F.explode(F.sequence(cell("coord_a") - 1, cell("coord_a") + 1)).alias("ca"), cell("coord_b").alias("cb0"))
-    b = b.withColumn("cb", F.explode(F.sequence(F.col("cb0") - 1, F.col("cb0") + 1))).drop("cb0")
-    near = (F.abs(F.col("coord_a") - F.col("a2")) <= reach) & (F.abs(F.col("coord_b") - F.col("b2")) <= reach) & (F.col("u") < F.col("v"))
-    edges = a.join(b, [*KEYS, "ca", "cb"]).where(near).select("u", "v")
+    cell = lambda c: F.floor(F.col(c) / (reach + 1)).alias(f"c{c[-1]}")
+    at = [*KEYS, "ca", "cb"]
+    placed = junctions.select(*KEYS, "coord_a", "coord_b", F.col(node).alias("u"), cell("coord_a"), cell("coord_b"))
+    # One row a cell and place along the first junction: at most reach + 1 in a cell.
+    steps = cut(placed.groupBy(*at, "coord_a").agg(F.min("u").alias("u"), F.min("coord_b").alias("lo"), F.max("coord_b").alias("hi")))
+    cells = cut(steps.groupBy(*at).agg(F.min("u").alias("u"), F.min("coord_a").alias("a0"), F.max("coord_a").alias("a1"), F.min("lo").alias("b0"), F.max("hi").alias("b1")))
+    ahead = lambda da, db: cells.select(*KEYS, (F.col("ca") - da).alias("ca"), (F.col("cb") - db).alias("cb"), F.col("u").alias("v"), F.col("a0").alias("next_a"), F.col("b0").alias("next_b"))
+    edges = cells.join(ahead(1, 0), at).where(F.col("next_a") - F.col("a1") <= reach).select("u", "v")
+    edges = edges.unionByName(cells.join(ahead(0, 1), at).where(F.col("next_b") - F.col("b1") <= reach).select("u", "v"))
+    for turn in (1, -1):  # the diagonal cell above, and the one below with the second junction mirrored
+        b = lambda lo, hi: F.col(hi if turn > 0 else lo) * turn
+        here = steps.select(*at, (F.col("coord_a") + reach).alias("pos"), F.lit(1).alias("kind"), b("lo", "hi").alias("b"))
+        there = steps.select(*KEYS, (F.col("ca") - 1).alias("ca"), (F.col("cb") - turn).alias("cb"), F.col("coord_a").alias("pos"), F.lit(0).alias("kind"), b("hi", "lo").alias("b"))
+        sweep = Window.partitionBy(*at).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        nearest = F.min(F.when(F.col("kind") == 0, F.col("b"))).over(sweep)
+        met = here.unionByName(there).withColumn("near", nearest).where((F.col("kind") == 1) & (F.col("near") - F.col("b") <= reach)).select(*at).distinct()
+        edges = edges.unionByName(met.join(cells.select(*at, "u"), at).join(ahead(1, turn), at).select("u", "v"))
     comp = connected_components(edges)
-    named = places.join(comp, places["u"] == comp["node"], "left").select(*KEYS, "coord_a", "coord_b", F.coalesce("component", "u").alias("group_key"))
-    return junctions.join(named, [*KEYS, "coord_a", "coord_b"])
+    named = cells.join(comp, cells["u"] == comp["node"], "left").select(*at, F.coalesce("component", "u").alias("group_key"))
+    return junctions.withColumn("ca", cell("coord_a")).withColumn("cb", cell("coord_b")).join(named, at).drop("ca", "cb")
 
 
 def group_summary(members: DataFrame) -> DataFrame:
@@ -51,13 +66,16 @@ def group_summary(members: DataFrame) -> DataFrame:
 def group_ids(summary: DataFrame) -> DataFrame:
     """group_id by falling longest contig, then key.
 
-    Lengths are few, so events are counted by length, the counts are added up in
-    a window over lengths, and events are numbered within theirs: no sort of all events in one task.
+    Events are ranged by Spark over tasks and sorted there; the rows before a range
+    are added to a row's number in it. Only the ranges' sizes meet in one place.
     """
-    sizes = summary.groupBy("longest").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("longest", (F.sum("__n").over(Window.orderBy(F.desc("longest"))) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("longest").orderBy("group_key"))
-    return summary.select("group_key", "longest", within.alias("__k")).join(before, "longest").select("group_key", (F.col("__before") + F.col("__k")).alias("group_id"))
+    order = [F.desc("longest"), F.asc("group_key")]
+    ranged = summary.select("group_key", "longest").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(ranged.withColumn("__no", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__no", 33))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.col("__no").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "__part").select("group_key", (F.col("__before") + within).alias("group_id"))
 
 
 def member_letters(members: DataFrame) -> DataFrame:

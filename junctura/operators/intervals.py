@@ -1,9 +1,11 @@
 """Interval joins on closed ranges within a chromosome, by bins.
 
-Each range goes to the bins that it touches, so a range join becomes an equi-join
-on (chromosome, bin) with the overlap as a residual, and a pair is kept in its
-first common bin alone. Ranges over more than ``WIDE`` bins use bins ``WIDE``
-times as wide, so that long ranges do not multiply rows.
+Each range goes to the bins that it touches, so a range join becomes one equi-join
+on (chromosome, kind, bin) with the overlap as a residual, and a pair is kept in
+its first common bin alone. Ranges over more than ``WIDE`` bins use bins ``WIDE``
+times as wide, so that long ranges do not multiply rows. The kind says which of
+the two sides is wide, so two narrow ranges never meet in a wide bin: a narrow
+range is there for narrow ones in its bins and for wide ones in its wide bins.
 """
 
 from __future__ import annotations
@@ -15,8 +17,17 @@ WIDE = 32
 MODES = ("any", "full", "full_rev", "half")
 
 
-def _binned(df: DataFrame, s: str, e: str, width: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+def _binned(df: DataFrame, s: str, e: str, width: int, left: bool, name: str) -> DataFrame:
+    """``df`` with a row for each (kind, bin) that a range is in."""
+
+    def bins(kind: int, w: int) -> Column:
+        return F.transform(F.sequence(F.floor(F.col(s) / w), F.floor(F.col(e) / w)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+
+    own, other = (1, 2) if left else (2, 1)  # kinds where this side is the narrow one, the wide one
+    coarse = width * WIDE
+    wide = F.col(e) - F.col(s) >= coarse
+    keys = F.when(wide, F.concat(bins(other, coarse), bins(3, coarse))).otherwise(F.concat(bins(0, width), bins(own, coarse)))
+    return df.withColumn(name, F.explode(keys)).withColumn(f"{name}k", F.col(name)["kind"]).withColumn(name, F.col(name)["bin"])
 
 
 def _mode(mode: str, s1: str, e1: str, s2: str, e2: str) -> Column:
@@ -37,18 +48,13 @@ def overlap_join(left: DataFrame, right: DataFrame, mode: str = "any", width: in
     """
     r = right.withColumnRenamed(chrom, "__rc")
     (s1, e1), (s2, e2) = lr, rr
-    wide = lambda s, e: F.col(e) - F.col(s) >= WIDE * width
-    out = None
-    for lw, rw in ((False, False), (True, False), (False, True), (True, True)):
-        w = width * WIDE if lw or rw else width
-        a = _binned(left.where(wide(s1, e1) if lw else ~wide(s1, e1)), s1, e1, w, "__lb")
-        b = _binned(r.where(wide(s2, e2) if rw else ~wide(s2, e2)), s2, e2, w, "__rb")
-        first = F.floor(F.greatest(F.col(s1), F.col(s2)) / w)
-        j = a.join(b, (F.col(chrom) == F.col("__rc")) & (F.col("__lb") == F.col("__rb"))).where((F.col("__lb") == first) & _mode(mode, s1, e1, s2, e2))
-        out = j if out is None else out.unionByName(j)
+    a, b = _binned(left, s1, e1, width, True, "__lb"), _binned(r, s2, e2, width, False, "__rb")
+    first = F.floor(F.greatest(F.col(s1), F.col(s2)) / F.when(F.col("__lbk") == 0, width).otherwise(width * WIDE))
+    on = (F.col(chrom) == F.col("__rc")) & (F.col("__lbk") == F.col("__rbk")) & (F.col("__lb") == F.col("__rb"))
+    out = a.join(b, on).where((F.col("__lb") == first) & _mode(mode, s1, e1, s2, e2))
     # Length as its shorter side sees it: never more than either range.
     amount = F.least(F.col(e1) - F.greatest(F.col(s1), F.col(s2)), F.col(e2) - F.greatest(F.col(s1), F.col(s2)), F.col(e1) - F.col(s1), F.col(e2) - F.col(s2)) + 1
-    return out.withColumn("amount", amount).drop("__rc", "__lb", "__rb")
+    return out.withColumn("amount", amount).drop("__rc", "__lb", "__rb", "__lbk", "__rbk")
 
 
 def overlap_outer(left: DataFrame, right: DataFrame, key: list[str], only_unmatched: bool = False, **how: object) -> DataFrame:
@@ -106,6 +112,12 @@ def location_match(ours: DataFrame, theirs: DataFrame, buffer: int, key: str = "
     return a.join(b, on).where(far <= buffer).withColumn("distance", far).select(key, other, "distance")
 
 
+def sequence_join(wanted: DataFrame, sequences: DataFrame, key: str = "id", bases: str = "sequence") -> DataFrame:
+    """``key``, ``bases`` and conflict of the sequences that are wanted; conflict: the key has several different ones, of which the least stays."""
+    s = sequences.join(wanted.select(key).distinct(), key, "left_semi")
+    return s.groupBy(key).agg(F.min(bases).alias(bases), (F.min(bases) != F.max(bases)).alias("conflict"))
+
+
 def reference_lookup(ranges: DataFrame, reference: DataFrame, chunk: int, key: list[str]) -> DataFrame:
     """``bases`` of closed 1-based ranges (chrom, s, e) from reference(chrom, chunk_no, seq) of ``chunk`` bases each."""
     wanted = ranges.withColumn("chunk_no", F.explode(F.sequence(F.floor((F.col("s") - 1) / chunk), F.floor((F.col("e") - 1) / chunk))))
