@@ -59,6 +59,11 @@ def align_fraction(qstart, qend, query_len) -> Column:
     return (col(qend) - col(qstart) + 1).cast("double") / col(query_len)
 
 
+def gapped_align_fraction(match, mismatch, rep_match, query_len) -> Column:
+    """Aligned bases alone, as for alignments with gaps."""
+    return (col(match) + col(mismatch) + col(rep_match)).cast("double") / col(query_len)
+
+
 def interval_overlap(s1, e1, s2, e2) -> Column:
     """Shared positions of two closed intervals; below zero, the space between them."""
     return F.least(col(e1), col(e2)) - F.greatest(col(s1), col(s2)) + 1
@@ -183,6 +188,10 @@ def intersect_interval(s1, e1, s2, e2) -> Column:
     return F.when(s <= e, F.struct(s.alias("s"), e.alias("e")))
 
 
+def shift_interval(s, e, by) -> Column:
+    return F.struct((col(s) + by).alias("s"), (col(e) + by).alias("e"))
+
+
 def between_interval(s1, e1, s2, e2) -> Column:
     """What lies between two intervals that do not touch, else null."""
     s, e = F.least(col(e1), col(e2)) + 1, F.greatest(col(s1), col(s2)) - 1

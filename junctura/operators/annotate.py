@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join
+from .intervals import overlap_join, overlap_outer
 
 
 def gene_features(transcripts: DataFrame) -> DataFrame:
@@ -37,10 +37,14 @@ def gene_directions(transcripts: DataFrame, key: str = "gene") -> DataFrame:
     return transcripts.groupBy(key).agg(F.when(F.min("strand") == F.max("strand"), F.min("strand")).otherwise("*").alias("direction"))
 
 
-def gene_overlap_agg(aln: DataFrame, features: DataFrame, key: list[str], buffer: int = 10, least: int = 5, **how: object) -> DataFrame:
-    """Genes of each range whose total overlap is over the best less ``buffer``, with their features of more than ``least`` bases (else all)."""
+def gene_overlap_agg(aln: DataFrame, features: DataFrame, key: list[str], buffer: int = 10, least: int = 5, by: list[str] | None = None, **how: object) -> DataFrame:
+    """Genes of each range whose total overlap is over the best less ``buffer``, with their features of more than ``least`` bases (else all).
+
+    ``by`` names what overlaps are summed by: the gene, or gene and transcript.
+    """
+    by = by or ["gene"]
     hits = overlap_join(aln, features, **how)
-    per = hits.groupBy(*key, "gene").agg(
+    per = hits.groupBy(*key, *by).agg(
         F.sum("amount").alias("amount"),
         F.collect_set(F.when(F.col("amount") > least, F.col("feature"))).alias("__main"),
         F.collect_set("feature").alias("__low"),
@@ -48,7 +52,18 @@ def gene_overlap_agg(aln: DataFrame, features: DataFrame, key: list[str], buffer
     best = F.max("amount").over(Window.partitionBy(*key))
     kept = per.withColumn("__best", best).where(F.col("amount") > F.col("__best") - buffer)
     parts = F.array_sort(F.when(F.size("__main") > 0, F.col("__main")).otherwise(F.col("__low")))
-    return kept.select(*key, "gene", "amount", parts.alias("features"))
+    return kept.select(*key, *by, "amount", parts.alias("features"))
+
+
+def nearby_genes(aln: DataFrame, features: DataFrame, key: list[str], buffer: int = 10, within: int = 1000, by: list[str] | None = None, **how: object) -> DataFrame:
+    """For ranges that overlap no feature, the genes (or ``by``) less than ``buffer`` further than the nearest, which is under ``within`` away."""
+    by = by or ["gene"]
+    lone = overlap_outer(aln, features, key, only_unmatched=True, **how).drop("matched")
+    wide = lone.withColumn("__s", F.col("s") - within).withColumn("__e", F.col("e") + within)
+    near = overlap_join(wide, features, lr=("__s", "__e"), **how)
+    away = F.when(F.col("fs") > F.col("e"), F.col("fs") - F.col("e")).otherwise(F.col("s") - F.col("fe"))
+    per = near.withColumn("__d", away).where(F.col("__d") < within).groupBy(*key, *by).agg(F.min("__d").alias("distance"))
+    return per.withColumn("__best", F.min("distance").over(Window.partitionBy(*key))).where(F.col("distance") < F.col("__best") + buffer).drop("__best")
 
 
 def exon_edges(features: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import interval_overlap, overlap_fraction
+from ..functions.scalars import chrom_order, interval_overlap, is_standard_chrom, normalize_chrom, overlap_fraction
 
 LOCAL, END_DUPLICATION = 5000, 0.8
 
@@ -28,8 +28,12 @@ def _topology(local: int, min_end_dup: float) -> Column:
 def pair_alignments(aln: DataFrame, max_overlap: float = 0.8, min_represented: float = 0.85, group: str | None = None) -> DataFrame:
     """Pairs of one contig, by contig position, that overlap less and together represent enough of it.
 
-    One equi-join on the contig; with ``group`` the two must be of different groups.
+    Alignments to other than the standard chromosomes, and to M, are left out. One
+    equi-join on the contig, so screen its alignments first (``screen_top_n``);
+    with ``group`` the two must be of different groups.
     """
+    name = F.col("chrom").cast("string")
+    aln = aln.where(is_standard_chrom(name) & (normalize_chrom(name) != "M"))
     sides = []
     names = {"aln_no": "no", "chrom": "chrom", "strand": "strand", "qstart": "qs", "qend": "qe", "tstart": "tstart", "tend": "tend", "tleft": "tleft", "tright": "tright", "identity_x10": "pid"}
     for k in (1, 2):
@@ -49,7 +53,7 @@ def represented() -> Column:
 
 
 def split_metrics(pairs: DataFrame) -> DataFrame:
-    """ctg_overlap, represented, bp_distance and subset_fraction; the latter two null over chromosomes."""
+    """ctg_overlap, represented, bp_distance, target_distance (between the two ranges, below zero where they overlap) and subset_fraction; the latter three null over chromosomes."""
     same = F.col("chrom1") == F.col("chrom2")
     shared = F.when(F.col("tleft1") < F.col("tleft2"), F.col("tright1") - F.col("tleft2") + 1).otherwise(F.col("tright2") - F.col("tleft1") + 1)
     shorter = F.least(F.col("tright1") - F.col("tleft1") + 1, F.col("tright2") - F.col("tleft2") + 1)
@@ -58,6 +62,7 @@ def split_metrics(pairs: DataFrame) -> DataFrame:
         interval_overlap("qs1", "qe1", "qs2", "qe2").alias("ctg_overlap"),
         represented().alias("represented"),
         F.when(same, F.abs(F.col("tend1") - F.col("tstart2"))).alias("bp_distance"),
+        F.when(same, F.when(F.col("tleft1") < F.col("tleft2"), F.col("tleft2") - F.col("tright1")).otherwise(F.col("tleft1") - F.col("tright2"))).alias("target_distance"),
         F.when(same, shared.cast("double") / shorter).alias("subset_fraction"),
     )
 
@@ -71,10 +76,11 @@ def split_candidates(aln: DataFrame, max_overlap: float = 0.8, min_represented:
 
 
 def breakpoints(split: DataFrame) -> DataFrame:
-    """bp_a and bp_b as struct(chrom, coord, dir), by chromosome, coordinate, then up before down."""
+    """bp_a and bp_b as struct(chrom, coord, dir), by chromosome (M, Y, X, then numbers; others last by name), coordinate, then up before down."""
     one = F.struct(F.col("chrom1").alias("chrom"), F.col("tend1").alias("coord"), F.when(F.col("strand1") == "+", "up").otherwise("down").alias("dir"))
     two = F.struct(F.col("chrom2").alias("chrom"), F.col("tstart2").alias("coord"), F.when(F.col("strand2") == "+", "down").otherwise("up").alias("dir"))
-    key = lambda b: F.struct(b["chrom"], b["coord"], F.when(b["dir"] == "up", 0).otherwise(1))
+    order = lambda b: F.coalesce(chrom_order(b["chrom"].cast("string")), F.lit(1 << 30))
+    key = lambda b: F.struct(order(b), b["chrom"], b["coord"], F.when(b["dir"] == "up", 0).otherwise(1))
     first = key(one) <= key(two)
     return split.withColumn("bp_a", F.when(first, one).otherwise(two)).withColumn("bp_b", F.when(first, two).otherwise(one))
 

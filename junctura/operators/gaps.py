@@ -2,7 +2,9 @@
 
 The duplication search is ungapped: for a gap, an orientation and a diagonal the
 best-scoring run (match +1, mismatch -1) is found by one pass over the bases
-within the row, and the best diagonal of a gap by an aggregation.
+within the row, and the best diagonal of a gap by an aggregation. Only diagonals
+with a seed are looked at, a word of ``min_gap`` bases that both sides have: a run
+of which 9 in 10 bases or more match has one if it is long enough to count.
 """
 
 from __future__ import annotations
@@ -39,14 +41,25 @@ def explode_gaps(contigs: DataFrame, min_gap: int = 4) -> DataFrame:
     return g.where(~(F.col("edge") & is_poly_at("gap_seq")))
 
 
+def _letters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _seeds(gap: Column, other: Column, size: int) -> Column:
+    """The shifts at which a word of ``size`` bases of ``gap`` is in ``other``."""
+    words = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.struct(F.substring(s, i, F.lit(size)).alias("w"), i.alias("i")))
+    there = words(other)
+    met = F.transform(words(gap), lambda g: F.transform(F.filter(there, lambda o: o["w"] == g["w"]), lambda o: o["i"] - g["i"]))
+    return F.when((F.length(gap) >= size) & (F.length(other) >= size), F.array_distinct(F.flatten(met)))
+
+
 def _best_run(gap: Column, other: Column, shift: Column) -> Column:
-    """struct(score, s, e): the best run of gap[i] against other[i + shift], 1-based in the gap."""
+    """struct(score, s, e): the best run of gap[i] against other[i + shift], 1-based in the gap; both are arrays of bases."""
     start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("from"), F.lit(0).alias("best"), F.lit(0).alias("s"), F.lit(0).alias("e"))
-    n = F.length(gap)
+    n = F.size(gap)
 
     def step(a: Column, i: Column) -> Column:
-        at = i + shift
-        hit = (at >= 1) & (at <= F.length(other)) & (F.substring(gap, i, F.lit(1)) == F.substring(other, at, F.lit(1)))
+        hit = F.coalesce(F.get(gap, i - 1) == F.get(other, i + shift - 1), F.lit(False))
         now = a["now"] + F.when(hit, 1).otherwise(-1)
         fresh = now <= 0
         now, since = F.when(fresh, 0).otherwise(now), F.when(fresh, i + 1).otherwise(a["from"])
@@ -70,8 +83,9 @@ def find_gap_duplication(gaps: DataFrame, key: list[str], min_gap: int = 4, min_
     sides = F.array(F.struct(left.alias("w"), lo.alias("at")), F.struct(right.alias("w"), (F.col("gap_e") + 1).alias("at")))
     turns = [F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))] if inverted_only else [F.struct(F.lit(False).alias("inverted"), F.col("gap_seq").alias("g")), F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))]
     x = gaps.withColumn("__w", F.explode(sides)).where(F.length("__w.w") >= min_gap).withColumn("__t", F.explode(F.array(*turns)))
-    x = x.withColumn("__d", F.explode(F.sequence(min_gap - size, F.length("__w.w") - min_gap)))
-    x = x.withColumn("__r", _best_run(F.col("__t.g"), F.col("__w.w"), F.col("__d")))
+    shifts = _seeds(F.col("__t.g"), F.col("__w.w"), min_gap) if min_ratio >= 0.9 and min_gap <= 9 else F.sequence(min_gap - size, F.length("__w.w") - min_gap)
+    x = x.withColumn("__d", F.explode(shifts)).withColumn("__ga", _letters(F.col("__t.g"))).withColumn("__wa", _letters(F.col("__w.w")))
+    x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d")))
     n = F.col("__r.e") - F.col("__r.s") + 1
     x = x.where((F.col("__r.score") >= F.greatest(F.lit(min_gap), min_share * size)) & (F.col("__r.score") >= min_ratio * n))
     dup_s = F.col("__w.at") + F.col("__d") + F.col("__r.s") - 1
@@ -101,8 +115,9 @@ def gap_inversion(gaps: DataFrame, key: list[str], min_gap: int = 6, min_ratio:
     """Internal gaps whose reverse complement is in the intron (``intron``, at least as long): at, the 1-based place of the best match, and score."""
     g = gaps.where(~F.col("edge") & (F.length("gap_seq") >= min_gap) & (F.length("intron") >= F.length("gap_seq")))
     turned = reverse_complement("gap_seq")
-    x = g.withColumn("__t", turned).withColumn("__d", F.explode(F.sequence(F.lit(0), F.length("intron") - F.length("gap_seq"))))
-    x = x.withColumn("__r", _best_run(F.col("__t"), F.col("intron"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
+    inside = F.filter(_seeds(turned, F.col("intron"), min_gap), lambda d: (d >= 0) & (d <= F.length("intron") - F.length("gap_seq"))) if min_ratio >= 0.9 and min_gap <= 9 else F.sequence(F.lit(0), F.length("intron") - F.length("gap_seq"))
+    x = g.withColumn("__d", F.explode(inside)).withColumn("__t", _letters(turned)).withColumn("__i", _letters(F.col("intron")))
+    x = x.withColumn("__r", _best_run(F.col("__t"), F.col("__i"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
     best = F.max_by(F.struct((F.col("__d") + 1).alias("at"), F.col("__r.score").alias("score")), F.struct(F.col("__r.score"), -F.col("__d")))
     return x.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
 

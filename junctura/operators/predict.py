@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import contains_but_edge
+
 
 def overlaps_gene(member_gene: DataFrame, keys: list[str], introns: bool = False, utr: bool = True) -> DataFrame:
     """Keys (with region) that have an accepted gene part."""
@@ -25,29 +27,41 @@ def side_genes(member_gene: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gene_sets_overlap(sides: DataFrame) -> DataFrame:
-    return sides.withColumn("shared", F.arrays_overlap("genes_a", "genes_b"))
+    """shared: a gene on both sides, with those nearby (``nearby_a``, ``nearby_b``) where ``sides`` has them."""
+    both = lambda r: F.array_union(f"genes_{r}", F.coalesce(f"nearby_{r}", F.array().cast("array<string>"))) if f"nearby_{r}" in sides.columns else F.col(f"genes_{r}")
+    return sides.withColumn("shared", F.arrays_overlap(both("a"), both("b")))
 
 
 def orientation(member_gene: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
-    """Per member and region +, -, * (genes disagree) or ? (none) of its genes' directions relative to the alignment's ``strand``."""
-    d = member_gene.join(directions, "gene", "left")
+    """Per member and region +, -, * (genes disagree) or ? (none) of its genes' directions relative to the alignment's ``strand``.
+
+    Where a region has genes by more than an intron, those of introns alone don't count.
+    """
+    more = F.max(F.col("feature") != "intron").over(Window.partitionBy(*keys, "region"))
+    d = member_gene.withColumn("__more", more).where(~F.col("__more") | (F.col("feature") != "intron")).join(directions, "gene", "left")
     same = F.when(F.col("direction") == "*", "*").when(F.col("direction") == F.col("strand"), "+").when(F.col("direction").isNotNull(), "-")
     o = d.groupBy(*keys, "region").agg(F.collect_set(same).alias("o"))
     one = F.when(F.size("o") == 0, "?").when((F.size("o") == 1), F.col("o")[0]).otherwise("*")
     return o.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("region") == r, one)), F.lit("?")).alias(f"orient_{r.lower()}") for r in "AB"])
 
 
-def predict_fusion(members: DataFrame, min_unique: int = 5) -> DataFrame:
+def predict_fusion(members: DataFrame, min_unique: int = 5, min_exon_bounds: int = 0) -> DataFrame:
     """Members that can be fusions.
 
-    Not gapped, no duplication, ranges apart unless on two chromosomes, genes of
-    known direction on both sides and none on both, enough bases of its own on each side.
+    Not gapped, no duplication, ranges apart and no gene on both sides unless on two
+    chromosomes, genes of known direction on both sides, enough bases of its own on each
+    side (a space between the alignments adds to them), and ``exon_bounds`` junctions on
+    exon bounds where any are asked for.
     """
     c = F.col
-    apart = (c("chrom1") != c("chrom2")) | (c("tright1") < c("tleft2")) | (c("tright2") < c("tleft1"))
-    own = F.least(c("qe1") - c("qs1"), c("qe2") - c("qs2")) + 1 - F.greatest(F.lit(0), c("ctg_overlap"))
+    shared = ((c("tleft1") <= c("tleft2")) & (c("tleft2") < c("tright1"))) | ((c("tleft2") < c("tleft1")) & (c("tleft1") < c("tright2")))
+    apart = (c("chrom1") != c("chrom2")) | ~shared
+    own = F.least(c("qe1") - c("qs1"), c("qe2") - c("qs2")) + 1 - c("ctg_overlap")
     ok = ~c("gap") & apart & ~c("topology").isin("end-duplication", "junction-duplication") & (F.size("genes_a") > 0) & (F.size("genes_b") > 0)
-    return members.where(ok & (own >= min_unique) & ~F.arrays_overlap("genes_a", "genes_b") & (c("orient_a") != "?") & (c("orient_b") != "?"))
+    if min_exon_bounds > 0:
+        ok &= c("exon_bounds") >= min_exon_bounds
+    other = (c("topology") == "interchr") | ~F.arrays_overlap("genes_a", "genes_b")
+    return members.where(ok & (own >= min_unique) & other & (c("orient_a") != "?") & (c("orient_b") != "?"))
 
 
 def fusion_ends(members: DataFrame) -> DataFrame:
@@ -57,12 +71,21 @@ def fusion_ends(members: DataFrame) -> DataFrame:
     return members.withColumn("end_a", F.substring(pair, 1, 1)).withColumn("end_b", F.substring(pair, 2, 1))
 
 
-def route_fusions(fusions: DataFrame, read_through: int = 50_000) -> DataFrame:
-    """route: read_through (near, colinear), mixed_sense (both ends alike), duplicate_gene (seen in another event), main."""
-    near = (F.col("chrom1") == F.col("chrom2")) & (F.col("bp_distance") < read_through) & F.col("topology").isin("read-through", "intrachr-same-strand")
-    key = F.concat_ws(",", "genes_a", "genes_b")
-    again = F.row_number().over(Window.partitionBy(key).orderBy("contig", "no1", "no2")) > 1
-    return fusions.withColumn("route", F.when(near, "read_through").when(F.col("end_a") == F.col("end_b"), "mixed_sense").when(again, "duplicate_gene").otherwise("main"))
+def route_fusions(fusions: DataFrame, key: str, order: list[str], read_through: int = 50_000) -> DataFrame:
+    """``key``, route and n_members of each event.
+
+    The first member, by ``order``, that is near and colinear (read_through), or joins
+    copies of a gene on two chromosomes (duplicate_gene), decides. Else an event is
+    mixed_sense if both ends are alike in all its members, and main otherwise.
+    """
+    c = F.col
+    near = c("topology").isin("read-through", "intrachr-same-strand") & (c("target_distance") < read_through)
+    copies = (c("topology") == "interchr") & F.arrays_overlap("genes_a", "genes_b")
+    special = F.when(near, "read_through").when(copies, "duplicate_gene")
+    mixed = F.coalesce(c("end_a") == c("end_b"), F.lit(False))
+    first = F.min(F.when(special.isNotNull(), F.struct(*order, special.alias("special")))).alias("__first")
+    g = fusions.groupBy(key).agg(first, F.bool_and(mixed).alias("__mixed"), F.count(F.lit(1)).alias("n_members"))
+    return g.select(key, F.coalesce(F.col("__first.special"), F.when(F.col("__mixed"), "mixed_sense").otherwise("main")).alias("route"), "n_members")
 
 
 def predict_ptd(members: DataFrame) -> DataFrame:
@@ -70,16 +93,35 @@ def predict_ptd(members: DataFrame) -> DataFrame:
     return members.where(F.col("topology").isin("junction-duplication", "end-duplication", "intrachr-non-colinear") & (F.col("exon_bounds") == 2) & F.arrays_overlap("coding_a", "coding_b"))
 
 
-def predict_itd(gapped: DataFrame, topologies: tuple[str, ...] = ("gap-tandem-duplication", "gap-nontandem-duplication"), min_edge: float = 0.8) -> DataFrame:
-    """Internal tandem duplications among gapped members: not both ends on exon bounds, an edge gap mostly aligned, no repeat, a coding gene."""
+def predict_itd(members: DataFrame, topologies: tuple[str, ...] = ("gap-tandem-duplication", "gap-nontandem-duplication"), min_edge: float = 0.8, allow_non_gap: bool = False) -> DataFrame:
+    """Internal tandem duplications: not both ends on exon bounds, no repeat, a coding gene at the breakpoint.
+
+    Of an edge gap ``aligned_span`` must be ``min_edge`` of ``gap_span``. With
+    ``allow_non_gap`` split members of a duplication's topology count too, if both sides
+    have a coding gene and share a gene.
+    """
     c = F.col
-    return gapped.where(c("topology").isin(*topologies) & (c("exon_bounds") < 2) & (~c("edge_gap") | (c("align_fraction") >= min_edge)) & ~c("has_repeat") & (F.size("coding_a") > 0))
+    gapped = c("topology").isin(*topologies) & (~c("edge_gap") | (c("aligned_span").cast("double") / c("gap_span") >= min_edge)) & (F.size("coding_a") > 0)
+    kind = c("gap") & gapped
+    if allow_non_gap:
+        split = c("topology").isin("end-duplication", "intrachr-non-colinear", "junction-duplication") & (F.size("coding_a") > 0) & (F.size("coding_b") > 0) & F.arrays_overlap("genes_a", "genes_b")
+        kind = kind | (~c("gap") & split)
+    return members.where(kind & (c("exon_bounds") != 2) & ~c("has_repeat"))
+
 
+def route_itds(itds: DataFrame, key: str, order: list[str], full: float = 0.25) -> DataFrame:
+    """``key`` and route of each event.
 
-def route_itds(itds: DataFrame, full: float = 0.25) -> DataFrame:
-    """route: edge, full (the contig is mostly the event) or internal; with _multi_exon where several exons are hit."""
-    kind = F.when(F.col("edge_gap"), "edge").when(F.col("align_fraction") < full, "full").otherwise("internal")
-    return itds.withColumn("route", F.concat(kind, F.when(F.col("n_exons") > 1, "_multi_exon").otherwise("")))
+    The first edge gap by ``order`` decides: full where ``full`` of the contig or more is
+    aligned on both sides, else edge; without one it is internal. _multi_exon follows
+    where a member up to there (or any, of an internal event) has several exons.
+    """
+    at = F.struct(*order)
+    edge = F.min(F.when(F.col("edge_gap"), F.struct(at.alias("at"), (F.least("fraction_a", "fraction_b") >= full).alias("full")))).alias("__edge")
+    g = itds.groupBy(key).agg(edge, F.min(F.when(F.col("n_exons") > 1, at)).alias("__many"))
+    kind = F.when(F.col("__edge").isNull(), "internal").when(F.col("__edge.full"), "full").otherwise("edge")
+    many = F.col("__many").isNotNull() & (F.col("__edge").isNull() | (F.col("__many") <= F.col("__edge.at")))
+    return g.select(key, F.concat(kind, F.when(many, "_multi_exon").otherwise("")).alias("route"))
 
 
 def process_groups(predicted: dict[str, DataFrame], key: str = "group_id") -> DataFrame:
@@ -110,17 +152,31 @@ def region_gene_sets(hits: DataFrame, keys: list[str], min_overlap: float = 0.70
     return h.withColumn("__b", best).where(F.col("match") >= F.col("__b") - within).groupBy(*keys).agg(F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
-def recheck_fusion(fusions: DataFrame, best: DataFrame, times: float = 1.5) -> DataFrame:
+def recheck_fusion(fusions: DataFrame, best: DataFrame, times: float = 1.5, sequences: DataFrame | None = None) -> DataFrame:
     """Without contigs that one alignment explains: perfect, or matching over ``times`` the longer side.
 
-    Not built: poly-A tails, transcripts of both sides, the unaligned part found elsewhere (see README).
+    With ``sequences`` (contig, seq) also without those whose rest past the first side is
+    a poly-A tail (or poly-T before the second), and those whose rest, but for its first or
+    last base, repeats the aligned side. Contigs without a sequence stay. Not built: the
+    rest found in a transcript, and transcripts that both sides align to (see README).
     """
     longer = F.greatest(F.col("qe1") - F.col("qs1"), F.col("qe2") - F.col("qs2")) + 1
     j = fusions.join(best.select(F.col("query").alias("contig"), "matches", "perfect"), "contig", "left")
-    return j.where(~F.coalesce("perfect", F.lit(False)) & ~F.coalesce(F.col("matches") > times * longer, F.lit(False))).drop("matches", "perfect")
-
-
-recheck_ptd = recheck_fusion
+    j = j.where(~F.coalesce("perfect", F.lit(False)) & ~F.coalesce(F.col("matches") > times * longer, F.lit(False))).drop("matches", "perfect")
+    if sequences is None:
+        return j
+    part = lambda s, e: F.substring("__seq", s.cast("int"), F.greatest(F.lit(0), e - s + 1).cast("int"))
+    s = sequences.select("contig", F.lower("seq").alias("__seq"))
+    n, one = F.length("__seq"), F.lit(1)
+    after, before = part(F.col("qe1") + 1, n), part(one, F.col("qs2") - 1)
+    tail = after.rlike("^.?a*$") | before.rlike("^t*.?$")
+    again = contains_but_edge(part(F.col("qs1"), F.col("qe1")), after) | contains_but_edge(part(F.col("qs2"), F.col("qe2")), before)
+    return j.join(s, "contig", "left").where(~F.coalesce(tail | again, F.lit(False))).drop("__seq")
+
+
+def recheck_ptd(ptds: DataFrame, best: DataFrame, times: float = 1.5) -> DataFrame:
+    """Without contigs that one alignment explains."""
+    return recheck_fusion(ptds, best, times)
 
 
 def recheck_itd(itds: DataFrame, sequences: DataFrame, transcripts: DataFrame) -> DataFrame:

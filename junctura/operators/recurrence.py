@@ -37,6 +37,20 @@ def recurrence(keyed: DataFrame) -> DataFrame:
     return g.withColumn("n_libraries", F.size("libraries")).withColumn("recurrent", F.size("libraries") > 1)
 
 
+def recurrence_totals(keyed: DataFrame) -> DataFrame:
+    """Per type and library, and over all libraries (lib is null): predictions (distinct gene_key of a library), genes (merged keys), and how many of each recur."""
+    keyed = cut(keyed.select("event_type", "gene_key", "lib").distinct())
+    m = keyed.join(merged_keys(keyed), ["event_type", "gene_key"])
+    again = m.groupBy("event_type", "key").agg((F.countDistinct("lib") > 1).alias("__again"))
+    m = m.join(again, ["event_type", "key"])
+    distinct = lambda c, also: F.countDistinct(F.when(also, F.col(c)) if also is not None else F.col(c))
+    prediction = m.withColumn("__p", F.concat_ws("\x01", "lib", F.array_join("gene_key", ","))).withColumn("__k", F.array_join("key", ","))
+    g = prediction.rollup("event_type", "lib").agg(
+        distinct("__p", None).alias("n_predictions"), distinct("__p", F.col("__again")).alias("n_recurrent_predictions"), distinct("__k", None).alias("n_genes"), distinct("__k", F.col("__again")).alias("n_recurrent_genes")
+    )
+    return g.where("event_type IS NOT NULL")
+
+
 def split_recurrent(keyed: DataFrame) -> DataFrame:
     """Events with recurrent."""
     keyed = cut(keyed)
@@ -45,7 +59,7 @@ def split_recurrent(keyed: DataFrame) -> DataFrame:
 
 
 def counts(keyed: DataFrame) -> DataFrame:
-    """Events and distinct genes per type and library, and over all libraries (lib is null)."""
+    """Events, distinct genes and the sorted list of these per type and library, and over all libraries (lib is null)."""
     x = keyed.withColumn("gene", F.explode("gene_key"))
-    g = x.rollup("event_type", "lib").agg(F.countDistinct("event_id").alias("n_events"), F.countDistinct("gene").alias("n_genes"))
+    g = x.rollup("event_type", "lib").agg(F.countDistinct("event_id").alias("n_events"), F.array_sort(F.collect_set("gene")).alias("genes")).withColumn("n_genes", F.size("genes").cast("long"))
     return g.where("event_type IS NOT NULL")

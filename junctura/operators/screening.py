@@ -48,13 +48,13 @@ def group_alignments(aln: DataFrame, min_overlap: float = 0.8) -> DataFrame:
     A group is a connected component of alignments of a contig whose contig spans
     overlap by ``min_overlap`` of the shorter, so it does not depend on row order.
     """
-    node = (F.col("query") * 100000 + F.col("aln_no")).alias("node")
-    a = aln.select(node, "query", "qstart", "qend")
-    b = a.select(F.col("node").alias("v"), "query", F.col("qstart").alias("s2"), F.col("qend").alias("e2"))
-    edges = a.join(b, "query").where((F.col("node") < F.col("v")) & (overlap_fraction("qstart", "qend", "s2", "e2") >= min_overlap)).select(F.col("node").alias("u"), "v")
-    of = connected_components(edges)
-    joined = aln.withColumn("node", F.col("query") * 100000 + F.col("aln_no")).join(of, "node", "left")
-    return joined.withColumn("group_no", (F.coalesce("component", "node") % 100000).cast("int")).drop("node", "component")
+    # Any type of contig name; a contig's alignments stay together, as their numbers are compared within it.
+    node = F.struct("query", "aln_no")
+    a = aln.select(node.alias("u"), "query", "qstart", "qend")
+    b = a.select(F.col("u").alias("v"), "query", F.col("qstart").alias("s2"), F.col("qend").alias("e2"))
+    edges = a.join(b, "query").where((F.col("u.aln_no") < F.col("v.aln_no")) & (overlap_fraction("qstart", "qend", "s2", "e2") >= min_overlap)).select("u", "v")
+    of = connected_components(edges).select(F.col("node.query").alias("query"), F.col("node.aln_no").alias("aln_no"), F.col("component.aln_no").alias("__first"))
+    return aln.join(of, ["query", "aln_no"], "left").withColumn("group_no", F.coalesce("__first", "aln_no").cast("int")).drop("__first")
 
 
 def pare_by_score(grouped: DataFrame, keys: list[str], best: float = 0.85, multi: float = 0.8) -> DataFrame:

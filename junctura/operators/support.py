@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,17 @@ def event_region(split: DataFrame, min_overlap: int = 5) -> DataFrame:
     return split.withColumn("lo", inside(lo)).withColumn("hi", inside(hi))
 
 
+def read_event_join(regions: DataFrame, reads: DataFrame, key: list[str], min_overlap: int = 5) -> DataFrame:
+    """``key`` and read_id of the reads (contig, read_id, rleft, rright) that reach over a region's inner bases on their contig.
+
+    An equi-join on the contig with the range as a residual; a hot contig is split by AQE.
+    """
+    size = 2 * min_overlap
+    r = reads.select(F.col("contig").alias("__c"), "read_id", "rleft", "rright")
+    on = (F.col("contig") == F.col("__c")) & (F.col("rleft") <= F.col("hi") - size) & (F.col("rright") >= F.col("lo") + size)
+    return regions.join(r, on).select(*key, "read_id")
+
+
 def windows(regions: DataFrame, min_overlap: int = 5) -> DataFrame:
     """Sliding windows ws..we of 2 min_overlap + 1 bases; a shorter region is one window."""
     size = 2 * min_overlap + 1
@@ -28,12 +39,28 @@ def windows(regions: DataFrame, min_overlap: int = 5) -> DataFrame:
     return w.withColumn("we", F.least(F.col("hi"), F.col("ws") + size - 1))
 
 
-def window_support(windowed: DataFrame, reads: DataFrame, key: list[str]) -> DataFrame:
-    """min and mean, over an event's windows, of the reads (contig, rleft, rright, strong) that cover a window; windows without reads count."""
-    r = reads.select(F.col("contig").alias("__c"), "rleft", "rright", "strong")
-    j = windowed.join(r, (F.col("contig") == F.col("__c")) & (F.col("rleft") <= F.col("ws")) & (F.col("rright") >= F.col("we")), "left")
-    per = j.groupBy(*key, "ws").agg(F.count("__c").alias("n"), F.count(F.when(F.col("strong"), 1)).alias("ns"))
-    return per.groupBy(*key).agg(F.min("n").alias("min_all"), F.avg("n").alias("mean_all"), F.min("ns").alias("min_strong"), F.avg("ns").alias("mean_strong"))
+def window_support(regions: DataFrame, reads: DataFrame, key: list[str], min_overlap: int = 5) -> DataFrame:
+    """min and mean, over an event's sliding windows, of the reads (contig, rleft, rright, strong) that cover a window; windows without reads count.
+
+    Equal reads are counted once before the join, and a read is two steps of the
+    count along the windows, not a row for every window that it covers.
+    """
+    size = 2 * min_overlap + 1
+    r = reads.groupBy(F.col("contig").alias("__c"), "rleft", "rright").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("strong"), 1)).alias("ns"))
+    base = regions.select(*key, F.col("contig").alias("__contig"), "lo", "hi", F.greatest(F.col("lo"), F.col("hi") - size + 1).alias("__last"))
+    base = base.withColumn("__size", F.least(F.lit(size), F.col("hi") - F.col("lo") + 1))
+    j = base.join(r, (F.col("__contig") == F.col("__c")) & (F.col("rleft") <= F.col("__last")) & (F.col("rright") >= F.col("lo") + F.col("__size") - 1))
+    first, end = F.greatest("lo", "rleft"), F.least(F.col("__last"), F.col("rright") - F.col("__size") + 1)
+    steps = F.array(F.struct(first.alias("at"), F.col("n").alias("n"), F.col("ns").alias("ns")), F.struct((end + 1).alias("at"), (-F.col("n")).alias("n"), (-F.col("ns")).alias("ns")))
+    at = [*key, "lo", "__last"]
+    moves = j.where(first <= end).select(*at, F.explode(steps).alias("x")).select(*at, "x.*")
+    zero = F.lit(0).cast("long")
+    moves = moves.unionByName(base.select(*at, F.col("lo").alias("at"), zero.alias("n"), zero.alias("ns"))).groupBy(*at, "at").agg(F.sum("n").alias("n"), F.sum("ns").alias("ns"))
+    w = Window.partitionBy(*at).orderBy("at")
+    spans = moves.select(*at, "at", F.sum("n").over(w).alias("n"), F.sum("ns").over(w).alias("ns"), F.coalesce(F.lead("at").over(w), F.col("__last") + 1).alias("next")).where("at <= __last")
+    length, windows_ = F.col("next") - F.col("at"), F.col("__last") - F.col("lo") + 1
+    mean = lambda c: F.sum(F.col(c) * length) / F.max(windows_)
+    return spans.groupBy(*key).agg(F.min("n").alias("min_all"), mean("n").alias("mean_all"), F.min("ns").alias("min_strong"), mean("ns").alias("mean_strong"))
 
 
 def read_is_strong(hits: DataFrame, contig_sets: DataFrame) -> DataFrame:
@@ -80,23 +107,30 @@ def pair_support(regions: DataFrame, pairs: DataFrame, key: list[str], min_mapq:
     """Distinct pairs with one mate in each region: all, and filtered (lower mapq strictly over ``min_mapq``).
 
     ``pairs`` has pair_id and for k = 1, 2 chromk, leftk, rightk, mapqk. Mates are
-    matched to the first region by bins, the second is a residual.
+    matched to the first region by bins, the second is a residual. Where ``pairs`` has
+    intronic (``exonic_fragment_length``), both are also counted without intronic pairs.
     """
     from .intervals import overlap_join
 
-    turned = pairs.select("pair_id", *[F.col(f"{c}{3 - k}").alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "left", "right", "mapq")])
-    both = pairs.select("pair_id", *[f"{c}{k}" for k in (1, 2) for c in ("chrom", "left", "right", "mapq")]).unionByName(turned)
-    p = both.select("pair_id", F.col("chrom1").alias("chrom"), F.col("left1").alias("fs"), F.col("right1").alias("fe"), F.col("chrom2").alias("pc2"), F.col("left2").alias("pl2"), F.col("right2").alias("pr2"), F.least("mapq1", "mapq2").alias("low"))
+    if "intronic" not in pairs.columns:
+        return pair_support(regions, pairs.withColumn("intronic", F.lit(False)), key, min_mapq, width).drop("pairs_exonic", "pairs_filtered_exonic")
+    turned = pairs.select("pair_id", "intronic", *[F.col(f"{c}{3 - k}").alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "left", "right", "mapq")])
+    both = pairs.select("pair_id", "intronic", *[f"{c}{k}" for k in (1, 2) for c in ("chrom", "left", "right", "mapq")]).unionByName(turned)
+    p = both.select("pair_id", "intronic", F.col("chrom1").alias("chrom"), F.col("left1").alias("fs"), F.col("right1").alias("fe"), F.col("chrom2").alias("pc2"), F.col("left2").alias("pl2"), F.col("right2").alias("pr2"), F.least("mapq1", "mapq2").alias("low"))
     r = regions.select(*key, F.col("chrom1").alias("chrom"), F.col("region1.s").alias("s"), F.col("region1.e").alias("e"), F.col("chrom2").alias("rc2"), F.col("region2.s").alias("s2"), F.col("region2.e").alias("e2"))
     hit = overlap_join(r, p, mode="full_rev", width=width).where("pc2 = rc2 AND pl2 >= s2 AND pr2 <= e2")
-    per = hit.groupBy(*key, "pair_id").agg(F.min("low").alias("low"))
-    return per.groupBy(*key).agg(F.count(F.lit(1)).alias("pairs_all"), F.count(F.when(F.col("low") > min_mapq, 1)).alias("pairs_filtered"))
+    per = hit.groupBy(*key, "pair_id").agg(F.min("low").alias("low"), F.bool_or("intronic").alias("intronic"))
+    good, exonic = F.col("low") > min_mapq, ~F.col("intronic")
+    return per.groupBy(*key).agg(F.count(F.lit(1)).alias("pairs_all"), F.count(F.when(good, 1)).alias("pairs_filtered"), F.count(F.when(exonic, 1)).alias("pairs_exonic"), F.count(F.when(good & exonic, 1)).alias("pairs_filtered_exonic"))
 
 
-def support_type(event_type: str, s, e, bp1, bp2):
-    """DW, T1 or T2 of a read s..e by what it strictly contains."""
+def support_type(event_type: str, s, e, bp1, bp2, chrom=None, chrom1=None, chrom2=None):
+    """DW, T1 or T2 of a read s..e by what it strictly contains; a fusion's breakpoint counts only on the read's chromosome, where these are given."""
     if event_type == "fusion":
-        return F.when(((s < bp1) & (e > bp1)) | ((s < bp2) & (e > bp2)), "DW").otherwise("T1")
+        one, two = (s < bp1) & (e > bp1), (s < bp2) & (e > bp2)
+        if chrom is not None:
+            one, two = one & (chrom == chrom1), two & (chrom == chrom2)
+        return F.when(F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False)), "DW").otherwise("T1")
     lo, hi = F.least(bp1, bp2), F.greatest(bp1, bp2)
     return F.when((s < lo) & (e > hi), "DW").when((lo < s) & (hi > e), "T2").otherwise("T1")
 
@@ -115,8 +149,6 @@ def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: in
     steps = j.withColumn("kind", kind).select(*key, "kind", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct(hi.alias("at"), F.lit(-1).alias("d")))).alias("x")).select(*key, "kind", "x.*")
     sums = steps.groupBy(*key, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in ("DW", "T1", "T2")])
     base = regions.select(*key, F.explode(F.sequence("s", "e")).alias("at"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*key).orderBy("at")
     on = base.join(sums, [*key, "at"], "left")
     return on.select(*key, "at", *[F.sum(F.coalesce(f"d{k}", F.lit(0))).over(w).alias(k) for k in ("DW", "T1", "T2")])
@@ -145,6 +177,12 @@ def relative_coverage(coverage: DataFrame, reads_on_contig: DataFrame, member: l
     return wide
 
 
+def event_coverage(members: DataFrame, key: str) -> DataFrame:
+    """Least, greatest and mean of every ratio of ``relative_coverage`` over an event's members."""
+    ratios = [c for c in members.columns if c.startswith("C_")]
+    return members.groupBy(key).agg(*[f(c).alias(f"{name}_{c}") for c in ratios for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+
+
 def exonic_fragment_length(blocks, left, right, mate_left, mate_right):
     """struct(length, intronic): bases between the outer ends of two mates that lie on ``blocks``; intronic where a mate's own bases partly don't."""
     lo, hi = F.least(left, mate_left), F.greatest(right, mate_right)

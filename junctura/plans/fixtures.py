@@ -60,7 +60,7 @@ SPLIT = """SELECT *, CASE WHEN chrom1<>chrom2 THEN 'interchr'
   a.qstart AS qs1, a.qend AS qe1, b.qstart AS qs2, b.qend AS qe2, a.tstart AS tstart1, a.tend AS tend1, b.tstart AS tstart2, b.tend AS tend2,
   a.tleft AS tleft1, a.tright AS tright1, b.tleft AS tleft2, b.tright AS tright2, a.identity_x10 AS pid1, b.identity_x10 AS pid2,
   LEAST(a.qend,b.qend)-GREATEST(a.qstart,b.qstart)+1 AS ctg_overlap,
-  CASE WHEN a.chrom=b.chrom THEN abs(a.tend-b.tstart) END AS bp_distance,
+  CASE WHEN a.chrom=b.chrom THEN abs(a.tend-b.tstart) END AS bp_distance, CASE WHEN a.chrom=b.chrom THEN CASE WHEN a.tleft<b.tleft THEN b.tleft-a.tright ELSE a.tleft-b.tright END END AS target_distance,
   CASE WHEN a.chrom=b.chrom THEN CAST(CASE WHEN a.tleft<b.tleft THEN a.tright-b.tleft+1 ELSE b.tright-a.tleft+1 END AS DOUBLE)/LEAST(a.tright-a.tleft+1,b.tright-b.tleft+1) END AS subset_fraction
  FROM aln a JOIN aln b ON a.query=b.query AND (a.qstart<b.qstart OR (a.qstart=b.qstart AND a.aln_no<b.aln_no))
  WHERE CAST(LEAST(a.qend,b.qend)-GREATEST(a.qstart,b.qstart)+1 AS DOUBLE)/LEAST(a.qend-a.qstart+1,b.qend-b.qstart+1)<0.8

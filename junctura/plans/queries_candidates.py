@@ -272,9 +272,9 @@ def _(spark, d):
     return C.pair_alignments(aln(spark, d), min_represented=0.6).select("contig", "no1", "no2")
 
 
-@query("c11_split_metrics", "split", "SELECT contig, no1, no2, ctg_overlap, bp_distance, round(subset_fraction,6) AS subset_fraction FROM split")
+@query("c11_split_metrics", "split", "SELECT contig, no1, no2, ctg_overlap, bp_distance, target_distance, round(subset_fraction,6) AS subset_fraction FROM split")
 def _(spark, d):
-    return split(spark, d).select("contig", "no1", "no2", "ctg_overlap", "bp_distance", F.round("subset_fraction", 6).alias("subset_fraction"))
+    return split(spark, d).select("contig", "no1", "no2", "ctg_overlap", "bp_distance", "target_distance", F.round("subset_fraction", 6).alias("subset_fraction"))
 
 
 @query("c12_topology", "split", "SELECT contig, no1, no2, topology FROM split")

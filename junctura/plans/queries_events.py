@@ -12,6 +12,7 @@ from ..operators import support as P
 from . import fixtures
 from .queries_candidates import BP_SQL, aln, junctions, mates, split
 from .registry import query
+from .session import cut
 
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +87,8 @@ def _(spark, d):
 
 
 def points(spark, d):
-    j = junctions(spark, d)
-    one = lambda x: j.select("contig", "no1", "no2", F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.col(f"coord_{x}").alias("coord"), F.when(F.col(f"dir_{x}") == "up", "right").otherwise("left").alias("side"))
-    return one("a").unionByName(one("b"))
+    one = lambda x: F.struct(F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.col(f"coord_{x}").alias("coord"), F.when(F.col(f"dir_{x}") == "up", "right").otherwise("left").alias("side"))
+    return junctions(spark, d).select("contig", "no1", "no2", F.explode(F.array(one("a"), one("b"))).alias("x")).select("contig", "no1", "no2", "x.*")
 
 
 POINTS = BP_SQL + """, pts AS (SELECT contig, no1, no2, 'A' AS region, chrom_a AS chrom, coord_a AS coord, CASE WHEN dir_a='up' THEN 'right' ELSE 'left' END AS side FROM junction
@@ -148,13 +148,13 @@ def _(spark, d):
     return P.mate_join(mates(spark, d)).select("pair_id", "id1", "id2", F.least("mapq1", "mapq2").alias("low"))
 
 
-@query("j12_sequence_join", "seqs split", "SELECT seq_id, length(seq) AS n FROM seqs WHERE seq_id IN (SELECT contig FROM split)")
+@query("j12_sequence_join", "seqs split", "SELECT seq_id, length(seq) AS n, false AS conflict FROM seqs WHERE seq_id IN (SELECT contig FROM split)")
 def _(spark, d):
-    s = fixtures.view(spark, d, fixtures.SEQS)
-    return s.join(split(spark, d).select(F.col("contig").alias("seq_id")).distinct(), "seq_id", "left_semi").select("seq_id", F.length("seq").cast("long").alias("n"))
+    s = I.sequence_join(split(spark, d).select(F.col("contig").alias("seq_id")), fixtures.view(spark, d, fixtures.SEQS), "seq_id", "seq")
+    return s.select("seq_id", F.length("seq").cast("long").alias("n"), "conflict")
 
 
-THEIRS = ", ours AS (SELECT * FROM junction WHERE contig%2=0 AND topology<>'interchr'), theirs AS (SELECT contig, no1, no2, chrom_a, coord_a+contig%7 AS coord_a, chrom_b, coord_b-contig%5 AS coord_b FROM junction WHERE contig%2=1 AND topology<>'interchr') "
+OURS = ", ours AS (SELECT * FROM junction WHERE contig%2=0), theirs AS (SELECT contig, no1, no2, chrom_a, coord_a+contig%7 AS coord_a, dir_a, chrom_b, coord_b-contig%5 AS coord_b, dir_b FROM junction WHERE contig%2=1) "
 
 
 def ours(spark, d):
@@ -167,15 +167,16 @@ def theirs(spark, d):
 
 
 NEAR = "GREATEST(abs(o.coord_a-t.coord_a),abs(o.coord_b-t.coord_b))"
-MATCHED = f"FROM ours o JOIN theirs t ON o.chrom_a=t.chrom_a AND o.chrom_b=t.chrom_b AND {NEAR}<=1000"
+#: Bins of 1,000 on one side keep the plain range join short.
+MATCHED = f"FROM (SELECT *, unnest([coord_a//1000-1,coord_a//1000,coord_a//1000+1]) AS cell FROM ours) o JOIN theirs t ON o.chrom_a=t.chrom_a AND o.chrom_b=t.chrom_b AND t.coord_a//1000=o.cell AND {NEAR}<=1000"
 
 
-@query("j13_location_match", "split", BP_SQL + THEIRS + f"SELECT o.contig||':'||o.no1||':'||o.no2 AS id, t.contig||':'||t.no1||':'||t.no2 AS id2, {NEAR} AS distance {MATCHED}")
+@query("j13_location_match", "split", BP_SQL + OURS + f"SELECT o.contig||':'||o.no1||':'||o.no2 AS id, t.contig||':'||t.no1||':'||t.no2 AS id2, {NEAR} AS distance {MATCHED}")
 def _(spark, d):
     return I.location_match(ours(spark, d), theirs(spark, d), 1000)
 
 
-@query("j15_reports", "split", BP_SQL + THEIRS + f", hit AS (SELECT DISTINCT o.contig||':'||o.no1||':'||o.no2 AS id {MATCHED}) SELECT id, CASE WHEN id IN (SELECT id FROM hit) THEN 'common' ELSE 'ours' END AS report FROM (SELECT contig||':'||no1||':'||no2 AS id FROM ours) x")
+@query("j15_reports", "split", BP_SQL + OURS + f", hit AS (SELECT DISTINCT o.contig||':'||o.no1||':'||o.no2 AS id {MATCHED}) SELECT id, CASE WHEN id IN (SELECT id FROM hit) THEN 'common' ELSE 'ours' END AS report FROM (SELECT contig||':'||no1||':'||no2 AS id FROM ours) x")
 def _(spark, d):
     from ..operators.compare import reports
 
@@ -191,6 +192,24 @@ def _(spark, d):
     return N.gene_overlap_agg(ranges(spark, d), feat(spark, d), KEY)
 
 
+@query(
+    "g08_transcript_overlap", "aln feat",
+    f"SELECT query, aln_no, gene, feat_id, amount FROM (SELECT *, max(amount) OVER (PARTITION BY query,aln_no) AS b FROM (SELECT query, aln_no, gene, feat_id, {AMOUNT} AS amount {HIT}) x) y WHERE amount>b-10",
+)
+def _(spark, d):
+    return N.gene_overlap_agg(ranges(spark, d), feat(spark, d), KEY, by=["gene", "feat_id"]).drop("features")
+
+
+@query(
+    "g08_nearby_genes", "aln feat",
+    """SELECT query, aln_no, gene, distance FROM (SELECT *, min(distance) OVER (PARTITION BY query,aln_no) AS b FROM (SELECT a.query, a.aln_no, f.gene, min(CASE WHEN f.fstart>a.tright THEN f.fstart-a.tright ELSE a.tleft-f.fend END) AS distance
+     FROM (SELECT * FROM aln WHERE (query,aln_no) NOT IN (SELECT (query,aln_no) FROM aln a JOIN feat f ON a.chrom=f.chrom AND a.tleft<=f.fend AND f.fstart<=a.tright)) a JOIN feat f ON a.chrom=f.chrom
+     WHERE CASE WHEN f.fstart>a.tright THEN f.fstart-a.tright ELSE a.tleft-f.fend END<1000 GROUP BY ALL) x) y WHERE distance<b+10""",
+)
+def _(spark, d):
+    return N.nearby_genes(ranges(spark, d), feat(spark, d), KEY).select(*KEY, "gene", "distance")
+
+
 def transcripts(spark, d):
     return feat(spark, d).select(
         F.col("feat_id").alias("transcript"), "gene", "chrom", F.col("fstrand").alias("strand"),
@@ -282,13 +301,13 @@ def _(spark, d):
 
 # --- support -----------------------------------------------------------------
 
-REGION = ", er AS (SELECT contig, no1, no2, GREATEST(2,LEAST(LEAST(qe1,qs2)-5,ctg_len-1)) AS lo, GREATEST(2,LEAST(GREATEST(qe1,qs2)+5,ctg_len-1)) AS hi FROM split WHERE contig<1500) "
+REGION = ", er AS (SELECT contig, no1, no2, GREATEST(2,LEAST(LEAST(qe1,qs2)-5,ctg_len-1)) AS lo, GREATEST(2,LEAST(GREATEST(qe1,qs2)+5,ctg_len-1)) AS hi FROM split) "
 WINDOWS = REGION + ", wn AS (SELECT contig, no1, no2, ws, LEAST(hi,ws+10) AS we FROM er, LATERAL (SELECT unnest(generate_series(lo, GREATEST(lo,hi-10))) AS ws) u) "
 SKEY = ["contig", "no1", "no2"]
 
 
 def regions(spark, d):
-    return P.event_region(split(spark, d).where("contig<1500"))
+    return P.event_region(split(spark, d))
 
 
 @query("g09_event_region", "split", REGION + "SELECT * FROM er")
@@ -308,7 +327,7 @@ def _(spark, d):
 )
 def _(spark, d):
     r = fixtures.view(spark, d, fixtures.READS).where("nm=0").withColumn("strong", F.expr("mapq>30"))
-    s = P.window_support(P.windows(regions(spark, d)), r, SKEY)
+    s = P.window_support(regions(spark, d), r, SKEY)
     return s.select(*SKEY, "min_all", F.round("mean_all", 6).alias("mean_all"), "min_strong", F.round("mean_strong", 6).alias("mean_strong"))
 
 
@@ -317,8 +336,7 @@ def _(spark, d):
     REGION + "SELECT e.contig, e.no1, e.no2, r.read_id FROM er e JOIN reads r ON r.contig=e.contig AND r.nm=0 AND r.rleft<=e.hi-10 AND r.rright>=e.lo+10",
 )
 def _(spark, d):
-    r = fixtures.view(spark, d, fixtures.READS).where("nm=0").select(F.col("contig").alias("rc"), "read_id", "rleft", "rright")
-    return regions(spark, d).join(r, F.expr("contig=rc AND rleft<=hi-10 AND rright>=lo+10")).select(*SKEY, "read_id")
+    return P.read_event_join(regions(spark, d), fixtures.view(spark, d, fixtures.READS).where("nm=0"), SKEY)
 
 
 @query(
@@ -380,26 +398,34 @@ def _(spark, d):
 @query(
     "g18_pair_support", "split reads",
     P2G + GPAIR + """, hit AS (SELECT DISTINCT contig, no1, no2, pair_id, low FROM pr JOIN gp ON (chrom1=c1 AND l1>=s1 AND r1<=e1 AND chrom2=c2 AND l2>=s2 AND r2<=e2) OR (chrom1=c2 AND l2>=s1 AND r2<=e1 AND chrom2=c1 AND l1>=s2 AND r1<=e2))
-    SELECT contig, no1, no2, count(*) AS pairs_all, count(*) FILTER (low>10) AS pairs_filtered FROM hit GROUP BY ALL""",
+    SELECT contig, no1, no2, count(*) AS pairs_all, count(*) FILTER (low>10) AS pairs_filtered, count(*) FILTER (pair_id%3<>0) AS pairs_exonic, count(*) FILTER (low>10 AND pair_id%3<>0) AS pairs_filtered_exonic FROM hit GROUP BY ALL""",
 )
 def _(spark, d):
-    return P.pair_support(P.pair_regions(split(spark, d)), genome_pairs(spark, d), SKEY)
+    return P.pair_support(P.pair_regions(split(spark, d)), genome_pairs(spark, d).withColumn("intronic", F.expr("pair_id%3=0")), SKEY)
 
 
-COVER = BP_SQL + """, mem AS (SELECT contig, no1, no2, chrom_a, coord_a, dir_a, chrom_b, coord_b, dir_b FROM junction WHERE topology IN ('read-through','local-inversion')),
- rg AS (SELECT contig, no1, no2, 'A' AS region, chrom_a AS chrom, CASE WHEN dir_a='up' THEN coord_a-59 ELSE coord_a END AS s, CASE WHEN dir_a='up' THEN coord_a ELSE coord_a+59 END AS e, LEAST(coord_a,coord_b) AS lo, GREATEST(coord_a,coord_b) AS hi FROM mem
-  UNION ALL SELECT contig, no1, no2, 'B', chrom_b, CASE WHEN dir_b='up' THEN coord_b-59 ELSE coord_b END, CASE WHEN dir_b='up' THEN coord_b ELSE coord_b+59 END, LEAST(coord_a,coord_b), GREATEST(coord_a,coord_b) FROM mem),
- gr AS (SELECT contig%4+1 AS chrom, contig*60+rleft AS fs, contig*60+rright AS fe FROM reads),
- cov AS (SELECT r.contig, r.no1, r.no2, r.region, pos, count(g.fs) FILTER (g.fs<lo AND g.fe>hi) AS DW, count(g.fs) FILTER (NOT (g.fs<lo AND g.fe>hi) AND NOT (lo<g.fs AND hi>g.fe)) AS T1, count(g.fs) FILTER (NOT (g.fs<lo AND g.fe>hi) AND lo<g.fs AND hi>g.fe) AS T2
-  FROM rg r, LATERAL (SELECT unnest(generate_series(r.s, r.e)) AS pos) u LEFT JOIN gr g ON g.chrom=r.chrom AND g.fs+5<=pos AND g.fe-5>=pos GROUP BY ALL) """
+FUSION = "topology IN ('interchr','intrachr-same-strand','intrachr-opp-strand')"
+#: Reads of a place are counted once; a read meets a region in the bins of 60 bases that both touch.
+COVER = BP_SQL + f""", rg AS (SELECT contig, no1, no2, {FUSION} AS fusion, 'A' AS region, chrom_a AS chrom, CASE WHEN dir_a='up' THEN coord_a-59 ELSE coord_a END AS s, CASE WHEN dir_a='up' THEN coord_a ELSE coord_a+59 END AS e, coord_a AS p1, CASE WHEN chrom_b=chrom_a THEN coord_b END AS p2 FROM junction
+  UNION ALL SELECT contig, no1, no2, {FUSION}, 'B', chrom_b, CASE WHEN dir_b='up' THEN coord_b-59 ELSE coord_b END, CASE WHEN dir_b='up' THEN coord_b ELSE coord_b+59 END, CASE WHEN chrom_a=chrom_b THEN coord_a END, coord_b FROM junction),
+ gr AS (SELECT contig%4+1 AS chrom, contig*60+rleft AS fs, contig*60+rright AS fe, count(*) AS n FROM reads GROUP BY ALL),
+ gb AS (SELECT *, unnest(generate_series((fs+5)//60, (fe-5)//60)) AS bin FROM gr),
+ rb AS (SELECT *, unnest(generate_series(s//60, e//60)) AS bin FROM rg),
+ mt AS (SELECT DISTINCT r.contig, r.no1, r.no2, r.region, r.s, r.e, g.fs, g.fe, g.n, CASE WHEN fusion THEN CASE WHEN coalesce(fs<p1 AND fe>p1,false) OR coalesce(fs<p2 AND fe>p2,false) THEN 'DW' ELSE 'T1' END
+   WHEN fs<LEAST(p1,p2) AND fe>GREATEST(p1,p2) THEN 'DW' WHEN LEAST(p1,p2)<fs AND GREATEST(p1,p2)>fe THEN 'T2' ELSE 'T1' END AS kind FROM rb r JOIN gb g ON g.chrom=r.chrom AND g.bin=r.bin AND g.fs+5<=r.e AND g.fe-5>=r.s),
+ ps AS (SELECT contig, no1, no2, region, kind, n, unnest(generate_series(GREATEST(s,fs+5), LEAST(e,fe-5))) AS pos FROM mt),
+ sm AS (SELECT contig, no1, no2, region, pos, sum(n) FILTER (kind='DW') AS DW, sum(n) FILTER (kind='T1') AS T1, sum(n) FILTER (kind='T2') AS T2 FROM ps GROUP BY ALL),
+ bs AS (SELECT contig, no1, no2, region, unnest(generate_series(s,e)) AS pos FROM rg),
+ cov AS (SELECT contig, no1, no2, region, pos, CAST(coalesce(DW,0) AS BIGINT) AS DW, CAST(coalesce(T1,0) AS BIGINT) AS T1, CAST(coalesce(T2,0) AS BIGINT) AS T2 FROM bs LEFT JOIN sm USING (contig,no1,no2,region,pos)) """
 
 
 def coverage(spark, d):
     """Coverage of all junctions; a fusion's breakpoint on another chromosome than the region is none that its reads can hold."""
     j = junctions(spark, d).withColumn("event_type", F.expr("CASE WHEN topology IN ('interchr','intrachr-same-strand','intrachr-opp-strand') THEN 'fusion' ELSE 'itd' END"))
-    side = lambda x: j.select(*SKEY, F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x}-59 ELSE coord_{x} END").alias("s"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x} ELSE coord_{x}+59 END").alias("e"), "event_type", *[F.expr(f"CASE WHEN chrom_{y}=chrom_{x} THEN coord_{y} END").alias(f"bp{k}") for k, y in ((1, "a"), (2, "b"))])
+    side = lambda x: F.struct(F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x}-59 ELSE coord_{x} END").alias("s"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x} ELSE coord_{x}+59 END").alias("e"), F.col("event_type"), *[F.expr(f"CASE WHEN chrom_{y}=chrom_{x} THEN coord_{y} END").alias(f"bp{k}") for k, y in ((1, "a"), (2, "b"))])
+    sides = j.select(*SKEY, F.explode(F.array(side("a"), side("b"))).alias("x")).select(*SKEY, "x.*")
     reads = fixtures.view(spark, d, fixtures.READS).select(F.expr("contig%4+1").alias("chrom"), F.expr("contig*60+rleft").alias("fs"), F.expr("contig*60+rright").alias("fe"))
-    return P.base_coverage(side("a").unionByName(side("b")), reads, [*SKEY, "region"])
+    return P.base_coverage(cut(sides), reads, [*SKEY, "region"])
 
 
 @query("g21_base_coverage", "split reads", COVER + "SELECT * FROM cov")
@@ -420,15 +446,29 @@ def _(spark, d):
     return r.select(*SKEY, *[F.col(x).cast("long").alias(x) for x in ("W_a", "T_a", "W_b", "T_b")], F.round("C_W_min", 6).alias("C_W_min"), F.round("C_T_avg", 6).alias("C_T_avg"))
 
 
+@query(
+    "g22_event_coverage", "split reads",
+    COVER + """, w AS (SELECT *, DW+T1+T2 AS t, DW+T1+T2-(1+contig%3)-(CASE WHEN T2>0 THEN 2*(1+contig%3) ELSE 0 END) AS wv FROM cov),
+    b AS (SELECT contig, no1, no2, region, max(wv) AS W FROM w GROUP BY ALL),
+    f AS (SELECT contig, no1, no2, CASE WHEN min(W)>0 THEN (1+contig%3)/CAST(min(W) AS DOUBLE) ELSE 999999.0 END AS x FROM b GROUP BY ALL)
+    SELECT CAST(floor(contig/5.0) AS BIGINT) AS group_id, round(min(x),6) AS min_C_W_min, round(max(x),6) AS max_C_W_min, round(avg(x),4) AS mean_C_W_min FROM f GROUP BY 1""",
+)
+def _(spark, d):
+    c = split(spark, d).select(*SKEY, F.expr("1+contig%3").alias("C"))
+    r = P.relative_coverage(coverage(spark, d), c, SKEY).withColumn("group_id", F.expr("CAST(floor(contig/5.0) AS BIGINT)"))
+    e = P.event_coverage(r, "group_id")
+    return e.select("group_id", F.round("min_C_W_min", 6).alias("min_C_W_min"), F.round("max_C_W_min", 6).alias("max_C_W_min"), F.round("mean_C_W_min", 4).alias("mean_C_W_min"))
+
+
 @query(
     "g20_support_type", "split reads",
-    BP_SQL + "SELECT j.contig, j.no1, j.no2, r.read_id, CASE WHEN (r.rleft*90<coord_a AND r.rright*90>coord_a) OR (r.rleft*90<coord_b AND r.rright*90>coord_b) THEN 'DW' ELSE 'T1' END AS fusion, CASE WHEN r.rleft*90<LEAST(coord_a,coord_b) AND r.rright*90>GREATEST(coord_a,coord_b) THEN 'DW' WHEN LEAST(coord_a,coord_b)<r.rleft*90 AND GREATEST(coord_a,coord_b)>r.rright*90 THEN 'T2' ELSE 'T1' END AS itd FROM junction j JOIN reads r ON r.contig=j.contig",
+    BP_SQL + "SELECT j.contig, j.no1, j.no2, r.read_id, CASE WHEN (r.rleft*90<coord_a AND r.rright*90>coord_a AND r.contig%4+1=chrom_a) OR (r.rleft*90<coord_b AND r.rright*90>coord_b AND r.contig%4+1=chrom_b) THEN 'DW' ELSE 'T1' END AS fusion, CASE WHEN r.rleft*90<LEAST(coord_a,coord_b) AND r.rright*90>GREATEST(coord_a,coord_b) THEN 'DW' WHEN LEAST(coord_a,coord_b)<r.rleft*90 AND GREATEST(coord_a,coord_b)>r.rright*90 THEN 'T2' ELSE 'T1' END AS itd FROM junction j JOIN reads r ON r.contig=j.contig",
 )
 def _(spark, d):
     r = fixtures.view(spark, d, fixtures.READS).select("contig", "read_id", F.expr("rleft*90").alias("rs"), F.expr("rright*90").alias("re"))
     j = junctions(spark, d).join(r, "contig")
     a = (F.col("rs"), F.col("re"), F.col("coord_a"), F.col("coord_b"))
-    return j.select(*SKEY, "read_id", P.support_type("fusion", *a).alias("fusion"), P.support_type("itd", *a).alias("itd"))
+    return j.select(*SKEY, "read_id", P.support_type("fusion", *a, F.expr("contig%4+1"), F.col("chrom_a"), F.col("chrom_b")).alias("fusion"), P.support_type("itd", *a).alias("itd"))
 
 
 @query(

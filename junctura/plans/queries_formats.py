@@ -117,7 +117,7 @@ def _(spark, d):
     return R.build_annotation_reference(t, names, t, names, rep)["transcripts"]
 
 
-VCF = BP_SQL + ", e AS (SELECT contig*10000+no1*100+no2 AS group_id, *, GREATEST(0,ctg_overlap) AS w FROM junction), p AS (SELECT *, CASE WHEN dir_a='down' THEN coord_a+w ELSE coord_a END AS pa, CASE WHEN dir_b='down' THEN coord_b+w ELSE coord_b END AS pb FROM e) "
+VCF = BP_SQL + ", e AS (SELECT contig*10000+no1*100+no2 AS group_id, *, GREATEST(0,ctg_overlap) AS w FROM junction), p AS (SELECT *, CASE WHEN dir_a='down' THEN coord_a-w ELSE coord_a END AS pa, CASE WHEN dir_b='down' THEN coord_b-w ELSE coord_b END AS pb FROM e) "
 ALT = "CASE WHEN {o}='up' THEN 'N'||(CASE WHEN {m}='up' THEN ']' ELSE '[' END)||{c}||':'||{p}||(CASE WHEN {m}='up' THEN ']' ELSE '[' END) ELSE (CASE WHEN {m}='up' THEN ']' ELSE '[' END)||{c}||':'||{p}||(CASE WHEN {m}='up' THEN ']' ELSE '[' END)||'N' END"
 
 
@@ -156,7 +156,7 @@ def _(spark, d):
     return spark.read.text(path).select("value", "status", "topology")
 
 
-@query("k07_contigs_fasta", "seqs", "SELECT CAST(seq_id AS VARCHAR) AS id, '>'||seq_id||chr(10)||left(seq,50) AS value FROM seqs WHERE seq_id%3=0 AND length(seq)>=50")
+@query("k07_contigs_fasta", "seqs", "SELECT CAST(seq_id AS VARCHAR) AS id, '>'||seq_id||chr(10)||rtrim(regexp_replace(seq,'(.{{60}})','\\1'||chr(10),'g'),chr(10)) AS value FROM seqs WHERE seq_id%3=0 AND length(seq)>0")
 def _(spark, d):
     s = fixtures.view(spark, d, fixtures.SEQS).where("length(seq)>0").selectExpr("cast(seq_id as string) AS id", "seq AS sequence", "seq_id")
     return W.contig_fasta(s, s.where("seq_id%3=0"))

@@ -15,14 +15,16 @@ from ..operators import recurrence as R
 from ..operators.grouping import group_events
 from . import fixtures
 from .queries_candidates import BP_SQL, aln, junctions, split
-from .queries_events import MGENE, MKEY, POINTS, feat, member_gene, ours, theirs
+from .queries_events import MATCHED, MGENE, MKEY, OURS, POINTS, feat, member_gene, ours, theirs
 from .registry import query
+from .session import cut
 
 #: Member columns over split candidates, for both engines.
-MEMBER = """CAST(floor(contig/5.0) AS BIGINT) AS group_id, contig, ctg_len, no1, no2, topology, ctg_overlap, chrom1, chrom2, strand1, strand2, qs1, qs2, contig%13 AS strong, contig%13+(contig*7+no1)%150 AS reads_all,
+MEMBER = """CAST(floor(contig/5.0) AS BIGINT) AS group_id, contig, ctg_len, no1, no2, topology, ctg_overlap, strand1, strand2, qs1, qs2, contig%13 AS strong,
+ CASE WHEN chrom1=4 AND no1%5=0 THEN CASE WHEN contig%2=0 THEN 'chrMT' ELSE 'M' END ELSE concat('chr',chrom1) END AS chrom1, concat('chr',chrom2) AS chrom2, tright1-tleft1+1-no2%9 AS tspan_a, qe1-qs1+1-no2%4 AS aligned_a, 1+contig%2 AS num_aligners, contig%13+(contig*7+no1)%150 AS reads_all,
  (contig+no2)%6 AS num_groups, CAST(pid1 AS DOUBLE)/10 AS pid_a, CAST(pid2 AS DOUBLE)/10 AS pid_b, qe1-qs1+1 AS span_a, qe2-qs2+1 AS span_b, (no1+no2)%3 AS multi_mapped,
  CAST((qe1-qs1+1)+(qe2-qs2+1)-GREATEST(0,ctg_overlap) AS DOUBLE)/ctg_len AS represented, no1%4=0 AS gap, CASE WHEN no1%8=0 THEN 'AAAAAA' WHEN no2%3=0 THEN 'AAGAAA' ELSE 'ACGTAC' END AS event_seq, no2%2=0 AS edge_gap,
- contig%3 AS pairs, contig%17=0 AS has_repeat, contig%11=0 AS rna"""
+ contig%7 AS pairs, contig%5 AS pairs_filtered, contig%3 AS pairs_exonic, (contig%3)*(no2%2) AS pairs_filtered_exonic, contig%17=0 AS has_repeat, contig%11=0 AS rna"""
 M = f", m AS (SELECT {MEMBER} FROM split) "
 
 
@@ -46,7 +48,8 @@ def _columns(text: str) -> list[str]:
 SQL = {
     "READS_TO_CONTIG": "strong>=5 OR reads_all>=100",
     "TOO_MANY_GROUPS": "num_groups<=3",
-    "PERCENT_IDENTITY": "pid_a>=LEAST(floor(1000.0*GREATEST(1,span_a-1)/span_a)/10.0,99.0) AND pid_b>=LEAST(floor(1000.0*GREATEST(1,span_b-1)/span_b)/10.0,99.0)",
+    "PERCENT_IDENTITY": "pid_a>=CASE WHEN gap THEN LEAST(floor((100.0-1000.0*(1+CASE WHEN edge_gap THEN 0 ELSE 1 END+round(3*ln(1.0+GREATEST(0,span_a-tspan_a))))/aligned_a*0.1)*10)/10.0,"
+    "LEAST(floor(1000.0*GREATEST(1,span_a-1)/span_a)/10.0,99.0)) ELSE LEAST(floor(1000.0*GREATEST(1,span_a-1)/span_a)/10.0,99.0) END AND pid_b>=LEAST(floor(1000.0*GREATEST(1,span_b-1)/span_b)/10.0,99.0)",
     "GAP_RUN": "NOT gap OR event_seq='ACGTAC'",
     "CONTIG_OVERLAP": "gap OR ctg_overlap<=75",
     "CONTIG_REPRESENTED": "represented>=0.9",
@@ -54,7 +57,13 @@ SQL = {
     "POLY_A": "NOT (gap AND edge_gap AND event_seq='AAAAAA')",
     "IGNORED_TOPOLOGY": "topology<>'end-duplication'",
 }
-GROUP_SQL = {"PAIR_SUPPORT": "max(pairs)<1", "RNA_REPEAT": "bool_or(rna)", "MITOCHONDRIAL": "bool_or(chrom1=4 OR chrom2=4)", "REPEAT_SEQ": "bool_or(has_repeat)"}
+GROUP_SQL = {
+    "PAIR_SUPPORT": "max(pairs_exonic)<1 OR max(pairs_filtered_exonic)<0",
+    "RNA_REPEAT": "bool_or(rna)",
+    "MITOCHONDRIAL": "bool_or(replace(upper(chrom1),'CHR','') IN ('M','MT') OR replace(upper(chrom2),'CHR','') IN ('M','MT'))",
+    "REPEAT_SEQ": "bool_or(has_repeat)",
+    "SINGLE_ALIGN": "max(num_aligners)<2 AND NOT bool_or(gap)",
+}
 ALL = " AND ".join(f"({v})" for v in SQL.values())
 
 
@@ -69,12 +78,32 @@ def _group_filter(reason: str):
 for _i, (_reason, _test) in enumerate(SQL.items(), 1):
     query(f"p{_i:02d}_{_reason.lower()}", "split", M + f"SELECT group_id, NOT bool_or({_test}) AS failed FROM m GROUP BY group_id")(_member_filter(_reason))
 for _i, (_reason, _test) in enumerate(GROUP_SQL.items(), 10):
-    query(f"p{_i:02d}_{_reason.lower()}", "split", M + f"SELECT group_id, {_test} AS failed FROM m GROUP BY group_id")(_group_filter(_reason))
+    _name = "p06_single_align" if _reason == "SINGLE_ALIGN" else f"p{_i:02d}_{_reason.lower()}"
+    query(_name, "split", M + f"SELECT group_id, {_test} AS failed FROM m GROUP BY group_id")(_group_filter(_reason))
+
+
+@query("p02_pair_support_filtered", "split", M + "SELECT group_id, max(pairs)<3 OR max(pairs_filtered)<2 AS failed FROM m GROUP BY group_id")
+def _(spark, d):
+    o = L.Options(pairs=3, pairs_filtered=2, ignore_introns=False)
+    return members(spark, d).groupBy("group_id").agg(L.group_filters(o)["PAIR_SUPPORT"].alias("failed"))
+
+
+GAPPED = "SELECT contig, no1, no2, ctg_len, qs1 AS ctg_s, qe1 AS ctg_e, qs1+10 AS gap_s, qs1+10+no2%40 AS gap_e, qs1+5+no1%60 AS part_s, qs1+25+no2%50 AS part_e, qs1+12 AS dup_s, qs1+18 AS dup_e, CASE WHEN no2%3=0 THEN 'gap-internal_inversion' ELSE 'gap-tandem-duplication' END AS topology FROM split"
+_INSIDE = "LEAST(gap_e,{0}_e)-GREATEST(gap_s,{0}_s)+1"
+
+
+@query(
+    "p10_gap_represented", "split",
+    f"SELECT contig, no1, no2, round(CAST(CASE WHEN gap_s-1<=ctg_s THEN 0 ELSE gap_s-ctg_s END+CASE WHEN ctg_e<=gap_e+1 THEN 0 ELSE ctg_e-gap_e END+GREATEST(0,CASE WHEN {_INSIDE.format('part')}<1 AND topology LIKE '%dup%' THEN {_INSIDE.format('dup')} ELSE {_INSIDE.format('part')} END) AS DOUBLE)/ctg_len,9) AS represented FROM ({GAPPED}) x",
+)
+def _(spark, d):
+    g = split(spark, d).selectExpr(*_columns(GAPPED[len("SELECT ") : -len(" FROM split")]))
+    return g.select("contig", "no1", "no2", F.round(L.gap_represented(), 9).alias("represented"))
 
 LENIENT = L.Options(min_identity=90.0, min_represented=0.6, all_reads=20)
 SOFT = ALL.replace("99.0", "90.0").replace(">=0.9)", ">=0.6)").replace("reads_all>=100", "reads_all>=20")
 REASONS = sorted([*SQL, "PAIR_SUPPORT", "RNA_REPEAT", "MITOCHONDRIAL", "NO_GOOD_MEMBERS"])
-_TESTS = {k: f"NOT bool_or({v})" for k, v in SQL.items()} | {k: v for k, v in GROUP_SQL.items() if k != "REPEAT_SEQ"} | {"NO_GOOD_MEMBERS": f"NOT bool_or({ALL})"}
+_TESTS = {k: f"NOT bool_or({v})" for k, v in SQL.items()} | {k: v for k, v in GROUP_SQL.items() if k not in ("REPEAT_SEQ", "SINGLE_ALIGN")} | {"NO_GOOD_MEMBERS": f"NOT bool_or({ALL})"}
 _SOFT = {k: v.replace("99.0", "90.0").replace(">=0.9)", ">=0.6)").replace("reads_all>=100", "reads_all>=20") for k, v in _TESTS.items()}
 
 
@@ -109,6 +138,21 @@ def _(spark, d):
     return L.check_events(m).select("contig", "no1", "no2", F.array_join("problems", ",").alias("problems"))
 
 
+#: Gapped members with what the format says of them, some of it wrong.
+CHECKED = "SELECT contig, no1, no2, 1 AS group_id, 1 AS strong, 2 AS reads_all, 'ACGT' AS event_seq, no1%2=0 AS gap, contig%4 AS exon_bounds, strand1, strand2, CASE WHEN contig%9=0 THEN strand2 ELSE strand1 END AS ctg_strand, CASE WHEN contig%8=0 THEN strand1 ELSE strand2 END AS event_strand, qs1, qe1, qs2, qe2, qs1+contig%70-5 AS gap_s, qs1+contig%60+2 AS gap_e, CASE WHEN no2%2=0 THEN qs1 END AS bg_s, CASE WHEN no2%3=0 THEN qe1 END AS ag_s, CASE WHEN contig%5<>0 THEN qs1+contig%50 END AS dup_s, CASE WHEN contig%5<>0 THEN qs1+20 END AS dup_e, qs2-qs1-20+contig%2-1 AS dist FROM split"
+BROKEN = {
+    "exon bounds": "exon_bounds NOT IN (0,1,2)", "contig strand": "gap AND ctg_strand<>strand1", "event strand": "gap AND event_strand<>strand2", "gap order": "gap AND gap_s>=gap_e",
+    "no bases before gap": "gap AND bg_s IS NULL AND gap_e>=qs1", "no bases after gap": "gap AND ag_s IS NULL AND gap_s<=qe1", "copy order": "gap AND dup_s>=dup_e",
+    "copy distance": "gap AND dist<>CASE WHEN qs2<=dup_s THEN dup_s-qe2-1 ELSE qs2-dup_e-1 END",
+}
+
+
+@query("p21_check_gaps", "split", f", ck AS ({CHECKED}) SELECT contig, no1, no2, concat_ws(',', " + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in {"contig order": "qs1>qs2", **BROKEN}.items()) + ") AS problems FROM ck")
+def _(spark, d):
+    m = split(spark, d).selectExpr(*_columns(CHECKED[len("SELECT ") : -len(" FROM split")]))
+    return L.check_events(m).select("contig", "no1", "no2", F.array_join("problems", ",").alias("problems"))
+
+
 # --- prediction --------------------------------------------------------------
 
 PKEY = ["contig", "no1", "no2"]
@@ -135,17 +179,18 @@ ORIENT = (
     SIDES
     + """, gd AS (SELECT gene, CASE WHEN min(strand)=max(strand) THEN min(strand) ELSE '*' END AS direction FROM feat GROUP BY gene),
  orr AS (SELECT m.contig, m.no1, m.no2, m.region, list(DISTINCT CASE WHEN direction='*' THEN '*' WHEN direction=(CASE WHEN m.region='A' THEN s.strand1 ELSE s.strand2 END) THEN '+' ELSE '-' END) AS o
-  FROM mg m JOIN gd USING (gene) JOIN split s ON s.contig=m.contig AND s.no1=m.no1 AND s.no2=m.no2 GROUP BY ALL),
+  FROM (SELECT * FROM (SELECT *, bool_or(feature<>'intron') OVER (PARTITION BY contig,no1,no2,region) AS ex FROM mg) y WHERE NOT ex OR feature<>'intron') m JOIN gd USING (gene) JOIN split s ON s.contig=m.contig AND s.no1=m.no1 AND s.no2=m.no2 GROUP BY ALL),
  orn AS (SELECT contig, no1, no2, coalesce(max(CASE WHEN region='A' THEN CASE WHEN len(o)=1 THEN o[1] ELSE '*' END END),'?') AS orient_a, coalesce(max(CASE WHEN region='B' THEN CASE WHEN len(o)=1 THEN o[1] ELSE '*' END END),'?') AS orient_b FROM orr GROUP BY ALL),
  fu AS (SELECT s.*, sd.genes_a, sd.genes_b, orient_a, orient_b, CASE WHEN orient_a IN ('+','*') AND orient_b IN ('+','*') THEN '53' WHEN orient_a IN ('-','*') AND orient_b IN ('-','*') THEN '35' WHEN orient_a='+' THEN '55' ELSE '33' END AS ends
-  FROM split s JOIN sd USING (contig,no1,no2) JOIN orn USING (contig,no1,no2) WHERE s.no1%4<>0 AND (chrom1<>chrom2 OR tright1<tleft2 OR tright2<tleft1) AND topology NOT IN ('end-duplication','junction-duplication')
-  AND len(genes_a)>0 AND len(genes_b)>0 AND LEAST(qe1-qs1,qe2-qs2)+1-GREATEST(0,ctg_overlap)>=5 AND len(list_intersect(genes_a,genes_b))=0 AND orient_a<>'?' AND orient_b<>'?') """
+  FROM split s JOIN sd USING (contig,no1,no2) JOIN orn USING (contig,no1,no2) WHERE s.no1%4<>0 AND (chrom1<>chrom2 OR NOT ((tleft1<=tleft2 AND tleft2<tright1) OR (tleft2<tleft1 AND tleft1<tright2))) AND topology NOT IN ('end-duplication','junction-duplication')
+  AND len(genes_a)>0 AND len(genes_b)>0 AND LEAST(qe1-qs1,qe2-qs2)+1-ctg_overlap>=5 AND (topology='interchr' OR len(list_intersect(genes_a,genes_b))=0) AND orient_a<>'?' AND orient_b<>'?') """
 )
 
 
 def fusions(spark, d):
-    s = split(spark, d).withColumn("gap", F.expr("no1%4=0"))
-    g = member_gene(spark, d)
+    # Both are read several times below.
+    s = cut(split(spark, d).withColumn("gap", F.expr("no1%4=0")))
+    g = cut(member_gene(spark, d))
     strands = s.select(*PKEY, F.explode(F.array(F.struct(F.lit("A").alias("region"), F.col("strand1").alias("strand")), F.struct(F.lit("B").alias("region"), F.col("strand2").alias("strand")))).alias("x")).select(*PKEY, "x.*")
     directions = N.gene_directions(feat(spark, d).withColumnRenamed("fstrand", "strand"))
     o = E.orientation(g.join(strands, MKEY), directions, PKEY)
@@ -162,13 +207,16 @@ def _(spark, d):
     return fusions(spark, d).select(*PKEY, "end_a", "end_b")
 
 
-ROUTE = """, ro AS (SELECT *, CASE WHEN chrom1=chrom2 AND bp_distance<50000 AND topology IN ('read-through','intrachr-same-strand') THEN 'read_through' WHEN ends IN ('55','33') THEN 'mixed_sense'
- WHEN row_number() OVER (PARTITION BY list_aggregate(list_concat(genes_a,genes_b),'string_agg',',') ORDER BY contig,no1,no2)>1 THEN 'duplicate_gene' ELSE 'main' END AS route FROM fu) """
+ROUTE = """, tr AS (SELECT *, contig*10000+no1*100+no2 AS o, CAST(floor(contig/5.0) AS BIGINT) AS group_id, CASE WHEN topology IN ('read-through','intrachr-same-strand') AND target_distance<50000 THEN 'read_through'
+  WHEN topology='interchr' AND len(list_intersect(genes_a,genes_b))>0 THEN 'duplicate_gene' END AS special FROM fu) """
 
 
-@query("e07_route_fusions", "split feat", ORIENT + ROUTE + "SELECT contig, no1, no2, route FROM ro")
+@query(
+    "e07_route_fusions", "split feat",
+    ORIENT + ROUTE + "SELECT group_id, coalesce(arg_min(special, o) FILTER (special IS NOT NULL), CASE WHEN bool_and(ends IN ('55','33')) THEN 'mixed_sense' ELSE 'main' END) AS route, count(*) AS n_members FROM tr GROUP BY group_id",
+)
 def _(spark, d):
-    return E.route_fusions(fusions(spark, d)).select(*PKEY, "route")
+    return E.route_fusions(fusions(spark, d).withColumn("group_id", F.expr("CAST(floor(contig/5.0) AS BIGINT)")), "group_id", PKEY)
 
 
 BOUNDS = "CAST((contig+no1)%3 AS INT)"
@@ -183,12 +231,14 @@ def _(spark, d):
     return E.predict_ptd(with_genes(spark, d)).select(*PKEY)
 
 
-ITD = f"SELECT contig, no1, no2, no2%2=0 AS edge_gap, represented, 1+no1%2 AS n_exons, CAST(floor(contig/5.0) AS BIGINT) AS group_id FROM (SELECT *, CAST((qe1-qs1+1)+(qe2-qs2+1)-GREATEST(0,ctg_overlap) AS DOUBLE)/ctg_len AS represented FROM split) s JOIN sd USING (contig,no1,no2) WHERE no1%4=0 AND {BOUNDS}<2 AND (no2%2<>0 OR represented>=0.8) AND contig%17<>0 AND len(coding_a)>0"
+#: Gapped members: the gap's span and what of it is aligned, and the aligned shares of the contig.
+ITD_COLUMNS = "qe2-qs2+1 AS aligned_span, qe2-qs2+1+(contig%4)*10 AS gap_span, CAST(qe1-qs1+1 AS DOUBLE)/ctg_len AS fraction_a, CAST(qe2-qs2+1 AS DOUBLE)/(ctg_len*(1+no1%3)) AS fraction_b, no2%2=0 AS edge_gap, contig%17=0 AS has_repeat, 1+no1%2 AS n_exons, 'gap-tandem-duplication' AS topology"
+ITD = f"SELECT *, contig*10000+no1*100+no2 AS o FROM (SELECT contig, no1, no2, coding_a, {ITD_COLUMNS}, {BOUNDS} AS exon_bounds, CAST(floor(contig/5.0) AS BIGINT) AS group_id FROM split s JOIN sd USING (contig,no1,no2) WHERE no1%4=0) z WHERE exon_bounds<>2 AND (NOT edge_gap OR CAST(aligned_span AS DOUBLE)/gap_span>=0.8) AND NOT has_repeat AND len(coding_a)>0"
 
 
 def itds(spark, d):
-    g = with_genes(spark, d).where("no1%4=0").withColumn("topology", F.lit("gap-tandem-duplication")).withColumn("edge_gap", F.expr("no2%2=0")).withColumn("align_fraction", F.col("represented")).withColumn("has_repeat", F.expr("contig%17=0")).withColumn("n_exons", F.expr("1+no1%2"))
-    return E.predict_itd(g)
+    g = with_genes(spark, d).where("no1%4=0").drop("topology")
+    return E.predict_itd(g.selectExpr("*", *_columns(ITD_COLUMNS)).withColumn("gap", F.lit(True)))
 
 
 @query("e09_predict_itd", "split feat", SIDES + f"SELECT contig, no1, no2 FROM ({ITD}) x")
@@ -196,9 +246,13 @@ def _(spark, d):
     return itds(spark, d).select(*PKEY)
 
 
-@query("e10_route_itds", "split feat", SIDES + f"SELECT contig, no1, no2, (CASE WHEN edge_gap THEN 'edge' WHEN represented<0.7 THEN 'full' ELSE 'internal' END)||(CASE WHEN n_exons>1 THEN '_multi_exon' ELSE '' END) AS route FROM ({ITD}) x")
+@query(
+    "e10_route_itds", "split feat",
+    SIDES + f"""SELECT group_id, CASE WHEN fe IS NULL THEN 'internal'||(CASE WHEN fm IS NOT NULL THEN '_multi_exon' ELSE '' END) ELSE (CASE WHEN ff>=0.25 THEN 'full' ELSE 'edge' END)||(CASE WHEN fm<=fe THEN '_multi_exon' ELSE '' END) END AS route FROM (
+     SELECT group_id, min(o) FILTER (edge_gap) AS fe, arg_min(LEAST(fraction_a,fraction_b), o) FILTER (edge_gap) AS ff, min(o) FILTER (n_exons>1) AS fm FROM ({ITD}) x GROUP BY group_id) y""",
+)
 def _(spark, d):
-    return E.route_itds(itds(spark, d), 0.7).select(*PKEY, "route")
+    return E.route_itds(itds(spark, d), "group_id", PKEY)
 
 
 @query("e11_process_groups", "split feat", ORIENT + f"SELECT CAST(floor(contig/5.0) AS BIGINT) AS group_id, count(*) AS n_members, 'fusion' AS event_type FROM fu GROUP BY 1 UNION ALL SELECT group_id, count(*), 'itd' FROM ({ITD}) x GROUP BY 1")
@@ -222,9 +276,19 @@ def _(spark, d):
     return E.region_gene_sets(h.withColumn("fraction", F.expr("cast(match as double)/(e-s+1)")), KEY)
 
 
-@query("e14_recheck_fusion", "split feat", ORIENT + BEST + "SELECT contig, no1, no2 FROM fu JOIN bc ON bc.query=fu.contig WHERE NOT perfect AND NOT matches>1.1*(GREATEST(qe1-qs1,qe2-qs2)+1)")
+REST = "lower(substr(seq, CAST(qe1+1 AS INT)))", "lower(substr(seq, 1, CAST(qs2-1 AS INT)))"
+_AGAIN = "contains({0}, substr({1},2)) OR contains({0}, left({1}, CAST(GREATEST(0,length({1})-1) AS INT)))"
+
+
+@query(
+    "e14_recheck_fusion", "split feat seqs",
+    ORIENT + BEST + f""", rs AS (SELECT fu.*, {REST[0]} AS past, {REST[1]} AS ahead, lower(substr(seq, CAST(qs1 AS INT), CAST(qe1-qs1+1 AS INT))) AS one, lower(substr(seq, CAST(qs2 AS INT), CAST(qe2-qs2+1 AS INT))) AS two FROM fu LEFT JOIN seqs ON seq_id=fu.contig)
+    SELECT contig, no1, no2 FROM rs JOIN bc ON bc.query=rs.contig WHERE NOT perfect AND NOT matches>1.1*(GREATEST(qe1-qs1,qe2-qs2)+1)
+     AND NOT coalesce(regexp_full_match(past,'.?a*') OR regexp_full_match(ahead,'t*.?') OR {_AGAIN.format("one", "past")} OR {_AGAIN.format("two", "ahead")}, false)""",
+)
 def _(spark, d):
-    return E.recheck_fusion(fusions(spark, d), E.best_contig_alignment(aln(spark, d)), 1.1).select(*PKEY)
+    s = fixtures.view(spark, d, fixtures.SEQS).select(F.col("seq_id").alias("contig"), "seq")
+    return E.recheck_fusion(fusions(spark, d), E.best_contig_alignment(aln(spark, d)), 1.1, s).select(*PKEY)
 
 
 @query("e15_recheck_ptd", "split feat", SIDES + BEST + f"SELECT contig, no1, no2 FROM split s JOIN sd USING (contig,no1,no2) JOIN bc ON bc.query=s.contig WHERE topology IN ('junction-duplication','end-duplication','intrachr-non-colinear') AND {BOUNDS}=2 AND len(list_intersect(coding_a,coding_b))>0 AND NOT perfect AND NOT matches>1.5*(GREATEST(qe1-qs1,qe2-qs2)+1)")
@@ -232,10 +296,10 @@ def _(spark, d):
     return E.recheck_ptd(E.predict_ptd(with_genes(spark, d)), E.best_contig_alignment(aln(spark, d))).select(*PKEY)
 
 
-CUT = "SELECT seq_id AS contig, substr(seq, CAST(1+seq_id%50 AS INT), CAST(1+seq_id%4 AS INT)) AS dup_seq, seq_id%20 AS gene FROM seqs WHERE length(seq)>=60"
+CUT = "SELECT seq_id AS contig, substr(seq, CAST(1+seq_id%50 AS INT), CAST(4+seq_id%17 AS INT)) AS dup_seq, seq_id%20 AS gene FROM seqs WHERE length(seq)>=60"
 
 
-@query("e16_recheck_itd", "seqs", f", x AS ({CUT}), t AS (SELECT seq_id%20 AS gene, substr(seq,1,400) AS seq FROM seqs WHERE seq_id%7=0) SELECT contig, dup_seq, gene FROM x WHERE length(replace(dup_seq,left(dup_seq,1),''))>0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.gene=x.gene AND contains(t.seq, dup_seq||dup_seq))")
+@query("e16_recheck_itd", "seqs", f", x AS ({CUT}), t AS (SELECT seq_id%20 AS gene, seq FROM seqs) SELECT contig, dup_seq, gene FROM x WHERE length(replace(dup_seq,left(dup_seq,1),''))>0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.gene=x.gene AND contains(t.seq, dup_seq||dup_seq))")
 def _(spark, d):
     s = fixtures.view(spark, d, fixtures.SEQS)
     x = s.where("length(seq)>=60").selectExpr("seq_id AS contig", "substr(seq, cast(1+seq_id%50 as int), cast(4+seq_id%17 as int)) AS dup_seq", "seq_id%20 AS gene")
@@ -284,14 +348,18 @@ def contigs_of(seqs: DataFrame, size: int = 300) -> DataFrame:
     return s.withColumn("seq", F.concat(F.expr("substr(seq,1,120)"), put, F.expr("substr(seq, 121+cast(seq_id%40 as int))")))
 
 
-PLAIN = "SELECT seq_id, substr(seq,1,300) AS seq FROM seqs WHERE length(seq)>=300"
+#: The same contigs in SQL: seq, and first and last base of each block (null: clipped away).
+CONTIGS = """SELECT seq_id, contig_no, CASE WHEN seq_id%3=0 THEN substr(raw,1,120)||left(substr(raw, CAST(121-w AS INT), CAST(w AS INT)), CAST(GREATEST(0,n-120) AS INT))||substr(raw, CAST(121+w AS INT)) WHEN seq_id%3=1 THEN substr(raw,1,120)||left(reverse(translate(substr(raw, CAST(121-w AS INT), CAST(w AS INT)),'ACGT','TGCA')), CAST(GREATEST(0,n-120) AS INT))||substr(raw, CAST(121+w AS INT)) ELSE raw END AS seq,
+ n, 1+seq_id%3*5 AS s1, LEAST(120,n) AS e1, 121+seq_id%40 AS s2, LEAST(290+seq_id%11,n) AS e2 FROM (
+ SELECT seq_id, k AS contig_no, substr(seq, CAST(k*300+1 AS INT), 300) AS raw, length(substr(seq, CAST(k*300+1 AS INT), 300)) AS n, seq_id%40 AS w FROM seqs, LATERAL (SELECT unnest(generate_series(0, (length(seq)-1)//300)) AS k) u WHERE length(seq)>0) x"""
+EDGE = "(length(replace(g,'A',''))=0 OR length(replace(g,'T',''))=0)"
+GAPS = f"""SELECT seq_id, contig_no, gap_s, gap_e FROM (SELECT *, substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)) AS g, gap_s=1 OR gap_e=n AS edge FROM (
+ SELECT seq_id, contig_no, seq, n, 1 AS gap_s, CASE WHEN s1<=e1 THEN s1-1 WHEN s2<=e2 THEN s2-1 ELSE n END AS gap_e FROM ct
+ UNION ALL SELECT seq_id, contig_no, seq, n, e1+1, s2-1 FROM ct WHERE s1<=e1 AND s2<=e2
+ UNION ALL SELECT seq_id, contig_no, seq, n, CASE WHEN s2<=e2 THEN e2 ELSE e1 END+1, n FROM ct WHERE s1<=e1 OR s2<=e2) y) z WHERE gap_e-gap_s+1>=4 AND NOT (edge AND {EDGE})"""
 
 
-@query(
-    "c15_explode_gaps", "seqs",
-    f"""SELECT seq_id, gap_s, gap_e FROM (SELECT seq_id, 1 AS gap_s, seq_id%3*5 AS gap_e, true AS edge, seq FROM ({PLAIN}) a UNION ALL SELECT seq_id, 121, 120+seq_id%40, false, seq FROM ({PLAIN}) b UNION ALL SELECT seq_id, 291+seq_id%11, 300, true, seq FROM ({PLAIN}) c) x
-    WHERE gap_e-gap_s+1>=4 AND NOT (edge AND (length(replace(substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)),'A',''))=0 OR length(replace(substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)),'T',''))=0))""",
-)
+@query("c15_explode_gaps", "seqs", f", ct AS ({CONTIGS}) {GAPS}")
 def _(spark, d):
     return gaps(spark, d).select(*GKEY)
 
@@ -351,12 +419,22 @@ def _(spark, d):
     return R.recurrence(keyed(spark, d)).drop("n_libraries")
 
 
+@query(
+    "g24_recurrence_totals", "split feat lib",
+    KEYED + MERGED + """, rc AS (SELECT event_type, key, count(DISTINCT lib)>1 AS again FROM kd JOIN mk USING (event_type, gene_key) GROUP BY ALL),
+     al AS (SELECT event_type, lib, lib||chr(1)||list_aggregate(gene_key,'string_agg',',') AS p, list_aggregate(key,'string_agg',',') AS k, again FROM (SELECT DISTINCT event_type, gene_key, lib FROM kd) x JOIN mk USING (event_type, gene_key) JOIN rc USING (event_type, key))
+     SELECT event_type, lib, count(DISTINCT p) AS n_predictions, count(DISTINCT p) FILTER (again) AS n_recurrent_predictions, count(DISTINCT k) AS n_genes, count(DISTINCT k) FILTER (again) AS n_recurrent_genes FROM al GROUP BY ROLLUP(event_type, lib) HAVING event_type IS NOT NULL""",
+)
+def _(spark, d):
+    return R.recurrence_totals(keyed(spark, d))
+
+
 @query("g25_split_recurrent", "split feat lib", KEYED + MERGED + ", rc AS (SELECT event_type, key, count(DISTINCT lib)>1 AS recurrent FROM kd JOIN mk USING (event_type, gene_key) GROUP BY ALL) SELECT event_id, recurrent FROM kd JOIN mk USING (event_type, gene_key) JOIN rc USING (event_type, key)")
 def _(spark, d):
     return R.split_recurrent(keyed(spark, d)).select("event_id", "recurrent")
 
 
-@query("k08_counts", "split feat lib", KEYED + "SELECT event_type, lib, count(DISTINCT event_id) AS n_events, count(DISTINCT g) AS n_genes FROM (SELECT *, unnest(gene_key) AS g FROM kd) x GROUP BY ROLLUP(event_type, lib) HAVING event_type IS NOT NULL")
+@query("k08_counts", "split feat lib", KEYED + "SELECT event_type, lib, count(DISTINCT event_id) AS n_events, count(DISTINCT g) AS n_genes, list_sort(list(DISTINCT g)) AS genes FROM (SELECT *, unnest(gene_key) AS g FROM kd) x GROUP BY ROLLUP(event_type, lib) HAVING event_type IS NOT NULL")
 def _(spark, d):
     return R.counts(keyed(spark, d))
 
@@ -388,12 +466,36 @@ def _(spark, d):
     return calls(spark, d).select("call_id", "quality")
 
 
-@query("g26_comparison_counts", "split", f"SELECT CAST(q AS INT) AS q, count(*) AS total, count(*) FILTER (located) AS lcom, count(*) FILTER (gened) AS gcom, count(*) FILTER (located AND gened) AS bcom FROM (SELECT *, {LADDER} AS quality FROM ({CALLS}) x) y, (SELECT unnest([0,1,2,3,4,5]) AS q) z WHERE quality>=q GROUP BY q")
+COMPARED = (
+    SIDES
+    + OURS
+    + f""", th AS (SELECT t.contig*10000+t.no1*100+t.no2 AS call_id, genes_a[1] AS gene1, genes_b[1] AS gene2 FROM theirs t LEFT JOIN sd USING (contig,no1,no2)),
+ hit AS (SELECT DISTINCT t.contig*10000+t.no1*100+t.no2 AS call_id {MATCHED}),
+ gp AS (SELECT DISTINCT g1, unnest(genes_b) AS g2 FROM (SELECT DISTINCT unnest(genes_a) AS g1, genes_b FROM sd WHERE contig%2=0) x),
+ cq AS (SELECT th.*, {LADDER} AS quality, th.call_id IN (SELECT call_id FROM hit) AS located, EXISTS (SELECT 1 FROM gp WHERE (g1=gene1 AND g2=gene2) OR (g1=gene2 AND g2=gene1)) AS gened FROM th JOIN ({CALLS}) c USING (call_id)),
+ qq AS (SELECT *, CASE WHEN gene1 IS NOT NULL AND gene2 IS NOT NULL THEN LEAST(gene1,gene2)||','||GREATEST(gene1,gene2) END AS pair FROM cq, (SELECT unnest([0,1,2,3,4,5]) AS q) z WHERE quality>=q) """
+)
+
+
+@query(
+    "g26_comparison_counts", "split feat",
+    COMPARED + "SELECT CAST(q AS INT) AS q, count(*) AS total, count(*) FILTER (located) AS lcom, count(*) FILTER (gened) AS gcom, count(*) FILTER (located AND gened) AS bcom,"
+    " count(DISTINCT pair) AS total_partners, count(DISTINCT pair) FILTER (located) AS lcom_partners, count(DISTINCT pair) FILTER (gened) AS gcom_partners, count(DISTINCT pair) FILTER (located AND gened) AS bcom_partners FROM qq GROUP BY q",
+)
 def _(spark, d):
     return X.comparison_counts(compared_calls(spark, d))
 
 
-@query("g27_breakpoint_clusters", "split", """, cl AS (SELECT contig*10000+no1*100+no2 AS node, CAST(floor(contig/5.0) AS BIGINT) AS group_key, no1%3=0 AS multi FROM split) SELECT node, row_number() OVER (PARTITION BY group_key ORDER BY CAST(multi AS INT), node)=1 AS "primary" FROM cl""")
+CLUSTERED = (
+    BP_SQL
+    + OURS
+    + """, bo AS (SELECT contig, no1, no2, chrom_a, coord_a, dir_a, chrom_b, coord_b, dir_b, contig*10000+no1*100+no2 AS node, no1%3=0 AS multi FROM ours UNION ALL SELECT contig, no1, no2, chrom_a, coord_a, dir_a, chrom_b, coord_b, dir_b, contig*10000+no1*100+no2, no1%3=0 FROM theirs),
+ link AS (SELECT a.node AS u, b.node AS v FROM bo a JOIN bo b ON a.chrom_a=b.chrom_a AND a.dir_a=b.dir_a AND a.chrom_b=b.chrom_b AND a.dir_b=b.dir_b AND abs(a.coord_a-b.coord_a)<=50 AND abs(a.coord_b-b.coord_b)<=50),
+ reach(u,v) AS (SELECT u,v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v=l.u), cl AS (SELECT u AS node, min(v) AS group_key FROM reach GROUP BY u) """
+)
+
+
+@query("g27_breakpoint_clusters", "split", CLUSTERED + """SELECT node, group_key, row_number() OVER (PARTITION BY group_key ORDER BY CAST(multi AS INT), node)=1 AS "primary" FROM cl JOIN bo USING (node)""")
 def _(spark, d):
     return clusters(ours(spark, d), theirs(spark, d)).select("node", "group_key", "primary")
 
@@ -404,12 +506,24 @@ def clusters(ours: DataFrame, theirs: DataFrame, buffer: int = 50) -> DataFrame:
     return X.primary_of_cluster(group_events(both, read_length=buffer))
 
 
+#: Two blocks an alignment, with unaligned bases between them on either side, over a breakpoint at 100.
+CLASSED = "SELECT *, 100 AS bp, qstart AS s1, qstart+29 AS e1, qstart+30+aln_no%4*3 AS s2, qend AS e2, 1+aln_no%3*2 AS t1, aln_no%4*3 AS q_insert, query%3*3 AS t_insert, 1+aln_no%3*2+qend-qstart-aln_no%4*3+query%3*3 AS t_end FROM aln"
+_PART = "CASE WHEN e{0}<bp THEN {1} WHEN bp<s{0} THEN {2} ELSE {3} END"
+
+
 @query(
     "g29_align_class", "aln",
-    "SELECT query, aln_no, CASE WHEN qstart-1<3 AND query_len-qend<3 THEN 'full' WHEN b>=19 AND a>=19 THEN 'tfull' WHEN GREATEST(b,a)>=23 THEN 'part' ELSE 'none' END AS align_class FROM (SELECT *, GREATEST(0,LEAST(qend,99)-qstart+1) AS b, GREATEST(0,qend-GREATEST(qstart,100)+1) AS a FROM aln) x",
+    f"""SELECT query, aln_no, CASE WHEN qstart<3 AND query_len-qend<2 AND q_insert<3 AND t_insert<3 THEN 'full' WHEN LEAST(bp-qstart+1,qend-bp+1)>=19 AND t1<3 AND t_len-t_end<2 AND t_insert<3 AND LEAST(b1+b2,a1+a2,cb,ca)>=19 THEN 'tfull'
+     WHEN LEAST(bp-qstart+1,qend-bp+1)>=19 AND LEAST(b1+b2,a1+a2,cb,ca)>=23 THEN 'part' ELSE 'none' END AS align_class, b1+b2 AS before, a1+a2 AS after, cb AS joined_before, ca AS joined_after FROM (
+     SELECT *, CASE WHEN s2<bp AND brk THEN b2 ELSE b1+b2 END AS cb, a1+CASE WHEN bp<s2 AND brk THEN 0 ELSE a2 END AS ca FROM (
+      SELECT *, t_end+query%3 AS t_len, q_insert>=5 OR t_insert>=5 AS brk, {_PART.format(1, "e1-s1+1", "0", "bp-s1+1")} AS b1, {_PART.format(1, "0", "e1-s1+1", "e1-bp+1")} AS a1, {_PART.format(2, "e2-s2+1", "0", "bp-s2+1")} AS b2, {_PART.format(2, "0", "e2-s2+1", "e2-bp+1")} AS a2 FROM ({CLASSED}) w) x) y""",
 )
 def _(spark, d):
-    return X.align_class(aln(spark, d).withColumn("bp", F.lit(100).cast("long"))).select("query", "aln_no", "align_class")
+    h = aln(spark, d).selectExpr(*_columns(CLASSED[len("SELECT ") : -len(" FROM aln")]))
+    h = h.withColumn("q_blocks", F.expr("array(struct(cast(s1 as bigint) AS s, cast(e1 as bigint) AS e), struct(cast(s2 as bigint) AS s, cast(e2 as bigint) AS e))"))
+    h = h.withColumn("t_blocks", F.expr("array(struct(cast(t1 as bigint) AS s, cast(t1+29 as bigint) AS e), struct(cast(t1+30+t_insert as bigint) AS s, cast(t_end as bigint) AS e))"))
+    h = h.withColumn("target_len", F.expr("t_end+query%3"))
+    return X.align_class(h).select("query", "aln_no", "align_class", "before", "after", "joined_before", "joined_after")
 
 
 @query("g30_select_primer_member", "split", M + "SELECT group_id, contig, no1, no2 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(ps,9) DESC, contig, no1, no2) AS k FROM (SELECT *, ctg_len/CAST(max(ctg_len) OVER w AS DOUBLE)+LEAST(span_a,span_b)/CAST(max(LEAST(span_a,span_b)) OVER w AS DOUBLE) AS ps FROM m WINDOW w AS (PARTITION BY group_id)) x) y WHERE k=1")
@@ -417,7 +531,7 @@ def _(spark, d):
     return X.select_primer_member(members(spark, d)).select("group_id", *PKEY)
 
 
-@query("g31_chimera_sequence", "seqs", "SELECT a.seq_id, left(a.seq, CAST(50+a.seq_id%100 AS INT))||'N'||substr(b.seq, CAST(10+a.seq_id%30 AS INT)) AS expected FROM (SELECT seq_id, left(seq,300) AS seq FROM seqs) a JOIN (SELECT seq_id, left(seq,300) AS seq FROM seqs) b ON b.seq_id=a.seq_id+1")
+@query("g31_chimera_sequence", "seqs", "SELECT a.seq_id, left(a.seq, CAST(50+a.seq_id%100 AS INT))||'N'||substr(b.seq, CAST(10+a.seq_id%30 AS INT)) AS expected FROM seqs a JOIN seqs b ON b.seq_id=a.seq_id+1")
 def _(spark, d):
     s = fixtures.view(spark, d, fixtures.SEQS).select("seq_id", "seq")
     j = s.selectExpr("seq_id", "seq AS left_seq").join(s.selectExpr("seq_id-1 AS seq_id", "seq AS right_seq"), "seq_id")
@@ -425,6 +539,12 @@ def _(spark, d):
     return X.chimera_sequence(e).select("seq_id", "expected")
 
 
+@query("g31_duplicated_sequence", "seqs", "SELECT seq_id, left(seq, CAST(60+seq_id%40 AS INT))||'AC'||substr(seq, CAST(20+seq_id%30 AS INT)) AS expected, 20+seq_id%30 AS from_, 2*(60+seq_id%40)+2-(20+seq_id%30)+1 AS to_ FROM seqs WHERE length(seq)>=100")
+def _(spark, d):
+    s = fixtures.view(spark, d, fixtures.SEQS).where("length(seq)>=100")
+    return X.duplicated_sequence(s.selectExpr("seq_id", "seq", "20+seq_id%30 AS left", "60+seq_id%40 AS right", "'AC' AS extra")).select("seq_id", "expected", "from_", "to_")
+
+
 @query("j14_gene_partner_match", "split feat", SIDES + ", th AS (SELECT f.feat_id AS id2, f.gene AS gene1, g.gene AS gene2 FROM feat f JOIN feat g ON g.feat_id=f.feat_id+3) SELECT DISTINCT contig||':'||no1||':'||no2 AS id, id2 FROM sd, th WHERE (list_contains(genes_a,gene1) AND list_contains(genes_b,gene2)) OR (list_contains(genes_a,gene2) AND list_contains(genes_b,gene1))")
 def _(spark, d):
     s = E.side_genes(member_gene(spark, d), PKEY).withColumn("id", F.concat_ws(":", *PKEY))

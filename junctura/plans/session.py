@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a fresh temporary folder is made and kept for the session."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset a fresh temporary folder is made and kept for the session, but
+    only in local mode: a cluster's executors don't share one, so there it is an error.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if path is None:
         path = sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(path)
     return path

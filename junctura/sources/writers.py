@@ -23,7 +23,7 @@ def write_split_outputs(groups: DataFrame, path: str) -> None:
     groups.withColumn("topology", one).select("value", "status", "topology").write.partitionBy("status", "topology").text(path)
 
 
-def _alt(dir_a: Column, dir_b: Column, base: str, chrom: Column, pos: Column, first: bool, by_reference: bool) -> Column:
+def _alt(dir_a: Column, dir_b: Column, base: Column, chrom: Column, pos: Column, first: bool, by_reference: bool) -> Column:
     """Breakend ALT: after the base where the sequence to its left is kept (up), else before it.
 
     The bracket faces the way that the mate's kept sequence runs. ``by_reference`` gives the older form with brackets turned.
@@ -33,20 +33,22 @@ def _alt(dir_a: Column, dir_b: Column, base: str, chrom: Column, pos: Column, fi
     inward, outward = ("]", "[") if not by_reference else ("[", "]")
     mark = F.when(mate == "up", inward).otherwise(outward)
     mated = F.concat(mark, place, mark)
-    return F.when(own == "up", F.concat(F.lit(base), mated)).otherwise(F.concat(mated, F.lit(base)))
+    return F.when(own == "up", F.concat(base, mated)).otherwise(F.concat(mated, base))
 
 
 def to_vcf_fusion(events: DataFrame, by_reference: bool = False) -> DataFrame:
     """Two breakend rows an event: chrom, pos, id, ref, alt, qual, filter, info.
 
     ``events`` has group_id, chrom_a, coord_a, dir_a, the same for b, ctg_overlap, support and contigs (array).
-    Down sides move on by a positive overlap.
+    Down sides move back by a positive overlap. ref is ref_a and ref_b, the genome's bases at the
+    positions (``reference_lookup``), where ``events`` has them, else N.
     """
     over = F.greatest(F.lit(0), F.col("ctg_overlap"))
-    pos = {s: F.col(f"coord_{s}") + F.when(F.col(f"dir_{s}") == "down", over).otherwise(0) for s in "ab"}
+    pos = {s: F.col(f"coord_{s}") + F.when(F.col(f"dir_{s}") == "down", -over).otherwise(0) for s in "ab"}
     chrom = {s: F.col(f"chrom_{s}").cast("string") for s in "ab"}
+    ref = {s: F.coalesce(F.col(f"ref_{s}"), F.lit("N")) if f"ref_{s}" in events.columns else F.lit("N") for s in "ab"}
     info = lambda mate: F.concat(F.lit("SVTYPE=FND;MATEID="), F.col("group_id").cast("string"), F.lit(mate), F.when(over > 0, F.concat(F.lit(";CIPOS=0,"), over.cast("string"))).otherwise(""), F.lit(";SR="), F.col("support").cast("string"), F.lit(";CTG="), F.array_join("contigs", ","))
-    row = lambda s, o, first: F.struct(chrom[s].alias("chrom"), pos[s].alias("pos"), F.concat(F.col("group_id").cast("string"), F.lit(s)).alias("id"), F.lit("N").alias("ref"), _alt(F.col("dir_a"), F.col("dir_b"), "N", chrom[o], pos[o], first, by_reference).alias("alt"), F.lit(".").alias("qual"), F.lit("PASS").alias("filter"), info(o).alias("info"))
+    row = lambda s, o, first: F.struct(chrom[s].alias("chrom"), pos[s].alias("pos"), F.concat(F.col("group_id").cast("string"), F.lit(s)).alias("id"), ref[s].alias("ref"), _alt(F.col("dir_a"), F.col("dir_b"), ref[s], chrom[o], pos[o], first, by_reference).alias("alt"), F.lit(".").alias("qual"), F.lit("PASS").alias("filter"), info(o).alias("info"))
     return events.select(F.explode(F.array(row("a", "b", True), row("b", "a", False))).alias("r")).select("r.*")
 
 
