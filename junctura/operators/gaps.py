@@ -45,12 +45,22 @@ def _letters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def _seeds(gap: Column, other: Column, size: int) -> Column:
-    """The shifts at which a word of ``size`` bases of ``gap`` is in ``other``."""
-    words = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.struct(F.substring(s, i, F.lit(size)).alias("w"), i.alias("i")))
-    there = words(other)
-    met = F.transform(words(gap), lambda g: F.transform(F.filter(there, lambda o: o["w"] == g["w"]), lambda o: o["i"] - g["i"]))
-    return F.when((F.length(gap) >= size) & (F.length(other) >= size), F.array_distinct(F.flatten(met)))
+def _words(s: Column, size: int) -> Column:
+    places = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.substring(s, i, F.lit(size)).alias("w"), i.alias("i")))
+
+
+def _with_shifts(x: DataFrame, gap: Column, other: Column, seed: int, every: Column, by_seed: bool) -> DataFrame:
+    """A row for each shift of ``gap`` along ``other`` that has a seed (else ``every`` shift): __d, and both as arrays of bases.
+
+    Words and bases are columns of their own, so they are made once and not for every pair of places.
+    """
+    x = x.withColumn("__ga", _letters(gap)).withColumn("__wa", _letters(other))
+    if not by_seed:
+        return x.withColumn("__d", F.explode(every))
+    x = x.withColumn("__gw", _words(gap, seed)).withColumn("__ww", _words(other, seed))
+    met = F.transform("__gw", lambda g: F.transform(F.filter("__ww", lambda o: o["w"] == g["w"]), lambda o: o["i"] - g["i"]))
+    return x.withColumn("__d", F.explode(F.array_distinct(F.flatten(met)))).drop("__gw", "__ww")
 
 
 def _best_run(gap: Column, other: Column, shift: Column) -> Column:
@@ -83,8 +93,8 @@ def find_gap_duplication(gaps: DataFrame, key: list[str], min_gap: int = 4, min_
     sides = F.array(F.struct(left.alias("w"), lo.alias("at")), F.struct(right.alias("w"), (F.col("gap_e") + 1).alias("at")))
     turns = [F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))] if inverted_only else [F.struct(F.lit(False).alias("inverted"), F.col("gap_seq").alias("g")), F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))]
     x = gaps.withColumn("__w", F.explode(sides)).where(F.length("__w.w") >= min_gap).withColumn("__t", F.explode(F.array(*turns)))
-    shifts = _seeds(F.col("__t.g"), F.col("__w.w"), min_gap) if min_ratio >= 0.9 and min_gap <= 9 else F.sequence(min_gap - size, F.length("__w.w") - min_gap)
-    x = x.withColumn("__d", F.explode(shifts)).withColumn("__ga", _letters(F.col("__t.g"))).withColumn("__wa", _letters(F.col("__w.w")))
+    every = F.sequence(min_gap - size, F.length("__w.w") - min_gap)
+    x = _with_shifts(x, F.col("__t.g"), F.col("__w.w"), min_gap, every, min_ratio >= 0.9 and min_gap <= 9)
     x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d")))
     n = F.col("__r.e") - F.col("__r.s") + 1
     x = x.where((F.col("__r.score") >= F.greatest(F.lit(min_gap), min_share * size)) & (F.col("__r.score") >= min_ratio * n))
@@ -115,9 +125,10 @@ def gap_inversion(gaps: DataFrame, key: list[str], min_gap: int = 6, min_ratio:
     """Internal gaps whose reverse complement is in the intron (``intron``, at least as long): at, the 1-based place of the best match, and score."""
     g = gaps.where(~F.col("edge") & (F.length("gap_seq") >= min_gap) & (F.length("intron") >= F.length("gap_seq")))
     turned = reverse_complement("gap_seq")
-    inside = F.filter(_seeds(turned, F.col("intron"), min_gap), lambda d: (d >= 0) & (d <= F.length("intron") - F.length("gap_seq"))) if min_ratio >= 0.9 and min_gap <= 9 else F.sequence(F.lit(0), F.length("intron") - F.length("gap_seq"))
-    x = g.withColumn("__d", F.explode(inside)).withColumn("__t", _letters(turned)).withColumn("__i", _letters(F.col("intron")))
-    x = x.withColumn("__r", _best_run(F.col("__t"), F.col("__i"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
+    every = F.sequence(F.lit(0), F.length("intron") - F.length("gap_seq"))
+    x = _with_shifts(g, turned, F.col("intron"), min_gap, every, min_ratio >= 0.9 and min_gap <= 9)
+    x = x.where((F.col("__d") >= 0) & (F.col("__d") <= F.length("intron") - F.length("gap_seq")))
+    x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
     best = F.max_by(F.struct((F.col("__d") + 1).alias("at"), F.col("__r.score").alias("score")), F.struct(F.col("__r.score"), -F.col("__d")))
     return x.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
 

@@ -450,7 +450,8 @@ def _(spark, d):
     "g22_event_coverage", "split reads",
     COVER + """, w AS (SELECT *, DW+T1+T2 AS t, DW+T1+T2-(1+contig%3)-(CASE WHEN T2>0 THEN 2*(1+contig%3) ELSE 0 END) AS wv FROM cov),
     b AS (SELECT contig, no1, no2, region, max(wv) AS W FROM w GROUP BY ALL),
-    f AS (SELECT contig, no1, no2, CASE WHEN min(W)>0 THEN (1+contig%3)/CAST(min(W) AS DOUBLE) ELSE 999999.0 END AS x FROM b GROUP BY ALL)
+    l AS (SELECT contig, no1, no2, min(W) AS m FROM b GROUP BY contig, no1, no2),
+    f AS (SELECT contig, CASE WHEN m>0 THEN (1+contig%3)/CAST(m AS DOUBLE) ELSE 999999.0 END AS x FROM l)
     SELECT CAST(floor(contig/5.0) AS BIGINT) AS group_id, round(min(x),6) AS min_C_W_min, round(max(x),6) AS max_C_W_min, round(avg(x),4) AS mean_C_W_min FROM f GROUP BY 1""",
 )
 def _(spark, d):
