@@ -370,8 +370,9 @@ class _Renderer:
                     out.append((child, self.seen(style, seen)))
                     run = None
                     continue
-                if id(child) in holds and child.tag != "details":
-                    todo.append((iter(child.children), self.seen(style, seen)))
+                below = self.seen(style, seen)
+                if id(child) in holds and child.tag != "details" and (below or not seen):
+                    todo.append((iter(child.children), below))
                     run = None
                     continue
             elif run is None and child.isspace():
