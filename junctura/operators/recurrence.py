@@ -41,14 +41,15 @@ def recurrence_totals(keyed: DataFrame) -> DataFrame:
     """Per type and library, and over all libraries (lib is null): predictions (distinct gene_key of a library), genes (merged keys), and how many of each recur."""
     keyed = cut(keyed.select("event_type", "gene_key", "lib").distinct())
     m = keyed.join(merged_keys(keyed), ["event_type", "gene_key"])
-    again = m.groupBy("event_type", "key").agg((F.countDistinct("lib") > 1).alias("__again"))
-    m = m.join(again, ["event_type", "key"])
-    distinct = lambda c, also: F.countDistinct(F.when(also, F.col(c)) if also is not None else F.col(c))
-    prediction = m.withColumn("__p", F.concat_ws("\x01", "lib", F.array_join("gene_key", ","))).withColumn("__k", F.array_join("key", ","))
-    g = prediction.rollup("event_type", "lib").agg(
-        distinct("__p", None).alias("n_predictions"), distinct("__p", F.col("__again")).alias("n_recurrent_predictions"), distinct("__k", None).alias("n_genes"), distinct("__k", F.col("__again")).alias("n_recurrent_genes")
-    )
-    return g.where("event_type IS NOT NULL")
+    # Few distinct keys and libraries are left to count, so nothing is expanded for several distinct counts at once.
+    by_key = cut(m.groupBy("event_type", "key", "lib").agg(F.count(F.lit(1)).alias("__n")))
+    again = by_key.groupBy("event_type", "key").agg((F.count(F.lit(1)) > 1).alias("__again"))
+    k = by_key.join(again, ["event_type", "key"])
+    some = lambda c: F.sum(F.when(F.col("__again"), c).otherwise(0))
+    counts_ = [F.sum("__n").alias("n_predictions"), some(F.col("__n")).alias("n_recurrent_predictions"), F.count(F.lit(1)).alias("n_genes"), some(F.lit(1)).alias("n_recurrent_genes")]
+    each = k.groupBy("event_type", "lib").agg(*counts_)
+    whole = k.groupBy("event_type", "key", "__again").agg(F.sum("__n").alias("__n")).groupBy("event_type").agg(*counts_)
+    return each.unionByName(whole.withColumn("lib", F.lit(None).cast("string")))
 
 
 def split_recurrent(keyed: DataFrame) -> DataFrame:

@@ -405,8 +405,8 @@ def _(spark, d):
 
 # --- recurrence and comparison -----------------------------------------------
 
-KEYED = ORIENT + ", kd AS (SELECT fu.contig*10000+no1*100+no2 AS event_id, CASE WHEN topology='interchr' THEN 'fusion' ELSE 'local' END AS event_type, l.lib, list_sort(list_distinct(list_concat(genes_a,genes_b))) AS gene_key FROM fu JOIN lib l ON l.contig=fu.contig) "
-MERGED = ", ky AS (SELECT DISTINCT event_type, gene_key FROM kd), mk AS (SELECT a.event_type, a.gene_key, arg_min(b.gene_key, lpad(CAST(100-len(b.gene_key) AS VARCHAR),3,'0')||list_aggregate(b.gene_key,'string_agg',',')) AS key FROM ky a JOIN (SELECT *, unnest(gene_key) AS g FROM ky) b ON a.event_type=b.event_type AND b.g=a.gene_key[1] AND list_has_all(b.gene_key,a.gene_key) GROUP BY ALL) "
+KEYED = ORIENT + ", kd AS MATERIALIZED (SELECT fu.contig*10000+no1*100+no2 AS event_id, CASE WHEN topology='interchr' THEN 'fusion' ELSE 'local' END AS event_type, l.lib, list_sort(list_distinct(list_concat(genes_a,genes_b))) AS gene_key FROM fu JOIN lib l ON l.contig=fu.contig) "
+MERGED = ", ky AS MATERIALIZED (SELECT DISTINCT event_type, gene_key FROM kd), mk AS MATERIALIZED (SELECT a.event_type, a.gene_key, arg_min(b.gene_key, lpad(CAST(100-len(b.gene_key) AS VARCHAR),3,'0')||list_aggregate(b.gene_key,'string_agg',',')) AS key FROM ky a JOIN (SELECT *, unnest(gene_key) AS g FROM ky) b ON a.event_type=b.event_type AND b.g=a.gene_key[1] AND list_has_all(b.gene_key,a.gene_key) GROUP BY ALL) "
 
 
 def keyed(spark, d):
@@ -421,9 +421,10 @@ def _(spark, d):
 
 @query(
     "g24_recurrence_totals", "split feat lib",
-    KEYED + MERGED + """, rc AS (SELECT event_type, key, count(DISTINCT lib)>1 AS again FROM kd JOIN mk USING (event_type, gene_key) GROUP BY ALL),
-     al AS (SELECT event_type, lib, lib||chr(1)||list_aggregate(gene_key,'string_agg',',') AS p, list_aggregate(key,'string_agg',',') AS k, again FROM (SELECT DISTINCT event_type, gene_key, lib FROM kd) x JOIN mk USING (event_type, gene_key) JOIN rc USING (event_type, key))
-     SELECT event_type, lib, count(DISTINCT p) AS n_predictions, count(DISTINCT p) FILTER (again) AS n_recurrent_predictions, count(DISTINCT k) AS n_genes, count(DISTINCT k) FILTER (again) AS n_recurrent_genes FROM al GROUP BY ROLLUP(event_type, lib) HAVING event_type IS NOT NULL""",
+    KEYED + MERGED + """, bk AS MATERIALIZED (SELECT event_type, key, lib, count(*) AS n FROM (SELECT DISTINCT event_type, gene_key, lib FROM kd) x JOIN mk USING (event_type, gene_key) GROUP BY event_type, key, lib),
+     ag AS (SELECT *, count(*) OVER (PARTITION BY event_type, key)>1 AS again FROM bk), wh AS (SELECT event_type, key, again, sum(n) AS n FROM ag GROUP BY event_type, key, again)
+     SELECT event_type, lib, CAST(sum(n) AS BIGINT) AS n_predictions, CAST(sum(CASE WHEN again THEN n ELSE 0 END) AS BIGINT) AS n_recurrent_predictions, count(*) AS n_genes, count(*) FILTER (again) AS n_recurrent_genes FROM ag GROUP BY event_type, lib
+     UNION ALL SELECT event_type, NULL, CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN again THEN n ELSE 0 END) AS BIGINT), count(*), count(*) FILTER (again) FROM wh GROUP BY event_type""",
 )
 def _(spark, d):
     return R.recurrence_totals(keyed(spark, d))
