@@ -422,7 +422,15 @@ def test_every_visible_word_of_the_pages_is_there(spark, small):
         assert "".join(w for w in htmltext.render(r.html).split() if w != "*") == "".join(w for w in words if w != "*")
 
 
-def test_pipeline_equals_its_stages_by_brute_force(spark, small):
+@pytest.fixture
+def keyed(spark):
+    """Surrogates of one key in every run."""
+    spark.conf.set(pii.KEY, "of the tests")
+    yield
+    spark.conf.unset(pii.KEY)
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, small, keyed):
     import corpus_pipeline
 
     d, labels = table(spark, small, "documents"), table(spark, small, "labels")
