@@ -7,9 +7,9 @@ and texts become chunks of ids. A pair of ids falls into a tile of 512 x 512; a
 counts a full tile by a dense bincount and a sparse one as sorted coordinates, as it
 does with pairs outside the first 32,768 ids, whose tiles go by a hash. Tiles of
 ``FAN`` chunks at a time are added, dense ones in place, until one is left of each.
-Frequent pairs are ranked to ids again, and a chunk then reads (pair, word) as the next
-level's pair: triples, then quadruples. As a phrase is as frequent as its rarest part at most,
-leaving out ids below ``least`` loses nothing.
+Frequent pairs are ranked to ids again, and two pairs that overlap by a word are the next
+level's pair: triples, then quadruples from overlapping triples. As a phrase is as frequent
+as its rarest part at most, leaving out ids below ``least`` loses nothing.
 
 What meets in a task is one chunk with the ids that it asked for, or a tile of ``FAN``
 chunks; the most frequent pair is one entry a chunk. Chunks close at ``SPAN`` words,
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from ..plans.session import stored
 from .numbering import keyed, numbered
 
-SPAN, AHEAD, FAN = 1 << 22, 3, 32
+SPAN, AHEAD, FAN = 1 << 21, 3, 128
+FEW_WORDS = 1 << 20  # a vocabulary up to this is broadcast, a larger one is joined by shuffle
 EDGE, HEAD = 9, 15  # bits of a tile's side and of the ids that tiles cover
-STATE = pa.schema([("chunk", pa.int64()), ("own", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("tile", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
-STATE_DDL = "chunk long, own long, a binary, b binary, tile long, codes binary, counts binary"
+STATE = pa.schema([("chunk", pa.int64()), ("own", pa.int64()), ("a", pa.binary()), ("tile", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+STATE_DDL = "chunk long, own long, a binary, tile long, codes binary, counts binary"
 
 
 def _table() -> bytes:
@@ -57,12 +59,20 @@ def words(text: bytes) -> list[bytes]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """64-bit numbers as planes of bytes, so that a codec takes the empty ones away."""
-    return np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers from 0 as planes of bytes, as many as the largest needs; long ones as a Zstandard frame."""
+    planes = -(-int(values.max(initial=0)).bit_length() // 8)
+    raw = np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    if len(raw) < 512:
+        return bytes([planes]) + len(values).to_bytes(4, "little") + raw
+    return bytes([planes | 16]) + len(values).to_bytes(4, "little") + zstandard.compress(raw, 1)
 
 
-def unpack(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+def unpack(data: bytes) -> np.ndarray:
+    planes, n = data[0] & 15, int.from_bytes(data[1:5], "little")
+    raw = zstandard.decompress(data[5:]) if data[0] & 16 else data[5:]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
+    return out.view(np.int64).ravel()
 
 
 def chunks(docs: DataFrame, span: int) -> DataFrame:
@@ -118,10 +128,10 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts[order], first)
 
 
-def tiled(a: np.ndarray, b: np.ndarray, own: int, width: int, spread: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """tile, sorted codes and counts of the pairs that are there; those from ``own`` on are named but count 0."""
-    at = np.flatnonzero(a)
-    counts, a, b = (at < own).astype(np.int64), a[at], b[at]
+def tiled(seq: np.ndarray, own: int, width: int, spread: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """tile, sorted codes and counts of neighbours in ``seq`` (0: a break); those from ``own`` on are named but count 0."""
+    at = np.flatnonzero((seq[:-1] != 0) & (seq[1:] != 0))
+    counted, a, b = at < own, seq[at], seq[at + 1]
     inside = (a >> HEAD | b >> HEAD) == 0
     mask, side = (1 << EDGE) - 1, HEAD - EDGE
     tile = np.where(inside, (a >> EDGE) << side | b >> EDGE, 0)
@@ -129,74 +139,93 @@ def tiled(a: np.ndarray, b: np.ndarray, own: int, width: int, spread: int) -> It
     far = ~inside
     tile[far] = -1 - ((code[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % spread
     order = np.argsort(tile, kind="stable")
-    tile, code, counts = tile[order], code[order], counts[order]
+    del a, b, at, inside, far
+    tile, code, counted = tile[order], code[order], counted[order]
     ends = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True]) if len(tile) else np.zeros(1, np.int64)
     for lo, hi in itertools.pairwise(ends):
         if tile[lo] >= 0 and hi - lo >= 1 << 2 * EDGE - 3:
             there = np.bincount(code[lo:hi], minlength=1 << 2 * EDGE)
             codes = np.flatnonzero(there)
-            yield int(tile[lo]), codes, np.bincount(code[lo:hi][counts[lo:hi] > 0], minlength=1 << 2 * EDGE)[codes]
+            yield int(tile[lo]), codes, np.bincount(code[lo:hi][counted[lo:hi]], minlength=1 << 2 * EDGE)[codes]
         else:
-            yield int(tile[lo]), *_summed(code[lo:hi], counts[lo:hi])
-
-
-def _state(chunk: int, a: np.ndarray, b: np.ndarray, own: int, width: int, spread: int) -> pa.Table:
-    """Rows of one chunk: its pairs with breaks between runs, and their counts by tile."""
-    pair = (a != 0) & (b != 0)
-    keep = pair.copy()
-    keep[1:] |= pair[:-1]
+            yield int(tile[lo]), *_summed(code[lo:hi], counted[lo:hi].astype(np.int64))
+
+
+def _state(chunk: int, seq: np.ndarray, own: int, width: int, spread: int) -> pa.Table:
+    """Rows of one chunk: its ids that have a neighbour, a break after each run, and the counts of neighbours by tile."""
+    there = seq != 0
+    beside = np.zeros(len(seq), bool)
+    beside[1:] |= there[:-1]
+    beside[:-1] |= there[1:]
+    there &= beside
+    keep = there.copy()
+    keep[1:] |= there[:-1]
     own = int(np.count_nonzero(keep[:own]))
-    a, b = np.where(pair, a, 0)[keep], np.where(pair, b, 0)[keep]
-    rows = [{"chunk": chunk, "own": own, "a": pack(a), "b": pack(b)}]
-    rows += [{"chunk": chunk, "tile": t, "codes": pack(np.diff(c, prepend=0)), "counts": pack(n)} for t, c, n in tiled(a, b, own, width, spread)]
+    seq = np.where(there, seq, 0)[keep]
+    rows = [{"chunk": chunk, "own": own, "a": pack(seq)}]
+    rows += [{"chunk": chunk, "tile": t, "codes": pack(np.diff(c, prepend=0)), "counts": pack(n)} for t, c, n in tiled(seq, own, width, spread)]
     return pa.Table.from_pylist(rows, STATE)
 
 
+def _packed(asked: DataFrame) -> DataFrame:
+    """(chunk, local, id) rows, packed by chunk as far as they lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, local, ids = (np.asarray(batch.column(k)) for k in range(3))
+            order = np.argsort(chunk, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+                if len(part):
+                    cols = [pa.array([v]) for v in (int(chunk[part[0]]), pack(local[part]), pack(ids[part]))]
+                    yield pa.RecordBatch.from_arrays(cols, ["chunk", "locals", "ids"])
+
+    return asked.mapInArrow(run, "chunk long, locals binary, ids binary")
+
+
 def _first_state(seqs: DataFrame, ids: DataFrame, width: int, spread: int) -> DataFrame:
-    """Chunks of local words with their frequent words' ids (local, id) -> states of pairs of words."""
+    """Chunks of local words with their frequent words' packed ids -> states of pairs of words."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         local = unpack(left["a"][0].as_py())
         to = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-        to[np.asarray(right["local"])] = np.asarray(right["id"])
-        a = to[local]
-        return _state(key[0].as_py(), a, np.append(a[1:], 0), left["own"][0].as_py(), width, spread)
+        for r in right.to_pylist():
+            to[unpack(r["locals"])] = unpack(r["ids"])
+        return _state(key[0].as_py(), to[local], left["own"][0].as_py(), width, spread)
 
     return keyed(seqs, "chunk").cogroup(keyed(ids, "chunk")).applyInArrow(run, STATE_DDL)
 
 
-def _next_state(states: DataFrame, ids: DataFrame, width: int, spread: int) -> DataFrame:
-    """States with their frequent pairs' ids (packed codes a * width + b, ids) -> states of the next level."""
+def _next_state(states: DataFrame, ids: DataFrame, width: int, wide: int, spread: int) -> DataFrame:
+    """States with their frequent pairs' ids (packed codes a * width + b, ids) -> states of the next level, of ids below ``wide``."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = unpack(left["a"][0].as_py()), unpack(left["b"][0].as_py())
-        got = np.zeros(len(a), np.int64)
+        seq = unpack(left["a"][0].as_py())
+        got = np.zeros(len(seq), np.int64)
         if len(right):
             codes = np.concatenate([unpack(v.as_py()) for v in right["codes"]])
             named = np.concatenate([unpack(v.as_py()) for v in right["ids"]])
             order = np.argsort(codes)
             codes, named = codes[order], named[order]
-            want = a * width + b
+            pair = np.flatnonzero((seq[:-1] != 0) & (seq[1:] != 0))
+            want = seq[pair] * width + seq[pair + 1]
             at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-            got = np.where((codes[at] == want) & (a != 0), named[at], 0)
-        following = np.where(np.append(got[1:], 0) != 0, np.append(b[1:], 0), 0)
-        return _state(key[0].as_py(), got, following, left["own"][0].as_py(), width, spread)
+            got[pair] = np.where(codes[at] == want, named[at], 0)
+        return _state(key[0].as_py(), got, left["own"][0].as_py(), wide, spread)
 
     return keyed(states, "chunk").cogroup(keyed(ids, "chunk")).applyInArrow(run, STATE_DDL)
 
 
 def _added(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of a tile's rows: in place where it is dense, else by sorted coordinates."""
-    codes = [np.cumsum(unpack(v.as_py())) for v in rows["codes"]]
-    counts = [unpack(v.as_py()) for v in rows["counts"]]
-    if rows["tile"][0].as_py() >= 0 and sum(map(len, codes)) >= 1 << 2 * EDGE - 3:
+    """Sum of a tile's rows, one after another: in place where it is dense, else by sorted coordinates."""
+    pairs = ((np.cumsum(unpack(c.as_py())), unpack(n.as_py())) for c, n in zip(rows["codes"], rows["counts"], strict=True))
+    if rows["tile"][0].as_py() >= 0 and len(rows) >= 8:
         total, there = np.zeros(1 << 2 * EDGE, np.int64), np.zeros(1 << 2 * EDGE, bool)
-        for c, n in zip(codes, counts, strict=True):
+        for c, n in pairs:
             total[c] += n
             there[c] = True
         at = np.flatnonzero(there)
         return at, total[at]
-    return _summed(np.concatenate(codes), np.concatenate(counts))
+    return _summed(*map(np.concatenate, zip(*pairs, strict=True)))
 
 
 def frequent_pairs(states: DataFrame, n_chunks: int, width: int, least: int) -> DataFrame:
@@ -252,24 +281,28 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4, span: int = SPAN
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     vocabulary = numbered(counted.where(F.col("f") >= least), "vocabulary", F.desc("f"), F.asc("lang"), F.asc("word")).withColumn("id", F.col("no") + 1)
     size = seqs.agg(F.count(F.lit(1)).alias("chunks"), F.sum("own").alias("tokens")).first()
-    n_chunks, width = size["chunks"], vocabulary.count() + 1
+    n_chunks, n_words = size["chunks"], vocabulary.count()
+    width = n_words + 1
     spread = 1 << max(6, ((size["tokens"] or 0) >> 18).bit_length())
     level = vocabulary.select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "f")
     grams = level.drop("id")
     if n_chunks == 0:
         return grams, totals
-    first = level.select("id", "lang", F.col("words")[0].alias("last"))
-    asked = told.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
-    states = stored(_first_state(seqs, asked, width, spread), "pairs")
+    known = vocabulary.select("lang", "word", "id")
+    asked = told.join(F.broadcast(known) if n_words <= FEW_WORDS else known, ["lang", "word"]).select("chunk", "local", "id")
+    states = stored(_first_state(seqs, _packed(asked), width, spread), "pairs")
     for k in range(2, longest + 1):
         found = frequent_pairs(states, n_chunks, width, least)
         named = numbered(found, f"phrases-{k}", F.desc("f"), F.asc("a"), F.asc("b")).withColumn("id", F.col("no") + 1)
-        joined = named.select("id", "a", "b", "f").join(level.select(F.col("id").alias("a"), "lang", "words"), "a").join(first.select(F.col("id").alias("b"), "last"), "b")
+        front = level.select(F.col("id").alias("a"), "lang", "words")
+        back = level.select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"))
+        joined = named.select("id", "a", "b", "f").join(front, "a").join(back, "b")
         level = stored(joined.select("id", "lang", F.concat("words", F.array("last")).alias("words"), "f"), f"level-{k}")
         grams = grams.unionByName(level.drop("id"))
         if k < longest:
-            ids = _answers(states, named, n_chunks, width)
-            states = stored(_next_state(states.where("a is not null").select("chunk", "own", "a", "b"), ids, width, spread), f"states-{k}")
+            ids, wide = _answers(states, named, n_chunks, width), named.count() + 1
+            states = stored(_next_state(states.where("a is not null").select("chunk", "own", "a"), ids, width, wide, spread), f"states-{k}")
+            width = wide
     return grams, totals
 
 

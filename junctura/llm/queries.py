@@ -109,14 +109,14 @@ WITH d AS (
   SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
 ), n AS (
   SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
-), x AS (
+), x AS MATERIALIZED (
   SELECT lang, unnest(ws) AS w1, unnest(ws[2:]) AS w2, unnest(ws[3:]) AS w3, unnest(ws[4:]) AS w4 FROM w
 ), g AS (
   SELECT lang, 1 AS m, w1 AS phrase FROM x
   UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
   UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL
   UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL
-), f AS (
+), f AS MATERIALIZED (
   SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
 ), c AS (
   SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE m > 1
