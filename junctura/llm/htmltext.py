@@ -3,8 +3,9 @@
 A tree builder reads tags with implied ends (paragraphs, list items, table parts,
 options, definition terms), raw text elements and void elements; text that the
 page hides (hidden, display:none, visibility, closed details, head matter,
-scripts, templates) is left out, by attributes and by simple style rules for a
-tag, class or id. A renderer then lays out what is visible: white space is
+scripts, templates) is left out, by attributes and by style rules for a
+tag, class or id, whose cascade goes by importance, specificity and order; rules for
+print, for narrow screens and in other at-blocks don't hold. A renderer then lays out what is visible: white space is
 collapsed but in preformatted text, blocks start on their own lines, paragraphs
 and headings are set off by an empty line, list items are marked and indented,
 and table cells are padded to columns two spaces apart, over column and row
@@ -20,7 +21,8 @@ Defined cases: null or empty html gives an empty text; broken markup never
 fails: a lone "<" is text, unknown tags are inline, unclosed elements end with
 the page, an end tag without a start is ignored (``</p>`` and ``</br>`` stand for
 an element). Attributes and nesting have no limit. Very long pages are read whole.
-Null ids and repeated rows pass through; columns besides id and html are ignored.
+Null ids and repeated rows pass through; equal pages have equal texts, an empty table
+gives no rows; columns besides id and html are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +72,10 @@ TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*+>?+|</([A-Za-z][^\s/>]*+)[^>]*+>?+|<([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=[\"'])[^>]*+>?+|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT, CSS_PART = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"([^{};]*+)([{};])")
+SAID = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*")
+INLINE_IMPORTANT = re.compile(r"[^;]*!\s*important[^;]*")
+WIDTH, VIEW = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)\s*\)"), 1280
 SIMPLE = re.compile(r"(?:([A-Za-z][\w-]*)|\*)?(?:([.#])([\w-]+))?")
 DISPLAY, VISIBILITY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)"), re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)")
 PRE = re.compile(r"white-space\s*:\s*pre")
@@ -92,9 +97,9 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(html: str) -> tuple[Node, list[tuple[str, str, str, str]]]:
-    """The tree, and (tag, "." or "#" or "", name, declarations) of its simple style rules."""
+    """The tree and its style sheet."""
     root = Node("html", {})
-    stack, at, n, rules = [root], 0, len(html), []
+    stack, at, n, rules = [root], 0, len(html), _Sheet()
     places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
 
     def pop_to(i: int) -> None:
@@ -167,11 +172,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str, str, str]]]:
             inside = html[at : close.start() if close else n]
             at = close.end() if close else n
             if tag == "style":
-                for names, said in RULE.findall(inside):
-                    if DISPLAY.search(said.lower()) or VISIBILITY.search(said.lower()):
-                        for one in names.split(","):
-                            if (s := SIMPLE.fullmatch(one.strip())) and s[0]:
-                                rules.append(((s[1] or "").lower(), s[2] or "", s[3] or "", said.lower()))
+                rules.add(inside, given.get("media", ""))
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
             continue
         if not m[3].rstrip().endswith("/") or tag not in ("svg", "path", "use", "circle", "rect", "g"):
@@ -248,16 +249,77 @@ class _Page:
             self.line(force=True)
 
 
-class _Renderer:
-    def __init__(self, rules: list[tuple[str, str, str, str]]):
-        self.rules = rules
+def shown_on(media: str) -> bool:
+    """Whether a list of media queries holds for a screen ``VIEW`` pixels wide; other conditions don't hold."""
+    for query in media.lower().split(","):
+        parts = [p.strip() for p in re.split(r"\band\b", query)]
+        kind = parts[0].removeprefix("only ").strip()
+        tests = parts if kind.startswith("(") else parts[1:]
+        limits = [WIDTH.fullmatch(t) for t in tests]
+        if (kind in ("", "all", "screen") or tests is parts) and all(limits):
+            wide = [float(m[2]) * (1 if m[3] == "px" else 16) for m in limits]
+            if all((VIEW >= w) if m[1] == "min" else (VIEW <= w) for m, w in zip(limits, wide, strict=True)):
+                return True
+    return False
+
+
+class _Sheet:
+    """Display and visibility by single tag, class and id selectors.
+
+    Of one selector only its last declaration of each kind can win, so that is what is
+    kept, and looking up a node costs its classes and not the rules.
+    """
+
+    def __init__(self):
+        self.said: dict[tuple[str, str, str], dict[tuple[str, bool], tuple[int, int, str]]] = {}
+        self.order = 0
+
+    def add(self, css: str, media: str = "") -> None:
+        css = CSS_COMMENT.sub(" ", css)
+        around: list[tuple[bool, list[str] | None]] = [(shown_on(media), None)]  # whether a block holds, and a rule's selectors
+        for m in CSS_PART.finditer(css + "}" * css.count("{")):
+            before, holds = m[1].strip(), around[-1][0]
+            if m[2] != "{":
+                if around[-1][1] is not None and holds:
+                    self._declare(around[-1][1], before.lower())
+                if m[2] == "}" and len(around) > 1:
+                    around.pop()
+            elif before.startswith("@"):
+                name, _, rest = before[1:].partition(" ") if "(" not in before.split(" ")[0] else (*before[1:].partition("(")[:2], "(" + before.partition("(")[2])
+                name = name.lower()
+                around.append((holds and (name in ("layer", "supports", "container") or name == "media" and shown_on(rest)), None))
+            else:
+                around.append((holds and around[-1][1] is None, before.split(",")))
+
+    def _declare(self, selectors: list[str], said: str) -> None:
+        if not (d := SAID.fullmatch(said)):
+            return
+        self.order += 1
+        for one in selectors:
+            if (s := SIMPLE.fullmatch(one.strip())) and one.strip():
+                tag, sign, name = (s[1] or "").lower(), s[2] or "", s[3] or ""
+                weight = 100 * (sign == "#") + 10 * (sign == ".") + bool(tag)
+                self.said.setdefault((sign, name, tag), {})[d[1], bool(d[3])] = (weight, self.order, d[2])
+
+    def of(self, node: Node) -> str:
+        """Declarations that hold for a node, the winning one last."""
+        a = node.attributes
+        inline = a.get("style", "").lower()
+        found: list[tuple[bool, int, int, str]] = []
+        if self.said:
+            names = [("", "")] + [(".", c) for c in a.get("class", "").split()] + ([("#", a["id"])] if a.get("id") else [])
+            for sign, name in names:
+                for tag in ("", node.tag):
+                    for (kind, important), (weight, order, value) in self.said.get((sign, name, tag), {}).items():
+                        found.append((important, weight, order, f"{kind}:{value};"))
+            found.sort()
+        plain, strong = ("".join(f[3] for f in found if f[0] == important) for important in (False, True))
+        return plain + inline + (";" + strong + ";".join(INLINE_IMPORTANT.findall(inline)) if strong or "!" in inline else "")
+
 
-    def style(self, node: Node) -> str:
-        a, out = node.attributes, ""
-        for tag, sign, name, said in self.rules:
-            if (not tag or tag == node.tag) and (not sign or name in (a.get("class", "").split() if sign == "." else [a.get("id")])):
-                out += said + ";"
-        return out + a.get("style", "").lower()
+class _Renderer:
+    def __init__(self, rules: _Sheet):
+        self.sheet, self.style = rules, rules.of
 
     def gone(self, node: Node, style: str) -> bool:
         a = node.attributes
@@ -299,7 +361,7 @@ class _Renderer:
                 if seen:
                     out.text(child, pre)
                 continue
-            style = self.style(child) if child.attributes or self.rules else ""
+            style = self.style(child) if child.attributes or self.sheet.said else ""
             if self.gone(child, style):
                 continue
             seen = self.seen(style, seen)
@@ -363,7 +425,7 @@ class _Renderer:
                 run = None
                 continue
             if isinstance(child, Node):
-                style = self.style(child) if child.attributes or self.rules else ""
+                style = self.style(child) if child.attributes or self.sheet.said else ""
                 if self.gone(child, style):
                     continue
                 if child.tag in CELL - {"caption"}:
@@ -418,7 +480,7 @@ class _Renderer:
                     loose.children.append(Node(RUN, {"style": f"visibility:{'visible' if seen else 'hidden'}"}))
                     loose.children[-1].children.append(child)
                 continue
-            style = self.style(child) if child.attributes or self.rules else ""
+            style = self.style(child) if child.attributes or self.sheet.said else ""
             if self.gone(child, style):
                 continue
             below = self.seen(style, seen)

@@ -377,6 +377,36 @@ three<p hidden>no</p><p class=x>no2<p>Four &amp; five<br>six<ul><li>a<li>b<ol><l
     )
 
 
+STYLED = [
+    ("@media print{.n{display:none}}", "<p class=n>shown", "shown"),
+    ("@media (max-width:600px){p{display:none}}", "<p>shown", "shown"),
+    ("@media screen and (min-width: 40em){p{display:none}}", "<p>gone", ""),
+    ("@media print, screen{p{display:none}}", "<p>gone", ""),
+    ("#k{display:block} p{display:none}", "<p id=k>shown<p>gone", "shown"),
+    (".a{display:none} p{display:block}", "<p class=a>gone<p>shown", "shown"),
+    ("p{display:none !important} #k{display:block}", "<p id=k style='display:block'>gone", ""),
+    ("p{display:none !important}", "<p style='display:block!important'>shown", "shown"),
+    ("@media print{p{color:red} p{display:none}} .a{display:none}", "<p>shown<p class=a>gone", "shown"),
+    ("@font-face{src:x} /* p{display:none} */ @keyframes f{from{display:none}} p::before{display:none}", "<p>shown", "shown"),
+    ("@supports (display:grid){.a{display:none}} @layer x{.b{display:none}}", "<p class=a>gone<p class=b>gone<p>shown", "shown"),
+    ("p{color:red;display:none", "<p>gone", ""),
+    ("@import 'x.css'; .a{display:none;} p{display:none} p{display:block}", "<p>shown<p class='b a'>gone", "shown"),
+    ("p{display:none}} .a{display:block}", "<p class=a>shown", "shown"),
+]
+
+
+@pytest.mark.parametrize("css, html, want", STYLED)
+def test_style_sheets(css, html, want):
+    assert htmltext.render(f"<style>{css}</style>{html}").strip() == want
+
+
+def test_style_of_many_rules_and_nodes_is_quick():
+    css = "".join(f"p{{display:block}} .c{k}{{display:none}} #i{k}{{visibility:hidden}}" for k in range(4000))
+    began = time.process_time()
+    text = htmltext.render(f"<style>{css}</style>" + "".join(f"<p class='x c{k + k % 2 * 4000}'>w{k}" for k in range(4000)))
+    assert time.process_time() - began < 2 and text.split() == [f"w{k}" for k in range(1, 4000, 2)]
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
