@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self links, repeated links and nulls are ignored; nodes that no other node
     links to are absent from the result. Every round is a hash aggregation with
     map-side combine and an equi-join, so a hub is never gathered in one row;
-    lineage is cut after each round. Rounds grow with log of the diameter.
+    lineage is cut after every second round. Rounds grow with log of the diameter.
     """
     e = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now[0] == 0 or now == mark:
             break
         mark = now
-        e = cut(_small_star(_large_star(e)).distinct())
+        e = cut(_small_star(_large_star(_small_star(_large_star(e)).distinct())).distinct())
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

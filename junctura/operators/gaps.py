@@ -12,17 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_poly_at, reverse_complement
+from ..functions.scalars import is_poly_at, is_standard_chrom, normalize_chrom, reverse_complement
 
 
 def gap_eligible(aln: DataFrame, max_alignments: int = 3, max_len: int = 50_000, min_span: float = 0.4, min_unaligned: int = 4) -> DataFrame:
-    """Alignments whose contigs are worth a look at their gaps."""
+    """Alignments whose contigs are worth a look at their gaps, on standard chromosomes other than M."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("query")
     a = aln.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__top", F.max("score").over(w))
     size = F.col("qend") - F.col("qstart") + 1
     ok = (F.col("__n") <= max_alignments) & (F.col("query_len") <= max_len) & (size / F.col("query_len") >= min_span) & (F.col("query_len") - size >= min_unaligned)
+    name = F.col("chrom").cast("string")
+    ok = ok & is_standard_chrom(name) & (normalize_chrom(name) != "M")
     return a.where(ok & (F.col("score") >= 0.85 * F.col("__top")) & (F.col("score") / F.col("query_len") >= 0.4) & (F.col("identity_x10") > 400)).drop("__n", "__top")
 
 

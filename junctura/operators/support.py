@@ -135,29 +135,42 @@ def support_type(event_type: str, s, e, bp1, bp2, chrom=None, chrom1=None, chrom
     return F.when((s < lo) & (e > hi), "DW").when((lo < s) & (hi > e), "T2").otherwise("T1")
 
 
-def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000) -> DataFrame:
-    """Reads by support type over each base ``at`` of a region (chrom, s, e), read ends trimmed; bases without reads are there with zeros.
+def coverage_steps(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000) -> DataFrame:
+    """Reads by support type (DW, T1, T2) where these change along a region (chrom, s, e), its start included, read ends trimmed.
 
     ``reads`` has chrom, fs, fe; ``regions`` has event_type, bp1, bp2 too. Starts and ends are summed per
-    base and added up along the region, so deep coverage is one row per base and read end, not per base and read.
+    place and added up along the region, so deep coverage is one row per read end, not per base and read.
     """
     from .intervals import overlap_join
 
-    j = overlap_join(regions, reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe"), width=width)
-    kind = F.when(F.col("event_type") == "fusion", support_type("fusion", F.col("fs") - trim, F.col("fe") + trim, F.col("bp1"), F.col("bp2"))).otherwise(support_type("itd", F.col("fs") - trim, F.col("fe") + trim, F.col("bp1"), F.col("bp2")))
+    trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe")
+    j = overlap_join(regions, trimmed, width=width)
+    whole = (F.col("fs") - trim, F.col("fe") + trim, F.col("bp1"), F.col("bp2"))
+    kind = F.when(F.col("event_type") == "fusion", support_type("fusion", *whole)).otherwise(support_type("itd", *whole))
     lo, hi = F.greatest(F.col("s"), F.col("fs")), F.least(F.col("e"), F.col("fe")) + 1
-    steps = j.withColumn("kind", kind).select(*key, "kind", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct(hi.alias("at"), F.lit(-1).alias("d")))).alias("x")).select(*key, "kind", "x.*")
-    sums = steps.groupBy(*key, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in ("DW", "T1", "T2")])
-    base = regions.select(*key, F.explode(F.sequence("s", "e")).alias("at"))
+    ends = F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct(hi.alias("at"), F.lit(-1).alias("d")))
+    moves = j.select(*key, "e", kind.alias("kind"), F.explode(ends).alias("x")).where(F.col("x.at") <= F.col("e")).select(*key, "kind", "x.*")
+    moves = moves.unionByName(regions.select(*key, F.lit("T1").alias("kind"), F.col("s").alias("at"), F.lit(0).alias("d")))
+    types = ("DW", "T1", "T2")
+    sums = moves.groupBy(*key, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in types])
     w = Window.partitionBy(*key).orderBy("at")
-    on = base.join(sums, [*key, "at"], "left")
-    return on.select(*key, "at", *[F.sum(F.coalesce(f"d{k}", F.lit(0))).over(w).alias(k) for k in ("DW", "T1", "T2")])
+    return sums.select(*key, "at", *[F.sum(f"d{k}").over(w).alias(k) for k in types])
+
+
+def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000) -> DataFrame:
+    """``coverage_steps`` at each base ``at`` of a region; bases without reads are there with zeros."""
+    ends = regions.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("e").alias("__e"))
+    steps = coverage_steps(regions, reads, key, trim, width)
+    told = steps.join(ends, [steps[k].eqNullSafe(ends[f"__{k}"]) for k in key])
+    following = F.lead("at").over(Window.partitionBy(*key).orderBy("at")) - 1
+    spans = told.withColumn("__to", F.coalesce(following, F.col("__e")))
+    return spans.select(*key, F.explode(F.sequence("at", "__to")).alias("at"), "DW", "T1", "T2")
 
 
 def relative_coverage(coverage: DataFrame, reads_on_contig: DataFrame, member: list[str], region: str = "region") -> DataFrame:
     """Per member W and T of both regions and the ratios of its contig's reads C to them.
 
-    T adds the three types; W is T - C, and 2 C less again where T2 reads are. The
+    Steps serve as well as bases, as only the highest counts. T adds the three types; W is T - C, and 2 C less again where T2 reads are. The
     base of the highest W (of several, the highest T) stands for a region; a ratio
     whose divisor is not above zero is 999999.
     """

@@ -419,18 +419,18 @@ COVER = BP_SQL + f""", rg AS (SELECT contig, no1, no2, {FUSION} AS fusion, 'A' A
  cov AS (SELECT contig, no1, no2, region, pos, CAST(coalesce(DW,0) AS BIGINT) AS DW, CAST(coalesce(T1,0) AS BIGINT) AS T1, CAST(coalesce(T2,0) AS BIGINT) AS T2 FROM bs LEFT JOIN sm USING (contig,no1,no2,region,pos)) """
 
 
-def coverage(spark, d):
-    """Coverage of all junctions; a fusion's breakpoint on another chromosome than the region is none that its reads can hold."""
+def coverage(spark, d, measure=P.coverage_steps):
+    """Coverage of all junctions, by steps or bases; a fusion's breakpoint on another chromosome than the region is none that its reads can hold."""
     j = junctions(spark, d).withColumn("event_type", F.expr("CASE WHEN topology IN ('interchr','intrachr-same-strand','intrachr-opp-strand') THEN 'fusion' ELSE 'itd' END"))
     side = lambda x: F.struct(F.lit(x.upper()).alias("region"), F.col(f"chrom_{x}").alias("chrom"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x}-59 ELSE coord_{x} END").alias("s"), F.expr(f"CASE WHEN dir_{x}='up' THEN coord_{x} ELSE coord_{x}+59 END").alias("e"), F.col("event_type"), *[F.expr(f"CASE WHEN chrom_{y}=chrom_{x} THEN coord_{y} END").alias(f"bp{k}") for k, y in ((1, "a"), (2, "b"))])
     sides = j.select(*SKEY, F.explode(F.array(side("a"), side("b"))).alias("x")).select(*SKEY, "x.*")
     reads = fixtures.view(spark, d, fixtures.READS).select(F.expr("contig%4+1").alias("chrom"), F.expr("contig*60+rleft").alias("fs"), F.expr("contig*60+rright").alias("fe"))
-    return P.base_coverage(cut(sides), reads, [*SKEY, "region"])
+    return measure(cut(sides), reads, [*SKEY, "region"])
 
 
 @query("g21_base_coverage", "split reads", COVER + "SELECT * FROM cov")
 def _(spark, d):
-    return coverage(spark, d).select(*SKEY, "region", F.col("at").alias("pos"), *[F.col(k).cast("long").alias(k) for k in ("DW", "T1", "T2")])
+    return coverage(spark, d, P.base_coverage).select(*SKEY, "region", F.col("at").alias("pos"), *[F.col(k).cast("long").alias(k) for k in ("DW", "T1", "T2")])
 
 
 @query(

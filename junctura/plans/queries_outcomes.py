@@ -430,7 +430,12 @@ def _(spark, d):
     return R.recurrence_totals(keyed(spark, d))
 
 
-@query("g25_split_recurrent", "split feat lib", KEYED + MERGED + ", rc AS (SELECT event_type, key, count(DISTINCT lib)>1 AS recurrent FROM kd JOIN mk USING (event_type, gene_key) GROUP BY ALL) SELECT event_id, recurrent FROM kd JOIN mk USING (event_type, gene_key) JOIN rc USING (event_type, key)")
+@query(
+    "g25_split_recurrent", "split feat lib",
+    KEYED + MERGED + """, named AS MATERIALIZED (SELECT event_id, event_type, lib, key FROM kd JOIN mk USING (event_type, gene_key)),
+     rc AS MATERIALIZED (SELECT event_type, key, min(lib)<>max(lib) AS recurrent FROM named GROUP BY event_type, key)
+     SELECT event_id, recurrent FROM named JOIN rc USING (event_type, key)""",
+)
 def _(spark, d):
     return R.split_recurrent(keyed(spark, d)).select("event_id", "recurrent")
 
@@ -496,14 +501,21 @@ CLUSTERED = (
 )
 
 
-@query("g27_breakpoint_clusters", "split", CLUSTERED + """SELECT node, group_key, row_number() OVER (PARTITION BY group_key ORDER BY CAST(multi AS INT), node)=1 AS "primary" FROM cl JOIN bo USING (node)""")
+@query(
+    "g27_breakpoint_clusters", "split",
+    CLUSTERED + """, cm AS MATERIALIZED (SELECT node, group_key, contig, multi, contig%2=1 AS other FROM cl JOIN bo USING (node)),
+     rep AS (SELECT contig, arg_min(group_key, node) AS group_key FROM cm WHERE multi AND NOT other GROUP BY contig),
+     st AS MATERIALIZED (SELECT group_key, bool_or(NOT other AND NOT multi) OR group_key IN (SELECT group_key FROM rep) OR bool_and(other) AS held, bool_or(other) AS theirs FROM cm GROUP BY group_key),
+     tk AS (SELECT DISTINCT contig FROM cm JOIN st USING (group_key) WHERE NOT other AND NOT held AND theirs)
+     SELECT node, group_key, NOT held AND theirs OR held AND group_key NOT IN (SELECT group_key FROM rep JOIN tk USING (contig)) AS "primary" FROM cm JOIN st USING (group_key)""",
+)
 def _(spark, d):
     return clusters(ours(spark, d), theirs(spark, d)).select("node", "group_key", "primary")
 
 
 def clusters(ours: DataFrame, theirs: DataFrame, buffer: int = 50) -> DataFrame:
     """Breakpoint pairs of both callers in clusters of pairs at most ``buffer`` apart, with the primary one of each."""
-    both = ours.drop("id").unionByName(theirs.drop("id2")).withColumn("node", F.expr(CALL_ID)).withColumn("multi", F.expr("no1%3=0"))
+    both = ours.drop("id").withColumn("other", F.lit(False)).unionByName(theirs.drop("id2").withColumn("other", F.lit(True))).withColumn("node", F.expr(CALL_ID)).withColumn("multi", F.expr("no1%3=0"))
     return X.primary_of_cluster(group_events(both, read_length=buffer))
 
 
