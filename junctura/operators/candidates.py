@@ -81,8 +81,10 @@ def breakpoints(split: DataFrame) -> DataFrame:
     two = F.struct(F.col("chrom2").alias("chrom"), F.col("tstart2").alias("coord"), F.when(F.col("strand2") == "+", "down").otherwise("up").alias("dir"))
     order = lambda b: F.coalesce(chrom_order(b["chrom"].cast("string")), F.lit(1 << 30))
     key = lambda b: F.struct(order(b), b["chrom"], b["coord"], F.when(b["dir"] == "up", 0).otherwise(1))
-    first = key(one) <= key(two)
-    return split.withColumn("bp_a", F.when(first, one).otherwise(two)).withColumn("bp_b", F.when(first, two).otherwise(one))
+    # Exploding the order of one row keeps it from being repeated in every use of a field and in joins below.
+    ordered = split.select("*", F.explode(F.array(key(one) <= key(two))).alias("__first"))
+    first = F.col("__first")
+    return ordered.withColumn("bp_a", F.when(first, one).otherwise(two)).withColumn("bp_b", F.when(first, two).otherwise(one)).drop("__first")
 
 
 def drop_contiguous(pairs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def group_events(junctions: DataFrame, read_length: int = 75, node: str = "node"
     reach = 2 * math.ceil(read_length / 2)
     cell = lambda c: F.floor(F.col(c) / (reach + 1)).alias(f"c{c[-1]}")
     at = [*KEYS, "ca", "cb"]
-    placed = junctions.select(*KEYS, "coord_a", "coord_b", F.col(node).alias("u"), cell("coord_a"), cell("coord_b"))
+    placed = cut(junctions.select(*KEYS, "coord_a", "coord_b", F.col(node).alias("u"), cell("coord_a"), cell("coord_b")))
     # One row a cell and place along the first junction: at most reach + 1 in a cell.
     steps = cut(placed.groupBy(*at, "coord_a").agg(F.min("u").alias("u"), F.min("coord_b").alias("lo"), F.max("coord_b").alias("hi")))
     cells = cut(steps.groupBy(*at).agg(F.min("u").alias("u"), F.min("coord_a").alias("a0"), F.max("coord_a").alias("a1"), F.min("lo").alias("b0"), F.max("hi").alias("b1")))
@@ -45,7 +45,8 @@ def group_events(junctions: DataFrame, read_length: int = 75, node: str = "node"
         edges = edges.unionByName(met.join(cells.select(*at, "u"), at).join(ahead(1, turn), at).select("u", "v"))
     comp = connected_components(edges)
     named = cells.join(comp, cells["u"] == comp["node"], "left").select(*at, F.coalesce("component", "u").alias("group_key"))
-    return junctions.withColumn("ca", cell("coord_a")).withColumn("cb", cell("coord_b")).join(named, at).drop("ca", "cb")
+    of = placed.join(named, at).groupBy(F.col("u").alias(node)).agg(F.min("group_key").alias("group_key"))
+    return junctions.join(of, node)
 
 
 def group_summary(members: DataFrame) -> DataFrame:
