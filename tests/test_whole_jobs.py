@@ -115,7 +115,7 @@ def test_clusters_hold_near_breakpoints_of_both_callers(spark):
     ours = spark.createDataFrame([(2, 3, 4, 1, 1000, "up", 2, 5000, "down"), (4, 1, 2, 1, 9000, "up", 2, 5000, "down")], schema)
     theirs = spark.createDataFrame([(3, 1, 2, 1, 1050, "up", 2, 4950, "down"), (5, 1, 2, 1, 9051, "up", 2, 5000, "down")], schema)
     got = {r.node: (r.group_key, r.primary) for r in Q.clusters(ours, theirs).collect()}
-    assert got == {20304: (20304, False), 30102: (20304, True), 40102: (40102, True), 50102: (50102, True)}
+    assert got == {20304: (20304, True), 30102: (20304, True), 40102: (40102, True), 50102: (50102, True)}
 
 
 def test_comparison_counts_come_of_matches(spark):
