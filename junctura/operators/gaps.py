@@ -3,12 +3,14 @@
 The duplication search is ungapped: for a gap, an orientation and a diagonal the
 best-scoring run (match +1, mismatch -1) is found by one pass over the bases
 within the row, and the best diagonal of a gap by an aggregation. Only diagonals
-with a seed are looked at, a word of ``min_gap`` bases that both sides have: a run
-of which 9 in 10 bases or more match has one if it is long enough to count.
+with a seed are looked at, a word that both sides have. Seeds are found by an
+equi-join of words, as long as a run that counts must have without a mismatch.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,22 +49,56 @@ def _letters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def _words(s: Column, size: int) -> Column:
+def _seed_size(score: Column, min_ratio: float) -> Column:
+    """Bases that every run of ``score`` or more and ``min_ratio`` of its length has in a row somewhere.
+
+    A run without a mismatch is ``score`` long; one with m mismatches has 2m/(1 - min_ratio) bases or more, and
+    the longest of its m + 1 stretches is shortest for m = 1.
+    """
+    if min_ratio >= 1:
+        return score.cast("int")
+    return F.least(score, F.lit(math.ceil(round(2 / (1 - min_ratio), 9)) // 2)).cast("int")
+
+
+def _words(s: Column, size: Column) -> Column:
+    """struct(h, p, i) of each word of ``s``: its hash, the base before it (1 to 4; 0: none, or another letter), its place."""
     places = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.substring(s, i, F.lit(size)).alias("w"), i.alias("i")))
+    before = lambda i: F.when(i > 1, F.position(F.substring(s, i - 1, F.lit(1)), F.lit("ACGT"))).otherwise(0)
+    return F.transform(places, lambda i: F.struct(F.xxhash64(F.substring(s, i, size)).alias("h"), before(i).alias("p"), i.alias("i")))
+
 
+def _shifts(x: DataFrame, turns: list[tuple[bool, Column]], windows: list[Column], seed: Column) -> DataFrame:
+    """__id, __ds: for each row the shifts of a turn of the gap along a window at which both have a word of ``seed`` bases.
 
-def _with_shifts(x: DataFrame, gap: Column, other: Column, seed: int, every: Column, by_seed: bool) -> DataFrame:
-    """A row for each shift of ``gap`` along ``other`` that has a seed (else ``every`` shift): __d, and both as arrays of bases.
+    An equi-join of words. A word counts only where the bases before it differ, so a stretch of any length is
+    one pair and repeats (a gap of one letter) don't multiply: the gap's words are looked up under every other base.
+    Such a gap still has as many shifts as bases, and each takes a pass over it.
+    """
+    of = lambda parts: F.flatten(F.array(*parts))
+    tag = lambda words, k: F.transform(words, lambda w: F.struct(F.lit(k).alias("k"), w["h"].alias("h"), w["p"].alias("p"), w["i"].alias("i")))
+    gap = x.select("__id", F.explode(of([tag(_words(g, seed), int(inverted)) for inverted, g in turns])).alias("a"))
+    gap = gap.select("__id", "a.*", F.explode(F.filter(F.array(*map(F.lit, range(5))), lambda c: (c == 0) | (c != F.col("a.p")))).alias("__p"))
+    win = x.select("__id", F.explode(of([tag(_words(w, seed), k) for k, w in enumerate(windows)])).alias("b"))
+    win = win.select("__id", F.col("b.h").alias("h"), F.col("b.p").alias("__p"), F.col("b.k").alias("__side"), F.col("b.i").alias("__j"))
+    met = gap.join(win, ["__id", "h", "__p"]).select("__id", F.struct(F.col("k").alias("turn"), F.col("__side").alias("side"), (F.col("__j") - F.col("i")).alias("d")).alias("s"))
+    return met.groupBy("__id").agg(F.collect_set("s").alias("__ds"))
+
+
+def _with_shifts(x: DataFrame, key: list[str], turns: list[tuple[bool, Column]], windows: list[Column], seed: Column) -> DataFrame:
+    """A row for each shift that has a seed: __d, __side, __inverted, and the turned gap and the window as arrays of bases.
 
-    Words and bases are columns of their own, so they are made once and not for every pair of places.
+    Rows meet their shifts by a hash of ``key``: should two keys share one, each looks at the other's shifts too, which
+    changes nothing.
     """
-    x = x.withColumn("__ga", _letters(gap)).withColumn("__wa", _letters(other))
-    if not by_seed:
-        return x.withColumn("__d", F.explode(every))
-    x = x.withColumn("__gw", _words(gap, seed)).withColumn("__ww", _words(other, seed))
-    met = F.transform("__gw", lambda g: F.transform(F.filter("__ww", lambda o: o["w"] == g["w"]), lambda o: o["i"] - g["i"]))
-    return x.withColumn("__d", F.explode(F.array_distinct(F.flatten(met)))).drop("__gw", "__ww")
+    # Columns of their own: within the functions below they would be made again for every word.
+    made = {f"__g{int(inverted)}": g for inverted, g in turns} | {f"__w{k}": w for k, w in enumerate(windows)}
+    x = x.withColumns({"__id": F.xxhash64(*key), "__q": seed, **made})
+    turns, windows = [(inverted, F.col(f"__g{int(inverted)}")) for inverted, _ in turns], [F.col(f"__w{k}") for k in range(len(windows))]
+    j = x.join(_shifts(x, turns, windows, F.col("__q")), "__id")
+    by_turn = F.create_map(*[v for inverted, g in turns for v in (F.lit(int(inverted)), _letters(g))])
+    j = j.withColumn("__turns", by_turn).withColumn("__windows", F.array(*[_letters(w) for w in windows])).withColumn("__x", F.explode("__ds"))
+    j = j.withColumn("__d", F.col("__x.d")).withColumn("__side", F.col("__x.side")).withColumn("__inverted", F.col("__x.turn") == 1)
+    return j.withColumn("__ga", F.element_at("__turns", F.col("__x.turn"))).withColumn("__wa", F.get("__windows", F.col("__side"))).drop("__turns", "__windows", "__ds", "__x", "__q", *made)
 
 
 def _best_run(gap: Column, other: Column, shift: Column) -> Column:
@@ -82,39 +118,71 @@ def _best_run(gap: Column, other: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: F.struct(a["best"].alias("score"), a["s"].alias("s"), a["e"].alias("e")))
 
 
-def find_gap_duplication(gaps: DataFrame, key: list[str], min_gap: int = 4, min_share: float = 0.3, min_ratio: float = 0.95, inverted_only: bool = False) -> DataFrame:
+def find_gap_duplication(
+    gaps: DataFrame, key: list[str], min_gap: int = 4, min_share: float = 0.3, min_ratio: float = 0.95, inverted_only: bool = False, keep: list[str] | None = None
+) -> DataFrame:
     """The best copy of each gap within two gap lengths on either side: dup_s, dup_e on the contig, gap range used, score, inverted.
 
     Score must reach max(min_gap, min_share of the gap) and ``min_ratio`` of the run's length. Ties go to the
-    forward copy, then the nearer, then the left one.
+    forward copy, then the nearer, then the left one. ``keep`` names columns of the gap to return as well.
     """
     size = (F.col("gap_e") - F.col("gap_s") + 1).cast("int")
     lo = F.greatest(F.lit(1), F.col("gap_s") - 2 * size)
     left = F.substring("seq", lo.cast("int"), (F.col("gap_s") - lo).cast("int"))
     right = F.substring("seq", (F.col("gap_e") + 1).cast("int"), 2 * size)
-    sides = F.array(F.struct(left.alias("w"), lo.alias("at")), F.struct(right.alias("w"), (F.col("gap_e") + 1).alias("at")))
-    turns = [F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))] if inverted_only else [F.struct(F.lit(False).alias("inverted"), F.col("gap_seq").alias("g")), F.struct(F.lit(True).alias("inverted"), reverse_complement("gap_seq").alias("g"))]
-    x = gaps.withColumn("__w", F.explode(sides)).where(F.length("__w.w") >= min_gap).withColumn("__t", F.explode(F.array(*turns)))
-    every = F.sequence(min_gap - size, F.length("__w.w") - min_gap)
-    x = _with_shifts(x, F.col("__t.g"), F.col("__w.w"), min_gap, every, min_ratio >= 0.9 and min_gap <= 9)
+    turns = [(False, F.col("gap_seq")), (True, reverse_complement("gap_seq"))][int(inverted_only) :]
+    enough = F.greatest(F.lit(min_gap), F.ceil(min_share * size))
+    x = _with_shifts(gaps, key, turns, [left, right], _seed_size(enough, min_ratio))
     x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d")))
     n = F.col("__r.e") - F.col("__r.s") + 1
-    x = x.where((F.col("__r.score") >= F.greatest(F.lit(min_gap), min_share * size)) & (F.col("__r.score") >= min_ratio * n))
-    dup_s = F.col("__w.at") + F.col("__d") + F.col("__r.s") - 1
-    used_s = F.when(F.col("__t.inverted"), F.col("gap_e") - F.col("__r.e") + 1).otherwise(F.col("gap_s") + F.col("__r.s") - 1)
+    x = x.where((F.size("__wa") >= min_gap) & (F.col("__r.score") >= F.greatest(F.lit(min_gap), min_share * size)) & (F.col("__r.score") >= min_ratio * n))
+    dup_s = F.when(F.col("__side") == 0, lo).otherwise(F.col("gap_e") + 1) + F.col("__d") + F.col("__r.s") - 1
+    used_s = F.when(F.col("__inverted"), F.col("gap_e") - F.col("__r.e") + 1).otherwise(F.col("gap_s") + F.col("__r.s") - 1)
     x = x.withColumn("dup_s", dup_s).withColumn("dup_e", dup_s + n - 1).withColumn("used_s", used_s).withColumn("used_e", used_s + n - 1)
     x = x.withColumn("distance", F.when(F.col("dup_s") > F.col("used_e"), F.col("dup_s") - F.col("used_e") - 1).otherwise(F.col("used_s") - F.col("dup_e") - 1))
-    fields = ["dup_s", "dup_e", "used_s", "used_e", "distance"]
-    best = F.max_by(F.struct(*fields, F.col("__r.score").alias("score"), F.col("__t.inverted").alias("inverted")), F.struct(F.col("__r.score"), ~F.col("__t.inverted"), -F.col("distance"), -F.col("dup_s")))
+    fields = [*(keep or []), "dup_s", "dup_e", "used_s", "used_e", "distance"]
+    best = F.max_by(F.struct(*fields, F.col("__r.score").alias("score"), F.col("__inverted").alias("inverted")), F.struct(F.col("__r.score"), ~F.col("__inverted"), -F.col("distance"), -F.col("dup_s")))
     return x.groupBy(*key).agg(best.alias("d")).select(*key, "d.*")
 
 
-def classify_tandem(dups: DataFrame) -> DataFrame:
-    """topology of a gapped event: tandem where the copies lie within a copy's length (two, if inverted), else nontandem; inverted ones are named so."""
-    n = F.col("dup_e") - F.col("dup_s") + 1
-    tandem = F.col("distance") <= n * F.when(F.col("inverted"), 2).otherwise(1)
-    kind = F.when(F.col("inverted"), "gap-inverted_duplication").when(tandem, "gap-tandem-duplication").otherwise("gap-nontandem-duplication")
-    return dups.withColumn("tandem", tandem).withColumn("topology", kind)
+def classify_tandem(dups: DataFrame, similar: int = 95, negligible: int = 2) -> DataFrame:
+    """topology of a gapped event, tandem, how (the kind of tandem), border_s and border_e: the gap's copy with its borders moved.
+
+    Needs seq, blocks, gap_s and gap_e beside the copies. Copies with a whole block between them aren't tandem, nor are those
+    further apart than a copy's length (two, if inverted). Nearer ones are compared where each would go on towards the other,
+    by edit distance (inverted: half the distance each, one turned). The distance is short up to 100 - ``similar`` percent of
+    the gap (twice that, if inverted); then the copies are tandem whatever lies between. ``how``: TAN(Sh&Ir) no room on the
+    contig, TAN(Sh&Neg) next to no distance, TAN(Sh&Mod) and TAN(Sh&NMod) similar and not, TAN(Mod) and TAN(NMod) beyond the
+    short distance, where the copies are tandem only if they differ by max(``negligible``, the short distance) or less. Borders
+    move to meet the other copy in the kinds Neg and Mod of tandem copies.
+    """
+    seq, inverted = F.col("seq"), F.col("inverted")
+    n, gap, d = F.col("dup_e") - F.col("dup_s") + 1, F.col("gap_e") - F.col("gap_s") + 1, F.col("distance")
+    after = F.col("dup_s") < F.col("used_s")
+    turns = F.when(inverted, 2).otherwise(1)
+    between_s, between_e = F.least("used_e", "dup_e") + 1, F.greatest("used_s", "dup_s") - 1
+    apart = F.exists("blocks", lambda b: (b["s"] >= between_s) & (b["e"] <= between_e)) | (d > turns * n)
+    step = F.when(inverted, F.floor(d / 2)).otherwise(d).cast("int")
+    part = lambda at: F.substring(seq, at.cast("int"), step)
+    no_room = ~inverted & ((F.col("dup_e") + d > F.length(seq)) | (F.col("dup_s") - d < 1))
+    first = F.when(inverted, part(between_s)).otherwise(part(F.col("dup_e") + 1))
+    second = F.when(inverted, reverse_complement(part(between_e + 1 - step))).otherwise(part(F.greatest(F.lit(1), F.col("dup_s") - d)))
+    slack = 100 - similar
+    alike, little = F.floor(3 * slack * d / 100), F.greatest(F.lit(negligible), F.floor(slack * gap / 100))
+    short = d * 100 <= turns * slack * gap
+    x = dups.withColumn("__diff", F.when(~apart & ~no_room, F.levenshtein(first, second)))
+    mod = F.col("__diff") <= alike
+    how = (
+        F.when(F.coalesce(apart, F.lit(False)) | (no_room & ~short), "")
+        .when(short & no_room, "TAN(Sh&Ir)")
+        .when(short & (d <= turns * negligible), "TAN(Sh&Neg)")
+        .otherwise(F.concat(F.lit("TAN("), F.when(short, "Sh&").otherwise(""), F.when(mod, "Mod)").otherwise("NMod)")))
+    )
+    x = x.withColumn("how", how).withColumn("tandem", (F.col("how") != "") & (short | (F.col("__diff") <= little)))
+    moved = F.when(F.col("tandem") & F.col("how").isin("TAN(Sh&Neg)", "TAN(Sh&Mod)", "TAN(Mod)"), step.cast("long")).otherwise(F.lit(0).cast("long"))
+    x = x.withColumn("border_s", F.col("used_s") - F.when(after, moved).otherwise(0)).withColumn("border_e", F.col("used_e") + F.when(after, 0).otherwise(moved))
+    kind = F.when(inverted, "gap-inverted_duplication").when(F.col("tandem"), "gap-tandem-duplication").otherwise("gap-nontandem-duplication")
+    return x.withColumn("topology", kind).drop("__diff")
 
 
 def tandem_spanning_gap(dups: DataFrame, max_genome_gap: int = 5) -> DataFrame:
@@ -126,9 +194,8 @@ def tandem_spanning_gap(dups: DataFrame, max_genome_gap: int = 5) -> DataFrame:
 def gap_inversion(gaps: DataFrame, key: list[str], min_gap: int = 6, min_ratio: float = 0.95) -> DataFrame:
     """Internal gaps whose reverse complement is in the intron (``intron``, at least as long): at, the 1-based place of the best match, and score."""
     g = gaps.where(~F.col("edge") & (F.length("gap_seq") >= min_gap) & (F.length("intron") >= F.length("gap_seq")))
-    turned = reverse_complement("gap_seq")
-    every = F.sequence(F.lit(0), F.length("intron") - F.length("gap_seq"))
-    x = _with_shifts(g, turned, F.col("intron"), min_gap, every, min_ratio >= 0.9 and min_gap <= 9)
+    enough = F.ceil(min_ratio * F.length("gap_seq"))
+    x = _with_shifts(g, key, [(True, reverse_complement("gap_seq"))], [F.col("intron")], _seed_size(enough, min_ratio))
     x = x.where((F.col("__d") >= 0) & (F.col("__d") <= F.length("intron") - F.length("gap_seq")))
     x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
     best = F.max_by(F.struct((F.col("__d") + 1).alias("at"), F.col("__r.score").alias("score")), F.struct(F.col("__r.score"), -F.col("__d")))

@@ -353,10 +353,47 @@ CONTIGS = """SELECT seq_id, contig_no, CASE WHEN seq_id%3=0 THEN substr(raw,1,12
  n, 1+seq_id%3*5 AS s1, LEAST(120,n) AS e1, 121+seq_id%40 AS s2, LEAST(290+seq_id%11,n) AS e2 FROM (
  SELECT seq_id, k AS contig_no, substr(seq, CAST(k*300+1 AS INT), 300) AS raw, length(substr(seq, CAST(k*300+1 AS INT), 300)) AS n, seq_id%40 AS w FROM seqs, LATERAL (SELECT unnest(generate_series(0, (length(seq)-1)//300)) AS k) u WHERE length(seq)>0) x"""
 EDGE = "(length(replace(g,'A',''))=0 OR length(replace(g,'T',''))=0)"
-GAPS = f"""SELECT seq_id, contig_no, gap_s, gap_e FROM (SELECT *, substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)) AS g, gap_s=1 OR gap_e=n AS edge FROM (
+GAPS_WITH_BASES = f"""SELECT * FROM (SELECT *, substr(seq, CAST(gap_s AS INT), CAST(gap_e-gap_s+1 AS INT)) AS g, gap_s=1 OR gap_e=n AS edge FROM (
  SELECT seq_id, contig_no, seq, n, 1 AS gap_s, CASE WHEN s1<=e1 THEN s1-1 WHEN s2<=e2 THEN s2-1 ELSE n END AS gap_e FROM ct
  UNION ALL SELECT seq_id, contig_no, seq, n, e1+1, s2-1 FROM ct WHERE s1<=e1 AND s2<=e2
  UNION ALL SELECT seq_id, contig_no, seq, n, CASE WHEN s2<=e2 THEN e2 ELSE e1 END+1, n FROM ct WHERE s1<=e1 OR s2<=e2) y) z WHERE gap_e-gap_s+1>=4 AND NOT (edge AND {EDGE})"""
+GAPS = f"SELECT seq_id, contig_no, gap_s, gap_e FROM ({GAPS_WITH_BASES}) v"
+_TURNED = "reverse(translate({},'ACGT','TGCA'))"
+
+
+def _runs(turns: str) -> str:
+    """Best run of each diagonal that shares four bases: tables of rows ``tn`` (tid, gg the gap's turn, w the window) to ``run`` (tid, d, top, rs, re)."""
+    words = "SELECT tid, i, substr({0}, CAST(i AS INT), 4) AS word FROM (SELECT tid, {0}, unnest(range(1, length({0})-2)) AS i FROM tn) v"
+    return f"""tn AS MATERIALIZED ({turns}),
+ dg AS (SELECT DISTINCT a.tid, b.i-a.i AS d FROM ({words.format("gg")}) a JOIN ({words.format("w")}) b ON a.tid=b.tid AND a.word=b.word),
+ ce AS (SELECT tid, d, i, CASE WHEN i+d BETWEEN 1 AND length(w) AND substr(gg, CAST(i AS INT), 1)=substr(w, CAST(i+d AS INT), 1) THEN 1 ELSE -1 END AS v
+  FROM (SELECT tid, d, gg, w, unnest(range(1, length(gg)+1)) AS i FROM dg JOIN tn USING (tid)) u),
+ cs AS (SELECT tid, d, i, sum(v) OVER (PARTITION BY tid, d ORDER BY i) AS c FROM ce),
+ cn AS (SELECT tid, d, i, c-LEAST(0, min(c) OVER (PARTITION BY tid, d ORDER BY i)) AS now FROM cs),
+ cz AS (SELECT tid, d, i, now, coalesce(max(CASE WHEN now=0 THEN i END) OVER (PARTITION BY tid, d ORDER BY i), 0)+1 AS since FROM cn),
+ run AS (SELECT tid, d, CAST(max(now) AS BIGINT) AS top, arg_max(since, now*100000-i) AS rs, arg_max(i, now*100000-i) AS re FROM cz GROUP BY tid, d)"""
+
+
+#: The best copy of each gap, with its contig.
+DUPS = f""", ct AS ({CONTIGS}), gx AS MATERIALIZED ({GAPS_WITH_BASES}), """ + _runs(
+    f"""SELECT row_number() OVER () AS tid, * FROM (SELECT sd.*, o.inverted, CASE WHEN o.inverted THEN {_TURNED.format("g")} ELSE g END AS gg FROM (
+   SELECT *, gap_e-gap_s+1 AS size, GREATEST(1, gap_s-2*(gap_e-gap_s+1)) AS from_base, substr(seq, CAST(GREATEST(1, gap_s-2*(gap_e-gap_s+1)) AS INT), CAST(gap_s-GREATEST(1, gap_s-2*(gap_e-gap_s+1)) AS INT)) AS w FROM gx
+   UNION ALL SELECT *, gap_e-gap_s+1, gap_e+1, substr(seq, CAST(gap_e+1 AS INT), CAST(2*(gap_e-gap_s+1) AS INT)) FROM gx) sd, (VALUES (FALSE), (TRUE)) o(inverted) WHERE length(w)>=4) q"""
+) + """,
+ hit AS (SELECT seq_id, contig_no, gap_s, gap_e, size, n AS len, seq, top, inverted, re-rs+1 AS n, from_base+d+rs-1 AS ds, CASE WHEN inverted THEN gap_e-re+1 ELSE gap_s+rs-1 END AS us FROM run JOIN tn USING (tid)
+  WHERE top>=4 AND top>=CAST(0.3 AS DOUBLE)*size AND top>=CAST(0.95 AS DOUBLE)*(re-rs+1)),
+ hd AS (SELECT *, CASE WHEN ds>us+n-1 THEN ds-us-n ELSE us-ds-n END AS distance FROM hit),
+ du AS MATERIALIZED (SELECT seq_id, contig_no, gap_s, gap_e, seq, len, ds AS dup_s, ds+n-1 AS dup_e, us AS used_s, us+n-1 AS used_e, distance, top AS score, inverted FROM hd
+  QUALIFY row_number() OVER (PARTITION BY seq_id, contig_no, gap_s, gap_e ORDER BY top DESC, inverted, distance, ds)=1) """
+#: With its kind of tandem, edit distances of what would go on.
+TANDEM = DUPS + f""", ta AS (SELECT *, dup_e-dup_s+1 AS n, gap_e-gap_s+1 AS gap, CASE WHEN inverted THEN 2 ELSE 1 END AS two, LEAST(used_e,dup_e)+1 AS mid_s, GREATEST(used_s,dup_s)-1 AS mid_e,
+  CASE WHEN inverted THEN distance//2 ELSE distance END AS step, distance*100<=CASE WHEN inverted THEN 2 ELSE 1 END*5*(gap_e-gap_s+1) AS short, NOT inverted AND (dup_e+distance>len OR dup_s-distance<1) AS no_room FROM du),
+ tb AS (SELECT ta.*, distance>two*ta.n OR (s1<=e1 AND s1>=mid_s AND e1<=mid_e) OR (s2<=e2 AND s2>=mid_s AND e2<=mid_e) AS apart FROM ta JOIN ct USING (seq_id, contig_no)),
+ tc AS (SELECT *, CASE WHEN NOT apart AND NOT no_room THEN levenshtein(substr(seq, CAST(CASE WHEN inverted THEN mid_s ELSE dup_e+1 END AS INT), CAST(step AS INT)),
+  CASE WHEN inverted THEN {_TURNED.format("substr(seq, CAST(mid_e+1-step AS INT), CAST(step AS INT))")} ELSE substr(seq, CAST(dup_s-distance AS INT), CAST(step AS INT)) END) END AS diff FROM tb),
+ td AS (SELECT *, CASE WHEN apart OR (no_room AND NOT short) THEN '' WHEN no_room THEN 'TAN(Sh&Ir)' WHEN short AND distance<=2*two THEN 'TAN(Sh&Neg)' ELSE concat('TAN(', CASE WHEN short THEN 'Sh&' ELSE '' END, CASE WHEN diff<=15*distance//100 THEN 'Mod)' ELSE 'NMod)' END) END AS how FROM tc),
+ te AS (SELECT *, how<>'' AND (short OR diff<=GREATEST(2, 5*gap//100)) AS tandem FROM td),
+ tf AS (SELECT *, CASE WHEN tandem AND how IN ('TAN(Sh&Neg)','TAN(Sh&Mod)','TAN(Mod)') THEN step ELSE 0 END AS moved FROM te) """
 
 
 @query("c15_explode_gaps", "seqs", f", ct AS ({CONTIGS}) {GAPS}")
@@ -371,36 +408,58 @@ def gaps(spark, d):
 GKEY = ["seq_id", "contig_no", "gap_s", "gap_e"]
 
 
-@query("c16_gap_duplication")
+@query("c16_gap_duplication", "seqs", DUPS + "SELECT seq_id, contig_no, gap_s, gap_e, dup_s, dup_e, used_s, used_e, distance, score, inverted FROM du")
+def _(spark, d):
+    return dups(spark, d).drop("seq", "blocks")
+
+
 def dups(spark, d):
-    return D.find_gap_duplication(gaps(spark, d), GKEY)
+    return D.find_gap_duplication(gaps(spark, d), GKEY, keep=["seq", "blocks"])
 
 
-@query("c17_classify_tandem")
+@query(
+    "c17_classify_tandem", "seqs",
+    TANDEM + """SELECT seq_id, contig_no, gap_s, gap_e, tandem, how, CASE WHEN inverted THEN 'gap-inverted_duplication' WHEN tandem THEN 'gap-tandem-duplication' ELSE 'gap-nontandem-duplication' END AS topology,
+     used_s-CASE WHEN dup_s<used_s THEN moved ELSE 0 END AS border_s, used_e+CASE WHEN dup_s<used_s THEN 0 ELSE moved END AS border_e FROM tf""",
+)
 def _(spark, d):
-    return D.classify_tandem(dups(spark, d)).select(*GKEY, "tandem", "topology")
+    return D.classify_tandem(dups(spark, d)).select(*GKEY, "tandem", "how", "topology", "border_s", "border_e")
 
 
-@query("c18_tandem_spanning_gap")
+@query("c18_tandem_spanning_gap", "seqs", DUPS + "SELECT seq_id, contig_no, gap_s, gap_e, NOT inverted AND (dup_e=gap_s-1 OR dup_s=gap_e+1) AND seq_id%8<=5 AS spanning FROM du")
 def _(spark, d):
     return D.tandem_spanning_gap(dups(spark, d).withColumn("genome_gap", F.expr("seq_id%8"))).select(*GKEY, "spanning")
 
 
-@query("c19_gap_inversion")
+@query(
+    "c19_gap_inversion", "seqs",
+    f", ct AS ({CONTIGS}), gx AS ({GAPS_WITH_BASES}), "
+    + _runs(f"SELECT row_number() OVER () AS tid, *, {_TURNED.format('g')} AS gg, substr(seq,200,60)||{_TURNED.format('g')}||substr(seq,1,30) AS w FROM gx WHERE NOT edge AND length(g)>=6")
+    + """ SELECT seq_id, contig_no, gap_s, gap_e, d+1 AS at, top AS score FROM run JOIN tn USING (tid) WHERE d BETWEEN 0 AND length(w)-length(gg) AND top>=CAST(0.95 AS DOUBLE)*length(g)
+     QUALIFY row_number() OVER (PARTITION BY seq_id, contig_no, gap_s, gap_e ORDER BY top DESC, d)=1""",
+)
 def _(spark, d):
     g = gaps(spark, d).withColumn("intron", F.expr("concat(substr(seq,200,60), reverse(translate(gap_seq,'ACGT','TGCA')), substr(seq,1,30))"))
     return D.gap_inversion(g, GKEY)
 
 
-@query("c20_formation_tags")
+@query(
+    "c20_formation_tags", "seqs",
+    TANDEM + """SELECT seq_id, contig_no, gap_s, gap_e, concat_ws(';', CASE WHEN tandem THEN concat('TAN(',n,')') END, CASE WHEN tandem AND distance>0 THEN concat('NOVEL_INS(',distance,')') END, CASE WHEN gap>n THEN concat('TRIM(',gap-n,')') END) AS tags FROM tf""",
+)
 def _(spark, d):
     return D.formation_tags(D.classify_tandem(dups(spark, d))).select(*GKEY, "tags")
 
 
-@query("c21_gap_event_columns")
+_SUB = "CASE WHEN {1}>={0} THEN substr(seq, CAST({0} AS INT), CAST({1}-{0}+1 AS INT)) ELSE '' END"
+
+
+@query(
+    "c21_gap_event_columns", "seqs",
+    DUPS + f"SELECT seq_id, contig_no, gap_s, gap_e, used_s AS event_s, used_e AS event_e, {_SUB.format('used_s', 'used_e')} AS event_seq, {_SUB.format('dup_s', 'dup_e')} AS dup_seq, {_SUB.format('(LEAST(used_e,dup_e)+1)', '(GREATEST(used_s,dup_s)-1)')} AS ins_seq FROM du",
+)
 def _(spark, d):
-    j = dups(spark, d).join(contigs(spark, d).select("seq_id", "contig_no", "seq"), ["seq_id", "contig_no"])
-    return D.gap_event_columns(j).select(*GKEY, "event_s", "event_e", "event_seq", "dup_seq", "ins_seq")
+    return D.gap_event_columns(dups(spark, d)).select(*GKEY, "event_s", "event_e", "event_seq", "dup_seq", "ins_seq")
 
 
 # --- recurrence and comparison -----------------------------------------------
