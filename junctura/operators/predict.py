@@ -183,12 +183,12 @@ def recheck_itd(itds: DataFrame, sequences: DataFrame, transcripts: DataFrame) -
     """Without events whose duplicated sequence, twice over, is in a transcript of the gene, or is one base.
 
     ``itds(contig, dup_seq, gene)``, ``transcripts(gene, seq)``. What a transcript has twice over is found by one
-    pass for each length of a duplicate, so the rest is an equi-join on gene and sequence, not one row an event and
-    transcript. Not built: contigs that align without a gap, gaps that repeat next to them, micro-inversions (see README).
+    pass for each length of its gene's duplicates, so both joins are equi-joins, by gene and by gene and sequence, and no
+    row is made for an event and a transcript. Not built: contigs that align without a gap, gaps that repeat next to them, micro-inversions (see README).
     """
-    lengths = itds.select(F.length("dup_seq").alias("__n")).where("__n > 0").distinct()
+    lengths = itds.select("gene", F.length("dup_seq").alias("__n")).where("__n > 0").distinct()
     twice = F.regexp_extract_all(F.col("seq"), F.format_string("(?s)(?=(.{%d})\\1)", F.col("__n")), F.lit(1))
-    known = transcripts.select("gene", "seq").crossJoin(F.broadcast(lengths)).select("gene", F.explode(twice).alias("dup_seq")).distinct()
+    known = transcripts.select("gene", "seq").join(lengths, "gene").select("gene", F.explode(twice).alias("dup_seq")).distinct()
     return itds.where(~F.col("dup_seq").rlike(r"^(.)\1*$")).join(known, ["dup_seq", "gene"], "left_anti").select(*itds.columns)
 
 
