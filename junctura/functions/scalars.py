@@ -122,6 +122,25 @@ def contains_but_edge(long, short) -> Column:
     return col(long).contains(F.substring(s, F.lit(2), n)) | col(long).contains(F.substring(s, F.lit(1), n - 1))
 
 
+def shares_run(a, b, least) -> Column:
+    """Whether two texts have a run of ``least`` (1 or more) letters in common.
+
+    Words of that length meet as 64-bit hashes, so memory grows with the texts and not
+    with their products. Null where a text is.
+    """
+    n = col(least) if isinstance(least, str) else least
+    words = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.xxhash64(F.substring(s, i, n)))
+    return (F.length(col(a)) >= n) & (F.length(col(b)) >= n) & F.arrays_overlap(words(col(a)), words(col(b)))
+
+
+def most_copies(text, start, unit) -> Column:
+    """How often ``unit`` can follow ``start`` somewhere in ``text``, which has ``start`` itself."""
+    t, s, u = col(text), col(start), col(unit)
+    room = F.floor((F.length(t) - F.length(s)) / F.greatest(F.lit(1), F.length(u))).cast("int")
+    fits = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), room)), lambda k: t.contains(F.concat(s, F.repeat(u, k))))
+    return F.when(F.length(u) > 0, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
+
+
 # --- reads -------------------------------------------------------------------
 
 

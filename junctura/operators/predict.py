@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contains_but_edge
+from ..functions.scalars import contains_but_edge, is_homopolymer, most_copies, reverse_complement, shares_run
 
 
 def overlaps_gene(member_gene: DataFrame, keys: list[str], introns: bool = False, utr: bool = True) -> DataFrame:
@@ -152,13 +152,44 @@ def region_gene_sets(hits: DataFrame, keys: list[str], min_overlap: float = 0.70
     return h.withColumn("__b", best).where(F.col("match") >= F.col("__b") - within).groupBy(*keys).agg(F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
-def recheck_fusion(fusions: DataFrame, best: DataFrame, times: float = 1.5, sequences: DataFrame | None = None) -> DataFrame:
+def side_transcripts(fusions: DataFrame, hits: DataFrame, keys: list[str], min_overlap: float = 0.70, within: int = 10) -> DataFrame:
+    """Per member and side the transcripts that its contig aligns to there: ``keys``, region, targets, best_target, best_s, best_e.
+
+    ``fusions`` (contig, ctg_len, qe1, qs2), ``hits`` (contig, target, qstart, qend, match). Side A
+    runs from the contig's start to ``qe1``, B from ``qs2`` to its end; a hit counts if it shares over
+    ``min_overlap`` of the shorter of both and its matches are less than ``within`` below the best that does.
+    Among equal matches the best is the smallest target.
+    """
+    c = F.col
+    sides = F.array(F.struct(F.lit("A").alias("region"), F.lit(1).cast("long").alias("__s"), c("qe1").cast("long").alias("__e")), F.struct(F.lit("B").alias("region"), c("qs2").cast("long").alias("__s"), c("ctg_len").cast("long").alias("__e")))
+    wanted = fusions.select(*keys, *({"contig"} - set(keys)), F.explode(sides).alias("__x")).select("*", "__x.*").drop("__x")
+    j = wanted.join(hits.select("contig", "target", "qstart", "qend", "match"), "contig")
+    shared = F.least("__e", "qend") - F.greatest("__s", "qstart") + 1
+    j = j.where(shared.cast("double") / F.least(c("__e") - c("__s") + 1, c("qend") - c("qstart") + 1) > min_overlap)
+    j = j.withColumn("__top", F.max("match").over(Window.partitionBy(*keys, "region"))).where(c("match") > c("__top") - within)
+    best = F.min(F.struct((-c("match")).alias("m"), "target", "qstart", "qend")).alias("__b")
+    g = j.groupBy(*keys, "region").agg(F.array_sort(F.collect_set("target")).alias("targets"), best)
+    return g.select(*keys, "region", "targets", c("__b.target").alias("best_target"), c("__b.qstart").alias("best_s"), c("__b.qend").alias("best_e"))
+
+
+def recheck_fusion(
+    fusions: DataFrame,
+    best: DataFrame,
+    times: float = 1.5,
+    sequences: DataFrame | None = None,
+    hits: DataFrame | None = None,
+    transcripts: DataFrame | None = None,
+    keys: tuple[str, ...] = ("contig", "no1", "no2"),
+) -> DataFrame:
     """Without contigs that one alignment explains: perfect, or matching over ``times`` the longer side.
 
     With ``sequences`` (contig, seq) also without those whose rest past the first side is
     a poly-A tail (or poly-T before the second), and those whose rest, but for its first or
-    last base, repeats the aligned side. Contigs without a sequence stay. Not built: the
-    rest found in a transcript, and transcripts that both sides align to (see README).
+    last base, repeats the aligned side. With ``hits`` (see ``side_transcripts``) also without
+    those whose sides align to one transcript, and with ``transcripts`` (target, seq) without
+    those whose rest past (or before) the best hit of a side is repeated in that hit, or is in its transcript,
+    on either strand and but for its first or last base. Contigs without a sequence and hits without a
+    transcript's sequence drop nothing. All joins are equi-joins, by contig, ``keys`` (unique) and target.
     """
     longer = F.greatest(F.col("qe1") - F.col("qs1"), F.col("qe2") - F.col("qs2")) + 1
     j = fusions.join(best.select(F.col("query").alias("contig"), "matches", "perfect"), "contig", "left")
@@ -171,7 +202,21 @@ def recheck_fusion(fusions: DataFrame, best: DataFrame, times: float = 1.5, sequ
     after, before = part(F.col("qe1") + 1, n), part(one, F.col("qs2") - 1)
     tail = after.rlike("^.?a*$") | before.rlike("^t*.?$")
     again = contains_but_edge(part(F.col("qs1"), F.col("qe1")), after) | contains_but_edge(part(F.col("qs2"), F.col("qe2")), before)
-    return j.join(s, "contig", "left").where(~F.coalesce(tail | again, F.lit(False))).drop("__seq")
+    j = j.join(s, "contig", "left").where(~F.coalesce(tail | again, F.lit(False)))
+    if hits is None:
+        return j.drop("__seq")
+    keys = list(keys)
+    at = side_transcripts(j, hits, keys)
+    known = at.groupBy(*keys).agg(F.max(F.when(F.col("region") == "A", F.col("targets"))).alias("a"), F.max(F.when(F.col("region") == "B", F.col("targets"))).alias("b"))
+    false = known.where(F.arrays_overlap("a", "b")).select(*keys)
+    if transcripts is not None:
+        x = at.join(j.select(*keys, "__seq"), keys)
+        rest = F.when(F.col("region") == "A", part(F.col("best_e") + 1, n)).otherwise(part(one, F.col("best_s") - 1))
+        x = x.select(*keys, F.col("best_target").alias("target"), part(F.col("best_s"), F.col("best_e")).alias("__hit"), rest.alias("__rest"))
+        x = x.join(transcripts.select("target", F.lower("seq").alias("__t")), "target", "left")
+        inside = contains_but_edge("__t", "__rest") | contains_but_edge("__t", reverse_complement("__rest"))
+        false = false.unionByName(x.where(contains_but_edge("__hit", "__rest") | F.coalesce(inside, F.lit(False))).select(*keys))
+    return j.join(false.distinct(), keys, "left_anti").drop("__seq").select(*fusions.columns)
 
 
 def recheck_ptd(ptds: DataFrame, best: DataFrame, times: float = 1.5) -> DataFrame:
@@ -184,7 +229,7 @@ def recheck_itd(itds: DataFrame, sequences: DataFrame, transcripts: DataFrame) -
 
     ``itds(contig, dup_seq, gene)``, ``transcripts(gene, seq)``. What a transcript has twice over is found by one
     pass for each length of its gene's duplicates, so both joins are equi-joins, by gene and by gene and sequence, and no
-    row is made for an event and a transcript. Not built: contigs that align without a gap, gaps that repeat next to them, micro-inversions (see README).
+    row is made for an event and a transcript. What contigs' alignments to transcripts show is in ``itd_outcomes``.
     """
     lengths = itds.select("gene", F.length("dup_seq").alias("__n")).where("__n > 0").distinct()
     twice = F.regexp_extract_all(F.col("seq"), F.format_string("(?s)(?=(.{%d})\\1)", F.col("__n")), F.lit(1))
@@ -192,6 +237,112 @@ def recheck_itd(itds: DataFrame, sequences: DataFrame, transcripts: DataFrame) -
     return itds.where(~F.col("dup_seq").rlike(r"^(.)\1*$")).join(known, ["dup_seq", "gene"], "left_anti").select(*itds.columns)
 
 
+def itd_outcomes(
+    itds: DataFrame,
+    best: DataFrame,
+    hits: DataFrame,
+    sequences: DataFrame,
+    transcripts: DataFrame,
+    keys: tuple[str, ...] = ("contig",),
+    min_dup: int = 4,
+    big: int = 15,
+    share: float = 0.8,
+    turned_within: int = 50,
+    near: int = 5,
+    read_length: int = 0,
+    whole_big: bool = False,
+) -> DataFrame:
+    """``itds`` with outcome, after what their contigs' alignments to transcripts show, and good.
+
+    ``itds`` (``keys``, unique; contig, gap, gap_s, gap_e, dup_s, dup_e, b_s, b_e, event_seq; b is the aligned copy),
+    ``best`` (contig, target, strand, qstart, qend, perfect, n_gaps, blocks of s and e): the contig's best alignment,
+    ``hits`` (contig, target, strand, qstart, qend, n_gaps, match): all of them,
+    ``sequences`` (contig, seq), ``transcripts`` (target, seq). The first that holds decides:
+
+    - unaligned: no alignment (good)
+    - known: gap and copies, with as many more copies as follow them in the contig, are in a transcript, on either
+      strand, to which a hit of ``read_length`` matches or more aligns over all of them (inner gaps only)
+    - perfect, ungapped: the alignment has all of the contig, or of an inner gap, without a gap
+    - what lies before, after and within the best alignment, in this order, from ``min_dup`` bases on: turned, where a hit of the
+      same transcript on the other strand reaches over it from that end of the contig (within the alignment only up to
+      ``turned_within`` bases from an end); duplicated (good), where it repeats next to it: before and after, a run of
+      ``share`` of the shorter of it and the alignment, within, a run of ``min_dup``. Parts of one base throughout, and those whose reverse is in contig or transcript
+      (unless the part is the event itself), don't count. Over ``big`` bases an outer part counts at once
+      if the aligned rest has it, but for a third of its multiples of ``big`` at either end. Where that third is 0
+      (up to 44 bases), it counts whatever the rest is; ``whole_big`` asks for all of it then.
+    - split: no gapped event (good); unrepeated: anything else
+
+    Every join is an equi-join by contig, target or ``keys``; nothing is made for pairs of events and transcripts
+    but hits over the whole duplication. Contigs without a sequence are unaligned.
+    """
+    c, keys = F.col, list(keys)
+    seqs = sequences.select("contig", F.lower("seq").alias("__seq"))
+    bases = transcripts.select("target", F.lower("seq").alias("__t"))
+    x = itds.join(seqs, "contig", "left").withColumn("__n", F.length("__seq"))
+    cut = lambda s, e: F.substring("__seq", s.cast("int"), F.greatest(F.lit(0), e - s + 1).cast("int"))
+    inner = c("gap") & (c("gap_s") != 1) & (c("gap_e") != c("__n"))
+
+    # Hits over gap and copies, and their transcripts.
+    lo, hi = F.least("gap_s", "dup_s", "b_s"), F.greatest("gap_e", "dup_e", "b_e")
+    whole = x.where(inner).select(*keys, *({"contig"} - set(keys)), lo.alias("__lo"), hi.alias("__hi"), cut(lo, hi).alias("__all"), cut(c("b_s"), c("b_e")).alias("__unit"), "__seq")
+    whole = whole.withColumn("__all", F.concat("__all", F.repeat("__unit", most_copies("__seq", "__all", "__unit")))).drop("__seq", "__unit")
+    over = hits.where(c("match") >= read_length).select("contig", "target", "qstart", "qend").distinct()
+    over = whole.join(over, "contig").where("qstart <= __lo AND qend >= __hi").select(*keys, "target", "__all").distinct()
+    within = c("__t").contains(c("__all")) | c("__t").contains(reverse_complement("__all"))
+    known = over.join(bases, "target").where(within).select(*keys).distinct().withColumn("__known", F.lit(True))
+
+    # The best alignment, and how far hits on the other strand reach from the contig's ends.
+    b = best.select("contig", "target", "strand", "qstart", "qend", "perfect", "n_gaps", "blocks").toDF("contig", "__target", "__strand", "__s", "__e", "__perfect", "__gaps", "__blocks")
+    turned = hits.where("n_gaps = 0").join(b.select("contig", "__target", "__strand"), "contig").where("target = __target AND strand <> __strand")
+    lengths = seqs.select("contig", F.length("__seq").alias("__n"))
+    ends = turned.join(lengths, "contig").groupBy("contig").agg(
+        F.max(F.when(c("qstart") < near, c("qend"))).alias("__reach"), F.min(F.when(c("__n") - c("qend") < near, c("qstart"))).alias("__from")
+    )
+    x = x.join(b.join(ends, "contig", "left"), "contig", "left").join(bases.withColumnRenamed("target", "__target"), "__target", "left").join(known, keys, "left")
+    x = x.withColumn("__t", F.when(c("__strand") == "-", reverse_complement("__t")).otherwise(c("__t")))
+
+    # Parts to look at, in order: outer ones have the rest of the contig, inner ones both neighbours.
+    def piece(part, before, after, rest, least, turned):
+        fields = {"part": part, "before": before, "after": after, "rest": rest, "least": least.cast("int"), "turned": F.coalesce(turned, F.lit(False))}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    none, one = F.lit(None).cast("string"), F.lit(1)
+    least = lambda span: F.greatest(F.lit(min_dup), F.floor(F.least(span, c("__e") - c("__s") + 1).cast("double") * share))
+    span, rest = c("__s") - 1, c("__n") - c("__e")
+    ahead = piece(cut(one, span), none, cut(c("__s"), c("__s") + span - 1), cut(c("__s"), c("__n")), least(span), c("__reach") >= c("__s"))
+    past = piece(cut(c("__e") + 1, c("__n")), cut(F.greatest(one, c("__e") - rest + 1), c("__e")), none, cut(one, c("__e")), least(rest), c("__from") <= c("__e"))
+
+    def between(block, i):
+        left, right = F.get(c("__blocks"), i)["e"], block["s"]
+        size = right - left - 1
+        reached = F.when(left < turned_within, c("__reach") >= right - 1).when(c("__n") - right + 1 < turned_within, c("__from") <= left)
+        return piece(cut(left + 1, right - 1), cut(F.greatest(one, left - size + 1), left), cut(right, right + size - 1), none, F.lit(min_dup), reached)
+
+    def verdict(p):
+        part, size = p["part"], F.length(p["part"])
+        third = F.floor(F.floor(size / big) / 3).cast("int")
+        edge = F.when((third == 0) & ~F.lit(whole_big), F.lit(True)).otherwise(p["rest"].contains(F.substring(part, third + 1, size)) | p["rest"].contains(F.substring(part, one, size - third)))
+        most = p["rest"].isNotNull() & (size > big) & (p["rest"].contains(part) | edge)
+        back = reverse_complement(part)
+        event = F.coalesce((part == F.lower("event_seq")) & (c("b_e") - c("b_s") == c("gap_e") - c("gap_s")), F.lit(False))
+        skip = (~event & (c("__seq").contains(back) | F.coalesce(c("__t").contains(back), F.lit(False)))) | is_homopolymer(part)
+        again = F.coalesce(shares_run(part, p["before"], p["least"]), F.lit(False)) | F.coalesce(shares_run(part, p["after"], p["least"]), F.lit(False))
+        return F.when(size >= min_dup, F.when(p["turned"], "turned").when(F.coalesce(most | (~skip & again), F.lit(False)), "duplicated"))
+
+    later = F.slice(c("__blocks"), F.lit(2), F.greatest(F.lit(0), F.size("__blocks") - 1))
+    within_it = F.when(c("__gaps") > 0, F.transform(later, between))
+    x = x.withColumn("__parts", F.concat(F.array(ahead, past), F.coalesce(within_it, F.slice(F.array(past), 1, 0))))
+    x = x.withColumn("__found", F.get(F.filter(F.transform("__parts", verdict), lambda v: v.isNotNull()), F.lit(0)))
+    outcome = (
+        F.when(c("__s").isNull() | c("__seq").isNull(), "unaligned")
+        .when(c("__known"), "known")
+        .when(c("__perfect"), "perfect")
+        .when(inner & (c("__gaps") == 0) & (c("__s") <= c("gap_s")) & (c("__e") >= c("gap_e")), "ungapped")
+        .otherwise(F.coalesce("__found", F.when(c("gap"), "unrepeated").otherwise(F.lit("split"))))
+    )
+    return x.withColumn("outcome", outcome).select(*itds.columns, "outcome", c("outcome").isin("unaligned", "duplicated", "split").alias("good"))
+
+
 def full_dup_alignments(events: DataFrame, transcript_hits: DataFrame) -> DataFrame:
     """Transcript alignments of the contig that contain the union of gap and duplication."""
     h = transcript_hits.select(F.col("contig").alias("__c"), "transcript", F.col("qstart").alias("__s"), F.col("qend").alias("__e"))

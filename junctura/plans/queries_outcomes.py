@@ -291,6 +291,34 @@ def _(spark, d):
     return E.recheck_fusion(fusions(spark, d), E.best_contig_alignment(aln(spark, d)), 1.1, s).select(*PKEY)
 
 
+#: Hits of contigs in transcripts: alignments of one chromosome and parity share one, and some transcripts are the contig or its reverse.
+HITS = "SELECT query AS contig, query*10+chrom*2+aln_no%2 AS target, qstart, qend, qend-qstart+1-mismatch AS match FROM {0}"
+TARGETS = "SELECT seq_id*10+4+seq_id%2 AS target, seq FROM {0} UNION ALL SELECT seq_id*10+6+seq_id%2, reverse(translate(seq,'ACGT','TGCA')) FROM {0}"
+_DROPPED = "contains({0}, substr({1},2)) OR contains({0}, left({1}, CAST(GREATEST(0,length({1})-1) AS INT)))"
+
+
+@query(
+    "e14_transcript_recheck", "split feat seqs",
+    ORIENT + BEST + f""", hi AS ({HITS.format("aln")}), tr AS ({TARGETS.format("seqs")}),
+    rs AS MATERIALIZED (SELECT * FROM (SELECT fu.*, lower(seq) AS seq, {REST[0]} AS past, {REST[1]} AS ahead, lower(substr(seq, CAST(qs1 AS INT), CAST(qe1-qs1+1 AS INT))) AS one, lower(substr(seq, CAST(qs2 AS INT), CAST(qe2-qs2+1 AS INT))) AS two FROM fu LEFT JOIN seqs ON seq_id=fu.contig) q
+     JOIN bc ON bc.query=q.contig WHERE NOT perfect AND NOT matches>1.1*(GREATEST(qe1-qs1,qe2-qs2)+1)
+     AND NOT coalesce(regexp_full_match(past,'.?a*') OR regexp_full_match(ahead,'t*.?') OR {_AGAIN.format("one", "past")} OR {_AGAIN.format("two", "ahead")}, false)),
+    sd2 AS (SELECT contig, no1, no2, 'A' AS region, 1 AS s, qe1 AS e, seq FROM rs UNION ALL SELECT contig, no1, no2, 'B', qs2, ctg_len, seq FROM rs),
+    sh AS (SELECT *, max(match) OVER (PARTITION BY contig,no1,no2,region) AS top FROM (SELECT sd2.*, target, qstart, qend, match FROM sd2 JOIN hi USING (contig) WHERE CAST(LEAST(e,qend)-GREATEST(s,qstart)+1 AS DOUBLE)/LEAST(e-s+1,qend-qstart+1)>0.7) y),
+    ok AS (SELECT * FROM sh WHERE match>top-10), bt AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY contig,no1,no2,region ORDER BY match DESC, target, qstart, qend)=1),
+    re AS (SELECT contig, no1, no2, target, substr(seq, CAST(qstart AS INT), CAST(qend-qstart+1 AS INT)) AS hit, CASE WHEN region='A' THEN substr(seq, CAST(qend+1 AS INT)) ELSE substr(seq, 1, CAST(qstart-1 AS INT)) END AS rest FROM bt),
+    r2 AS (SELECT re.*, lower(tr.seq) AS t, reverse(translate(rest,'acgt','tgca')) AS back FROM re LEFT JOIN tr USING (target)),
+    ba AS (SELECT contig, no1, no2 FROM r2 WHERE ({_DROPPED.format("hit", "rest")}) OR coalesce({_DROPPED.format("t", "rest")} OR {_DROPPED.format("t", "back")}, false)
+     UNION ALL SELECT a.contig, a.no1, a.no2 FROM ok a JOIN ok b ON a.contig=b.contig AND a.no1=b.no1 AND a.no2=b.no2 AND a.region='A' AND b.region='B' AND a.target=b.target)
+    SELECT contig, no1, no2 FROM rs WHERE NOT EXISTS (SELECT 1 FROM ba WHERE ba.contig=rs.contig AND ba.no1=rs.no1 AND ba.no2=rs.no2)""",
+)
+def _(spark, d):
+    s = fixtures.view(spark, d, fixtures.SEQS)
+    a = aln(spark, d)
+    hits, targets = spark.sql(HITS.format("{a}"), a=a), spark.sql(TARGETS.format("{s}"), s=s)
+    return E.recheck_fusion(fusions(spark, d), E.best_contig_alignment(a), 1.1, s.selectExpr("seq_id AS contig", "seq"), hits, targets).select(*PKEY)
+
+
 @query("e15_recheck_ptd", "split feat", SIDES + BEST + f"SELECT contig, no1, no2 FROM split s JOIN sd USING (contig,no1,no2) JOIN bc ON bc.query=s.contig WHERE topology IN ('junction-duplication','end-duplication','intrachr-non-colinear') AND {BOUNDS}=2 AND len(list_intersect(coding_a,coding_b))>0 AND NOT perfect AND NOT matches>1.5*(GREATEST(qe1-qs1,qe2-qs2)+1)")
 def _(spark, d):
     return E.recheck_ptd(E.predict_ptd(with_genes(spark, d)), E.best_contig_alignment(aln(spark, d))).select(*PKEY)
@@ -307,6 +335,56 @@ def _(spark, d):
     return E.recheck_itd(x, s, t).select("contig", "dup_seq", "gene")
 
 
+#: Contigs made of a text and, in its middle (shape 0 and 3) or in place of what follows or precedes it (1, 2), a copy, its reverse, one base, two copies or something else.
+ITDS = """SELECT *, CASE shape WHEN 1 THEN left(seq,h)||ins WHEN 2 THEN ins||substr(seq,h+1) ELSE left(seq,h)||ins||substr(seq,h+1) END AS ctg, CASE shape WHEN 2 THEN 1 ELSE h+1 END AS gap_s, CASE shape WHEN 2 THEN 0 ELSE h END+length(ins) AS gap_e,
+  CASE shape WHEN 2 THEN length(ins)+1 ELSE GREATEST(1,h-size+1) END AS b_s, CASE shape WHEN 2 THEN length(ins)+size ELSE h END AS b_e FROM (
+ SELECT *, CASE kind WHEN 0 THEN copy WHEN 1 THEN reverse(translate(copy,'ACGT','TGCA')) WHEN 2 THEN repeat('A',size) WHEN 3 THEN copy||copy ELSE translate(copy,'ACGT','CGTA') END AS ins FROM (
+ SELECT *, CASE WHEN shape=2 THEN substr(seq,h+1,size) ELSE substr(seq,GREATEST(1,h-size+1),LEAST(size,h)) END AS copy FROM (
+ SELECT seq_id AS contig, seq, CAST(floor(length(seq)/2) AS INT) AS h, CAST(4+seq_id%37 AS INT) AS size, CAST(seq_id%5 AS INT) AS kind, CAST(floor(seq_id/5)%4 AS INT) AS shape, seq_id%11<>0 AS gap FROM {0}) w) x) y"""
+ITD_BEST = """SELECT contig, contig AS target, CASE WHEN contig%2=0 THEN '+' ELSE '-' END AS strand, CASE shape WHEN 2 THEN CAST(length(ins)+1 AS INT) WHEN 3 THEN CAST(1+contig%7 AS INT) ELSE 1 END AS qstart, CASE shape WHEN 1 THEN h ELSE CAST(length(ctg) AS INT) END AS qend,
+ contig%29=0 AS perfect, CASE shape WHEN 0 THEN 1 ELSE 0 END AS n_gaps, h, CAST(h+length(ins)+1 AS INT) AS h2, shape FROM {0} WHERE contig%31<>0"""
+ITD_HITS = """SELECT contig, target, strand, qstart, qend, n_gaps, qend-qstart+1 AS match FROM {0} UNION ALL SELECT contig, target, CASE WHEN strand='+' THEN '-' ELSE '+' END, CAST(1+contig%6 AS INT), CAST(contig%400 AS INT), 0, CAST(contig%400 AS INT) FROM {0} WHERE contig%6=1 AND contig%400>10"""
+ITD_TARGETS = "SELECT contig AS target, CASE WHEN contig%13=0 THEN ctg WHEN contig%2=0 THEN seq ELSE reverse(translate(seq,'ACGT','TGCA')) END AS seq FROM {0}"
+_RUN = "coalesce(len(list_filter(range(1, CAST(length({0})-({2})+2 AS BIGINT)), lambda i: contains({1}, substr({0}, CAST(i AS INT), CAST({2} AS INT)))))>0, false)"
+_SKIP = "((NOT (part=lower(ins) AND b_e-b_s=gap_e-gap_s) AND (contains(s,back) OR coalesce(contains(t,back),false))) OR length(replace(part,left(part,1),''))=0)"
+
+
+def _itd_part(name: str, part: str, rest: str, beside: str, turned: str) -> str:
+    big = "(CASE WHEN floor(floor(length(part)/15)/3)=0 THEN true ELSE contains(rest,substr(part,CAST(floor(floor(length(part)/15)/3) AS INT)+1)) OR contains(rest,left(part,CAST(length(part)-floor(floor(length(part)/15)/3) AS INT))) END)"
+    least = "GREATEST(4,CAST(floor(CAST(LEAST(length(part),qend-qstart+1) AS DOUBLE)*0.8) AS BIGINT))"
+    return f"""{name} AS (SELECT contig, CASE WHEN length(part)<4 THEN NULL WHEN turned THEN 'turned' WHEN (length(part)>15 AND {big}) OR (NOT {_SKIP} AND {_RUN.format("part", "beside", least)}) THEN 'duplicated' END AS v
+     FROM (SELECT *, reverse(translate(part,'acgt','tgca')) AS back FROM (SELECT *, {part} AS part, {rest} AS rest, {beside} AS beside, coalesce({turned},false) AS turned FROM j WHERE qstart IS NOT NULL) p) q)"""
+
+
+@query(
+    "e16_itd_outcomes", "seqs",
+    f""", it AS MATERIALIZED ({ITDS.format("seqs")}), be AS ({ITD_BEST.format("it")}), hi AS ({ITD_HITS.format("be")}), tg AS ({ITD_TARGETS.format("it")}),
+    j AS MATERIALIZED (SELECT it.*, be.* EXCLUDE (contig, h, shape), lower(ctg) AS s, length(ctg) AS n, CASE WHEN strand='-' THEN reverse(translate(lower(tg.seq),'acgt','tgca')) ELSE lower(tg.seq) END AS t,
+     (SELECT max(qend) FROM hi WHERE hi.contig=it.contig AND hi.strand<>be.strand AND hi.n_gaps=0 AND hi.qstart<5) AS reach, (SELECT min(qstart) FROM hi WHERE hi.contig=it.contig AND hi.strand<>be.strand AND hi.n_gaps=0 AND length(it.ctg)-hi.qend<5) AS back_from
+     FROM it LEFT JOIN be ON be.contig=it.contig LEFT JOIN tg ON tg.target=be.target),
+    {_itd_part("va", "left(s,CAST(qstart-1 AS INT))", "substr(s,qstart)", "substr(s,qstart,CAST(qstart-1 AS INT))", "reach>=qstart")},
+    {_itd_part("vb", "substr(s,CAST(qend+1 AS INT))", "left(s,qend)", "substr(s,CAST(GREATEST(1,qend-(n-qend)+1) AS INT),CAST(LEAST(n-qend,qend) AS INT))", "back_from<=qend")},
+    vc AS (SELECT contig, CASE WHEN shape<>0 OR length(part)<4 THEN NULL WHEN coalesce(CASE WHEN h<50 THEN reach>=h2-1 WHEN n-h2+1<50 THEN back_from<=h END,false) THEN 'turned'
+     WHEN NOT {_SKIP} AND ({_RUN.format("part", "substr(s,CAST(GREATEST(1,h-length(part)+1) AS INT),CAST(LEAST(length(part),h) AS INT))", "4")} OR {_RUN.format("part", "substr(s,h2,CAST(length(part) AS INT))", "4")}) THEN 'duplicated' END AS v
+     FROM (SELECT *, reverse(translate(part,'acgt','tgca')) AS back FROM (SELECT *, lower(ins) AS part FROM j WHERE qstart IS NOT NULL) p) q),
+    lo AS (SELECT j.*, LEAST(gap_s,b_s) AS lo, GREATEST(gap_e,b_e) AS hi FROM j WHERE gap AND gap_s<>1 AND gap_e<>n),
+    ex AS (SELECT *, substr(s,CAST(lo AS INT),CAST(hi-lo+1 AS INT)) AS whole, substr(s,CAST(b_s AS INT),CAST(b_e-b_s+1 AS INT)) AS unit FROM lo),
+    kn AS (SELECT DISTINCT contig FROM (SELECT *, whole||repeat(unit, CASE WHEN length(unit)=0 THEN 0 ELSE coalesce(list_max(list_filter(range(0, CAST(1+GREATEST(0,floor((length(s)-length(whole))/length(unit))) AS BIGINT)), lambda k: contains(s, whole||repeat(unit,CAST(k AS INT))))),0) END) AS f FROM ex) e
+     WHERE EXISTS (SELECT 1 FROM hi h2 JOIN tg ON tg.target=h2.target WHERE h2.contig=e.contig AND h2.qstart<=e.lo AND h2.qend>=e.hi AND h2.match>=75 AND (contains(lower(tg.seq),f) OR contains(lower(tg.seq),reverse(translate(f,'acgt','tgca'))))))
+    SELECT j.contig, CASE WHEN qstart IS NULL OR s IS NULL THEN 'unaligned' WHEN j.contig IN (SELECT contig FROM kn) THEN 'known' WHEN perfect THEN 'perfect' WHEN gap AND gap_s<>1 AND gap_e<>n AND n_gaps=0 AND qstart<=gap_s AND qend>=gap_e THEN 'ungapped'
+     ELSE coalesce(va.v, vb.v, vc.v, CASE WHEN gap THEN 'unrepeated' ELSE 'split' END) END AS outcome FROM j LEFT JOIN va USING (contig) LEFT JOIN vb USING (contig) LEFT JOIN vc USING (contig)""",
+)
+def _(spark, d):
+    s = fixtures.view(spark, d, fixtures.SEQS)
+    # Read several times below, and made of nested texts.
+    x = cut(spark.sql(ITDS.format("{s}"), s=s))
+    b = spark.sql(ITD_BEST.format("{x}"), x=x)
+    hits, targets = spark.sql(ITD_HITS.format("{b}"), b=b), spark.sql(ITD_TARGETS.format("{x}"), x=x)
+    b = b.withColumn("blocks", F.expr("CASE WHEN shape = 0 THEN array(named_struct('s', qstart, 'e', h), named_struct('s', h2, 'e', qend)) ELSE array(named_struct('s', qstart, 'e', qend)) END"))
+    events = x.selectExpr("contig", "gap", "gap_s", "gap_e", "b_s AS dup_s", "b_e AS dup_e", "b_s", "b_e", "ins AS event_seq")
+    return E.itd_outcomes(events, b, hits, x.selectExpr("contig", "ctg AS seq"), targets, read_length=75).select("contig", "outcome")
+
+
 @query("e17_full_dup_alignments", "split", "SELECT s.contig, no1, no2, a.aln_no AS transcript FROM split s JOIN aln a ON a.query=s.contig AND a.qstart<=LEAST(qs1+20,qe2-30) AND a.qend>=GREATEST(qs1+25,qe2-20)")
 def _(spark, d):
     s = split(spark, d).selectExpr("contig", "no1", "no2", "qs1+20 AS gap_s", "qs1+25 AS gap_e", "qe2-30 AS dup_s", "qe2-20 AS dup_e")

@@ -205,3 +205,63 @@ def test_poly_a_tails_and_repeated_rests_are_no_fusions(spark):
     best = spark.createDataFrame([("good", 5, False)], "query string, matches long, perfect boolean")
     seqs = spark.createDataFrame([(k, v) for k, v in rows.items() if v], "contig string, seq string")
     assert {r.contig for r in E.recheck_fusion(d, best, sequences=seqs).collect()} == {"good", "none"}
+
+
+def test_fusions_whose_sides_or_rests_are_in_transcripts_are_false(spark):
+    side, other = "ACGGTCATTGCAGGCTTACC", "GTTGACCGATAGCATTCGGA"
+    names = ["good", "shared", "rest", "turned", "lone"]
+    d = spark.createDataFrame([(k, 1, 2, 40, 1, 20, 21, 40, 0) for k in names], "contig string, no1 int, no2 int, ctg_len long, qs1 long, qe1 long, qs2 long, qe2 long, part long")
+    best = spark.createDataFrame([("good", 5, False)], "query string, matches long, perfect boolean")
+    seqs = spark.createDataFrame([(k, side + other) for k in names], "contig string, seq string")
+    back = other[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = {"t1": side + "TT", "t2": "CC" + other, "t3": "AA" + side + "CC" + other[1:], "t4": "AA" + back[1:] + side, "t5": side}
+    hits = [("good", "t1", 1, 20, 20), ("good", "t2", 21, 40, 20), ("good", "t5", 1, 10, 9), ("shared", "t5", 1, 20, 20), ("shared", "t5", 21, 38, 18), ("rest", "t3", 1, 20, 20), ("turned", "t4", 1, 20, 20)]
+    hits = spark.createDataFrame(hits, "contig string, target string, qstart long, qend long, match long")
+    targets = spark.createDataFrame(list(texts.items()), "target string, seq string")
+    assert {r.contig for r in E.recheck_fusion(d, best, 1.5, seqs, hits).collect()} == {"good", "rest", "turned", "lone"}
+    assert {r.contig for r in E.recheck_fusion(d, best, 1.5, seqs, hits, targets).collect()} == {"good", "lone"}
+    assert E.recheck_fusion(d.limit(0), best, 1.5, seqs, hits, targets).columns == d.columns
+    assert {r.contig for r in E.recheck_fusion(d, best, 1.5, seqs, hits.limit(0), targets.limit(0)).collect()} == set(names)
+
+
+def test_duplications_after_the_contig_met_its_transcript(spark):
+    a, b, dup = "ACGGTCATTGCAGGCTTACCGATTACAGGCATCC", "GTTGACCTATAGAATTCGCATGGTAACTCTGAGT", "GGCATCC"
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    inner = lambda ins, more=0: (a + ins + b, True, 35, 34 + len(ins), 28, 34, ins, ((1, 34), (35 + len(ins), 68 + len(ins))))
+    rows = {
+        "dup": inner(dup), "none": inner("TCTTAGA"), "one": inner("TTTTTTT"), "back": inner(turn("GACCTATAG")), "known": inner(dup),
+        "thrice": (a + dup + dup + b, True, 35, 41, 28, 34, dup, ((1, 34), (49, 82))), "solid": (a + dup + b, True, 35, 41, 28, 34, dup, ((1, 75),)),
+        "after": (a + dup, True, 35, 41, 28, 34, dup, ((1, 34),)), "before": (b[:7] + b, True, 1, 7, 8, 14, b[:7], ((8, 41),)),
+        "unlike": (a + "TCTTAGA", True, 35, 41, 28, 34, "x", ((1, 34),)), "split": (a + "TCTTAGA", False, None, None, 28, 34, None, ((1, 34),)),
+        "turned": (a + dup, True, 35, 41, 28, 34, dup, ((1, 34),)), "perfect": inner(dup), "no": inner(dup), "big": (a + "TCTTAGAGCAATCGTCCA", True, 35, 52, 28, 34, "x", ((1, 34),)),
+        "short": (a + "TC", True, 35, 36, 33, 34, "TC", ((1, 34),)),
+    }
+    itds = spark.createDataFrame([(k, v[1], v[2], v[3], v[4], v[5], v[4], v[5], v[6]) for k, v in rows.items()], "contig string, gap boolean, gap_s long, gap_e long, dup_s long, dup_e long, b_s long, b_e long, event_seq string")
+    best = [(k, f"t_{k}", "+", v[7][0][0], v[7][-1][1], k == "perfect", len(v[7]) - 1, list(v[7])) for k, v in rows.items() if k != "no"]
+    best = spark.createDataFrame(best, "contig string, target string, strand string, qstart long, qend long, perfect boolean, n_gaps int, blocks array<struct<s: long, e: long>>")
+    hits = [(k, f"u_{k}", "+", 1, 90, 1, 60) for k in ("known", "thrice", "dup")] + [("turned", "t_turned", "-", 30, 41, 0, 12), ("after", "t_other", "-", 30, 41, 0, 12), ("before", "t_before", "+", 1, 12, 0, 12)]
+    hits = spark.createDataFrame(hits, "contig string, target string, strand string, qstart long, qend long, n_gaps int, match long")
+    seqs = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "contig string, seq string")
+    texts = [(f"t_{k}", a + b) for k in rows] + [("u_known", turn(a + dup + b)), ("u_thrice", a + dup + b), ("u_dup", a + b)]
+    targets = spark.createDataFrame(texts, "target string, seq string")
+    found = lambda **how: {r.contig: r.outcome for r in E.itd_outcomes(itds, best, hits, seqs, targets, **how).collect()}
+    want = dict.fromkeys(["dup", "thrice", "after", "before", "big"], "duplicated") | dict.fromkeys(["none", "one", "back", "unlike", "short"], "unrepeated")
+    want |= {"known": "known", "solid": "ungapped", "split": "split", "turned": "turned", "perfect": "perfect", "no": "unaligned"}
+    assert found() == want
+    assert found(whole_big=True)["big"] == "unrepeated" and found(read_length=61)["known"] == "duplicated"
+    good = E.itd_outcomes(itds, best, hits, seqs, targets).where("good").select("contig").collect()
+    assert {r.contig for r in good} == {k for k, v in want.items() if v in ("duplicated", "split", "unaligned")}
+    assert E.itd_outcomes(itds.limit(0), best, hits, seqs, targets).count() == 0
+
+
+def test_a_common_run_is_found_as_by_looking_at_all(spark):
+    from junctura.functions.scalars import most_copies, shares_run
+
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("ACG") for _ in range(n))
+    rows = [(text(draw.randrange(0, 30)), text(draw.randrange(0, 30)), draw.randrange(1, 9)) for _ in range(400)]
+    d = spark.createDataFrame(rows, "a string, b string, n int").withColumn("got", shares_run("a", "b", "n"))
+    got = [r.got for r in d.collect()]
+    assert got == [any(a[i : i + n] in b for i in range(len(a) - n + 1)) for a, b, n in rows] and 50 < sum(got) < 350
+    d = spark.createDataFrame([("xxabababab", "xab", "ab"), ("aab", "b", ""), ("ababcabab", "ab", "ab"), ("ab", "ab", "ab")], "t string, s string, u string")
+    assert [r.k for r in d.select(most_copies("t", "s", "u").alias("k")).collect()] == [3, 0, 1, 0]
