@@ -5,14 +5,16 @@ card numbers and bank accounts (by their check digits), IPv4 and IPv6 addresses,
 US social security numbers, credentials and persons' names. Names are found by a
 title, by a common given name, or by their form (capitalised words) where a verb
 of speech or meeting, a salutation or a signature is beside them; whoever is
-found so once is found by form alone in every other text.
+found so once is found by form alone in every other text. Articles, words that begin
+sentences and words of places and organisations (``NEVER``) are in no name. A given or
+family name alone is found after a title only, and scripts other than Latin and Cyrillic not at all.
 
 Each distinct entity of the whole table gets one surrogate, drawn from SHA-512 of
 a secret key, its kind and its normal form, so an entity has the same surrogate
 wherever and however it is written, and without the key nothing leads back. A
 surrogate has the form of what it replaces: digits for digits, letters for
-letters of the same case, separators, country prefix and code, card brand, check
-digits, private address ranges and top-level domain; names keep title, script
+letters of the same case, separators, country code of phone numbers (of those without one the
+first digit), card brand, check digits, private address ranges and top-level domain; names keep title, script
 and gender (of common given names as listed, of others by their ending). The
 parts of an entity that others share are entities of their own: domains of
 addresses, given and family names.
@@ -54,8 +56,14 @@ KEY = "spark.junctura.pii.key"
 
 # Given names by script and gender, titles, words beside names, and syllables of made-up names.
 GIVEN = {
-    ("latin", "f"): "Mary Patricia Jennifer Elizabeth Barbara Margaret Dorothy Charlotte Victoria Katherine Sophie Isabella Francesca Lucía Carmen Guadalupe Françoise Geneviève Brigitte Ursula Heidemarie Gretchen".split(),
-    ("latin", "m"): "James Robert Michael William David Richard Joseph Christopher Matthew Benjamin Nicholas Alexander Frederick José Francisco Alejandro François Jacques Wolfgang Jürgen Günther Friedrich".split(),
+    ("latin", "f"): (
+        "Mary Patricia Jennifer Elizabeth Barbara Margaret Dorothy Charlotte Victoria Katherine Sophie Isabella Francesca Lucía Carmen Guadalupe Françoise Geneviève Brigitte Ursula Heidemarie Gretchen "
+        "Emma Olivia Anna Maria Ana Laura Sarah Julia Linda Susan Karen Nancy Lisa Helen Emily Amanda Michelle Rebecca Rachel Hannah Alice Clara Marta Elena Isabel Teresa Marie Claire Camille Fatima Mei Yuki"
+    ).split(),
+    ("latin", "m"): (
+        "James Robert Michael William David Richard Joseph Christopher Matthew Benjamin Nicholas Alexander Frederick José Francisco Alejandro François Jacques Wolfgang Jürgen Günther Friedrich "
+        "John Thomas Charles Daniel Paul Andrew Peter George Kevin Brian Edward Henry Samuel Luis Carlos Juan Pedro Miguel Antonio Pierre Jean Hans Klaus Stefan Andreas Lukas Ahmed Mohammed Omar Wei Li Hiroshi"
+    ).split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Екатерина Светлана Юлия".split(),
     ("cyrillic", "m"): "Александр Дмитрий Сергей Андрей Алексей Владимир Михаил Николай Иван Павел".split(),
 }
@@ -64,6 +72,15 @@ BEFORE = "met told asked thanked called named interviewed conoció llamó traf f
 AFTER = "said says asked told wrote replied added explained met dijo preguntó escribió sagte fragte schrieb traf dit demanda écrivit сказал сказала спросил спросила написал написала встретил встретила".split()
 AND = "and und y et и".split()
 GREETING = "Dear Hello Hi Sincerely, Regards, Signed, Author: Name: Contact: From: Liebe Lieber Querida Querido Cher Chère".split()
+# Words that no name has: articles and what begins a sentence, and words of places and organisations.
+NEVER = (
+    "The A An This That These Those When Then Later After Before But And Or If In On At Yesterday Today Der Die Das Den Dem Ein Eine Und Aber Wenn Im Am El La Los Las Un Una Pero Cuando Le Les Une Et Mais Quand "
+    "New North South East West Saint House Street Avenue Road City Bank Banco Central University College School Hospital Museum Park River Lake Mountain Island Company Corporation Inc Ltd Group Press Times "
+    "Microsoft Windows Google Apple Amazon Linux License Public General Union States Kingdom Republic Ministry Court Bundesbank Deutsche Deutscher Banque Universidad Universität Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "January February March April June July August September October November December"
+).split()
+# Country codes of two digits; 1 and 7 stand alone and all others have three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 SYLLABLES = {"latin": "bar den kel mor tal ven wick lan ros hart gil fen sto bel cor dun".split(), "cyrillic": "бар ден кел мор тал вен лан рос гил фен сто бел кор дун зар пол".split()}
 
 _OCTET, _HEX = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)", "[0-9A-Fa-f]{1,4}"
@@ -78,7 +95,9 @@ def _any_of(words: list[str]) -> str:
 
 
 _NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]?\p{Lu}\p{Ll}+)*+(?!\p{L})"
-_PERSON = rf"{_NAME}(?: {_NAME}){{1,2}}"
+_NOT = rf"(?!{_any_of(NEVER)}(?!\p{{L}}))"
+_WORD = _NOT + _NAME
+_PERSON = rf"{_WORD}(?: {_WORD}){{1,2}}"
 _COMPANY = rf"{_PERSON}(?: {_any_of(AND)} {_PERSON})?"
 _TITLE, _GIVEN = _any_of(TITLES) + r"\.? ", _any_of([x for names in GIVEN.values() for x in names])
 #: What an entity can start with, and the kinds that start so: elsewhere one look at a character is all it costs.
@@ -98,11 +117,11 @@ PATTERNS = {
     r"[A-ZÀ-ÖØ-ÞА-Я]": [
         r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        rf"(?<!\p{{L}})(?:{_TITLE})?{_GIVEN}(?: {_NAME}){{1,2}}",
-        rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_NAME}){{0,2}}",
+        rf"(?<!\p{{L}})(?:{_TITLE})?{_GIVEN}(?: {_WORD}){{1,2}}",
+        rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_WORD}){{0,2}}",
         rf"(?<!\p{{L}}){_any_of(GREETING)} {_COMPANY}",
         rf"(?<!\p{{L}}){_COMPANY} {_any_of(AFTER)}(?!\p{{L}})(?: {_COMPANY})?",
-        rf"(?<!\p{{L}}){_NAME} {_NAME}",
+        rf"(?<!\p{{L}}){_WORD} {_WORD}",
     ],
     "[" + "".join(sorted({w[0] for w in BEFORE})) + "]": [rf"(?<!\p{{L}}){_any_of(BEFORE)} {_COMPANY}"],
     "[pPtTsSaA]": [r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z+/_.\-]*\d)[A-Za-z0-9+/_.\-]{8,}"],
@@ -156,7 +175,8 @@ def _turned_account(s: Column) -> Column:
 def _normal(kind: Column, s: Column) -> Column:
     digits, packed = F.regexp_replace(s, r"\D", ""), F.regexp_replace(s, " ", "")
     return (
-        F.when(kind.isin("phone", "ssn"), digits)
+        F.when(kind == "phone", F.concat(F.when(s.startswith("+"), "+").otherwise(""), digits))
+        .when(kind == "ssn", digits)
         .when(kind == "card", F.when(_luhn(digits) % 10 == 0, digits))
         .when(kind == "iban", F.when(_mod97(_turned_account(packed)) == 1, packed))
         .when(kind == "ipv6", F.when(s.rlike(r"\d") & (F.length(s) > 6), F.lower(s)))
@@ -204,6 +224,21 @@ def _digits(s: Column, h: Column, low: dict[int, tuple[int, int]], kept: int) ->
     return F.array_join(F.transform(_chars(s), one), "")
 
 
+def _kept(phone: Column) -> Column:
+    """How many characters of a phone number stay: plus sign and country code, else the first digit."""
+    code = F.when(F.substring(phone, 2, 1).isin("1", "7"), 2).when(F.substring(phone, 2, 2).isin(*TWO_DIGITS), 3).otherwise(4)
+    return F.when(phone.startswith("+"), code).otherwise(1)
+
+
+def _phone(norm: Column, h: Column) -> Column:
+    kept = _kept(norm)
+
+    def one(c: Column, i: Column) -> Column:
+        return F.when(i < kept, c).when(i == kept, (_draw(h, i, 8) + 2).cast("string")).otherwise(_draw(h, i, 10).cast("string"))
+
+    return F.array_join(F.transform(_chars(norm), one), "")
+
+
 def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     h = _hash(key, kind, norm, attempt.cast("string"))
     more = F.when(attempt >= LONGER, F.array_join(F.transform(F.sequence(F.lit(LONGER), attempt), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _draw(h, i + 40, 26) + 1, F.lit(1))), "")).otherwise("")
@@ -233,7 +268,7 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "domain", domain)
-        .when(kind == "phone", _digits(norm, h, {1: (2, 8)}, 1))
+        .when(kind == "phone", _phone(norm, h))
         .when(kind == "card", F.concat(card, check.cast("string")))
         .when(kind == "iban", iban)
         .when(kind == "ssn", _digits(norm, h, {0: (1, 5), 3: (1, 9), 5: (1, 9)}, 0))
@@ -249,7 +284,7 @@ def _form(kind: Column, norm: Column) -> Column:
     """What numbers have in common with their surrogates."""
     range_ = F.regexp_extract(norm, r"^(10|127|192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\.", 1)
     shape = F.translate(norm, "0123456789abcdefABCDEF", "0" * 10 + "a" * 6 + "A" * 6)
-    return F.when(kind == "ip", range_).when(kind.isin("phone", "card"), F.concat(F.substring(norm, 1, 1), F.length(norm).cast("string"))).when(kind == "iban", F.concat(F.substring(norm, 1, 2), shape)).otherwise(shape)
+    return F.when(kind == "ip", range_).when(kind == "phone", F.concat(F.substring(norm, F.lit(1), _kept(norm)), F.lit(" "), F.length(norm).cast("string"))).when(kind == "card", F.concat(F.substring(norm, 1, 1), F.length(norm).cast("string"))).when(kind == "iban", F.concat(F.substring(norm, 1, 2), shape)).otherwise(shape)
 
 
 def _given(key: str) -> Column:
@@ -264,18 +299,21 @@ def _given(key: str) -> Column:
 def _written(kind: Column, s: Column, new: Column) -> Column:
     """The surrogate in the way that the entity was written."""
 
-    def nth(c: Column, i: Column, out: str, of: str) -> Column:
+    def nth(c: Column, i: Column, out: str, of: str, skip: Column | int = 0) -> Column:
         """The character of ``new`` that stands for the i-th of ``s``, not counting what ``of`` leaves out."""
-        n = F.length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), of, ""))
+        n = F.length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), of, "")) + skip
         return F.when(c.rlike(out), F.substring(new, n, F.lit(1))).otherwise(c)
 
+    signed = F.when(new.startswith("+"), 1).otherwise(0)
+    numbered = F.array_join(F.transform(_chars(s), lambda c, i: nth(c, i, "[0-9]", r"\D", signed)), "")
+
     cased = F.transform(_chars(new), lambda c, i: F.when(F.substring(s, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c))
     local = F.transform(_chars(F.substring_index(new, "@", 1)), lambda c, i: F.when(F.substring(s, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c))
     family = F.when(F.lower(s).rlike(FAMILY), F.concat(F.initcap(new), F.lit("а"))).otherwise(F.initcap(new))
     return (
         F.when(kind == "email", F.concat(F.array_join(local, ""), F.lit("@")))
         .when(kind.isin("domain", "ipv6"), F.array_join(cased, ""))
-        .when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(_chars(s), lambda c, i: nth(c, i, "[0-9]", r"\D")), ""))
+        .when(kind.isin("phone", "card", "ssn"), numbered)
         .when(kind == "iban", F.array_join(F.transform(_chars(s), lambda c, i: nth(c, i, "[^ ]", " ")), ""))
         .when(kind == "secret", F.concat(F.regexp_replace(s, VALUE, ""), new))
         .when(kind == "given", F.initcap(new))

@@ -79,6 +79,33 @@ def test_names_are_found_by_what_is_beside_them(spark):
     assert f"Mrs. {tanaka} stayed" in two and out[3].n == 0 and out[3].text == rows[2][1]
 
 
+def test_places_and_organisations_are_no_persons(spark):
+    texts = [
+        "The White House said that New York met Wall Street.", "Microsoft Windows said no. Die Deutsche Bank sagte es.", "El Banco Central dijo que no.",
+        "Later Brown said no, and The General met Public Radio.", "In March July said so.",
+    ]
+    out = {r.doc_id: r for r in pii.replaced(docs(spark, list(enumerate(texts))), "k", count="n").collect()}
+    assert [out[i].text for i in range(len(texts))] == texts and not any(r.n for r in out.values())
+
+
+def test_listed_names_in_a_row_are_all_found(spark):
+    text = "Write to John Smith, Wei Zhang or Li Na. When Emma Brown said so, Later Juan Ortega left The John Smith Museum."
+    out = pii.replaced(docs(spark, [(1, text)]), "k").first().text
+    for gone in ("John", "Smith", "Zhang", "Li Na", "Emma", "Brown", "Juan", "Ortega"):
+        assert gone not in out
+    a, b = re.match(r"Write to (\S+) (\S+), \S+ \S+ or \S+ \S+\. When ", out).groups()
+    assert out.endswith(f" left The {a} {b} Museum.") and ", Later " in out
+
+
+def test_country_codes_stay(spark):
+    text = "+44 20 7946 0958; +33 1 42 68 53 00; +7 495 123 45 67; +353 1 234 5678; +1 212 555 0142; (020) 7946 0958; 020 7946 0958."
+    out = pii.replaced(docs(spark, [(1, text)]), "k").first().text
+    parts, was = out[:-1].split("; "), text[:-1].split("; ")
+    assert [re.sub(r"\d", "0", p) for p in parts] == [re.sub(r"\d", "0", p) for p in was] and not set(parts) & set(was)
+    assert [p.split(" ")[0] for p in parts[:5]] == ["+44", "+33", "+7", "+353", "+1"]
+    assert parts[5].startswith("(0") and re.sub(r"\D", "", parts[5]) == re.sub(r"\D", "", parts[6])
+
+
 def test_accounts_addresses_and_national_numbers(spark):
     text = "IBAN GB82 WEST 1234 5698 7654 32, bad GB82 WEST 1234 5698 7654 33; host 2001:db8::8a2e:370:7334 at 12:30:45; call 020 7946 0958 or (020) 7946 0958."
     out = pii.replaced(docs(spark, [(1, text)]), "k").first().text
