@@ -66,10 +66,14 @@ def nearby_genes(aln: DataFrame, features: DataFrame, key: list[str], buffer: in
     return per.withColumn("__best", F.min("distance").over(Window.partitionBy(*key))).where(F.col("distance") < F.col("__best") + buffer).drop("__best")
 
 
-def exon_edges(features: DataFrame) -> DataFrame:
-    """chrom, edge, side (left, right) of exons, but for the outer edges of each gene."""
+def exon_edges(features: DataFrame, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """chrom, edge, side (left, right) of exons, but for the outer edges of each gene.
+
+    With ``by`` of a transcript's columns the outer edges of each transcript are left out, so an
+    end of a short transcript counts where it is within an exon chain of a longer one.
+    """
     x = features.where("feature = 'exon'")
-    w = Window.partitionBy("gene", "chrom")
+    w = Window.partitionBy(*by, "chrom")
     x = x.withColumn("__lo", F.min("fs").over(w)).withColumn("__hi", F.max("fe").over(w))
     left = x.where("fs > __lo").select("chrom", F.col("fs").alias("edge"), F.lit("left").alias("side"))
     right = x.where("fe < __hi").select("chrom", F.col("fe").alias("edge"), F.lit("right").alias("side"))

@@ -32,6 +32,16 @@ def gene_sets_overlap(sides: DataFrame) -> DataFrame:
     return sides.withColumn("shared", F.arrays_overlap(both("a"), both("b")))
 
 
+def preferred_genes(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each member's region the genes of the least ``source`` that has any: 0 at the breakpoint, 1 of the region, 2 nearby.
+
+    Genes nearby overlap nothing, so an intron among them is no lesser part: their feature is nearby.
+    """
+    least = F.min("source").over(Window.partitionBy(*keys, "region"))
+    kept = found.withColumn("__least", least).where(F.col("source") == F.col("__least"))
+    return kept.withColumn("feature", F.when(F.col("source") == 2, "nearby").otherwise(F.col("feature"))).drop("__least", "source").distinct()
+
+
 def orientation(member_gene: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
     """Per member and region +, -, * (genes disagree) or ? (none) of its genes' directions relative to the alignment's ``strand``.
 

@@ -104,6 +104,16 @@ def _(spark, d):
     return I.boundary_match(points(spark, d), N.exon_edges(feat(spark, d))).select("contig", "no1", "no2", "region").distinct()
 
 
+@query(
+    "j06_transcript_boundary", "split feat",
+    POINTS + """, x AS (SELECT *, min(fstart) OVER w AS lo, max(fend) OVER w AS hi FROM feat WHERE feature='exon' WINDOW w AS (PARTITION BY gene, feat_id%3, chrom))
+    SELECT DISTINCT contig, no1, no2, region FROM pts p WHERE EXISTS (SELECT 1 FROM x WHERE x.chrom=p.chrom AND ((p.side='left' AND fstart>lo AND abs(fstart-p.coord)<=4) OR (p.side='right' AND fend<hi AND abs(fend-p.coord)<=4)))""",
+)
+def _(spark, d):
+    f = feat(spark, d).withColumn("transcript", F.expr("feat_id%3"))
+    return I.boundary_match(points(spark, d), N.exon_edges(f, ("gene", "transcript"))).select("contig", "no1", "no2", "region").distinct()
+
+
 MGENE = """, mg AS (SELECT DISTINCT p.contig, p.no1, p.no2, p.region, f.gene, f.feature FROM pts p JOIN feat f ON f.chrom=p.chrom AND f.fstart<=p.coord+60 AND f.fend>=p.coord-60) """
 MKEY = ["contig", "no1", "no2", "region"]
 

@@ -15,7 +15,7 @@ from ..operators import recurrence as R
 from ..operators.grouping import group_events
 from . import fixtures
 from .queries_candidates import BP_SQL, aln, junctions, split
-from .queries_events import MATCHED, MGENE, MKEY, OURS, POINTS, feat, member_gene, ours, theirs
+from .queries_events import MATCHED, MGENE, MKEY, OURS, POINTS, feat, member_gene, ours, points, theirs
 from .registry import query
 from .session import cut
 
@@ -207,6 +207,31 @@ def _(spark, d):
     return fusions(spark, d).select(*PKEY, "end_a", "end_b")
 
 
+#: Genes of a breakpoint by how far they are: at it, of its region, nearby.
+FOUND = "CASE WHEN fstart<=coord+5 AND fend>=coord-5 THEN 0 WHEN fstart<=coord+60 AND fend>=coord-60 THEN 1 ELSE 2 END"
+
+
+@query(
+    "e06_preferred_ends", "split feat",
+    POINTS + f""", fo AS (SELECT DISTINCT p.contig, p.no1, p.no2, p.region, f.gene, f.feature, {FOUND} AS source FROM pts p JOIN feat f ON f.chrom=p.chrom AND f.fstart<=p.coord+300 AND f.fend>=p.coord-300),
+     pr AS (SELECT contig, no1, no2, region, gene, CASE source WHEN 2 THEN 'nearby' ELSE feature END AS feature FROM (SELECT *, min(source) OVER (PARTITION BY contig,no1,no2,region) AS least FROM fo) x WHERE source=least),
+     gd AS (SELECT gene, CASE WHEN min(strand)=max(strand) THEN min(strand) ELSE '*' END AS direction FROM feat GROUP BY gene),
+     orr AS (SELECT m.contig, m.no1, m.no2, m.region, list(DISTINCT CASE WHEN direction='*' THEN '*' WHEN direction=(CASE WHEN m.region='A' THEN s.strand1 ELSE s.strand2 END) THEN '+' ELSE '-' END) AS o
+      FROM (SELECT * FROM (SELECT *, bool_or(feature<>'intron') OVER (PARTITION BY contig,no1,no2,region) AS ex FROM pr) y WHERE NOT ex OR feature<>'intron') m JOIN gd USING (gene) JOIN split s ON s.contig=m.contig AND s.no1=m.no1 AND s.no2=m.no2 GROUP BY ALL),
+     orn AS (SELECT contig, no1, no2, max(CASE WHEN region='A' THEN CASE WHEN len(o)=1 THEN o[1] ELSE '*' END END) AS a, max(CASE WHEN region='B' THEN CASE WHEN len(o)=1 THEN o[1] ELSE '*' END END) AS b FROM orr GROUP BY ALL)
+     SELECT contig, no1, no2, CASE WHEN a IN ('+','*') AND b IN ('+','*') THEN '5' WHEN a IN ('-','*') AND b IN ('-','*') THEN '3' WHEN a='+' THEN '5' ELSE '3' END AS end_a,
+      CASE WHEN a IN ('+','*') AND b IN ('+','*') THEN '3' WHEN a IN ('-','*') AND b IN ('-','*') THEN '5' WHEN a='+' THEN '5' ELSE '3' END AS end_b FROM orn WHERE a IS NOT NULL AND b IS NOT NULL""",
+)
+def _(spark, d):
+    s = split(spark, d)
+    around = points(spark, d).withColumn("s", F.col("coord") - 300).withColumn("e", F.col("coord") + 300)
+    found = I.overlap_join(around, feat(spark, d)).selectExpr(*MKEY, "gene", "feature", FOUND.replace("fstart", "fs").replace("fend", "fe") + " AS source").distinct()
+    strands = s.select(*PKEY, F.explode(F.array(F.struct(F.lit("A").alias("region"), F.col("strand1").alias("strand")), F.struct(F.lit("B").alias("region"), F.col("strand2").alias("strand")))).alias("x")).select(*PKEY, "x.*")
+    directions = N.gene_directions(feat(spark, d).withColumnRenamed("fstrand", "strand"))
+    o = E.orientation(E.preferred_genes(found, PKEY).join(strands, MKEY), directions, PKEY)
+    return E.fusion_ends(o).where("orient_a <> '?' AND orient_b <> '?'").select(*PKEY, "end_a", "end_b")
+
+
 ROUTE = """, tr AS (SELECT *, contig*10000+no1*100+no2 AS o, CAST(floor(contig/5.0) AS BIGINT) AS group_id, CASE WHEN topology IN ('read-through','intrachr-same-strand') AND target_distance<50000 THEN 'read_through'
   WHEN topology='interchr' AND len(list_intersect(genes_a,genes_b))>0 THEN 'duplicate_gene' END AS special FROM fu) """
 

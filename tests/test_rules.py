@@ -265,3 +265,20 @@ def test_a_common_run_is_found_as_by_looking_at_all(spark):
     assert got == [any(a[i : i + n] in b for i in range(len(a) - n + 1)) for a, b, n in rows] and 50 < sum(got) < 350
     d = spark.createDataFrame([("xxabababab", "xab", "ab"), ("aab", "b", ""), ("ababcabab", "ab", "ab"), ("ab", "ab", "ab")], "t string, s string, u string")
     assert [r.k for r in d.select(most_copies("t", "s", "u").alias("k")).collect()] == [3, 0, 1, 0]
+
+
+def test_outer_edges_are_of_transcripts(spark):
+    from junctura.operators import annotate as N
+
+    rows = [("g", "long", 100, 200), ("g", "long", 300, 400), ("g", "long", 500, 600), ("g", "short", 320, 400), ("g", "short", 500, 580)]
+    f = spark.createDataFrame([("1", g, t, "exon", s, e) for g, t, s, e in rows] + [("1", "g", "short", "intron", 401, 499)], "chrom string, gene string, transcript string, feature string, fs long, fe long")
+    edges = lambda *by: {(r.edge, r.side) for r in N.exon_edges(f, *by).collect()}
+    inner = {(300, "left"), (500, "left"), (200, "right"), (400, "right")}
+    assert edges(("gene", "transcript")) == inner and edges() == inner | {(320, "left"), (580, "right")}
+
+
+def test_genes_at_the_breakpoint_come_first(spark):
+    rows = [("a", "A", "g", "intron", 0), ("a", "A", "h", "exon", 1), ("a", "B", "k", "intron", 2), ("a", "B", "k", "exon", 2), ("b", "A", "h", "utr", 1), ("b", "A", "n", "exon", 2)]
+    d = spark.createDataFrame(rows, "contig string, region string, gene string, feature string, source int")
+    got = sorted(tuple(r) for r in E.preferred_genes(d, ["contig"]).collect())
+    assert got == [("a", "A", "g", "intron"), ("a", "B", "k", "nearby"), ("b", "A", "h", "utr")]
