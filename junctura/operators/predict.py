@@ -308,7 +308,9 @@ def itd_outcomes(
     ends = turned.join(lengths, "contig").groupBy("contig").agg(
         F.max(F.when(c("qstart") < near, c("qend"))).alias("__reach"), F.min(F.when(c("__n") - c("qend") < near, c("qstart"))).alias("__from")
     )
-    x = x.join(b.join(ends, "contig", "left"), "contig", "left").join(bases.withColumnRenamed("target", "__target"), "__target", "left").join(known, keys, "left")
+    # What is known meets the events before they carry sequences; these move once to their contig and once to their transcript.
+    x = itds.join(known, keys, "left").join(seqs, "contig", "left").withColumn("__n", F.length("__seq"))
+    x = x.join(b.join(ends, "contig", "left"), "contig", "left").join(bases.withColumnRenamed("target", "__target"), "__target", "left")
     x = x.withColumn("__t", F.when(c("__strand") == "-", reverse_complement("__t")).otherwise(c("__t")))
 
     # Parts to look at, in order: outer ones have the rest of the contig, inner ones both neighbours.

@@ -17,7 +17,7 @@ from . import fixtures
 from .queries_candidates import BP_SQL, aln, junctions, split
 from .queries_events import MATCHED, MGENE, MKEY, OURS, POINTS, feat, member_gene, ours, points, theirs
 from .registry import query
-from .session import cut
+from .session import cut, stored
 
 #: Member columns over split candidates, for both engines.
 MEMBER = """CAST(floor(contig/5.0) AS BIGINT) AS group_id, contig, ctg_len, no1, no2, topology, ctg_overlap, strand1, strand2, qs1, qs2, contig%13 AS strong,
@@ -402,7 +402,7 @@ def _itd_part(name: str, part: str, rest: str, beside: str, turned: str) -> str:
 def _(spark, d):
     s = fixtures.view(spark, d, fixtures.SEQS)
     # Read several times below, and made of nested texts.
-    x = cut(spark.sql(ITDS.format("{s}"), s=s))
+    x = stored(spark.sql(ITDS.format("{s}"), s=s), "itds")
     b = spark.sql(ITD_BEST.format("{x}"), x=x)
     hits, targets = spark.sql(ITD_HITS.format("{b}"), b=b), spark.sql(ITD_TARGETS.format("{x}"), x=x)
     b = b.withColumn("blocks", F.expr("CASE WHEN shape = 0 THEN array(named_struct('s', qstart, 'e', h), named_struct('s', h2, 'e', qend)) ELSE array(named_struct('s', qstart, 'e', qend)) END"))
