@@ -25,3 +25,14 @@ def test_ranges_are_few_rows_at_any_width_and_not_broadcast_by_file_size(spark):
         assert "BroadcastHashJoin" not in plan(hits)
         want = sorted((i, j) for (i, c, s, e), (j, d, fs, fe) in itertools.product(rows, [(i, c, s + 13, e + 13) for i, c, s, e in rows]) if c == d and 2 * (min(e, fe) - max(s, fs) + 1) >= e - s + 1)
         assert sorted((r.id, r.fid) for r in hits.select("id", "fid").collect()) == want
+
+
+def test_gene_pairs_match_without_gathering_what_matched(spark):
+    from junctura.operators.compare import gene_partner_match
+
+    ours = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (2, ["a"], ["a"]), (3, ["c"], [])], "id long, genes_a array<string>, genes_b array<string>")
+    theirs = spark.createDataFrame([(7, "a", "b"), (7, "a", "b"), (8, "b", "a"), (9, "a", "a"), (5, None, "a"), (6, "c", "a")], "id2 long, gene1 string, gene2 string")
+    m = gene_partner_match(ours, theirs)
+    assert sorted(map(tuple, m.collect())) == [(1, 7), (1, 8), (1, 9), (2, 9)]
+    top = plan(m).split("Join")[0]
+    assert "Aggregate" not in top and "Exchange" not in top
