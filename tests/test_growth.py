@@ -36,3 +36,16 @@ def test_gene_pairs_match_without_gathering_what_matched(spark):
     assert sorted(map(tuple, m.collect())) == [(1, 7), (1, 8), (1, 9), (2, 9)]
     top = plan(m).split("Join")[0]
     assert "Aggregate" not in top and "Exchange" not in top
+
+
+def test_keys_go_to_the_largest_key_that_contains_them(spark):
+    from junctura.operators.recurrence import merged_keys
+
+    rng = random.Random(3)
+    names = ["a", "b", "b,c", "c", "d", "e", "f", "g"]
+    keys = {("x" if rng.random() < 0.5 else "y", tuple(sorted(rng.sample(names, rng.randint(1, 6))))) for _ in range(60)}
+    df = spark.createDataFrame([(t, list(k)) for t, k in keys], "event_type string, gene_key array<string>")
+    want = {(t, k): min((b for u, b in keys if u == t and set(k) <= set(b)), key=lambda b: (-len(b), ",".join(b))) for t, k in keys}
+    for most in (10, 3, 0):  # keys beyond ``most`` genes are looked up, the same way round
+        got = {(r.event_type, tuple(r.gene_key)): tuple(r.key) for r in merged_keys(df, most).collect()}
+        assert got == want
