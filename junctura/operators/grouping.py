@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import cut, stored
 from .components import connected_components
 
 KEYS = ["chrom_a", "dir_a", "chrom_b", "dir_b"]
@@ -23,30 +23,40 @@ def group_events(junctions: DataFrame, read_length: int = 75, node: str = "node"
     Cells are one base wider than a link reaches, so all places of a cell are linked
     and only cells are compared: with the next one along either junction by their
     extremes, with the two diagonal ones by a sweep along the first junction that
-    keeps the nearest second one. No pair of places is ever made.
+    keeps the nearest second one. No pair of places is ever made. Cells without
+    another next to them, most where junctions are sparse, are told by a hash of
+    their place and take no part in that.
     """
     reach = 2 * math.ceil(read_length / 2)
-    cell = lambda c: F.floor(F.col(c) / (reach + 1)).alias(f"c{c[-1]}")
-    at = [*KEYS, "ca", "cb"]
-    placed = cut(junctions.select(*KEYS, "coord_a", "coord_b", F.col(node).alias("u"), cell("coord_a"), cell("coord_b")))
+    cell = lambda c: F.floor(F.col(c) / (reach + 1))
+    at = [*KEYS, "__ca", "__cb"]
+    # Read several times below; a node has one place.
+    placed = stored(junctions.withColumn("__ca", cell("coord_a")).withColumn("__cb", cell("coord_b")), "placed")
+    cells = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min(node).alias("u"), F.min("coord_a").alias("a0"), F.max("coord_a").alias("a1"), F.min("coord_b").alias("b0"), F.max("coord_b").alias("b1"))
+    cells = stored(cells, "cells")
+    place = lambda da, db: F.xxhash64(*KEYS, F.col("__ca") + da, F.col("__cb") + db)
+    look = cells.select("u", F.explode(F.array(*[place(*x) for x in ((1, 0), (0, 1), (1, 1), (1, -1))])).alias("h"))
+    met = look.join(cells.select(F.col("u").alias("v"), place(0, 0).alias("h")).hint("merge"), "h").select(F.explode(F.array("u", "v")).alias("u")).distinct()
+    near = stored(cells.join(met, "u", "left_semi"), "near")
     # One row a cell and place along the first junction: at most reach + 1 in a cell.
-    steps = cut(placed.groupBy(*at, "coord_a").agg(F.min("u").alias("u"), F.min("coord_b").alias("lo"), F.max("coord_b").alias("hi")))
-    cells = cut(steps.groupBy(*at).agg(F.min("u").alias("u"), F.min("coord_a").alias("a0"), F.max("coord_a").alias("a1"), F.min("lo").alias("b0"), F.max("hi").alias("b1")))
-    ahead = lambda da, db: cells.select(*KEYS, (F.col("ca") - da).alias("ca"), (F.col("cb") - db).alias("cb"), F.col("u").alias("v"), F.col("a0").alias("next_a"), F.col("b0").alias("next_b"))
-    edges = cells.join(ahead(1, 0), at).where(F.col("next_a") - F.col("a1") <= reach).select("u", "v")
-    edges = edges.unionByName(cells.join(ahead(0, 1), at).where(F.col("next_b") - F.col("b1") <= reach).select("u", "v"))
+    steps = placed.join(near.select(*at), at, "left_semi").groupBy(*at, "coord_a").agg(F.min("coord_b").alias("lo"), F.max("coord_b").alias("hi"))
+    steps = stored(steps, "steps")
+    ahead = lambda da, db: near.select(*KEYS, (F.col("__ca") - da).alias("__ca"), (F.col("__cb") - db).alias("__cb"), F.col("u").alias("v"), F.col("a0").alias("next_a"), F.col("b0").alias("next_b"))
+    edges = near.join(ahead(1, 0), at).where(F.col("next_a") - F.col("a1") <= reach).select("u", "v")
+    edges = edges.unionByName(near.join(ahead(0, 1), at).where(F.col("next_b") - F.col("b1") <= reach).select("u", "v"))
     for turn in (1, -1):  # the diagonal cell above, and the one below with the second junction mirrored
         b = lambda lo, hi: F.col(hi if turn > 0 else lo) * turn
         here = steps.select(*at, (F.col("coord_a") + reach).alias("pos"), F.lit(1).alias("kind"), b("lo", "hi").alias("b"))
-        there = steps.select(*KEYS, (F.col("ca") - 1).alias("ca"), (F.col("cb") - turn).alias("cb"), F.col("coord_a").alias("pos"), F.lit(0).alias("kind"), b("hi", "lo").alias("b"))
+        there = steps.select(*KEYS, (F.col("__ca") - 1).alias("__ca"), (F.col("__cb") - turn).alias("__cb"), F.col("coord_a").alias("pos"), F.lit(0).alias("kind"), b("hi", "lo").alias("b"))
         sweep = Window.partitionBy(*at).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         nearest = F.min(F.when(F.col("kind") == 0, F.col("b"))).over(sweep)
-        met = here.unionByName(there).withColumn("near", nearest).where((F.col("kind") == 1) & (F.col("near") - F.col("b") <= reach)).select(*at).distinct()
-        edges = edges.unionByName(met.join(cells.select(*at, "u"), at).join(ahead(1, turn), at).select("u", "v"))
-    comp = connected_components(edges)
-    named = cells.join(comp, cells["u"] == comp["node"], "left").select(*at, F.coalesce("component", "u").alias("group_key"))
-    of = placed.join(named, at).groupBy(F.col("u").alias(node)).agg(F.min("group_key").alias("group_key"))
-    return junctions.join(of, node)
+        linked = here.unionByName(there).withColumn("near", nearest).where((F.col("kind") == 1) & (F.col("near") - F.col("b") <= reach)).select(*at).distinct()
+        edges = edges.unionByName(linked.join(near.select(*at, "u"), at).join(ahead(1, turn), at).select("u", "v"))
+    comp = connected_components(edges).withColumnRenamed("node", "u")
+    # A lone junction is its own event.
+    named = cells.join(comp, "u", "left").where("n > 1 OR component IS NOT NULL").select(*at, F.coalesce("component", "u").alias("group_key"))
+    out = placed.join(stored(named, "named"), at, "left").withColumn("group_key", F.coalesce("group_key", node))
+    return out.select(*junctions.columns, "group_key")
 
 
 def group_summary(members: DataFrame) -> DataFrame:

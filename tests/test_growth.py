@@ -49,3 +49,20 @@ def test_keys_go_to_the_largest_key_that_contains_them(spark):
     for most in (10, 3, 0):  # keys beyond ``most`` genes are looked up, the same way round
         got = {(r.event_type, tuple(r.gene_key)): tuple(r.key) for r in merged_keys(df, most).collect()}
         assert got == want
+
+
+def test_events_evaluate_their_junctions_once(spark):
+    from junctura.operators.grouping import group_events
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    at = [(1, 100), (2, 190), (3, 5000), (4, 5000), (5, 400)]
+    j = spark.createDataFrame([(n, 1, c, "up", 2, c, "down") for n, c in at], "node long, chrom_a long, coord_a long, dir_a string, chrom_b long, coord_b long, dir_b string")
+    out = group_events(j.withColumn("coord_a", counted("coord_a")), read_length=200)
+    assert {r.node: r.group_key for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert seen.value == len(at)
