@@ -66,3 +66,17 @@ def test_events_evaluate_their_junctions_once(spark):
     out = group_events(j.withColumn("coord_a", counted("coord_a")), read_length=200)
     assert {r.node: r.group_key for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
     assert seen.value == len(at)
+
+
+def test_numbered_chromosomes_are_not_read_as_names(spark):
+    from junctura.operators.candidates import breakpoints, split_candidates
+
+    cols = "query long, aln_no int, query_len long, qstart long, qend long, chrom {}, strand string, tleft long, tright long, tstart long, tend long, identity_x10 int"
+    rows = [(1, k, 200, 1 + 90 * k, 100 + 90 * k, c, "+", 50 * k, 50 * k + 99, 50 * k, 50 * k + 99, 1000) for k, c in enumerate((10, 9))] + [(2, k, 200, 1 + 90 * k, 100 + 90 * k, c, "+", 5, 9, 5, 9, 1000) for k, c in enumerate((0, 2))]
+    found = {}
+    for kind in ("long", "string"):
+        a = spark.createDataFrame([(*r[:5], str(r[5]) if kind == "string" else r[5], *r[6:]) for r in rows], cols.format(kind))
+        b = breakpoints(split_candidates(a, min_represented=0.6))
+        found[kind] = [(r.contig, int(r.bp_a.chrom), r.bp_a.coord, int(r.bp_b.chrom)) for r in b.collect()]
+        assert ("regexp_replace" in plan(b)) == (kind == "string")
+    assert found["long"] == found["string"] == [(1, 9, 50, 10)]
