@@ -135,35 +135,35 @@ def support_type(event_type: str, s, e, bp1, bp2, chrom=None, chrom1=None, chrom
     return F.when((s < lo) & (e > hi), "DW").when((lo < s) & (hi > e), "T2").otherwise("T1")
 
 
-def coverage_steps(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000) -> DataFrame:
+def coverage_steps(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000, keep: list[str] | None = None) -> DataFrame:
     """Reads by support type (DW, T1, T2) where these change along a region (chrom, s, e), its start included, read ends trimmed.
 
     ``reads`` has chrom, fs, fe; ``regions`` has event_type, bp1, bp2 too. Starts and ends are summed per
-    place and added up along the region, so deep coverage is one row per read end, not per base and read.
+    place and added up along the region, so deep coverage is one row per read end, not per base and read. Equal reads
+    are counted before they meet regions. ``keep`` names columns of the region to return as well.
     """
     from .intervals import overlap_join
 
     trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe")
-    j = overlap_join(regions, trimmed, width=width)
+    j = overlap_join(regions, trimmed.groupBy("chrom", "fs", "fe").agg(F.count(F.lit(1)).alias("__n")), width=width)
+    keep = keep or []
     whole = (F.col("fs") - trim, F.col("fe") + trim, F.col("bp1"), F.col("bp2"))
     kind = F.when(F.col("event_type") == "fusion", support_type("fusion", *whole)).otherwise(support_type("itd", *whole))
     lo, hi = F.greatest(F.col("s"), F.col("fs")), F.least(F.col("e"), F.col("fe")) + 1
-    ends = F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct(hi.alias("at"), F.lit(-1).alias("d")))
-    moves = j.select(*key, "e", kind.alias("kind"), F.explode(ends).alias("x")).where(F.col("x.at") <= F.col("e")).select(*key, "kind", "x.*")
-    moves = moves.unionByName(regions.select(*key, F.lit("T1").alias("kind"), F.col("s").alias("at"), F.lit(0).alias("d")))
+    ends = F.array(F.struct(lo.alias("at"), F.col("__n").alias("d")), F.struct(hi.alias("at"), (-F.col("__n")).alias("d")))
+    moves = j.withColumn("kind", kind).withColumn("x", F.explode(ends)).where(F.col("x.at") <= F.col("e")).select(*key, *keep, "kind", "x.*")
+    moves = moves.unionByName(regions.select(*key, *keep, F.lit("T1").alias("kind"), F.col("s").alias("at"), F.lit(0).cast("long").alias("d")))
     types = ("DW", "T1", "T2")
-    sums = moves.groupBy(*key, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in types])
+    sums = moves.groupBy(*key, *keep, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in types])
     w = Window.partitionBy(*key).orderBy("at")
-    return sums.select(*key, "at", *[F.sum(f"d{k}").over(w).alias(k) for k in types])
+    return sums.select(*key, *keep, "at", *[F.sum(f"d{k}").over(w).alias(k) for k in types])
 
 
 def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: int = 5, width: int = 1000) -> DataFrame:
     """``coverage_steps`` at each base ``at`` of a region; bases without reads are there with zeros."""
-    ends = regions.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("e").alias("__e"))
-    steps = coverage_steps(regions, reads, key, trim, width)
-    told = steps.join(ends, [steps[k].eqNullSafe(ends[f"__{k}"]) for k in key])
+    steps = coverage_steps(regions, reads, key, trim, width, keep=["e"])
     following = F.lead("at").over(Window.partitionBy(*key).orderBy("at")) - 1
-    spans = told.withColumn("__to", F.coalesce(following, F.col("__e")))
+    spans = steps.withColumn("__to", F.coalesce(following, F.col("e")))
     return spans.select(*key, F.explode(F.sequence("at", "__to")).alias("at"), "DW", "T1", "T2")
 
 

@@ -80,3 +80,14 @@ def test_numbered_chromosomes_are_not_read_as_names(spark):
         found[kind] = [(r.contig, int(r.bp_a.chrom), r.bp_a.coord, int(r.bp_b.chrom)) for r in b.collect()]
         assert ("regexp_replace" in plan(b)) == (kind == "string")
     assert found["long"] == found["string"] == [(1, 9, 50, 10)]
+
+
+def test_base_coverage_reads_its_regions_for_steps_alone_and_counts_equal_reads_once(spark):
+    from junctura.operators.support import base_coverage
+
+    regions = spark.createDataFrame([(1, 1, 10, 15, "fusion", 12, None), (2, 2, 5, 6, "fusion", None, 6)], "id long, chrom long, s long, e long, event_type string, bp1 long, bp2 long")
+    reads = spark.createDataFrame([(1, 6, 18)] * 3 + [(1, 1, 4)], "chrom long, fs long, fe long")
+    out = base_coverage(regions, reads, ["id"], trim=5)
+    assert plan(out).count("SortMergeJoin") + plan(out).count("BroadcastHashJoin") == 1
+    got = {(r.id, r.at): (r.DW, r.T1, r.T2) for r in out.collect()}
+    assert got == {(1, p): ((3, 0, 0) if 11 <= p <= 13 else (0, 0, 0)) for p in range(10, 16)} | {(2, p): (0, 0, 0) for p in (5, 6)}
