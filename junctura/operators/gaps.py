@@ -124,8 +124,10 @@ def find_gap_duplication(
     """The best copy of each gap within two gap lengths on either side: dup_s, dup_e on the contig, gap range used, score, inverted.
 
     Score must reach max(min_gap, min_share of the gap) and ``min_ratio`` of the run's length. Ties go to the
-    forward copy, then the nearer, then the left one. ``keep`` names columns of the gap to return as well.
+    forward copy, then the nearer, then the left one. ``keep`` names columns of the gap to return as well (by default
+    seq and blocks where there are any, as ``classify_tandem`` reads them).
     """
+    keep = [c for c in ("seq", "blocks") if c in gaps.columns] if keep is None else keep
     size = (F.col("gap_e") - F.col("gap_s") + 1).cast("int")
     lo = F.greatest(F.lit(1), F.col("gap_s") - 2 * size)
     left = F.substring("seq", lo.cast("int"), (F.col("gap_s") - lo).cast("int"))
@@ -140,7 +142,7 @@ def find_gap_duplication(
     used_s = F.when(F.col("__inverted"), F.col("gap_e") - F.col("__r.e") + 1).otherwise(F.col("gap_s") + F.col("__r.s") - 1)
     x = x.withColumn("dup_s", dup_s).withColumn("dup_e", dup_s + n - 1).withColumn("used_s", used_s).withColumn("used_e", used_s + n - 1)
     x = x.withColumn("distance", F.when(F.col("dup_s") > F.col("used_e"), F.col("dup_s") - F.col("used_e") - 1).otherwise(F.col("used_s") - F.col("dup_e") - 1))
-    fields = [*(keep or []), "dup_s", "dup_e", "used_s", "used_e", "distance"]
+    fields = [*keep, "dup_s", "dup_e", "used_s", "used_e", "distance"]
     best = F.max_by(F.struct(*fields, F.col("__r.score").alias("score"), F.col("__inverted").alias("inverted")), F.struct(F.col("__r.score"), ~F.col("__inverted"), -F.col("distance"), -F.col("dup_s")))
     return x.groupBy(*key).agg(best.alias("d")).select(*key, "d.*")
 
