@@ -2,15 +2,18 @@
 
 The duplication search is ungapped: for a gap, an orientation and a diagonal the
 best-scoring run (match +1, mismatch -1) is found by one pass over the bases
-within the row, and the best diagonal of a gap by an aggregation. Only diagonals
-with a seed are looked at, a word that both sides have. Seeds are found by an
-equi-join of words, as long as a run that counts must have without a mismatch.
+within the row, for many gaps at once. Only diagonals with a seed are scored, a
+word that both sides have, as long as a run that counts must have without a
+mismatch; they are told by comparing whole diagonals.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +48,6 @@ def explode_gaps(contigs: DataFrame, min_gap: int = 4) -> DataFrame:
     return g.where(~(F.col("edge") & is_poly_at("gap_seq")))
 
 
-def _letters(s: Column) -> Column:
-    return F.filter(F.split(s, ""), lambda c: c != "")
-
-
 def _seed_size(score: Column, min_ratio: float) -> Column:
     """Bases that every run of ``score`` or more and ``min_ratio`` of its length has in a row somewhere.
 
@@ -60,62 +59,68 @@ def _seed_size(score: Column, min_ratio: float) -> Column:
     return F.least(score, F.lit(math.ceil(round(2 / (1 - min_ratio), 9)) // 2)).cast("int")
 
 
-def _words(s: Column, size: Column) -> Column:
-    """struct(h, p, i) of each word of ``s``: its hash, the base before it (1 to 4; 0: none, or another letter), its place."""
-    places = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - size + 1)).otherwise(F.array().cast("array<int>"))
-    before = lambda i: F.when(i > 1, F.position(F.substring(s, i - 1, F.lit(1)), F.lit("ACGT"))).otherwise(0)
-    return F.transform(places, lambda i: F.struct(F.xxhash64(F.substring(s, i, size)).alias("h"), before(i).alias("p"), i.alias("i")))
+def _chars(texts: pd.Series, n: int) -> np.ndarray:
+    """A column of ``n`` code points for each text."""
+    whole = "".join(texts)
+    try:
+        flat = np.frombuffer(whole.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        flat = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    return np.ascontiguousarray(flat.reshape(len(texts), n).T)
 
 
-def _shifts(x: DataFrame, turns: list[tuple[bool, Column]], windows: list[Column], seed: Column) -> DataFrame:
-    """__id, __ds: for each row the shifts of a turn of the gap along a window at which both have a word of ``seed`` bases.
+def _diagonal_runs(gaps: pd.Series, windows: pd.Series, seed: pd.Series, least: pd.Series, ratio: float) -> Iterator[tuple]:
+    """(row, d, score, s, e) of the best run of gap[i] against window[i + d], 1-based in the gap, of each diagonal that has a word of ``seed`` bases.
 
-    An equi-join of words. A word counts only where the bases before it differ, so a stretch of any length is
-    one pair and repeats (a gap of one letter) don't multiply: the gap's words are looked up under every other base.
-    Such a gap still has as many shifts as bases, and each takes a pass over it.
+    Rows of one size are compared at once, each in a column, so that a diagonal of all of them is one block; of equal runs the
+    first counts. A run has ``least`` or more, and ``ratio`` of its length.
     """
-    of = lambda parts: F.flatten(F.array(*parts))
-    tag = lambda words, k: F.transform(words, lambda w: F.struct(F.lit(k).alias("k"), w["h"].alias("h"), w["p"].alias("p"), w["i"].alias("i")))
-    gap = x.select("__id", F.explode(of([tag(_words(g, seed), int(inverted)) for inverted, g in turns])).alias("a"))
-    gap = gap.select("__id", "a.*", F.explode(F.filter(F.array(*map(F.lit, range(5))), lambda c: (c == 0) | (c != F.col("a.p")))).alias("__p"))
-    win = x.select("__id", F.explode(of([tag(_words(w, seed), k) for k, w in enumerate(windows)])).alias("b"))
-    win = win.select("__id", F.col("b.h").alias("h"), F.col("b.p").alias("__p"), F.col("b.k").alias("__side"), F.col("b.i").alias("__j"))
-    met = gap.join(win, ["__id", "h", "__p"]).select("__id", F.struct(F.col("k").alias("turn"), F.col("__side").alias("side"), (F.col("__j") - F.col("i")).alias("d")).alias("s"))
-    return met.groupBy("__id").agg(F.collect_set("s").alias("__ds"))
-
+    sizes = [gaps.str.len().to_numpy(), windows.str.len().to_numpy(), seed.to_numpy()]
+    for (n, m, q), at in pd.Series(range(len(gaps))).groupby(sizes):
+        if q < 1 or min(n, m) < q:
+            continue
+        rows = max(1, 262_144 // n)
+        for from_ in range(0, len(at), rows):
+            part = at.to_numpy()[from_ : from_ + rows]
+            g, w, enough = _chars(gaps.iloc[part], n), _chars(windows.iloc[part], m), least.to_numpy()[part]
+            for d in range(q - n, m - q + 1):
+                lo, hi = max(0, -d), min(n, m - d)
+                word = same = g[lo:hi] == w[lo + d : hi + d]
+                k = 1
+                while k < q:  # word: k bases in a row
+                    more = min(k, q - k)
+                    word, k = word[more:] & word[:-more], k + more
+                hit = np.flatnonzero(word.any(axis=0))
+                if not len(hit):
+                    continue
+                c = np.where(same[:, hit], 1, -1).cumsum(axis=0, dtype=np.int32)
+                now = c - np.minimum(np.minimum.accumulate(c, axis=0), 0)
+                end, each = now.argmax(axis=0), np.arange(len(hit))
+                top = now[end, each]
+                since = np.maximum.accumulate(np.where(now == 0, np.arange(1, hi - lo + 1)[:, None], 0), axis=0)[end, each]
+                for i in np.flatnonzero((top >= enough[hit]) & (top >= ratio * (end - since + 1))):
+                    yield int(part[hit[i]]), d, int(top[i]), int(lo + since[i] + 1), int(lo + end[i] + 1)
+
+
+def _with_runs(x: DataFrame, turns: list[tuple[bool, Column]], windows: list[Column], enough: Column, min_ratio: float) -> DataFrame:
+    """``x`` with __runs (inverted, side, d, score, s, e): the best run of ``enough`` or more on each diagonal of a turn of the gap and a window.
+
+    All of a gap is in its row, so no row is made for a word or a diagonal, and nothing is shuffled.
+    """
+    inverted = [t for t, _ in turns]
 
-def _with_shifts(x: DataFrame, key: list[str], turns: list[tuple[bool, Column]], windows: list[Column], seed: Column) -> DataFrame:
-    """A row for each shift that has a seed: __d, __side, __inverted, and the turned gap and the window as arrays of bases.
+    @F.pandas_udf("array<struct<inverted:boolean,side:int,d:int,score:int,s:int,e:int>>")
+    def runs(seed: pd.Series, least: pd.Series, *texts: pd.Series) -> pd.Series:
+        out = [[] for _ in seed]
+        texts = [t.fillna("") for t in texts]
+        seed, least = seed.fillna(0).astype(int), least.fillna(0).astype(int)
+        for turned, gap in zip(inverted, texts, strict=False):
+            for side, window in enumerate(texts[len(inverted) :]):
+                for row, d, score, s, e in _diagonal_runs(gap, window, seed, least, min_ratio):
+                    out[row].append({"inverted": turned, "side": side, "d": d, "score": score, "s": s, "e": e})
+        return pd.Series(out)
 
-    Rows meet their shifts by a hash of ``key``: should two keys share one, each looks at the other's shifts too, which
-    changes nothing.
-    """
-    # Columns of their own: within the functions below they would be made again for every word.
-    made = {f"__g{int(inverted)}": g for inverted, g in turns} | {f"__w{k}": w for k, w in enumerate(windows)}
-    x = x.withColumns({"__id": F.xxhash64(*key), "__q": seed, **made})
-    turns, windows = [(inverted, F.col(f"__g{int(inverted)}")) for inverted, _ in turns], [F.col(f"__w{k}") for k in range(len(windows))]
-    j = x.join(_shifts(x, turns, windows, F.col("__q")), "__id")
-    by_turn = F.create_map(*[v for inverted, g in turns for v in (F.lit(int(inverted)), _letters(g))])
-    j = j.withColumn("__turns", by_turn).withColumn("__windows", F.array(*[_letters(w) for w in windows])).withColumn("__x", F.explode("__ds"))
-    j = j.withColumn("__d", F.col("__x.d")).withColumn("__side", F.col("__x.side")).withColumn("__inverted", F.col("__x.turn") == 1)
-    return j.withColumn("__ga", F.element_at("__turns", F.col("__x.turn"))).withColumn("__wa", F.get("__windows", F.col("__side"))).drop("__turns", "__windows", "__ds", "__x", "__q", *made)
-
-
-def _best_run(gap: Column, other: Column, shift: Column) -> Column:
-    """struct(score, s, e): the best run of gap[i] against other[i + shift], 1-based in the gap; both are arrays of bases."""
-    start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("from"), F.lit(0).alias("best"), F.lit(0).alias("s"), F.lit(0).alias("e"))
-    n = F.size(gap)
-
-    def step(a: Column, i: Column) -> Column:
-        hit = F.coalesce(F.get(gap, i - 1) == F.get(other, i + shift - 1), F.lit(False))
-        now = a["now"] + F.when(hit, 1).otherwise(-1)
-        fresh = now <= 0
-        now, since = F.when(fresh, 0).otherwise(now), F.when(fresh, i + 1).otherwise(a["from"])
-        better = now > a["best"]
-        pick = lambda x, f: F.when(better, x).otherwise(a[f])
-        return F.struct(now.alias("now"), since.alias("from"), pick(now, "best").alias("best"), pick(since, "s").alias("s"), pick(i, "e").alias("e"))
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: F.struct(a["best"].alias("score"), a["s"].alias("s"), a["e"].alias("e")))
+    return x.withColumn("__runs", runs(_seed_size(enough, min_ratio), enough.cast("int"), *[g for _, g in turns], *windows)).where(F.size("__runs") > 0)
 
 
 def find_gap_duplication(
@@ -134,16 +139,19 @@ def find_gap_duplication(
     right = F.substring("seq", (F.col("gap_e") + 1).cast("int"), 2 * size)
     turns = [(False, F.col("gap_seq")), (True, reverse_complement("gap_seq"))][int(inverted_only) :]
     enough = F.greatest(F.lit(min_gap), F.ceil(min_share * size))
-    x = _with_shifts(gaps, key, turns, [left, right], _seed_size(enough, min_ratio))
-    x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d")))
-    n = F.col("__r.e") - F.col("__r.s") + 1
-    x = x.where((F.size("__wa") >= min_gap) & (F.col("__r.score") >= F.greatest(F.lit(min_gap), min_share * size)) & (F.col("__r.score") >= min_ratio * n))
-    dup_s = F.when(F.col("__side") == 0, lo).otherwise(F.col("gap_e") + 1) + F.col("__d") + F.col("__r.s") - 1
-    used_s = F.when(F.col("__inverted"), F.col("gap_e") - F.col("__r.e") + 1).otherwise(F.col("gap_s") + F.col("__r.s") - 1)
-    x = x.withColumn("dup_s", dup_s).withColumn("dup_e", dup_s + n - 1).withColumn("used_s", used_s).withColumn("used_e", used_s + n - 1)
-    x = x.withColumn("distance", F.when(F.col("dup_s") > F.col("used_e"), F.col("dup_s") - F.col("used_e") - 1).otherwise(F.col("used_s") - F.col("dup_e") - 1))
-    fields = [*keep, "dup_s", "dup_e", "used_s", "used_e", "distance"]
-    best = F.max_by(F.struct(*fields, F.col("__r.score").alias("score"), F.col("__inverted").alias("inverted")), F.struct(F.col("__r.score"), ~F.col("__inverted"), -F.col("distance"), -F.col("dup_s")))
+    x = _with_runs(gaps, turns, [left, right], enough, min_ratio)
+
+    def copy(r: Column) -> Column:
+        n = r["e"] - r["s"] + 1
+        dup_s = F.when(r["side"] == 0, lo).otherwise(F.col("gap_e") + 1) + r["d"] + r["s"] - 1
+        used_s = F.when(r["inverted"], F.col("gap_e") - r["e"] + 1).otherwise(F.col("gap_s") + r["s"] - 1)
+        dup_e, used_e = dup_s + n - 1, used_s + n - 1
+        distance = F.when(dup_s > used_e, dup_s - used_e - 1).otherwise(used_s - dup_e - 1)
+        fields = {"dup_s": dup_s, "dup_e": dup_e, "used_s": used_s, "used_e": used_e, "distance": distance, "score": r["score"], "inverted": r["inverted"]}
+        return F.struct(r["score"].alias("best"), (~r["inverted"]).alias("forward"), (-distance).alias("near"), (-dup_s).alias("left"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("d"))
+
+    x = x.withColumn("__best", F.array_max(F.transform("__runs", copy)))
+    best = F.max_by(F.struct(*keep, "__best.d.*"), "__best")
     return x.groupBy(*key).agg(best.alias("d")).select(*key, "d.*")
 
 
@@ -197,11 +205,11 @@ def gap_inversion(gaps: DataFrame, key: list[str], min_gap: int = 6, min_ratio:
     """Internal gaps whose reverse complement is in the intron (``intron``, at least as long): at, the 1-based place of the best match, and score."""
     g = gaps.where(~F.col("edge") & (F.length("gap_seq") >= min_gap) & (F.length("intron") >= F.length("gap_seq")))
     enough = F.ceil(min_ratio * F.length("gap_seq"))
-    x = _with_shifts(g, key, [(True, reverse_complement("gap_seq"))], [F.col("intron")], _seed_size(enough, min_ratio))
-    x = x.where((F.col("__d") >= 0) & (F.col("__d") <= F.length("intron") - F.length("gap_seq")))
-    x = x.withColumn("__r", _best_run(F.col("__ga"), F.col("__wa"), F.col("__d"))).where(F.col("__r.score") >= min_ratio * F.length("gap_seq"))
-    best = F.max_by(F.struct((F.col("__d") + 1).alias("at"), F.col("__r.score").alias("score")), F.struct(F.col("__r.score"), -F.col("__d")))
-    return x.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
+    x = _with_runs(g, [(True, reverse_complement("gap_seq"))], [F.col("intron")], enough, min_ratio)
+    inside = F.filter("__runs", lambda r: (r["d"] >= 0) & (r["d"] <= F.length("intron") - F.length("gap_seq")))
+    x = x.withColumn("__best", F.array_max(F.transform(inside, lambda r: F.struct(r["score"].alias("score"), (-r["d"]).alias("near"))))).where("__best IS NOT NULL")
+    best = F.max("__best").alias("b")
+    return x.groupBy(*key).agg(best).select(*key, (1 - F.col("b.near")).alias("at"), "b.score")
 
 
 def formation_tags(dups: DataFrame) -> DataFrame:

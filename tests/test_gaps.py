@@ -104,3 +104,41 @@ def test_the_copy_after_the_gap_moves_the_end(spark):
     schema = "id long, seq string, gap_s long, gap_e long, dup_s long, dup_e long, used_s long, used_e long, distance long, inverted boolean, blocks array<struct<s:long,e:long>>"
     got = D.classify_tandem(spark.createDataFrame([row], schema)).first()
     assert (got.how, got.border_s, got.border_e) == ("TAN(Mod)", 61, 110)
+
+
+def test_runs_are_found_in_their_row_as_by_brute_force(spark):
+    rng = random.Random(34)
+    rows = []
+    for i in range(150):
+        left, right, gap = bases(rng, rng.randrange(30)), bases(rng, rng.randrange(30)), "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 24)))
+        left += gap[: rng.randrange(20)] if i % 2 else turn(gap)[: rng.randrange(20)]
+        rows.append((i, left + gap + right, len(left) + 1, len(left) + len(gap), gap, False, []))
+    rows.append((999, "É" * 9 + "ACÉGT" + "ACÉGT", 10, 14, "ACÉGT", False, []))
+
+    def best(seq, gs, ge, gap):
+        found, size = [], ge - gs + 1
+        lo = max(1, gs - 2 * size)
+        for inverted, g in ((False, gap), (True, turn(gap))):
+            for side, (at, w) in enumerate(((lo, seq[lo - 1 : gs - 1]), (ge + 1, seq[ge : ge + 2 * size]))):
+                for d in range(1 - len(g), len(w)):
+                    now, since, top = 0, 0, (0, 0, 0)
+                    for k in range(len(g)):
+                        now += 1 if 0 <= k + d < len(w) and g[k] == w[k + d] else -1
+                        if now <= 0:
+                            now, since = 0, k + 1
+                        if now > top[0]:
+                            top = (now, since, k)
+                    score, s, e = top
+                    if score >= max(4, 0.3 * size) and score >= 0.9 * (e - s + 1):
+                        ds, us = at + d + s, ge - e if inverted else gs + s
+                        n = e - s + 1
+                        away = ds - us - n if ds > us + n - 1 else us - ds - n
+                        found.append((score, not inverted, -away, -ds))
+        return max(found, default=None)
+
+    x = D.find_gap_duplication(spark.createDataFrame(rows, GAPS), ["id"], min_ratio=0.9)
+    text = x._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1
+    got = {r.id: (r.score, not r.inverted, -r.distance, -r.dup_s) for r in x.collect()}
+    want = {r[0]: best(*r[1:5]) for r in rows}
+    assert got == {k: v for k, v in want.items() if v} and got[999][0] == 5
