@@ -91,3 +91,31 @@ def test_base_coverage_reads_its_regions_for_steps_alone_and_counts_equal_reads_
     assert plan(out).count("SortMergeJoin") + plan(out).count("BroadcastHashJoin") == 1
     got = {(r.id, r.at): (r.DW, r.T1, r.T2) for r in out.collect()}
     assert got == {(1, p): ((3, 0, 0) if 11 <= p <= 13 else (0, 0, 0)) for p in range(10, 16)} | {(2, p): (0, 0, 0) for p in (5, 6)}
+
+
+def test_genes_are_worked_out_by_place_as_by_member(spark):
+    from junctura.operators import predict as E
+
+    rng = random.Random(9)
+    places = [(c, p) for c in (1, 2) for p in range(6)]
+    hits = [(c, p, g, rng.choice(("exon", "utr", "intron")), rng.choice(("+", "-", "*", None)), rng.randrange(3)) for c, p in places[:-2] for g in rng.sample("abcd", rng.randint(0, 3))]
+    around = spark.createDataFrame(hits, "chrom long, coord long, gene string, feature string, direction string, source int")
+    members = [(i, *rng.choice(places), *rng.choice(places), rng.choice("+-"), rng.choice("+-")) for i in range(80)]
+    m = spark.createDataFrame(members, "id long, chrom_a long, coord_a long, chrom_b long, coord_b long, strand1 string, strand2 string")
+    each = m.selectExpr("id", "'A' AS region", "chrom_a AS chrom", "coord_a AS coord", "strand1 AS strand").unionByName(m.selectExpr("id", "'B' AS region", "chrom_b AS chrom", "coord_b AS coord", "strand2 AS strand")).join(around, ["chrom", "coord"])
+
+    def oriented(found):
+        # Each row has its direction: two genes of one name do not agree here by place alone.
+        d = found.withColumn("gene", F.concat("gene", F.lit(":"), "chrom", F.lit(":"), "coord"))
+        names = d.select("gene", "direction").distinct()
+        return {r.id: (r.orient_a, r.orient_b) for r in E.orientation(d.drop("direction"), names, ["id"]).collect()}
+
+    plain = {r.id: (r.genes_a, r.genes_b, r.coding_a, r.coding_b) for r in E.side_genes(each, ["id"]).collect()}
+    got = E.at_places(m, E.place_genes(around))
+    assert plan(got).count("Window") == 0
+    rows = {r.id: r for r in got.where("size(genes_a) > 0 OR size(genes_b) > 0").collect()}
+    assert {k: (r.genes_a, r.genes_b, r.coding_a, r.coding_b) for k, r in rows.items()} == plain
+    assert {k: (r.orient_a, r.orient_b) for k, r in rows.items()} == oriented(each)
+    kept = E.preferred_genes(each.select("id", "region", "strand", "chrom", "coord", "gene", "feature", "direction", "source"), ["id"])
+    ends = {r.id: (r.orient_a, r.orient_b) for r in E.at_places(m, E.place_directions(around)).collect()}
+    assert {k: v for k, v in ends.items() if k in rows} == oriented(kept)
