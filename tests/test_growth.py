@@ -119,3 +119,15 @@ def test_genes_are_worked_out_by_place_as_by_member(spark):
     kept = E.preferred_genes(each.select("id", "region", "strand", "chrom", "coord", "gene", "feature", "direction", "source"), ["id"])
     ends = {r.id: (r.orient_a, r.orient_b) for r in E.at_places(m, E.place_directions(around)).collect()}
     assert {k: v for k, v in ends.items() if k in rows} == oriented(kept)
+
+
+def test_pairs_of_alignments_share_one_shuffle(spark, small):
+    from junctura.plans import queries_candidates as Q
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = Q.junctions(spark, small)
+        d.collect()
+        assert "ReusedExchange" in plan(d).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
