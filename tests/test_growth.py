@@ -131,3 +131,13 @@ def test_pairs_of_alignments_share_one_shuffle(spark, small):
         assert "ReusedExchange" in plan(d).split("Initial Plan")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_events_are_counted_without_a_row_for_each_gene(spark):
+    from junctura.operators.recurrence import counts
+
+    rows = [(1, "x", "l", ["b", "a"]), (1, "x", "m", ["a"]), (2, "x", "l", ["c"]), (3, "x", None, ["d"]), (4, "y", "l", []), (5, None, "l", ["a"])]
+    out = counts(spark.createDataFrame(rows, "event_id long, event_type string, lib string, gene_key array<string>"))
+    assert "Expand" not in plan(out) and "Generate" not in plan(out)
+    got = sorted(((r.event_type, r.lib, r.n_events, r.n_genes, r.genes) for r in out.collect()), key=repr)
+    assert got == sorted([("x", "l", 2, 3, ["a", "b", "c"]), ("x", "m", 1, 1, ["a"]), ("x", None, 1, 1, ["d"]), ("x", None, 3, 4, ["a", "b", "c", "d"])], key=repr)
