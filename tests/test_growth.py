@@ -141,3 +141,21 @@ def test_events_are_counted_without_a_row_for_each_gene(spark):
     assert "Expand" not in plan(out) and "Generate" not in plan(out)
     got = sorted(((r.event_type, r.lib, r.n_events, r.n_genes, r.genes) for r in out.collect()), key=repr)
     assert got == sorted([("x", "l", 2, 3, ["a", "b", "c"]), ("x", "m", 1, 1, ["a"]), ("x", None, 1, 1, ["d"]), ("x", None, 3, 4, ["a", "b", "c", "d"])], key=repr)
+
+
+def test_doubled_parts_are_found_for_all_lengths_at_once(spark, monkeypatch):
+    from junctura.operators import predict as E
+
+    rng = random.Random(5)
+    texts = [(g, "".join(rng.choice("ACé日") for _ in range(rng.choice((0, 1, 7, 60, 300))))) for g in "xyz" for _ in range(12)] + [("x", None), (None, "ACACAC"), ("w", "GTGT")]
+    cuts = [(i, "".join(rng.choice("ACé日") for _ in range(rng.randint(1, 4))), rng.choice("xyzv")) for i in range(150)] + [(150, "AC", None), (151, "", "x"), (152, None, "x"), (153, "AA", "x"), (154, "GT", "w"), (155, "TG", "w")]
+    events = spark.createDataFrame(cuts, "contig long, dup_seq string, gene string")
+    t = spark.createDataFrame(texts, "gene string, seq string").repartition(2)
+    want = sorted(i for i, d, g in cuts if d is not None and (d == "" or len(set(d)) > 1) and not (d and any(h == g and g is not None and s is not None and d + d in s for h, s in texts)))
+    for few, piece in ((100, 1 << 20), (0, 50)):
+        monkeypatch.setattr(E, "FEW_GENES", few)
+        monkeypatch.setattr(E, "PIECE", piece)
+        out = E.recheck_itd(events, t, t)
+        assert "regexp_extract_all" not in plan(out) and "MapInArrow" in plan(out)
+        assert sorted(r.contig for r in out.collect()) == want
+    assert 0 < len(want) < len(cuts) - 20
