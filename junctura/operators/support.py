@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
+
+#: Depths and reads of covered bins are broadcast up to this many in all.
+FEW_DEPTHS = 1 << 20
+
 
 def mate_join(mates: DataFrame) -> DataFrame:
     """The two mates of a pair side by side: an equi-join on pair_id and the number."""
@@ -167,19 +172,75 @@ def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: in
     return spans.select(*key, F.explode(F.sequence("at", "__to")).alias("at"), "DW", "T1", "T2")
 
 
-def relative_coverage(coverage: DataFrame, reads_on_contig: DataFrame, member: list[str], region: str = "region") -> DataFrame:
+def coverage_bins(reads: DataFrame, trim: int = 5, width: int = 240) -> DataFrame:
+    """Bins of ``width`` bases that trimmed reads (chrom, fs, fe) touch: chrom, bin, depth (of each base), reads (different ones, fs and fe trimmed)."""
+    trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe AND chrom IS NOT NULL")
+    one = trimmed.groupBy("chrom", "fs", "fe").agg(F.count(F.lit(1)).alias("n"))
+    placed = one.withColumn("bin", F.explode(F.sequence(F.floor(F.col("fs") / width), F.floor(F.col("fe") / width))))
+    first, end = F.col("bin") * width, (F.col("bin") + 1) * width
+    ends = F.array(F.struct(F.greatest("fs", first).alias("at"), F.col("n").alias("d")), F.struct((F.col("fe") + 1).alias("at"), (-F.col("n")).alias("d")), F.struct(first.alias("at"), F.lit(0).cast("long").alias("d")))
+    moves = placed.select("chrom", "bin", F.explode(ends).alias("x")).select("chrom", "bin", "x.*").where(F.col("at") < end).groupBy("chrom", "bin", "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy("chrom", "bin").orderBy("at")
+    spans = moves.select("chrom", "bin", "at", F.sum("d").over(w).alias("depth"), F.coalesce(F.lead("at").over(w), end).alias("to"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "depth", "to")))
+    depth = spans.groupBy("chrom", "bin").agg(F.flatten(F.transform(in_order, lambda x: F.array_repeat(x["depth"], (x["to"] - x["at"]).cast("int")))).alias("depth"))
+    return depth.join(placed.groupBy("chrom", "bin").agg(F.collect_list(F.struct("fs", "fe")).alias("reads")), ["chrom", "bin"])
+
+
+def peak_coverage(regions: DataFrame, reads: DataFrame, member: list[str], trim: int = 5, width: int = 240, region: str = "region") -> DataFrame:
+    """Per ``member`` the most reads at a base of its regions A and B: plain_a and plain_b of bases without T2 reads, inner_a and inner_b of those with some.
+
+    ``regions`` (``member``, region, chrom, s, e, event_type, bp1, bp2) and ``reads`` as in ``coverage_steps``. Depths are worked
+    out once for bins of the genome, and a region looks into the one or two that it touches, so no row is made for a region and
+    a read. Only where a region is no fusion's are reads looked at one by one, in its row. A base without T2 reads
+    is there in each region that no read reaches; inner is null where there is no base of its kind, and so is plain.
+    """
+    bins = stored(coverage_bins(reads, trim, width), "depths")
+    size = bins.agg(F.sum(F.size("depth") + F.size("reads")).alias("n")).first().n or 0
+    bins = bins.select(F.col("chrom").alias("__c"), F.col("bin").alias("__b"), "depth", "reads")
+    bins = F.broadcast(bins) if size <= FEW_DEPTHS else bins.hint("merge")
+    c = F.col
+    at = regions.withColumn("__bin", F.explode_outer(F.when(c("s") <= c("e"), F.sequence(F.floor(c("s") / width), F.floor(c("e") / width)))))
+    j = at.join(bins, (c("chrom") == c("__c")) & (c("__bin") == c("__b")), "left")
+    first, last = F.greatest("s", c("__bin") * width), F.least(c("e"), (c("__bin") + 1) * width - 1)
+    lo, hi = F.least("bp1", "bp2"), F.greatest("bp1", "bp2")
+    depths = F.slice("depth", (first - c("__bin") * width + 1).cast("int"), (last - first + 1).cast("int"))
+    within = F.filter("reads", lambda r: (r["fs"] - trim > lo) & (r["fe"] + trim < hi) & (r["fs"] <= last) & (r["fe"] >= first))
+    inside = F.when((c("event_type") == "fusion") | (hi - lo < 2), None).otherwise(within)
+    j = j.select(*member, region, depths.alias("depths"), inside.alias("inside"), first.alias("first"), last.alias("last"))
+    flags = F.transform(F.sequence("first", "last"), lambda p: F.exists("inside", lambda r: (r["fs"] <= p) & (r["fe"] >= p)))
+    j = j.select(*member, region, "depths", F.when(F.size("inside") > 0, flags).alias("flags"))
+    some = c("flags").isNotNull()
+    plain = F.when(some, F.array_max(F.zip_with("depths", "flags", lambda d, f: F.when(~f, d)))).otherwise(F.coalesce(F.array_max("depths"), F.lit(0).cast("long")))
+    inner = F.when(some, F.array_max(F.zip_with("depths", "flags", lambda d, f: F.when(f, d))))
+    j = j.select(*member, region, plain.alias("plain"), inner.alias("inner"))
+    return j.groupBy(*member).agg(*_sides(region))
+
+
+def _sides(region: str) -> list:
+    return [F.max(F.when(F.col(region) == r, F.col(k))).alias(f"{k}_{r.lower()}") for r in "AB" for k in ("plain", "inner")]
+
+
+def relative_coverage(coverage: DataFrame, reads_on_contig: DataFrame | None, member: list[str], region: str = "region") -> DataFrame:
     """Per member W and T of both regions and the ratios of its contig's reads C to them.
 
-    Steps serve as well as bases, as only the highest counts. T adds the three types; W is T - C, and 2 C less again where T2 reads are. The
+    ``coverage`` are bases, steps (both serve, as only the highest count) or what ``peak_coverage`` returns; without
+    ``reads_on_contig`` it has C itself. T adds the three types; W is T - C, and 2 C less again where T2 reads are. The
     base of the highest W (of several, the highest T) stands for a region; a ratio
     whose divisor is not above zero is 999999.
     """
-    c = coverage.join(reads_on_contig, member)
-    t = F.col("DW") + F.col("T1") + F.col("T2")
-    w = t - F.col("C") - F.when(F.col("T2") > 0, 2 * F.col("C")).otherwise(0)
-    best = c.groupBy(*member, region, "C").agg(F.max(F.struct(w.alias("W"), t.alias("T"))).alias("b"))
-    side = lambda r, f: F.max(F.when(F.col(region) == r, F.col(f"b.{f}")))
-    wide = best.groupBy(*member, "C").agg(*[side(r, f).alias(f"{f}_{r.lower()}") for r in "AB" for f in "WT"])
+    c = F.col
+    if "plain_a" not in coverage.columns:
+        t = c("DW") + c("T1") + c("T2")
+        high = coverage.withColumn("plain", F.when(c("T2") > 0, None).otherwise(t)).withColumn("inner", F.when(c("T2") > 0, t))
+        coverage = high.groupBy(*member, *([] if reads_on_contig is not None else ["C"])).agg(*_sides(region))
+    wide = coverage if reads_on_contig is None else coverage.join(reads_on_contig, member)
+    for r in "ab":
+        plain, inner = c(f"plain_{r}"), c(f"inner_{r}")
+        # Of two bases of one W that with T2 reads has the higher T.
+        taken = inner.isNotNull() & (plain.isNull() | (inner - 3 * c("C") >= plain - c("C")))
+        wide = wide.withColumn(f"W_{r}", F.when(taken, inner - 3 * c("C")).otherwise(plain - c("C"))).withColumn(f"T_{r}", F.when(taken, inner).otherwise(plain))
+    wide = wide.select(*member, "C", "W_a", "T_a", "W_b", "T_b")
     for name, f in (("min", F.least), ("max", F.greatest), ("avg", lambda a, b: (F.col(a) + F.col(b)) / 2.0)):
         for x in "WT":
             wide = wide.withColumn(f"{x}_{name}", f(f"{x}_a", f"{x}_b"))

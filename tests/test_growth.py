@@ -159,3 +159,45 @@ def test_doubled_parts_are_found_for_all_lengths_at_once(spark, monkeypatch):
         assert "regexp_extract_all" not in plan(out) and "MapInArrow" in plan(out)
         assert sorted(r.contig for r in out.collect()) == want
     assert 0 < len(want) < len(cuts) - 20
+
+
+def test_highest_coverage_needs_no_row_for_a_region_and_a_read(spark, small, monkeypatch):
+    from junctura.operators import support as P
+    from junctura.plans import catalog
+
+    rng = random.Random(8)
+    reads = [(rng.choice((1, 2)), s, s + rng.choice((8, 9, 10, 30, 74, 74, 200))) for s in (rng.randrange(-50, 900) for _ in range(250))] + [(1, 400, 474)] * 30 + [(None, 5, 90), (1, None, 40)]
+    regions = []
+    for i in range(60):
+        for r in "AB"[: 1 if i == 59 else 2]:
+            s, p = rng.randrange(-90, 1200), rng.randrange(-90, 1200)
+            regions.append((i, 1 + i % 3, r, rng.choice((1, 2, 3)), s, s + rng.choice((0, 59, 59, 130)), rng.choice(("fusion", "itd", "itd")), p, rng.choice((None, p + 300, p - 80, p + 900, s))))
+    regions[7] = (*regions[7][:4], None, *regions[7][5:])
+    regions += [(70, 1, "A", 1, 80, 60, "itd", 0, 500), (70, 1, "B", None, 1, 60, "itd", 0, 500)]
+    e = spark.createDataFrame(regions, "id long, C long, region string, chrom long, s long, e long, event_type string, bp1 long, bp2 long")
+    d = spark.createDataFrame(reads, "chrom long, fs long, fe long")
+    base = {}
+    for i, c, r, chrom, s, end, event, p, q in regions:
+        lo, hi = (min(p, q), max(p, q)) if q is not None else (p, p)
+        best = (-c, 0) if s is None or chrom is None or s > end else None
+        for at in range(s, end + 1) if best is None else ():
+            here = [(a, b) for k, a, b in reads if k is not None and a is not None and k == chrom and a + 5 <= at <= b - 5]
+            inner = event != "fusion" and any(lo < a and b < hi for a, b in here)
+            best = max(best or (-(10**9), 0), (len(here) - c * (3 if inner else 1), len(here)))
+        base.setdefault(i, {})[r] = best
+    want = sorted((i, *x["A"], *x.get("B", (None, None))) for i, x in base.items())
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(P, "FEW_DEPTHS", few)
+        for width in (240, 32):
+            out = P.relative_coverage(P.peak_coverage(e, d, ["id", "C"], width=width), None, ["id"])
+            assert "Window" not in plan(out) and ("BroadcastHashJoin" in plan(out)) == (few > 0)
+            assert sorted(tuple(r) for r in out.select("id", "W_a", "T_a", "W_b", "T_b").collect()) == want
+    monkeypatch.undo()
+    # The pairs of alignments alone are joined and shuffled; what comes after stays where they are.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, moved in (("g22_relative_coverage", 4), ("g22_event_coverage", 5)):
+            q = plan(catalog.QUERIES[name](spark, small))
+            assert q.count("SortMergeJoin") == 1 and q.count("Exchange hashpartitioning") == moved, q
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
