@@ -121,6 +121,50 @@ def test_genes_are_worked_out_by_place_as_by_member(spark):
     assert {k: v for k, v in ends.items() if k in rows} == oriented(kept)
 
 
+def test_sets_of_genes_are_not_broadcast_by_file_size(spark):
+    from junctura.operators import predict as E
+    from junctura.plans.session import stored
+
+    around = spark.createDataFrame([(1, 5, "g", "exon", "+"), (1, 5, "h", "intron", "-"), (2, 9, "k", "utr", "+")], "chrom long, coord long, gene string, feature string, direction string")
+    members = stored(spark.createDataFrame([(1, 1, 5, 2, 9, "+", "-"), (2, 1, 5, 1, 6, "-", "-")], "id long, chrom_a long, coord_a long, chrom_b long, coord_b long, strand1 string, strand2 string"), "members")
+    for how, n in (("left", 2), ("inner", 1)):
+        got = E.at_places(members, stored(E.place_genes(around), "genes"), how)
+        assert "BroadcastHashJoin" not in plan(got) and "BroadcastExchange" not in plan(got)
+        rows = {r.id: (r.genes_a, r.genes_b, r.orient_a, r.orient_b) for r in got.collect()}
+        assert len(rows) == n and rows[1] == (["g"], ["k"], "+", "-")
+    assert E.at_places(members, stored(E.place_genes(around), "genes")).where("id = 2").first().genes_b == []
+
+
+def test_genes_of_places_come_from_ranges_that_grow_with_features_alone(spark):
+    from junctura.operators import predict as E
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice((1, 2)), s, s + rng.choice((-9, 0, 3, 40, 40, 300)), rng.choice("abcde"), rng.choice(("exon", "utr", "intron")), rng.choice("+-*")) for i, s in enumerate(rng.randrange(-40, 600) for _ in range(40))]
+    rows += [(40, None, 5, 9, "a", "exon", "+"), (41, 1, None, 9, "a", "exon", "+"), rows[3]]
+    f = spark.createDataFrame(rows, "id long, chrom long, fs long, fe long, gene string, feature string, direction string")
+    at, reaches = ("chrom", "bin", "s", "e"), (2, 20, 60)
+    # Features near each place, by looking at all of them.
+    near = {(c, x): {r for r in rows if r[1] == c and r[2] is not None and r[2] - 60 <= x <= r[3] + 60} for c in (1, 2) for x in range(-130, 1000)}
+    for width in (500, 37):
+        found = I.near_ranges(f, reaches, width)
+        got = {}
+        for r in found.collect():
+            for x in range(r.s, r.e + 1):
+                assert x // width == r.bin
+                for k in reaches:  # the same for all places of the range
+                    assert (r.fs - k <= x <= r.fe + k) == (r.fs - k <= r.s <= r.fe + k)
+                got.setdefault((r.chrom, x), set()).add((r.id, r.chrom, r.fs, r.fe, r.gene, r.feature, r.direction))
+        assert got == {k: v for k, v in near.items() if v}
+        hits = [(c, x, *h[4:]) for (c, x), v in near.items() for h in v]
+        each = spark.createDataFrame(hits, "chrom long, coord long, gene string, feature string, direction string")
+        m = spark.createDataFrame([(i, rng.choice((1, 2, None)), rng.choice((rng.randrange(-140, 1010), None)), rng.choice((1, 2, 3)), rng.randrange(-140, 1010), rng.choice("+-"), rng.choice("+-")) for i in range(200)], "id long, chrom_a long, coord_a long, chrom_b long, coord_b long, strand1 string, strand2 string")
+        names = ["id", "genes_a", "genes_b", "coding_a", "coding_b", "orient_a", "orient_b"]
+        for how in ("left", "inner"):
+            one, other = E.at_places(m, E.place_genes(found, at), how, width).select(names), E.at_places(m, E.place_genes(each), how).select(names)
+            assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+            assert 0 < one.count() <= 200
+
+
 def test_pairs_of_alignments_share_one_shuffle(spark, small):
     from junctura.plans import queries_candidates as Q
 
