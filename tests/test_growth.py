@@ -177,6 +177,19 @@ def test_pairs_of_alignments_share_one_shuffle(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_pairs_of_alignments_stay_where_their_numbers_were_given(spark, small):
+    from junctura.plans import queries_candidates as Q
+
+    d = Q.junctions(spark, small)
+    # Both sides are there in the plan that is not run yet; they share theirs.
+    assert plan(d).count("Exchange hashpartitioning") == 2 and "BroadcastExchange" not in plan(d)
+    d.collect()
+    assert plan(d).split("Initial Plan")[0].count("ReusedExchange") == 1
+    number = ["query", "aln_no", "tleft", "tright", "mismatch"]
+    assert sorted(Q.aln(spark, small).select(number).collect()) == sorted(Q.aln(spark, small, in_place=False).select(number).collect())
+    assert Q.aln(spark, small).schema.simpleString() == Q.aln(spark, small, in_place=False).schema.simpleString()
+
+
 def test_events_are_counted_without_a_row_for_each_gene(spark):
     from junctura.operators.recurrence import counts
 
