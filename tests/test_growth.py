@@ -51,6 +51,21 @@ def test_keys_go_to_the_largest_key_that_contains_them(spark):
         assert got == want
 
 
+def test_recurrence_does_not_broadcast_keys_by_file_size(spark):
+    from junctura.operators import recurrence as R
+
+    rows = [(1, "x", ["a"], "l"), (2, "x", ["a", "b"], "m"), (3, "x", ["a", "b"], "m"), (4, "x", ["c"], "l"), (5, "y", ["a"], "l"), (6, "x", list("abcdefghijkl"), None), (7, "x", ["k", "l"], "l")]
+    keyed = spark.createDataFrame(rows, "event_id long, event_type string, gene_key array<string>, lib string")
+    big = tuple("abcdefghijkl")
+    got = R.recurrence(keyed)
+    totals, split = R.recurrence_totals(keyed), R.split_recurrent(keyed)
+    for df in (R.merged_keys(keyed), got, totals, split):
+        assert "Broadcast" not in plan(df)
+    assert {(r.event_type, tuple(r.key)): (r.libraries, r.n_events, r.recurrent) for r in got.collect()} == {("x", big): (["l", "m"], 6, True), ("y", ("a",)): (["l"], 1, False)}
+    assert {r.event_id: r.recurrent for r in split.collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True}
+    assert {(r.event_type, r.lib): (r.n_predictions, r.n_genes) for r in totals.collect()} == {("x", "l"): (3, 1), ("x", "m"): (1, 1), ("x", None): (5, 1), ("y", "l"): (1, 1), ("y", None): (1, 1)}
+
+
 def test_events_evaluate_their_junctions_once(spark):
     from junctura.operators.grouping import group_events
 
