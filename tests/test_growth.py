@@ -51,6 +51,22 @@ def test_keys_go_to_the_largest_key_that_contains_them(spark):
         assert got == want
 
 
+def test_fusions_are_rechecked_in_their_rows_without_joining_sequences_back(spark):
+    from junctura.operators import predict as E
+
+    bases = "ACGGTCATTGCAGGCTTACCGTTGACCGATAGCATTCGGA"
+    d = spark.createDataFrame([(k, 1, 2, 40, 1, 20, 21, 40) for k in ("a", "b", "c", "d")], "contig string, no1 int, no2 int, ctg_len long, qs1 long, qe1 long, qs2 long, qe2 long")
+    best = spark.createDataFrame([("a", 5, False)], "query string, matches long, perfect boolean")
+    seqs = spark.createDataFrame([(k, bases) for k in "abcd"], "contig string, seq string")
+    # a: the transcript that both sides share has 10 matches fewer than the best; b: 9 fewer; c: shares 14 of 20 bases; d: of two best hits the first by target has the rest.
+    hits = [("a", "t1", 1, 20, 20), ("a", "t2", 1, 20, 10), ("a", "t2", 21, 40, 20), ("b", "t1", 1, 20, 20), ("b", "t2", 1, 20, 11), ("b", "t2", 21, 40, 20), ("c", "t1", 7, 26, 20), ("c", "t1", 21, 40, 20), ("d", "t3", 1, 20, 20), ("d", "t4", 1, 20, 20)]
+    hits = spark.createDataFrame(hits, "contig string, target string, qstart long, qend long, match long")
+    targets = spark.createDataFrame([("t3", bases), ("t4", "T")], "target string, seq string")
+    for some, want in ((None, "acd"), (targets, "ac")):
+        out = E.recheck_fusion(d, best, 1.5, seqs, hits, some)
+        assert "Window" not in plan(out) and sorted(r.contig for r in out.collect()) == list(want)
+
+
 def test_recurrence_does_not_broadcast_keys_by_file_size(spark):
     from junctura.operators import recurrence as R
 
