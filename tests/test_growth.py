@@ -67,6 +67,27 @@ def test_fusions_are_rechecked_in_their_rows_without_joining_sequences_back(spar
         assert "Window" not in plan(out) and sorted(r.contig for r in out.collect()) == list(want)
 
 
+def test_calls_are_compared_without_a_row_for_each_gene_set_or_neighbouring_cell(spark, small):
+    from junctura.operators import compare as X
+    from junctura.plans import queries_outcomes as Q
+
+    rng = random.Random(4)
+    ends = lambda n: [(i, rng.choice((1, 2)), rng.randrange(-900, 9000), rng.choice((1, None)), rng.randrange(900)) for i in range(n)]
+    ours, theirs = ends(120), ends(120)
+    cols = "{} long, chrom_a long, coord_a long, chrom_b long, coord_b long"
+    a, b = spark.createDataFrame(ours, cols.format("id")), spark.createDataFrame(theirs, cols.format("id2"))
+    for buffer in (0, 100, 1000):
+        got = sorted(map(tuple, I.location_match(a, b, buffer).collect()))
+        far = lambda x, y: max(abs(x[2] - y[2]), abs(x[4] - y[4]))
+        assert got == sorted((x[0], y[0], far(x, y)) for x in ours for y in theirs if x[1] == y[1] and x[3] == y[3] == 1 and far(x, y) <= buffer)
+        assert buffer < 1000 or got
+    sets = spark.createDataFrame([(["a", "b"], ["b"]), (["a"], []), (["b"], ["a"])], "genes_a array<string>, genes_b array<string>")
+    assert sorted(map(tuple, X.gene_partners(sets).collect())) == [("a", "b"), ("b", "a"), ("b", "b")]
+    p = plan(Q.compared_calls(spark, small))
+    # Of the given tables nothing is read or joined again once the members are there, and no set of genes is made a text.
+    assert "BroadcastExchange" not in p and "to_json" not in p and "lineitem" not in p
+
+
 def test_recurrence_does_not_broadcast_keys_by_file_size(spark):
     from junctura.operators import recurrence as R
 
