@@ -145,19 +145,31 @@ def coverage_steps(regions: DataFrame, reads: DataFrame, key: list[str], trim: i
 
     ``reads`` has chrom, fs, fe; ``regions`` has event_type, bp1, bp2 too. Starts and ends are summed per
     place and added up along the region, so deep coverage is one row per read end, not per base and read. Equal reads
-    are counted before they meet regions. ``keep`` names columns of the region to return as well.
+    are counted before they meet regions, and lie together in bins of ``width``, which a region looks up by those it touches: where
+    bins are few nothing of the regions is moved, and their sums stay where they are if they lie by part of ``key``. ``keep``
+    names columns of the region to return as well.
     """
-    from .intervals import overlap_join
+    c = F.col
+    bins = stored(read_bins(reads, trim, width), "reads")
+    size = bins.agg(F.sum(F.size("reads")).alias("n")).first().n or 0
+    bins = bins.select(c("chrom").alias("__c"), c("bin").alias("__b"), "reads")
+    bins = F.broadcast(bins) if size <= FEW_DEPTHS else bins.hint("merge")
+    at = regions.withColumn("__bin", F.explode_outer(F.when(c("s") <= c("e"), F.sequence(F.floor(c("s") / width), F.floor(c("e") / width)))))
+    j = at.join(bins, (c("chrom") == c("__c")) & (c("__bin") == c("__b")), "left")
+    # A read is taken in the first bin that it shares with the region.
+    here = F.filter("reads", lambda r: (r["fs"] <= c("e")) & (r["fe"] >= c("s")) & (F.floor(F.greatest(c("s"), r["fs"]) / width) == c("__bin")))
+
+    def kind(r):
+        whole = (r["fs"] - trim, r["fe"] + trim, c("bp1"), c("bp2"))
+        return F.when(c("event_type") == "fusion", support_type("fusion", *whole)).otherwise(support_type("itd", *whole))
 
-    trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe")
-    j = overlap_join(regions, trimmed.groupBy("chrom", "fs", "fe").agg(F.count(F.lit(1)).alias("__n")), width=width)
+    step = lambda at, kind, d: F.struct(at.alias("at"), kind.alias("kind"), d.alias("d"))
+    ends = F.flatten(F.transform(here, lambda r: F.array(step(F.greatest(c("s"), r["fs"]), kind(r), r["n"]), step(F.least(c("e"), r["fe"]) + 1, kind(r), -r["n"]))))
+    none = F.array(step(c("s"), F.lit("T1"), F.lit(0).cast("long")))
+    start = F.when(c("__bin").isNull() | (c("__bin") == F.floor(c("s") / width)), none).otherwise(F.slice(none, 1, 0))
     keep = keep or []
-    whole = (F.col("fs") - trim, F.col("fe") + trim, F.col("bp1"), F.col("bp2"))
-    kind = F.when(F.col("event_type") == "fusion", support_type("fusion", *whole)).otherwise(support_type("itd", *whole))
-    lo, hi = F.greatest(F.col("s"), F.col("fs")), F.least(F.col("e"), F.col("fe")) + 1
-    ends = F.array(F.struct(lo.alias("at"), F.col("__n").alias("d")), F.struct(hi.alias("at"), (-F.col("__n")).alias("d")))
-    moves = j.withColumn("kind", kind).withColumn("x", F.explode(ends)).where(F.col("x.at") <= F.col("e")).select(*key, *keep, "kind", "x.*")
-    moves = moves.unionByName(regions.select(*key, *keep, F.lit("T1").alias("kind"), F.col("s").alias("at"), F.lit(0).cast("long").alias("d")))
+    moves = j.select(*key, *keep, c("e").alias("__e"), F.explode(F.concat(F.coalesce(ends, F.slice(none, 1, 0)), start)).alias("x"))
+    moves = moves.where((c("x.at") <= c("__e")) | (c("x.d") == 0)).select(*key, *keep, "x.*")
     types = ("DW", "T1", "T2")
     sums = moves.groupBy(*key, *keep, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"d{k}") for k in types])
     w = Window.partitionBy(*key).orderBy("at")
@@ -168,10 +180,18 @@ def base_coverage(regions: DataFrame, reads: DataFrame, key: list[str], trim: in
     """``coverage_steps`` at each base ``at`` of a region; bases without reads are there with zeros."""
     steps = coverage_steps(regions, reads, key, trim, width, keep=["e"])
     following = F.lead("at").over(Window.partitionBy(*key).orderBy("at")) - 1
-    spans = steps.withColumn("__to", F.coalesce(following, F.col("e")))
+    spans = steps.withColumn("__to", F.coalesce(following, F.col("e"))).where("at <= __to")
     return spans.select(*key, F.explode(F.sequence("at", "__to")).alias("at"), "DW", "T1", "T2")
 
 
+def read_bins(reads: DataFrame, trim: int = 5, width: int = 1000) -> DataFrame:
+    """Bins of ``width`` bases that trimmed reads (chrom, fs, fe) touch: chrom, bin, reads (different ones: fs and fe trimmed, n)."""
+    trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe AND chrom IS NOT NULL")
+    one = trimmed.groupBy("chrom", "fs", "fe").agg(F.count(F.lit(1)).alias("n"))
+    placed = one.withColumn("bin", F.explode(F.sequence(F.floor(F.col("fs") / width), F.floor(F.col("fe") / width))))
+    return placed.groupBy("chrom", "bin").agg(F.collect_list(F.struct("fs", "fe", "n")).alias("reads"))
+
+
 def coverage_bins(reads: DataFrame, trim: int = 5, width: int = 240) -> DataFrame:
     """Bins of ``width`` bases that trimmed reads (chrom, fs, fe) touch: chrom, bin, depth (of each base), reads (different ones, fs and fe trimmed)."""
     trimmed = reads.withColumn("fs", F.col("fs") + trim).withColumn("fe", F.col("fe") - trim).where("fs <= fe AND chrom IS NOT NULL")

@@ -88,6 +88,46 @@ def test_calls_are_compared_without_a_row_for_each_gene_set_or_neighbouring_cell
     assert "BroadcastExchange" not in p and "to_json" not in p and "lineitem" not in p
 
 
+def test_base_coverage_looks_reads_up_where_its_regions_are(spark, small, monkeypatch):
+    from junctura.operators import support as P
+    from junctura.plans import catalog
+
+    rng = random.Random(6)
+    reads = [(rng.choice((1, 2)), s, s + rng.choice((8, 9, 10, 30, 74, 200))) for s in (rng.randrange(-50, 400) for _ in range(80))] + [(1, 100, 174)] * 9 + [(None, 5, 90), (1, None, 40)]
+    regions = [(i, rng.choice((1, 2, 3)), s, s + rng.choice((0, 59, 130)), rng.choice(("fusion", "itd")), p, rng.choice((None, p + 300, p - 80, s))) for i, s, p in ((i, rng.randrange(-90, 500), rng.randrange(-90, 500)) for i in range(50))]
+    regions += [(50, 1, 80, 60, "itd", 0, 500), (51, 1, None, 60, "itd", 0, 500), (52, None, 100, 120, "fusion", 110, None)]
+
+    def kind(r, s, e):
+        p, q = r[5], r[6]
+        if r[4] == "fusion":
+            return "DW" if s < p < e or (q is not None and s < q < e) else "T1"
+        if q is None:
+            p, q = p, p
+        lo, hi = min(p, q), max(p, q)
+        return "DW" if s < lo and e > hi else "T2" if lo < s and hi > e else "T1"
+
+    want = []
+    for r in regions:
+        for at in range(r[2], r[3] + 1) if r[2] is not None else ():
+            n = {"DW": 0, "T1": 0, "T2": 0}
+            for c, s, e in reads:
+                if c == r[1] and c is not None and s is not None and s + 5 <= at <= e - 5:
+                    n[kind(r, s, e)] += 1
+            want.append((r[0], at, *n.values()))
+    a = spark.createDataFrame(regions, "id long, chrom long, s long, e long, event_type string, bp1 long, bp2 long")
+    d = spark.createDataFrame(reads, "chrom long, fs long, fe long")
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(P, "FEW_DEPTHS", few)
+        for width in (1000, 32):
+            out = P.base_coverage(a, d, ["id"], width=width)
+            assert ("BroadcastHashJoin" in plan(out)) == (few > 0)
+            assert sorted(tuple(r) for r in out.select("id", "at", "DW", "T1", "T2").collect()) == sorted(want)
+    monkeypatch.undo()
+    # The alignments alone are shuffled, for either side of a pair (they share it when run); regions and sums stay.
+    p = plan(catalog.QUERIES["g21_base_coverage"](spark, small))
+    assert p.count("Exchange hashpartitioning") == 2 and p.count("Exchange") == 3 and "BroadcastExchange" in p
+
+
 def test_recurrence_does_not_broadcast_keys_by_file_size(spark):
     from junctura.operators import recurrence as R
 
