@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -128,6 +129,14 @@ def test_base_coverage_looks_reads_up_where_its_regions_are(spark, small, monkey
     assert p.count("Exchange hashpartitioning") == 2 and p.count("Exchange") == 3 and "BroadcastExchange" in p
 
 
+def test_calls_of_two_genes_are_made_without_a_broadcast_by_file_size(spark, small):
+    from junctura.plans import catalog
+
+    p = plan(catalog.QUERIES["j14_gene_partner_match"](spark, small))
+    # Features are joined with features by shuffle.
+    assert p.count("part.parquet") == 2 and "BroadcastHashJoin [id2" not in re.sub(r"#\d+L?", "", p)
+
+
 def test_recurrence_does_not_broadcast_keys_by_file_size(spark):
     from junctura.operators import recurrence as R
 
